@@ -198,7 +198,7 @@ def safe_text(spark, sf):
     return V.web_items(spark, sf).select(
         "page_id", T.safe_text(F.col("html")).alias("safe"),
         T.safe_link(F.concat(F.lit("  "), F.when(F.col("page_id") % 4 == 0, F.replace("link", F.lit("http"), F.lit("javascript")))
-                             .otherwise("link"))).alias("href"))
+                             .otherwise(F.col("link")))).alias("href"))
 
 
 def delimiters(spark, sf):
