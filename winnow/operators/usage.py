@@ -40,9 +40,11 @@ def price_models(usage: DataFrame, prices: DataFrame) -> DataFrame:
     )
 
 
-def estimate_cost(usage: DataFrame, prices: DataFrame) -> DataFrame:
-    """cost_usd per call, NULL for a model without a listed price."""
-    priced = price_models(usage, prices)
+def estimate_cost(usage: DataFrame, prices: DataFrame, models: DataFrame | None = None) -> DataFrame:
+    """cost_usd per call, NULL for a model without a listed price.
+
+    A stream of calls names its models in `models`, since it cannot list them itself."""
+    priced = price_models(usage if models is None else models, prices)
     cost = F.round(F.col("input_tokens") / 1_000_000 * F.col("_in") + F.col("output_tokens") / 1_000_000 * F.col("_out"), 6)
     kept = [c for c in usage.columns if c != "cost_usd"]
     return usage.join(broadcast_if_small(priced), ["provider", "model"], "left").select(*kept, cost.alias("cost_usd"))

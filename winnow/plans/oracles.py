@@ -188,6 +188,13 @@ def _with(*parts, select):
 FAIR = ("fair AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY feed_id ORDER BY coalesce(published, " + AS_OF
         + ") DESC, entry_ord) AS rnk FROM {src}) ORDER BY rnk, feed_ord LIMIT 150)")
 
+LANDED = rf"""places AS (SELECT *, item_id // 500 AS doc_ord, row_number() OVER (PARTITION BY feed_id, item_id // 500 ORDER BY item_id) - 1 AS place,
+  source || '.example.com' AS host FROM items),
+landed AS (SELECT feed_ord::BIGINT * 1099511627776 + doc_ord * 16777216 + place AS item_id, feed_id, feed_ord, doc_ord * 16777216 + place AS entry_ord, source,
+  CASE WHEN lang <> 'fr' AND item_id % 10 = 0 THEN 'The Outlet' WHEN lang = 'es' THEN host ELSE source END AS publisher,
+  CASE WHEN lang <> 'es' THEN title WHEN item_id % 10 = 0 THEN {_strip("title || ' - ' || upper(source) || '.example.com'")} ELSE title END AS title, link,
+  substr(CASE WHEN lang = 'es' THEN trim(regexp_replace(description, '{WS}+', ' ', 'g')) ELSE description END, 1, 1000) AS description, published FROM places)"""
+
 ORACLES = {
     "digest_run": _with(
         ITEMS, SEEN, SCORED, DIGESTS,
@@ -311,4 +318,32 @@ ORACLES = {
         CASE WHEN x.a IS NULL THEN 'no recipient configured' ELSE '' END AS error FROM rendered r JOIN digests d ON d.digest_ord = r.digest_ord
         LEFT JOIN (SELECT digest_ord, unnest(rcpt) AS a FROM digests) x ON x.digest_ord = r.digest_ord"""),
     "previous_digests": _with(HISTORY, select=f"SELECT digest_slug, id, {_stamp('sent_at')} AS rendered_at FROM history QUALIFY sent_at = max(sent_at) OVER (PARTITION BY digest_slug)"),
+    "feed_scan": _with(ITEMS, LANDED, select=f"SELECT item_id, feed_id, source, publisher, title, link, description, {_stamp('published')} AS published FROM landed"),
+    "landed_trim": _with(ITEMS, LANDED,
+        "capped AS (SELECT * FROM landed QUALIFY row_number() OVER (PARTITION BY feed_id ORDER BY entry_ord) <= 20)",
+        f"young AS (SELECT * FROM capped WHERE published IS NULL OR published >= {AS_OF} - INTERVAL 21 DAY)", FAIR.format(src="young"),
+        select=f"SELECT item_id, feed_id, {_stamp('published')} AS published FROM fair"),
+    "summarise_batches": _with(ITEMS, NUMBERED, select="SELECT item_id, 'place ' || pos AS summary, 'key' AS category, 'en' AS domain FROM batched"),
+    "summarise_topics": _with(ITEMS, NUMBERED, select="SELECT source, 'key' AS category, 'place ' || pos AS summary, count(*) AS n FROM batched GROUP BY ALL"),
+    "stream_seen": _with(ITEMS, "f AS (SELECT link, min(item_id % 4) AS d FROM items GROUP BY link)",
+        select="SELECT item_id, items.link FROM items JOIN f ON f.link = items.link WHERE item_id % 4 = d"),
 }
+ORACLES["stream_daily"] = ORACLES["usage_daily"].replace(f"WHERE day >= CAST({AS_OF} AS DATE) - 29 ", "")
+_LINTS = ORACLES["wiring_lints"]
+_GAPS = _with(
+    "cols AS (SELECT unnest(['key','mention','notable']) AS col)",
+    "src AS (SELECT d.title, d.sections, d.domain, CASE WHEN len(d.sources) > 0 THEN d.sources ELSE (SELECT list(feed) FROM named n WHERE n.t = d.title) END AS s FROM digests d)",
+    """grid AS (SELECT f.feed_id, c.col, count(x.title) AS k FROM feeds f CROSS JOIN cols c
+    LEFT JOIN src x ON x.domain IS NULL AND list_contains(x.sections, c.col) AND list_contains(x.s, f.name) GROUP BY ALL)""",
+    select="").removeprefix("WITH ").rstrip()
+ORACLES["health"] = (
+    _LINTS[:_LINTS.rindex("SELECT 'unknown_source'")].rstrip() + ",\n" + _GAPS
+    + ",\nfound AS (" + _LINTS[_LINTS.rindex("SELECT 'unknown_source'"):] + "),\n"
+    + SCORED + ",\n" + NUMBERED + ",\n" + ANSWERS + """
+    SELECT rule, count(*) AS n FROM found GROUP BY rule
+    UNION ALL SELECT 'unroutable', count(*) FROM grid WHERE k = 0 HAVING count(*) > 0
+    UNION ALL SELECT 'orphan_feed', count(*) FROM (SELECT feed_id FROM grid GROUP BY feed_id HAVING max(k) = 0) HAVING count(*) > 0
+    UNION ALL SELECT 'orphan_topic', count(*) FROM topics WHERE lower(coalesce(nullif(recipient, ''), 'all')) <> 'all'
+      AND lower(recipient) NOT IN (SELECT lower(email) FROM clean_users)
+    UNION ALL SELECT 'response', (SELECT count(DISTINCT batch_id) FROM answers WHERE garbage)
+      + (SELECT count(*) FROM answers WHERE garbage OR scalar OR absent) + (SELECT count(*) FROM answers WHERE odd AND NOT garbage)""")

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import text as T
 from ..operators import clusters, history, merge, readers, render, routing, scoring, seen, similar, story, trim, usage
-from ..session import tune
-from ..sources import search
-from . import views as V
+from ..session import freeze, scratch_path, tune
+from ..sources import feeds, search, state
+from ..streaming import seen as seen_stream, usage as usage_stream
+from . import run as whole, summarise, views as V
 
 AS_OF = V.AS_OF
 CAP = 150
@@ -381,6 +382,64 @@ def digest_run(spark, sf):
     return routed.groupBy("digest_title", "category").agg(F.count("*").alias("n"))
 
 
+def feed_scan(spark, sf):
+    items = feeds.feed_items(V.feed_documents(spark, sf), V.search_marked_feeds(spark, sf))
+    return items.select("item_id", "feed_id", "source", "publisher", "title", "link", "description", _stamp("published"))
+
+
+def landed_trim(spark, sf):
+    items = feeds.feed_items(V.feed_documents(spark, sf), V.search_marked_feeds(spark, sf))
+    cfg = whole.Settings(None, None, "", per_feed=20, max_total=CAP, fair=True, max_age_days=21)
+    return whole.trim_run(items, cfg, AS_OF).select("item_id", "feed_id", _stamp("published"))
+
+
+def _labels(**more):
+    return summarise.Labels(categories=V.VOCAB, domains=V.DOMAINS, fallback_category=V.FALLBACK, **more)
+
+
+def summarise_batches(spark, sf):
+    """Every item labelled through the stand-in model."""
+    done = summarise.summarise_all(V.items(spark, sf), _labels(), scoring.caller(lambda: _echo))
+    return done.select("item_id", "summary", "category", "domain")
+
+
+def summarise_topics(spark, sf):
+    """Topics of a stand-in model that answers with no clusters: batches take over."""
+    few = _labels(cluster=True, topic_items=200)
+    done = summarise.summarise_all(V.items(spark, sf), few, scoring.caller(lambda: _echo))
+    return done.groupBy("source", "category", "summary").agg(F.count("*").alias("n"))
+
+
+def stream_daily(spark, sf):
+    """Daily usage from a stream over events."""
+    schema = V.table(spark, sf, "events").schema
+    live = spark.readStream.schema(schema).parquet(f"{sf}/events*.parquet")
+    calls = usage.estimate_cost(V.calls_of(live), V.prices(spark), models=V.call_models(spark))
+    out = scratch_path(spark, "daily")
+    usage_stream.keep_days(usage_stream.daily_usage_stream(calls), f"{out}/days", f"{out}/progress").awaitTermination()
+    return _daily_text(usage_stream.read_days(spark, f"{out}/days"))
+
+
+def stream_seen(spark, sf):
+    """documents arriving in four drops; a link delivered in one is not new in the next."""
+    out = scratch_path(spark, "arrivals")
+    rows = V.items(spark, sf).select("item_id", "link", "published")
+    schema = rows.schema
+    arrived = freeze(rows.withColumn("drop_no", F.col("item_id") % 4))
+    store = state.SeenStore(f"{out}/seen")
+    for drop_no in range(4):
+        arrived.where(F.col("drop_no") == drop_no).drop("drop_no").write.parquet(f"{out}/landed/drop={drop_no}")
+        live = spark.readStream.schema(schema).parquet(f"{out}/landed/drop=*")
+        seen_stream.new_items_stream(live, store, f"{out}/new", AS_OF, f"{out}/progress").awaitTermination()
+    return state.read_table(spark, f"{out}/new", "item_id bigint, link string, published timestamp").select("item_id", "link")
+
+
+def health(spark, sf):
+    audit = scoring.response_audit(_batched(spark, sf), V.responses(spark, sf), V.VOCAB)
+    found = whole.health(V.feeds(spark, sf), V.topics(spark, sf), V.users(spark, sf), V.plain_digests(spark), V.VOCAB, audit=audit)
+    return found.groupBy("rule").agg(F.sum("n").alias("n"))
+
+
 NAMES = [
     digest_run, fair_trim, feed_cap, newest_topk, stale_filter, seen_new, seen_upsert, settled, title_dedup,
     title_dedup_exact, story_dedup, route, unrouted, run_counts, route_grid, route_grid_domains, route_gaps,
@@ -389,7 +448,7 @@ NAMES = [
     title_tokens, safe_text, delimiters, email_check, prompts, topic_prompts, batch_join, response_audit, single_join,
     cluster_stories, model_calls, usage_extract, usage_cost, usage_daily, usage_rollup, history_page, history_deep,
     history_trim, history_counts, history_append, run_latest, merge_rows, merge_changes, merge_values, render_digests,
-    outbox, previous_digests,
+    outbox, previous_digests, feed_scan, landed_trim, summarise_batches, summarise_topics, stream_daily, stream_seen, health,
 ]
 
 

@@ -171,14 +171,27 @@ def prices(spark, sf=None) -> DataFrame:
     return spark.createDataFrame(PRICE_ROWS, "provider string, id string, input_usd_per_mtok double, output_usd_per_mtok double")
 
 
+CALL_MODELS = [
+    ("alpha", "m-1"), ("alpha", "m-1-20240101"), ("alpha", "m-1-4-20240202"), ("beta", "n-small-beta"), ("delta", "z-1"),
+]
+
+
+def call_models(spark) -> DataFrame:
+    return spark.createDataFrame(CALL_MODELS, "provider string, model string")
+
+
 def usage_calls(spark, sf) -> DataFrame:
+    return calls_of(table(spark, sf, "events"))
+
+
+def calls_of(events: DataFrame) -> DataFrame:
     """events as model calls: exact id, dated release, longest prefix, near miss, unlisted."""
     kind = F.element_at(F.array(F.lit("batch"), F.lit("cluster"), F.lit("item")), (F.col("event_id") % 3 + 1).cast("int"))
     by_type = lambda *v: (
         F.when(F.col("event_type") == "view", v[0]).when(F.col("event_type") == "purchase", v[1])
         .when(F.col("event_type") == "signup", v[2]).when(F.col("event_type") == "click", v[3]).otherwise(v[4]))
-    return table(spark, sf, "events").select(
-        "event_id", F.col("ts").alias("at"), F.to_date("ts").alias("day"),
+    return events.select(
+        "event_id", F.col("ts").cast("timestamp").alias("at"), F.to_date("ts").alias("day"),
         by_type("alpha", "alpha", "alpha", "beta", "delta").alias("provider"),
         by_type("m-1", "m-1-20240101", "m-1-4-20240202", "n-small-beta", "z-1").alias("model"),
         kind.alias("kind"),
@@ -191,7 +204,7 @@ def history(spark, sf) -> DataFrame:
     """orders as delivery history."""
     title = F.concat(F.lit("Digest "), "o_orderpriority")
     return table(spark, sf, "orders").select(
-        F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("sent_at"),
+        F.col("o_orderkey").alias("id"), F.col("o_orderdate").cast("timestamp").alias("sent_at"),
         title.alias("digest_title"), slug(title).alias("digest_slug"),
         F.concat(F.lit("Order "), F.col("o_orderkey").cast("string")).alias("title"),
         F.col("o_orderstatus").alias("source"),
@@ -266,3 +279,43 @@ def cluster_responses(spark, sf) -> DataFrame:
             '{"title":"Out","summary":"x","category":"key","domain":"en","members":[99999]},"junk"]}')
     return table(spark, sf, "documents").select("source").distinct().select(
         "source", F.lit(0).cast("bigint").alias("chunk"), F.lit(body).alias("response"))
+
+
+# documents per landed feed document
+DOC_SPAN = 500
+
+
+def feed_documents(spark, sf) -> DataFrame:
+    """documents as landed feed documents (feed_id, doc_ord, body): French ones Atom, the
+    others RSS, Spanish ones as a news search would serve them."""
+    def xml(c):
+        for raw, safe in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+            c = F.replace(c, F.lit(raw), F.lit(safe))
+        return c
+
+    def tag(name, c):
+        return F.coalesce(F.concat(F.lit(f"<{name}>"), c, F.lit(f"</{name}>")), F.lit(""))
+
+    rows = items(spark, sf).withColumn("doc_ord", F.floor(F.col("item_id") / DOC_SPAN).cast("int"))
+    searched = F.col("lang") == "es"
+    title = F.when(searched, F.concat("title", F.lit(" - "), F.upper("source"), F.lit(".example.com"))).otherwise(F.col("title"))
+    text = F.when(searched, F.concat(F.lit("<p>"), "description", F.lit("</p>&nbsp;"))).otherwise(F.col("description"))
+    outlet = F.when(F.col("item_id") % 10 == 0, F.lit("The Outlet"))
+    rss = F.concat(
+        F.lit("<item>"), tag("title", xml(title)), tag("link", xml(F.col("link"))), tag("description", xml(text)),
+        tag("pubDate", F.concat(F.date_format("published", "EEE, d MMM yyyy HH:mm:ss"), F.lit(" GMT"))),
+        tag("source", outlet), F.lit("</item>"))
+    atom = F.concat(
+        F.lit('<entry><link rel="self" href="https://self.example.com"/><link href="'), xml(F.col("link")), F.lit('"/>'),
+        tag("title", xml(title)), tag("summary", xml(text)),
+        tag("updated", F.date_format("published", "yyyy-MM-dd'T'HH:mm:ss'Z'")), F.lit("</entry>"))
+    entry = F.when(F.col("lang") == "fr", atom).otherwise(rss)
+    body = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("item_id", entry.alias("e")))), lambda r: r["e"]), "\n")
+    docs = rows.groupBy("feed_id", "doc_ord", "lang").agg(body.alias("b"))
+    return docs.select("feed_id", "doc_ord", F.when(
+        F.col("lang") == "fr", F.concat(F.lit('<feed xmlns="http://www.w3.org/2005/Atom">'), "b", F.lit("</feed>"))
+    ).otherwise(F.concat(F.lit("<rss><channel>"), "b", F.lit("</channel></rss>"))).alias("body"))
+
+
+def search_marked_feeds(spark, sf) -> DataFrame:
+    return feeds(spark, sf).withColumn("is_search", F.col("feed_id").endswith("/es"))

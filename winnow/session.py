@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -67,3 +68,9 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFra
     """Hint a broadcast for a dimension proven small; otherwise leave the join to a
     shuffle, whose hot partitions adaptive execution splits."""
     return F.broadcast(df) if is_small(df, max_rows) else df
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh path for intermediate tables, inside the shared checkpoint folder."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
