@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 import html
-from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import Column, functions as F
-from pyspark.sql.types import DoubleType, StringType
+from pyspark.sql.types import StringType
 
 # Unicode white space, spelled out because engines differ on \s.
 WS = r"[\t-\r\x1c-\x20\x85\p{Z}]"
@@ -159,14 +158,3 @@ def fill_template(template: str | Column, **values: Column) -> Column:
     for name, value in values.items():
         out = F.replace(out, F.lit("{" + name + "}"), value)
     return out
-
-
-def title_ratio(later: pd.Series, earlier: pd.Series) -> pd.Series:
-    """Matched share of two normalised titles; the argument order matters."""
-    return pd.Series(
-        [SequenceMatcher(None, a, b).ratio() if a and b else 0.0 for a, b in zip(later, earlier)],
-        dtype="float64",
-    )
-
-
-ratio_udf = F.pandas_udf(title_ratio, DoubleType())

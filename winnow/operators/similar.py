@@ -1,18 +1,18 @@
 """Near-identical titles: an item goes when its title is too close to one already kept.
 
 Newest first, each title is compared with the kept ones only, so the answer is the
-first-come independent set of the similarity graph. Two stages give exactly that set:
+first-come independent set of the similarity graph. It is found in rounds. A round takes
+the earliest undecided titles, a bounded number, and finds the close pairs among them in
+parallel; those kept are then compared with all later titles in one distributed pass,
+which removes whatever they cover.
 
-1. Pivot rounds. The earliest undecided titles (a bounded number) are decided among
-   themselves; those kept are then compared with all later titles in one distributed pass,
-   which removes whatever they cover. A crowd of look-alike titles is gone after the round
-   in which its first member is kept, and no pair of titles is ever emitted.
-2. If many titles are left and rounds stop paying, the rest is joined on rare character
-   grams (prefix filter), verified, and settled by rounds over the small edge table."""
+No pair of titles is shuffled. A crowd of look-alike titles is gone after the round in
+which its first member is kept, and only then do the rounds grow, so that the close pairs
+inside one round stay few. Comparing means: length band by binary search, then bounds from
+character, bigram and trigram counts on whole arrays, and an alignment for what passes."""
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
@@ -20,198 +20,121 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.text import normalize_title, ratio_udf
+from ..functions.text import normalize_title
 from ..session import freeze
 from .story import drop_retold, newest_first
 
+# Titles decided in the first round, and in any later one.
 PIVOTS = 2048
-# Characters of pivot titles one broadcast may hold.
+MAX_PIVOTS = 65_536
+# Characters of the titles of one round.
 PIVOT_CHARS = 32_000_000
-# A round that removes less than this share of the undecided titles no longer pays.
-ROUND_YIELD = 0.02
-# Grams give a bound worth joining on from here up.
-GRAM_THRESHOLD = 0.8
-# Below this length bigrams are used, from it on trigrams.
-TRIGRAM_CHARS = 16
-# A gram in more titles than this is joined in salted pieces.
-HOT_GRAM = 5000
-_SALTS = 16
-_BUCKETS = 64
-
-
-def _histograms(titles: list[str]) -> np.ndarray:
-    """Character counts in 64 buckets. Merging characters can only raise the overlap."""
-    out = np.zeros((len(titles), _BUCKETS), dtype=np.int32)
+# Rounds grow once one removes less than this share of the later titles.
+ROUND_YIELD = 0.05
+# Up to this many titles the close pairs of a round are settled on the driver.
+SMALL_ROUND = 4096
+# Titles one task compares, so that a small table still uses every core.
+TITLES_PER_TASK = 128
+# Counting buckets for single characters, bigrams and trigrams.
+_BUCKETS = (64, 256, 512)
+
+
+def gram_bound(total_length, threshold: float, q: int):
+    """Fewest q-grams two titles of this summed length share at the threshold.
+
+    m matched characters lie in at most (unmatched + 1) runs, and a run of r characters
+    holds r - q + 1 grams."""
+    return total_length * ((2 * q - 1) * threshold / 2 - (q - 1)) - (q - 1)
+
+
+def _counts(titles: list[str], q: int) -> np.ndarray:
+    """q-gram counts in hashed buckets. Merging grams can only raise what two titles share."""
+    size = _BUCKETS[q - 1]
+    out = np.zeros((len(titles), size), dtype=np.int32)
     for row, title in enumerate(titles):
-        codes = np.frombuffer(title.encode("utf-32-le"), dtype=np.uint32) % _BUCKETS
-        out[row] = np.bincount(codes, minlength=_BUCKETS)
+        codes = np.frombuffer(title.encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
+        grams = codes[: max(len(codes) - q + 1, 0)].copy()
+        for i in range(1, q):
+            grams = grams * 31 + codes[i: len(codes) - q + 1 + i]
+        out[row] = np.bincount(grams % size, minlength=size)
     return out
 
 
 class TitleIndex:
-    """Kept titles of one round, sorted by length, asked for a match of a later title."""
+    """Titles sorted by length, asked which of them are close to a later title."""
 
-    def __init__(self, threshold: float):
+    def __init__(self, titles: list[str], threshold: float):
         self.threshold = threshold
-        self.titles: list[str] = []
-        self.grams: list[Counter] = []
-        self.sizes = np.zeros(0, dtype=np.int64)
-        self.hist = np.zeros((0, _BUCKETS), dtype=np.int32)
-
-    def fill(self, titles: list[str]) -> TitleIndex:
-        self.titles = sorted(titles, key=len)
+        order = sorted(range(len(titles)), key=lambda i: len(titles[i]))
+        self.place = np.array(order, dtype=np.int64)
+        self.titles = [titles[i] for i in order]
         self.sizes = np.array([len(t) for t in self.titles], dtype=np.int64)
-        self.hist = _histograms(self.titles)
-        return self
+        self.counts = [_counts(self.titles, q) for q in (1, 2, 3)]
 
-    def add(self, title: str) -> None:
-        at = int(np.searchsorted(self.sizes, len(title)))
-        self.titles.insert(at, title)
-        self.sizes = np.insert(self.sizes, at, len(title))
-        self.hist = np.insert(self.hist, at, _histograms([title])[0], axis=0)
+    def profiles(self, titles: list[str]):
+        return zip(titles, *[_counts(titles, q) for q in (1, 2, 3)])
 
-    def covers(self, title: str, counts: np.ndarray) -> bool:
-        """True when some kept title has a ratio of at least the threshold to this one.
+    def close(self, title: str, *counts: np.ndarray, before: int | None = None) -> Iterator[int]:
+        """Places of the titles with a ratio of at least the threshold to this one.
 
-        matches <= shared characters <= shorter length bounds the ratio from above, so
-        only titles passing both bounds are aligned."""
+        matched characters <= shared characters, and the q-grams a match must share, bound
+        the ratio from above, so only titles passing every bound are aligned. A shade of
+        slack keeps rounding from hiding a pair."""
         n, t = len(title), self.threshold
-        # a shade of slack: rounding must never hide a pair
         low = int(np.searchsorted(self.sizes, n * t / (2 - t) - 1e-6))
         high = int(np.searchsorted(self.sizes, n * (2 - t) / t + 1e-6, side="right")) if t > 0 else len(self.titles)
-        if low >= high:
-            return False
-        total = self.sizes[low:high] + n
-        apart = np.abs(self.hist[low:high] - counts).sum(axis=1)
-        near = np.flatnonzero((total - apart) >= t * total - 1e-6)
-        for i in near[np.argsort(apart[near], kind="stable")]:
-            if SequenceMatcher(None, title, self.titles[low + i]).ratio() >= t:
-                return True
-        return False
-
-
-def _decide(threshold: float):
-    """Sequential pass over the pivots, in order; yields those kept."""
+        near = np.arange(low, high)
+        if before is not None:
+            near = near[self.place[near] < before]
+        for q in (1, 2, 3):
+            if not len(near):
+                return
+            total = self.sizes[near] + n
+            grams = total - 2 * (q - 1)
+            apart = np.abs(self.counts[q - 1][near] - counts[q - 1]).sum(axis=1)
+            near = near[grams - apart >= 2 * gram_bound(total, t, q) - 1e-6]
+        for i in near:
+            if SequenceMatcher(None, title, self.titles[i]).ratio() >= t:
+                yield int(self.place[i])
+
+
+def _close_pairs(threshold: float, titles):
+    """(later, earlier) places among the titles of a round."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        index = TitleIndex(threshold)
+        index = TitleIndex(titles.value, threshold)
         for frame in frames:
-            keep = []
-            for title, counts in zip(frame["norm"], _histograms(list(frame["norm"]))):
-                covered = index.covers(title, counts)
-                keep.append(not covered)
-                if not covered:
-                    index.add(title)
-            yield frame[keep]
+            pairs = [
+                (place, earlier)
+                for place, (title, *counts) in zip(frame["place"], index.profiles([titles.value[p] for p in frame["place"]]))
+                for earlier in index.close(title, *counts, before=place)
+            ]
+            yield pd.DataFrame(pairs, columns=["later", "earlier"], dtype="int64")
 
     return run
 
 
-def _uncovered(threshold: float, pivots):
-    """Titles no pivot covers."""
+def _uncovered(threshold: float, kept):
+    """Titles no kept title is close to."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        index = TitleIndex(threshold).fill(pivots.value)
+        index = TitleIndex(kept.value, threshold)
         for frame in frames:
-            titles = list(frame["norm"])
-            keep = [not index.covers(t, c) for t, c in zip(titles, _histograms(titles))]
-            yield frame[keep]
+            covered = [
+                next(index.close(title, *counts), None) is not None
+                for title, *counts in index.profiles(list(frame["norm"]))
+            ]
+            yield frame[~np.array(covered, dtype=bool)]
 
     return run
 
 
-def _grams(norm, q: int):
-    """q-grams numbered by repetition, so sharing is counted with multiplicity."""
-    starts = F.sequence(F.lit(1), F.length(norm) - (q - 1))
-    plain = F.when(F.length(norm) >= q, F.transform(starts, lambda i: F.substring(norm, i, F.lit(q)))).otherwise(
-        F.array().cast("array<string>"))
-    return F.transform(plain, lambda g, i: F.concat(
-        F.lit(f"{q}:"), g, F.lit("#"),
-        F.size(F.filter(F.slice(plain, F.lit(1), i), lambda h: h == g)).cast("string")))
-
-
-def gram_bound(total_length, threshold: float, q: int):
-    """Fewest q-grams two titles of this summed length share at the threshold."""
-    return total_length * ((2 * q - 1) * threshold / 2 - (q - 1)) - (q - 1)
-
-
-def candidate_pairs(titles: DataFrame, threshold: float, hot_gram: int = HOT_GRAM) -> DataFrame:
-    """(later, earlier, titles of both) for every pair that can reach the threshold.
-
-    The shorter title of a pair offers the rarest grams of its prefix, the longer one of
-    its own; a pair above the threshold shares at least one of them. A shorter title too
-    short for the bound offers its length instead."""
-    t = threshold
-    n = F.col("len")
-    longest = F.floor(n * (2 - t) / t + 1e-6)
-
-    def rank(q: int, chosen: DataFrame):
-        grams = chosen.select("tid", F.explode(_grams(F.col("norm"), q)).alias("g"))
-        counts = grams.groupBy("g").agg(F.count("*").alias("c"))
-        return (
-            grams.join(counts, "g").groupBy("tid")
-            .agg(F.sort_array(F.collect_list(F.struct("c", "g"))).alias("ranked"))
-            .join(chosen, "tid")
-        )
-
-    cols = ["tid", "norm", "len", "ord"]
-    short_limit = int(2 / (2 * (1.5 * t - 1))) + 1  # below it a bigram bound may be under one
-    reach = lambda size: int(size * (2 - t) / t) + 1  # noqa: E731 - longest partner of a length
-    small, large = [], []
-    # fewer characters than the bound needs: match on the partner's length
-    tiny = titles.where(n < short_limit)
-    small.append(tiny.select(*cols, F.explode(F.sequence(n.cast("bigint"), longest)).alias("_l"))
-                 .select(*cols, F.concat(F.lit("len:"), "_l").alias("key"), F.lit(1).cast("bigint").alias("c")))
-    large.append(titles.where(n <= reach(short_limit)).select(
-        *cols, F.concat(F.lit("len:"), n.cast("string")).alias("key"), F.lit(1).cast("bigint").alias("c")))
-    use_trigrams = t > 0.82
-    cut = TRIGRAM_CHARS if use_trigrams else 1 << 30
-    for q, low, high in ((2, short_limit, cut), (3, max(cut, short_limit), 1 << 30)):
-        if low >= high:
-            continue
-        ranked = rank(q, titles.where((n >= low) & (n <= (reach(high) if high < 1 << 30 else high))))
-        size = F.size("ranked")
-        as_small = size - F.ceil(gram_bound(2 * n, t, q) - 1e-6) + 1
-        as_large = size - F.ceil(gram_bound(n + n * t / (2 - t), t, q) - 1e-6) + 1
-        for out, rows, prefix in ((small, ranked.where(n < high), as_small), (large, ranked, as_large)):
-            prefix = F.least(F.greatest(prefix, F.lit(1)), size).cast("int")
-            out.append(rows.select(*cols, F.explode(F.slice("ranked", F.lit(1), prefix)).alias("_g"))
-                       .select(*cols, F.col("_g.g").alias("key"), F.col("_g.c").alias("c"))
-                       .where(F.col("c") > 1))
-
-    def union(parts):
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionAll(p)
-        return out
-
-    def side(df, prefix):
-        return df.select("key", "salt", *[F.col(c).alias(prefix + c) for c in cols])
-
-    # grams in very many titles: one side spread over salts, the other copied to each
-    hot = F.col("c") > hot_gram
-    spread = union(small).withColumn("salt", F.when(hot, F.pmod(F.xxhash64("tid"), F.lit(_SALTS)).cast("int")).otherwise(0))
-    copied = union(large).withColumn("salt", F.explode(
-        F.when(hot, F.sequence(F.lit(0), F.lit(_SALTS - 1))).otherwise(F.array(F.lit(0)))))
-    total = F.col("x_len") + F.col("y_len")
-    met = side(spread, "x_").join(side(copied, "y_"), ["key", "salt"]).where(
-        (F.col("x_len") <= F.col("y_len")) & (F.col("x_tid") != F.col("y_tid"))
-        & (2 * F.col("x_len") >= t * total - 1e-6))
-    x_later = F.col("y_ord") < F.col("x_ord")
-    return met.select(
-        F.when(x_later, F.col("x_tid")).otherwise(F.col("y_tid")).alias("later"),
-        F.when(x_later, F.col("y_tid")).otherwise(F.col("x_tid")).alias("earlier"),
-        F.when(x_later, F.col("x_norm")).otherwise(F.col("y_norm")).alias("later_norm"),
-        F.when(x_later, F.col("y_norm")).otherwise(F.col("x_norm")).alias("earlier_norm"),
-    ).dropDuplicates(["later", "earlier"])
-
-
 def first_come(edges: DataFrame) -> DataFrame:
-    """tids to drop: a node goes when an earlier kept node is its neighbour."""
+    """Nodes to drop, from edges (later, earlier): a node goes when an earlier kept node is
+    its neighbour. Each step keeps the nodes nobody undecided precedes."""
     edges = freeze(edges)
     dropped = edges.select("later").limit(0)
     while not edges.isEmpty():
-        # nobody undecided before it: kept
         kept = edges.select(F.col("earlier").alias("node")).distinct().join(
             edges.select(F.col("later").alias("node")), "node", "left_anti")
         gone = freeze(edges.join(kept.withColumnRenamed("node", "earlier"), "earlier", "left_semi").select("later").distinct())
@@ -221,47 +144,65 @@ def first_come(edges: DataFrame) -> DataFrame:
             .join(gone.withColumnRenamed("later", "earlier"), "earlier", "left_anti")
             .select("later", "earlier")
         )
-    return dropped.withColumnRenamed("later", "tid")
+    return dropped.withColumnRenamed("later", "node")
+
+
+def _dropped_places(pairs: DataFrame, count: int, small_round: int) -> set[int]:
+    if count > small_round:
+        return {r["node"] for r in first_come(pairs).collect()}
+    dropped: set[int] = set()
+    for later, earlier in sorted((r["later"], r["earlier"]) for r in pairs.collect()):
+        if earlier not in dropped:
+            dropped.add(later)
+    return dropped
+
+
+def _spread(df: DataFrame, count: int, key: str) -> DataFrame:
+    """Enough tasks for work that is heavy per row, however few bytes the rows take."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(max(1, min(count // TITLES_PER_TASK + 1, cores * 4)), key)
 
 
-def similar_titles(titles: DataFrame, threshold: float, pivots: int = PIVOTS,
-                   round_yield: float = ROUND_YIELD, hot_gram: int = HOT_GRAM) -> DataFrame:
+def similar_titles(titles: DataFrame, threshold: float, pivots: int = PIVOTS, max_pivots: int = MAX_PIVOTS,
+                   small_round: int = SMALL_ROUND) -> DataFrame:
     """tids to keep, from distinct non-empty (tid, norm, len, ord)."""
     spark = titles.sparkSession
     schema = titles.schema
     left = freeze(titles)
     count = left.count()
     kept = left.select("tid").limit(0)
+    take = pivots
     while count:
-        take = pivots
+        # the titles of a round are bounded in number and in characters
         while True:
-            head = left.orderBy("ord").limit(take)
-            chars = head.agg(F.sum("len")).first()[0]
-            if chars <= PIVOT_CHARS or take == 1:
+            head = freeze(left.orderBy("ord").limit(take))
+            if take == 1 or head.agg(F.sum("len")).first()[0] <= PIVOT_CHARS:
                 break
             take = max(1, take // 2)
-        # bounded by `pivots` rows and PIVOT_CHARS characters
-        chosen = freeze(head.coalesce(1).sortWithinPartitions("ord").mapInPandas(_decide(threshold), schema))
-        kept = kept.unionAll(chosen.select("tid"))
-        if count <= take:
+        rows = head.select("tid", "norm", "ord").orderBy("ord").collect()
+        taken = spark.sparkContext.broadcast([r["norm"] for r in rows])
+        pairs = _spread(spark.range(len(rows)).withColumnRenamed("id", "place"), len(rows), "place").mapInPandas(
+            _close_pairs(threshold, taken), "later bigint, earlier bigint")
+        dropped = _dropped_places(pairs, len(rows), small_round)
+        taken.unpersist()
+        standing = [r for i, r in enumerate(rows) if i not in dropped]
+        kept = kept.unionAll(spark.createDataFrame([(r["tid"],) for r in standing], "tid bigint"))
+        if count <= len(rows):
             break
-        last = head.agg(F.max("ord").alias("o")).first()["o"]
-        later = left.where(F.col("ord") > F.struct(*[F.lit(v).cast("bigint").alias(k) for k, v in last.asDict().items()]))
-        known = spark.sparkContext.broadcast([r["norm"] for r in chosen.select("norm").collect()])
-        rest = freeze(later.mapInPandas(_uncovered(threshold, known), schema))
+        last = F.struct(*[F.lit(v).cast("bigint").alias(k) for k, v in rows[-1]["ord"].asDict().items()])
+        known = spark.sparkContext.broadcast([r["norm"] for r in standing])
+        later = _spread(left.where(F.col("ord") > last), count, "tid")
+        left = freeze(later.mapInPandas(_uncovered(threshold, known), schema))
         known.unpersist()
-        before, count, left = count - take, rest.count(), rest
-        pays = before - count >= round_yield * before
-        if count > pivots and not pays and threshold >= GRAM_THRESHOLD:
-            pairs = candidate_pairs(left, threshold, hot_gram)
-            close = pairs.where(ratio_udf("later_norm", "earlier_norm") >= threshold).select("later", "earlier")
-            return kept.unionAll(left.select("tid").join(first_come(close), "tid", "left_anti"))
+        before, count = count - len(rows), left.count()
+        if before - count < ROUND_YIELD * before:
+            take = min(take * 2, max_pivots)
     return kept
 
 
 def dedupe_content(items: DataFrame, similarity_threshold: float = 0.85, story_dedupe: bool = False,
                    story_containment_threshold: float = 0.6, pivots: int = PIVOTS,
-                   round_yield: float = ROUND_YIELD) -> DataFrame:
+                   max_pivots: int = MAX_PIVOTS, small_round: int = SMALL_ROUND) -> DataFrame:
     """Drop items whose title nearly equals a kept newer one's, and with story_dedupe
     items retelling an earlier one of their source.
 
@@ -281,7 +222,7 @@ def dedupe_content(items: DataFrame, similarity_threshold: float = 0.85, story_d
         result = left
     else:
         kept = titles.select("tid") if similarity_threshold == 1.0 else similar_titles(
-            titles, similarity_threshold, pivots, round_yield)
+            titles, similarity_threshold, pivots, max_pivots, small_round)
         untitled = placed.where(F.col("_norm") == "").select(F.col("item_id").alias("tid"))
         result = left.join(kept.unionAll(untitled), left["item_id"] == F.col("tid"), "left_semi")
     return result.select(items.columns)
