@@ -21,8 +21,8 @@ def test_ordinals_are_dense_within_groups(spark):
     hot = sorted(i for g, i in got if g == "hot")
     assert [got["hot", i] for i in hot] == list(range(len(hot)))
     assert {n for (g, _), n in got.items() if g != "hot"} == {0}
-    everything = dense_ordinal(df.repartition(7), [F.desc("id")], "n").collect()
-    assert {r["n"]: r["id"] for r in everything} == {999 - i: i for i in range(1000)}
+    everything = dense_ordinal(df.repartition(7), ["id"], "n").collect()
+    assert {r["n"]: r["id"] for r in everything} == {i: i for i in range(1000)}
 
 
 @pytest.fixture
@@ -270,3 +270,11 @@ def test_history(spark):
     assert [r["id"] for r in page.collect()] == [7, 5] and total.first()["total"] == 5
     assert [r["id"] for r in history.keep_latest(rows, 3).collect()] == [10, 9, 8]
     assert [r["id"] for r in history.history_before(rows, 4, 2).collect()] == [3, 2]
+
+
+def test_topics_for_everyone_by_list_and_by_join(spark, sf):
+    from winnow.plans import views
+
+    users, topics = readers.normalise_users(views.users(spark, sf)), views.topics(spark, sf)
+    rows = lambda limit: {r["user_ord"]: r["topics"] for r in readers.topics_by_user(users, topics, limit).collect()}
+    assert rows(50_000) == rows(0)

@@ -19,7 +19,7 @@ SUMMARY_CHARS = 300
 def number_batches(items: DataFrame, batch_size: int = 8) -> DataFrame:
     """batch_id and pos: consecutive groups of batch_size in item order."""
     return (
-        dense_ordinal(items, ["item_ord"], "_n")
+        dense_ordinal(items, ["item_ord"], "_n", key=["item_id"])
         .withColumn("batch_id", F.floor(F.col("_n") / batch_size))
         .withColumn("pos", (F.col("_n") % batch_size).cast("int"))
         .drop("_n")
@@ -32,7 +32,7 @@ def number_topics(items: DataFrame, max_items: int = 2000) -> DataFrame:
     One call takes one topic; a topic above max_items becomes several calls, so that no
     prompt grows without end."""
     return (
-        dense_ordinal(items, ["item_ord"], "_n", ["source"])
+        dense_ordinal(items, ["item_ord"], "_n", ["source"], key=["item_id"])
         .withColumn("chunk", F.floor(F.col("_n") / max_items))
         .withColumn("item_idx", (F.col("_n") % max_items).cast("int"))
         .drop("_n")

@@ -78,7 +78,8 @@ def by_topic(items: DataFrame, labels: Labels, fn) -> DataFrame:
     # stories follow their topic's first item, clusters first
     first = items.groupBy("source").agg(F.min("item_ord").alias("_topic"))
     ordered = merged.join(first, "source")
-    return dense_ordinal(ordered.withColumnRenamed("item_ord", "_old"), ["_topic", "story_ord", "_old"], "item_ord").drop(
+    return dense_ordinal(
+        freeze(ordered.withColumnRenamed("item_ord", "_old")), ["_topic", "story_ord", "_old"], "item_ord", key=["item_id"]).drop(
         "_old", "_topic", "story_ord", "n_members")
 
 
