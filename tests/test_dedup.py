@@ -95,6 +95,12 @@ def test_story_rule_with_every_kind_of_key(spark, hot_word, hot_key):
     assert ids(story.drop_retold(spark.createDataFrame(rows, SCHEMA), 0.6, hot_word, hot_key)) == sequential(rows, 2.0, True)
 
 
+def test_earliest_titles_of_a_large_table(spark):
+    df = spark.range(3000).select(
+        F.col("id").alias("tid"), F.struct((F.col("id") * 7 % 3000).alias("age"), F.col("id").alias("item_ord")).alias("ord"))
+    assert [r["ord"]["age"] for r in similar._earliest(df, 3000, 20).orderBy("ord").collect()] == list(range(20))
+
+
 def test_a_third_of_all_rows_under_one_template(spark):
     """One hot source, one template: two own words each, so all but the newest go."""
     rows = [(i, i, f"alpha bravo charlie delta echo foxtrot left{i} right{i}", dt.datetime(2024, 1, 1), "hot") for i in range(300)]
@@ -162,3 +168,14 @@ def test_order_key_sorts_undated_last(spark):
     got = df.orderBy(story.newest_first(F.col("published"), F.col("item_ord"))).collect()
     assert [r["item_ord"] for r in got] == [3, 2, 1]
     assert similar.PIVOTS <= similar.SMALL_ROUND
+
+
+def test_common_subsequence():
+    rnd = random.Random(5)
+    for _ in range(200):
+        a, b = ("".join(rnd.choice("abcd") for _ in range(rnd.randint(1, 12))) for _ in range(2))
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
+        assert similar.common_subsequence(similar._positions(a), len(a), b) == best[-1][-1]

@@ -155,7 +155,9 @@ def test_a_run_and_the_next_one(spark, tmp_path):
     assert [(r["recipient"], r["no_new_updates"]) for r in box.collect()] == [("r@x.io", False)]
     used = state.read_table(spark, f"{path}/usage", schemas.USAGE).collect()
     assert [(r["input_tokens"], r["cost_usd"]) for r in used] == [(10, 0.000011)]
-    # replay of the batch changes nothing
+    stages = {r["stage"]: r["rows"] for r in spark.read.parquet(f"{path}/stages").collect()}
+    assert stages == {"fetched": 2, "new": 2, "scored": 2, "routed": 2, "unrouted": 0}
+    # the next run finds nothing new and sends the old digest again
     seen_before = state.SeenStore(f"{path}/seen").read(spark, AS_OF).count()
     again = whole.run(spark, cfg, items, "2024-01-31 06:00:00", answering("news"), "r2")
     assert again == {"success": True, "items": 0, "previous_delivered": 1} and seen_before == 2

@@ -107,7 +107,7 @@ def apply_feed_routing(digests: DataFrame, feeds: DataFrame) -> DataFrame:
     """Fill each digest's sources from the feeds that name it; explicit ones win."""
     if not uses_feed_routing(feeds):
         return digests
-    named = _declared(feeds).groupBy("declared_title").agg(F.array_sort(F.collect_set("feed")).alias("_declared"))
+    named = _declared(feeds).groupBy("declared_title").agg(F.sort_array(F.collect_set("feed")).alias("_declared"))
     explicit = F.size(F.coalesce("sources", F.expr(EMPTY))) > 0
     return (
         digests.withColumn("_explicit", explicit)
@@ -139,8 +139,8 @@ def routing_grid(feeds: DataFrame, digests: DataFrame, categories: list[str],
     if domains:
         asked = asked.withColumn("_domain_key", _either(F.col("col")))
     hits = asked.join(broadcast_if_small(keys), on, "left")
-    titles = F.array_sort(F.collect_set("digest_title")) if domains else F.transform(
-        F.array_sort(F.collect_list(F.when(F.col("digest_ord").isNotNull(), F.struct("digest_ord", "digest_title")))),
+    titles = F.sort_array(F.collect_set("digest_title")) if domains else F.transform(
+        F.sort_array(F.collect_list(F.when(F.col("digest_ord").isNotNull(), F.struct("digest_ord", "digest_title")))),
         lambda s: s["digest_title"],
     )
     return hits.groupBy("feed_id", "feed", "col").agg(titles.alias("digests"))
@@ -165,7 +165,7 @@ def reach(feeds: DataFrame, digests: DataFrame) -> DataFrame:
         .withColumn("_feed_key", _either(F.col("feed")))
         .join(broadcast_if_small(keys), "_feed_key", "left")
         .groupBy("feed_id", "feed")
-        .agg(F.transform(F.array_sort(F.collect_list(hit)), lambda s: s["digest_title"]).alias("digests"))
+        .agg(F.transform(F.sort_array(F.collect_list(hit)), lambda s: s["digest_title"]).alias("digests"))
     )
 
 

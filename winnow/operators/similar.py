@@ -9,7 +9,8 @@ which removes whatever they cover.
 No pair of titles is shuffled. A crowd of look-alike titles is gone after the round in
 which its first member is kept, and only then do the rounds grow, so that the close pairs
 inside one round stay few. Comparing means: length band by binary search, then bounds from
-character, bigram and trigram counts on whole arrays, and an alignment for what passes."""
+character, bigram and trigram counts on whole arrays, then the longest common
+subsequence, and an alignment for what passes all of them."""
 
 from __future__ import annotations
 
@@ -26,7 +27,7 @@ from .story import drop_retold, newest_first
 
 # Titles decided in the first round, and in any later one.
 PIVOTS = 2048
-MAX_PIVOTS = 65_536
+MAX_PIVOTS = 16_384
 # Characters of the titles of one round.
 PIVOT_CHARS = 32_000_000
 # Rounds grow once one removes less than this share of the later titles.
@@ -34,7 +35,7 @@ ROUND_YIELD = 0.05
 # Up to this many titles the close pairs of a round are settled on the driver.
 SMALL_ROUND = 4096
 # Titles one task compares, so that a small table still uses every core.
-TITLES_PER_TASK = 128
+TITLES_PER_TASK = 512
 # Counting buckets for single characters, bigrams and trigrams.
 _BUCKETS = (64, 256, 512)
 
@@ -60,6 +61,25 @@ def _counts(titles: list[str], q: int) -> np.ndarray:
     return out
 
 
+def _positions(title: str) -> dict[str, int]:
+    """Bit set of the places of each character."""
+    bits: dict[str, int] = {}
+    for i, ch in enumerate(title):
+        bits[ch] = bits.get(ch, 0) | 1 << i
+    return bits
+
+
+def common_subsequence(positions: dict[str, int], n: int, other: str) -> int:
+    """Length of the longest common subsequence, all places of one title at a time.
+
+    A clear bit of `open_` marks a place where the best length grows by one."""
+    full = open_ = (1 << n) - 1
+    for ch in other:
+        hit = open_ & positions.get(ch, 0)
+        open_ = ((open_ + hit) | (open_ - hit)) & full
+    return n - open_.bit_count()
+
+
 class TitleIndex:
     """Titles sorted by length, asked which of them are close to a later title."""
 
@@ -93,7 +113,12 @@ class TitleIndex:
             grams = total - 2 * (q - 1)
             apart = np.abs(self.counts[q - 1][near] - counts[q - 1]).sum(axis=1)
             near = near[grams - apart >= 2 * gram_bound(total, t, q) - 1e-6]
+        positions = _positions(title) if len(near) else {}
         for i in near:
+            # matched runs form a common subsequence: much cheaper than the alignment
+            most = common_subsequence(positions, n, self.titles[i])
+            if 2 * most < t * (n + len(self.titles[i])) - 1e-6:
+                continue
             if SequenceMatcher(None, title, self.titles[i]).ratio() >= t:
                 yield int(self.place[i])
 
@@ -163,6 +188,15 @@ def _spread(df: DataFrame, count: int, key: str) -> DataFrame:
     return df.repartition(max(1, min(count // TITLES_PER_TASK + 1, cores * 4)), key)
 
 
+def _earliest(left: DataFrame, count: int, take: int) -> DataFrame:
+    """The `take` first titles. On a large table an approximate age limit thins the rows
+    before the exact pick; too tight a limit only makes the round smaller."""
+    if count > 50 * take:
+        limit = left.agg(F.percentile_approx("ord.age", 2.0 * take / count, 10_000)).first()[0]
+        left = left.where(F.col("ord.age") <= limit)
+    return left.orderBy("ord").limit(take)
+
+
 def similar_titles(titles: DataFrame, threshold: float, pivots: int = PIVOTS, max_pivots: int = MAX_PIVOTS,
                    small_round: int = SMALL_ROUND) -> DataFrame:
     """tids to keep, from distinct non-empty (tid, norm, len, ord)."""
@@ -175,7 +209,7 @@ def similar_titles(titles: DataFrame, threshold: float, pivots: int = PIVOTS, ma
     while count:
         # the titles of a round are bounded in number and in characters
         while True:
-            head = freeze(left.orderBy("ord").limit(take))
+            head = freeze(_earliest(left, count, take))
             if take == 1 or head.agg(F.sum("len")).first()[0] <= PIVOT_CHARS:
                 break
             take = max(1, take // 2)

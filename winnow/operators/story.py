@@ -30,7 +30,7 @@ def newest_first(published: Column, item_ord: Column) -> Column:
 
 def word_sets(items: DataFrame) -> DataFrame:
     """items with `_set` (its words as one sorted text) and `_n`, where a match is possible."""
-    words = F.array_sort(significant_tokens(F.col("title"), F.col("source")))
+    words = F.sort_array(significant_tokens(F.col("title"), F.col("source")))
     return (
         items.where(F.coalesce("source", F.lit("")) != "")
         .withColumn("_words", words)
@@ -77,7 +77,7 @@ def earliest_match(sets: DataFrame, threshold: float, hot_word: int = HOT_WORD,
     In a matching pair the smaller set x shares at least need(x) = max(3, threshold * |x|)
     words, so the rarest |x| - need(x) + 1 words of x and the rarest |y| - 2 of the other
     meet (prefix filter), each prefix one longer for a pair of words."""
-    ranked = _ordered_by_rarity(sets)
+    ranked = freeze(_ordered_by_rarity(sets))
     n = F.col("n")
     need = F.greatest(F.lit(MIN_SHARED), F.ceil(F.lit(threshold) * n - F.lit(1e-9)).cast("int"))
     small = ranked.select("sid", "source", "words", "n", "first",
@@ -140,15 +140,16 @@ def earliest_match(sets: DataFrame, threshold: float, hot_word: int = HOT_WORD,
 
 def drop_retold(items: DataFrame, threshold: float = 0.6, hot_word: int = HOT_WORD, hot_key: int = HOT_KEY) -> DataFrame:
     """Items no earlier item of their source tells."""
-    placed = word_sets(items).withColumn("_first", newest_first(F.col("published"), F.col("item_ord")))
+    order = newest_first(F.col("published"), F.col("item_ord"))
+    # the words are taken out of the titles once; what is kept of a row is narrow
+    placed = freeze(word_sets(items).select("item_id", "source", "_set", "_words", "_n", order.alias("_first")))
     sets = placed.groupBy("source", "_set").agg(
         F.min("_first").alias("first"), F.min_by("item_id", "_first").alias("sid"),
         F.first("_words").alias("words"), F.first("_n").alias("n"))
-    sets = freeze(sets)
     match = earliest_match(sets.drop("_set"), threshold, hot_word, hot_key)
-    found = sets.select("source", "_set", "sid").join(match, "sid").drop("sid")
+    found = freeze(sets.select("source", "_set", "sid").join(match, "sid").drop("sid"))
     gone = (
-        placed.select("item_id", "source", "_set", "_first").join(found, ["source", "_set"])
+        placed.select("item_id", "source", "_set", "_first").join(broadcast_if_small(found), ["source", "_set"])
         .where(F.col("first_match") < F.col("_first")).select("item_id")
     )
     return items.join(gone, "item_id", "left_anti").select(items.columns)

@@ -67,7 +67,7 @@ def _totals():
         F.count("*").alias("calls"),
         F.round(F.sum(F.coalesce("cost_usd", F.lit(0.0))), 4).alias("cost_usd"),
         F.bool_or(F.col("cost_usd").isNull()).alias("cost_is_partial"),
-        F.array_sort(F.collect_set(F.concat_ws("/", "provider", "model"))).alias("models"),
+        F.sort_array(F.collect_set(F.concat_ws("/", "provider", "model"))).alias("models"),
     ]
 
 

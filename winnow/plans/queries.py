@@ -192,7 +192,7 @@ def norm_titles(spark, sf):
 
 def title_tokens(spark, sf):
     words = T.significant_tokens(F.col("description"), F.col("source"))
-    return V.items(spark, sf).select("item_id", F.array_join(F.array_sort(words), " ").alias("tokens"))
+    return V.items(spark, sf).select("item_id", F.array_join(F.sort_array(words), " ").alias("tokens"))
 
 
 def safe_text(spark, sf):

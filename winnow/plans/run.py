@@ -94,6 +94,8 @@ def _run(spark, cfg: Settings, items, as_of, fn, batch_id) -> dict:
         for more in cfg.labels.calls[1:]:
             calls = calls.unionByName(more)
         state.append_usage(usage.usage_rows(calls, cfg.prices, as_of), f"{path}/usage", batch_id)
+    stages = stage_counts(fetched=fetched, new=new, scored=scored, routed=routed, unrouted=dropped)
+    state.write_batch(stages, f"{path}/stages", batch_id)
     # last: what was delivered or deliberately excluded
     store.mark(seen.settled(new, scored, routed), as_of, batch_id)
     return {"items": routed.count()}
@@ -159,6 +161,10 @@ def readers_of(users: DataFrame) -> DataFrame:
     return normalise_users(users)
 
 
-def observe_stage(df: DataFrame, name: str) -> DataFrame:
-    """Count the rows passing a stage, read from the query's metrics."""
-    return df.observe(name, F.count(F.lit(1)).alias("rows"))
+def stage_counts(**frames: DataFrame) -> DataFrame:
+    """(stage, rows) of a run, so that a stage that swallows rows shows."""
+    counts = [df.agg(F.count("*").alias("rows")).select(F.lit(name).alias("stage"), "rows") for name, df in frames.items()]
+    out = counts[0]
+    for more in counts[1:]:
+        out = out.unionAll(more)
+    return out

@@ -14,7 +14,7 @@ def daily_usage_stream(calls: DataFrame, watermark: str = "1 day") -> DataFrame:
             F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"),
             F.count("*").alias("calls"), F.sum(F.coalesce("cost_usd", F.lit(0.0))).alias("_cost"),
             F.bool_or(F.col("cost_usd").isNull()).alias("cost_is_partial"),
-            F.array_sort(F.collect_set(F.concat_ws("/", "provider", "model"))).alias("models"),
+            F.sort_array(F.collect_set(F.concat_ws("/", "provider", "model"))).alias("models"),
         )
         .select(
             F.to_date("w.start").alias("day"), "input_tokens", "output_tokens",
