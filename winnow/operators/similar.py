@@ -25,8 +25,9 @@ from ..functions.text import normalize_title
 from ..session import freeze
 from .story import drop_retold, newest_first
 
-# Titles decided in the first round, and in any later one.
-PIVOTS = 2048
+# Titles decided in the first round, and in any later one. The first is small: if look-alikes
+# crowd the table, their close pairs inside it stay few, and it removes the crowd.
+PIVOTS = 512
 MAX_PIVOTS = 16_384
 # Characters of the titles of one round.
 PIVOT_CHARS = 32_000_000
@@ -176,7 +177,7 @@ def _dropped_places(pairs: DataFrame, count: int, small_round: int) -> set[int]:
     if count > small_round:
         return {r["node"] for r in first_come(pairs).collect()}
     dropped: set[int] = set()
-    for later, earlier in sorted((r["later"], r["earlier"]) for r in pairs.collect()):
+    for later, earlier in pairs.toPandas().sort_values(["later", "earlier"]).itertuples(index=False):
         if earlier not in dropped:
             dropped.add(later)
     return dropped
@@ -205,7 +206,7 @@ def similar_titles(titles: DataFrame, threshold: float, pivots: int = PIVOTS, ma
     left = freeze(titles)
     count = left.count()
     kept = left.select("tid").limit(0)
-    take = pivots
+    take, rounds = pivots, 0
     while count:
         # the titles of a round are bounded in number and in characters
         while True:
@@ -221,6 +222,9 @@ def similar_titles(titles: DataFrame, threshold: float, pivots: int = PIVOTS, ma
         taken.unpersist()
         standing = [r for i, r in enumerate(rows) if i not in dropped]
         kept = kept.unionAll(spark.createDataFrame([(r["tid"],) for r in standing], "tid bigint"))
+        rounds += 1
+        if rounds % 8 == 0:
+            kept = freeze(kept)  # one table instead of a plan that grows with the rounds
         if count <= len(rows):
             break
         last = F.struct(*[F.lit(v).cast("bigint").alias(k) for k, v in rows[-1]["ord"].asDict().items()])

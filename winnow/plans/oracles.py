@@ -29,6 +29,7 @@ def _stamp(c):
     return f"strftime({c}, '%Y-%m-%d %H:%M:%S')"
 
 
+# The words left out, as in the library.
 _STOP = ("a an the of for with and or to in on at by from via as is are was were be been its it this that these "
          "those new after over into out up down about amid than").split()
 STOP = "[" + ",".join(f"'{w}'" for w in _STOP) + "]"
