@@ -8,85 +8,89 @@ from __future__ import annotations
 import numpy as np
 
 # Ids per block, and entries of the order-1 and order-2 tables of a block.
-BLOCK = 2048
-TABLE_BITS = 10
-# Steps after which the order-0 frequencies are taken anew.
-REFRESH = 128
-ONE = np.uint64(1)
-TOTAL = 16  # bits of a frequency total
-FULL = 1 << TOTAL
-BOTTOM = np.uint64(1 << 32)
-S16, S32, S48 = np.uint64(16), np.uint64(32), np.uint64(48)
-LOW32 = np.uint64((1 << 32) - 1)
+BLOCK = 1024
+TABLE_BITS = 9
+# Steps after which the order-0 frequencies are taken anew, and what one id adds to them.
+REFRESH, GAIN = 128, 24
+# Bits of the three parts of a frequency: which prediction holds, the range of 1024 ids, the id in it.
+WHICH, RANGE, WITHIN = 16, 12, 10
+FULL = 1 << WHICH
+RANGES = 64
+TOTAL = np.uint64(WHICH + RANGE + WITHIN)
+LITERAL = RANGE + WITHIN
+# A span is at least BOTTOM before a step; words of 16 bits go out below it.
+BOTTOM = np.uint64(1 << 48)
+S16, S48 = np.uint64(16), np.uint64(48)
 NONE = 1 << 16  # no id
 RATE = 5
 
 
 class Model:
-    """Predictions of order 2, 1 and 0 for every lane, learned as ids pass by."""
+    """Predictions of order 2, 1 and 0 for every lane, learned as ids pass by.
+
+    The entry of an order-2 or order-1 context is its last id times 4 plus a confidence: 0
+    for none yet, then 1 to 3. The chance that the order-2 id comes is mixed from two learned
+    estimates, by its confidence and by what order 1 says, with a weight learned per block; the order-1
+    id has its own. All other ids share what is left by their range's frequency."""
 
     def __init__(self, lanes: int):
         self.lanes = lanes
         self.row = np.arange(lanes, dtype=np.int64) << TABLE_BITS
-        # an entry: predicted id times 4 plus how often it held, up to 3
         self.t1 = np.full(lanes << TABLE_BITS, NONE << 2, np.int32)
         self.t2 = np.full(lanes << TABLE_BITS, NONE << 2, np.int32)
-        self.row4 = np.arange(lanes, dtype=np.int64) * 8
-        # chance, of FULL, that a prediction holds: by its confidence and whether the orders agree
-        self.by_confidence = np.full(lanes * 8, FULL // 4, np.int32)
-        self.by_agreement = np.full(lanes * 8, FULL // 4, np.int32)
-        self.order1 = np.full(lanes * 8, FULL // 8, np.int32)
+        self.row8 = np.arange(lanes, dtype=np.int64) << 3
+        self.by_confidence = np.full(lanes << 3, FULL // 4, np.int32)
+        self.by_agreement = np.full(lanes << 3, FULL // 4, np.int32)
+        self.order1 = np.full(lanes << 3, FULL // 8, np.int32)
         self.weight = np.full(lanes, 128, np.int32)
-        self.counts = np.ones((lanes, 256), np.int32)
-        self.row256 = np.arange(lanes, dtype=np.int64) * 257
-        self.row_count = np.arange(lanes, dtype=np.int64) * 256
-        self.last = np.zeros(lanes, np.int64)
-        self.before = np.zeros(lanes, np.int64)
+        self.counts = np.ones(lanes * RANGES, np.int32)
+        self.row_count = np.arange(lanes, dtype=np.int64) * RANGES
+        self.row_cum = np.arange(lanes, dtype=np.int64) * (RANGES + 1)
+        self.hash1 = np.zeros(lanes, np.int64)
+        self.hash2 = np.zeros(lanes, np.int64)
         self.steps = 0
         self._refresh()
 
     def _refresh(self) -> None:
-        total = np.cumsum(self.counts, axis=1, dtype=np.int64)
-        scaled = total * (FULL - 256) // total[:, -1:]
-        self.cum = np.zeros((self.lanes, 257), np.int64)
-        self.cum[:, 1:] = scaled + np.arange(1, 257)
-        self.flat = self.cum.reshape(-1)
+        total = np.cumsum(self.counts.reshape(-1, RANGES), axis=1, dtype=np.int64)
+        cum = np.zeros((self.lanes, RANGES + 1), np.int64)
+        cum[:, 1:] = total * ((1 << RANGE) - RANGES) // total[:, -1:] + np.arange(1, RANGES + 1)
+        self.cum = cum.reshape(-1)
 
     def predict(self) -> None:
-        """Ids p2 and p1, and the frequencies f2 and f1 of the events that one of them comes."""
-        shift = 32 - TABLE_BITS
-        h1 = ((self.last * 0x9E3779B1) & 0xFFFFFFFF) >> shift
-        h2 = ((self.last * 0x85EBCA6B + self.before * 0xC2B2AE35) & 0xFFFFFFFF) >> shift
-        self.i1, self.i2 = self.row + h1, self.row + h2
-        self.e1, self.e2 = self.t1[self.i1], self.t2[self.i2]
+        """Ids p2 and p1; `upto2` and `upto1`: the ends of their shares of FULL."""
+        self.i1, self.i2 = self.row + self.hash1, self.row + self.hash2
+        self.e1, self.e2 = self.t1.take(self.i1), self.t2.take(self.i2)
         self.p1, self.p2 = self.e1 >> 2, self.e2 >> 2
-        agree = self.p1 == self.p2
-        self.c2 = self.row4 + (self.e2 & 3)
-        self.a2 = self.row4 + ((self.e1 & 3) + 4 * agree)
-        self.c1 = self.row4 + (self.e1 & 3)
-        self.x, self.y = self.by_confidence[self.c2], self.by_agreement[self.a2]
-        mixed = (self.weight * (self.x >> 8) + (256 - self.weight) * (self.y >> 8))
-        self.has2 = self.p2 != NONE
-        self.has1 = (self.p1 != NONE) & ~agree
-        self.f2 = np.where(self.has2, mixed.clip(64, FULL - 1024), 0).astype(np.int64)
-        self.f1 = np.where(self.has1, ((FULL - self.f2) * self.order1[self.c1] >> TOTAL).clip(16), 0)
-
-    def learn(self, ids: np.ndarray, hit2: np.ndarray, hit1: np.ndarray, literal: np.ndarray) -> None:
-        x, y = self.x, self.y
-        goal = np.where(hit2, FULL - 1, 0)
-        self.by_confidence[self.c2] = np.where(self.has2, x + ((goal - x) >> RATE), x)
-        self.by_agreement[self.a2] = np.where(self.has2, y + ((goal - y) >> RATE), y)
+        self.s1, self.s2 = self.e1 & 3, self.e2 & 3
+        differ = self.p1 != self.p2
+        self.c2 = self.row8 + self.s2
+        self.c1 = self.row8 + self.s1
+        self.a2 = self.c1 + 4 * differ
+        self.x, self.y, self.z = self.by_confidence.take(self.c2), self.by_agreement.take(self.a2), self.order1.take(self.c1)
+        f2 = (self.weight * (self.x >> 8) + (256 - self.weight) * (self.y >> 8)).clip(64, FULL - 4096)
+        f2 *= self.s2 > 0
+        f1 = (((FULL - f2) >> 4) * (self.z >> 4) >> 8).clip(16, FULL)
+        f1 = np.minimum(f1 * (differ & (self.s1 > 0)), FULL - 2048 - f2)
+        self.upto2 = f2.astype(np.int64)
+        self.upto1 = self.upto2 + f1
+
+    def learn(self, ids: np.ndarray, hit2: np.ndarray, hit1: np.ndarray) -> None:
+        small = ids.astype(np.int32)
+        x, y, z = self.x, self.y, self.z
+        goal = hit2 * np.int32(FULL - 1)
+        self.by_confidence[self.c2] = x + ((goal - x) >> RATE)
+        self.by_agreement[self.a2] = y + ((goal - y) >> RATE)
+        self.order1[self.c1] = z + ((hit1 * np.int32(FULL - 1) - z) >> RATE)
         # the weight moves to the estimate that gave the event more
-        nearer = np.where(hit2, x > y, x < y)
-        self.weight = np.where(self.has2, (self.weight + np.where(nearer, 2, -2)).clip(16, 240), self.weight)
-        z = self.order1[self.c1]
-        self.order1[self.c1] = np.where(self.has1 & ~hit2, z + ((np.where(hit1, FULL - 1, 0) - z) >> RATE), z)
-        for table, at, entry, predicted in ((self.t2, self.i2, self.e2, self.p2), (self.t1, self.i1, self.e1, self.p1)):
-            sure = entry & 3
-            held = predicted == ids
-            table[at] = np.where(held, entry + (sure < 3), np.where(sure > 1, entry - 2, (ids << 2))).astype(np.int32)
-        self.counts.reshape(-1)[self.row_count + (ids >> 8)] += 24 * literal
-        self.before, self.last = self.last, ids
+        self.weight = (self.weight + (((x > y) == hit2) * np.int32(4) - 2)).clip(16, 240)
+        fresh = (small << 2) | 1
+        for table, at, entry, predicted, sure in ((self.t2, self.i2, self.e2, self.p2, self.s2), (self.t1, self.i1, self.e1, self.p1, self.s1)):
+            kept = entry + (sure < 3)
+            table[at] = np.where(predicted == small, kept, np.where(sure > 1, entry - 1, fresh))
+        self.counts[self.row_count + (ids >> WITHIN)] += GAIN
+        self.hash2 = ((ids * 0x85EBCA6B + self.hash1 * 0xC2B2AE35) & 0xFFFFFFFF) >> (32 - TABLE_BITS)
+        self.hash1 = ((ids * 0x9E3779B1) & 0xFFFFFFFF) >> (32 - TABLE_BITS)
         self.steps += 1
         if self.steps % REFRESH == 0:
             self._refresh()
@@ -94,51 +98,59 @@ class Model:
 
 def encode(blocks: np.ndarray) -> list[bytes]:
     """Code rows of ids below 65536, a row per block; returns the bytes of each."""
+    blocks = blocks.astype(np.uint16, copy=False)
     lanes, length = blocks.shape
     model = Model(lanes)
     low = np.zeros(lanes, np.uint64)
-    span = np.full(lanes, 1 << 48, np.uint64)
-    out = np.zeros((lanes, length * 3 + 3), np.uint16)
+    span = np.full(lanes, (1 << 64) - 1, np.uint64)
+    out = np.zeros((lanes, length * 3 + 4), np.uint16)
     at = np.zeros(lanes, np.int64)
-    lane = np.arange(lanes)
-
-    def emit(which):
-        carry = which[(low[which] >> S48) > 0]
-        if len(carry):
-            back = at[carry] - 1
-            while len(carry):
-                full = out[carry, back] == 0xFFFF
-                out[carry, back] += 1  # wraps to 0 where full
-                carry, back = carry[full], back[full] - 1
-        out[which, at[which]] = ((low[which] >> S32) & np.uint64(0xFFFF)).astype(np.uint16)
-        at[which] += 1
-        low[which] = (low[which] & LOW32) << S16
-
-    def put(start, freq):
-        nonlocal low, span
-        r = span >> S16
-        low += r * start.astype(np.uint64)
-        span = r * freq.astype(np.uint64)
-        which = np.flatnonzero(span < BOTTOM)
-        if len(which):
-            emit(which)
-            span[which] <<= S16
 
-    columns = np.ascontiguousarray(blocks.T).astype(np.int64)
-    for ids in columns:
+    def carry_over(lane):
+        back = at[lane] - 1
+        while len(lane):
+            full = out[lane, back] == 0xFFFF
+            out[lane, back] += 1  # wraps to 0 where full
+            lane, back = lane[full], back[full] - 1
+
+    for ids in np.ascontiguousarray(blocks.T):
+        ids = ids.astype(np.int64)
         model.predict()
-        hit2 = (ids == model.p2) & model.has2
-        hit1 = (ids == model.p1) & model.has1 & ~hit2
-        literal = ~(hit2 | hit1)
-        f2, f1 = model.f2, model.f1
-        put(np.where(hit2, 0, np.where(hit1, f2, f2 + f1)), np.where(hit2, f2, np.where(hit1, f1, FULL - f2 - f1)))
-        high = model.row256 + (ids >> 8)
-        a = model.flat[high]
-        put(np.where(literal, a, 0), np.where(literal, model.flat[high + 1] - a, FULL))
-        put(np.where(literal, (ids & 255) << 8, 0), np.where(literal, 256, FULL))
-        model.learn(ids, hit2, hit1, literal)
-    for _ in range(3):
-        emit(lane)
+        upto2, upto1 = model.upto2, model.upto1
+        hit2 = (ids == model.p2) & (upto2 > 0)
+        hit1 = (ids == model.p1) & (upto1 > upto2)
+        at_range = model.row_cum + (ids >> WITHIN)
+        begin = model.cum.take(at_range)
+        freq = model.cum.take(at_range + 1) - begin
+        left = FULL - upto1
+        start = (upto1 << LITERAL) + left * ((begin << WITHIN) + (ids & ((1 << WITHIN) - 1)) * freq)
+        freq *= left
+        known = np.flatnonzero(hit2 | hit1)
+        if len(known):
+            two, lo, hi = hit2[known], upto2[known], upto1[known]
+            start[known] = np.where(two, 0, lo) << LITERAL
+            freq[known] = np.where(two, lo, hi - lo) << LITERAL
+        model.learn(ids, hit2, hit1)
+        r = span >> TOTAL
+        new = low + r * start.view(np.uint64)
+        over = np.flatnonzero(new < low)
+        if len(over):
+            carry_over(over)
+        low = new
+        span = r * freq.view(np.uint64)
+        for _ in range(2):
+            which = np.flatnonzero(span < BOTTOM)
+            if not len(which):
+                break
+            mine = low[which]
+            out[which, at[which]] = mine >> S48
+            at[which] += 1
+            low[which] = mine << S16
+            span[which] <<= S16
+    for _ in range(4):
+        out[np.arange(lanes), at] = low >> S48
+        at += 1
+        low <<= S16
     return [out[i, :n].astype("<u2").tobytes() for i, n in enumerate(at.tolist())]
 
 
@@ -147,45 +159,52 @@ def decode(payloads: list[bytes], length: int) -> np.ndarray:
     lanes = len(payloads)
     model = Model(lanes)
     sizes = np.array([len(p) // 2 for p in payloads])
-    # words that a step may read beyond the end are zero
-    words = np.concatenate([*(np.frombuffer(p, "<u2") for p in payloads), np.zeros(4, "<u2")]).astype(np.uint64)
+    words = np.concatenate([*(np.frombuffer(p, "<u2") for p in payloads), np.zeros(8, "<u2")]).astype(np.uint64)
     at = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    code = (words[at] << S32) | (words[at + 1] << S16) | words[at + 2]
-    at += 3
-    span = np.full(lanes, 1 << 48, np.uint64)
-    last_word = len(words) - 1
-    out = np.empty((length, lanes), np.int64)
-
-    def take(r, start, freq):
-        nonlocal code, span
-        code = code - r * start.astype(np.uint64)
-        span = r * freq.astype(np.uint64)
-        which = np.flatnonzero(span < BOTTOM)
-        if len(which):
-            code[which] = (code[which] << S16) | words[np.minimum(at[which], last_word)]
-            at[which] += 1
-            span[which] <<= S16
-
+    code = np.zeros(lanes, np.uint64)
+    for i in range(4):
+        code = (code << S16) | words[at + i]
+    at += 4
+    span = np.full(lanes, (1 << 64) - 1, np.uint64)
+    last_word = len(words) - 1  # damaged blocks may ask for more
+    out = np.empty((length, lanes), np.uint16)
     for step in range(length):
         model.predict()
-        f2, f1 = model.f2, model.f1
-        r = span >> S16
-        hit2 = code < r * f2.astype(np.uint64)
-        hit1 = ~hit2 & (code < r * (f2 + f1).astype(np.uint64))
-        literal = ~(hit2 | hit1)
-        take(r, np.where(hit2, 0, np.where(hit1, f2, f2 + f1)), np.where(hit2, f2, np.where(hit1, f1, FULL - f2 - f1)))
-        r = span >> S16
-        value = np.minimum((code // r).astype(np.int64), FULL - 1)
-        low = model.row256.copy()
-        for half in (128, 64, 32, 16, 8, 4, 2, 1):
-            low += half * (model.flat[low + half] <= value)
-        a = model.flat[low]
-        take(r, np.where(literal, a, 0), np.where(literal, model.flat[low + 1] - a, FULL))
-        high = low - model.row256
-        r = span >> S16
-        value = np.minimum((code // r).astype(np.int64), FULL - 1) >> 8
-        take(r, np.where(literal, value << 8, 0), np.where(literal, 256, FULL))
-        ids = np.where(hit2, model.p2, np.where(hit1, model.p1, (high << 8) | value)).astype(np.int64)
+        upto2, upto1 = model.upto2, model.upto1
+        r = span >> TOTAL
+        value = np.minimum((code // r).view(np.int64), (1 << int(TOTAL)) - 1)
+        which = value >> LITERAL
+        hit2 = which < upto2
+        hit1 = (which < upto1) & ~hit2
+        left = FULL - upto1
+        # exact: all numbers are below 2 to the 53
+        inner = ((value - (upto1 << LITERAL)) / left).astype(np.int64)
+        place = inner >> WITHIN
+        at_range = model.row_cum.copy()
+        for half in (32, 16, 8, 4, 2, 1):
+            at_range += half * (model.cum.take(at_range + half) <= place)
+        begin = model.cum.take(at_range)
+        freq = model.cum.take(at_range + 1) - begin
+        within = ((inner - (begin << WITHIN)) / freq).astype(np.int64)
+        ids = ((at_range - model.row_cum) << WITHIN) + within
+        start = (upto1 << LITERAL) + left * ((begin << WITHIN) + within * freq)
+        freq *= left
+        known = np.flatnonzero(hit2 | hit1)
+        if len(known):
+            two, lo, hi = hit2[known], upto2[known], upto1[known]
+            start[known] = np.where(two, 0, lo) << LITERAL
+            freq[known] = np.where(two, lo, hi - lo) << LITERAL
+            ids[known] = np.where(two, model.p2[known], model.p1[known])
+        ids &= 0xFFFF
         out[step] = ids
-        model.learn(ids, hit2, hit1, literal)
-    return out.T
+        model.learn(ids, hit2, hit1)
+        code -= r * start.view(np.uint64)
+        span = r * freq.view(np.uint64)
+        for _ in range(2):
+            low = np.flatnonzero(span < BOTTOM)
+            if not len(low):
+                break
+            code[low] = (code[low] << S16) | words[np.minimum(at[low], last_word)]
+            at[low] += 1
+            span[low] <<= S16
+    return np.ascontiguousarray(out.T)

@@ -16,15 +16,15 @@ from . import rangecoder
 from .common import arrow_map, byte_texts, narrow
 
 # Ids after which a file is closed.
-FILE_IDS = 4_000_000
+FILE_IDS = 8_000_000
 END_ID = 2
 CACHE, CACHE_BYTES = 200_000, 16_000_000
 MAGIC = b"WIDS0001"
 # magic, part, number in the part, documents, ids, blocks, ids per block, checksum of the index
 HEAD = "<8sIIIQIII"
 HEAD_BYTES = struct.calcsize(HEAD)
-# ids, bytes, crc32 of the ids as little-endian 32 bit
-BLOCK_HEAD = "<III"
+# ids, bytes, crc32 of the ids as little-endian 32 bit, crc32 of the bytes
+BLOCK_HEAD = "<IIII"
 BLOCK_HEAD_BYTES = struct.calcsize(BLOCK_HEAD)
 # What the text sink puts after a file; readers go by the lengths.
 LINE_END = "\n"
@@ -67,7 +67,7 @@ def pack(part: int, number: int, docs: list[int | None], counts: list[int], ids:
     """One file: header, index of documents, blocks."""
     block = max(1, min(block, len(ids)))
     n = -(-len(ids) // block)
-    lanes = np.zeros(n * block, np.int64)
+    lanes = np.zeros(n * block, np.uint16)
     lanes[:len(ids)] = ids
     lanes = lanes.reshape(n, block)
     index = b"".join([
@@ -76,7 +76,7 @@ def pack(part: int, number: int, docs: list[int | None], counts: list[int], ids:
     out = [struct.pack(HEAD, MAGIC, part, number, len(docs), len(ids), n, block, zlib.crc32(index)), index]
     for i, payload in enumerate(rangecoder.encode(lanes)):
         own = ids[i * block:(i + 1) * block]
-        out += [struct.pack(BLOCK_HEAD, len(own), len(payload), zlib.crc32(own.astype("<u4").tobytes())), payload]
+        out += [struct.pack(BLOCK_HEAD, len(own), len(payload), zlib.crc32(own.astype("<u4").tobytes()), zlib.crc32(payload)), payload]
     return b"".join(out)
 
 
@@ -94,9 +94,11 @@ def unpack(content: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     counts = np.frombuffer(index, "<u4", n_docs, 9 * n_docs)
     payloads, sums = [], []
     for _ in range(n):
-        size, length, crc = struct.unpack_from(BLOCK_HEAD, content, at)
+        size, length, crc, raw_crc = struct.unpack_from(BLOCK_HEAD, content, at)
         at += BLOCK_HEAD_BYTES
         payloads.append(content[at:at + length])
+        if zlib.crc32(payloads[-1]) != raw_crc:
+            raise ValueError("block of a token id file is damaged")
         sums.append((size, crc))
         at += length
     lanes = rangecoder.decode(payloads, block)
@@ -114,7 +116,7 @@ def _files(path, end_id, file_ids):
         docs, counts, held, size = [], [], [], 0
 
         def close():
-            ids = np.frombuffer(b"".join(held), "<u2").astype(np.int64)
+            ids = np.frombuffer(b"".join(held), "<u2")
             return pa.RecordBatch.from_pydict({"file": [pack(part, number, docs, counts, ids)]})
 
         for b in batches:
