@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 from fractions import Fraction
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -120,11 +121,26 @@ def test_jaccard_odd_rows(docs):
     assert jaccard.near_copies(docs.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("leaf,pivots,depth", [(jaccard.LEAF_SHINGLES, 32, 4), (150, 3, 3), (150, 2, 0)])
-def test_jaccard_any_region_size(frame, leaf, pivots, depth):
+@pytest.mark.parametrize("leaf,screen,pivots,depth", [(jaccard.LEAF_SHINGLES, 8192, 32, 4), (150, 4, 3, 3), (150, 8192, 2, 0)])
+def test_jaccard_any_region_size(frame, leaf, screen, pivots, depth):
     rows = families(5)
     df = frame([(d, t, "s") for d, t in rows], 4)
-    assert near(df, leaf_shingles=leaf, n_pivots=pivots, depth=depth) == by_text(plain_near_copies(rows))
+    assert near(df, leaf_shingles=leaf, screen_docs=screen, n_pivots=pivots, depth=depth) == by_text(plain_near_copies(rows))
+
+
+def test_signatures_never_miss_a_link():
+    rng = random.Random(12)
+    sets, texts = [], [t for _, t in families(12, 60)]
+    known = jaccard.WordHashes()
+    sets = [jaccard.shingles(t.encode(), known) for t in texts]
+    sizes = np.array([len(s) for s in sets])
+    labels = np.array([rng.randrange(40) for _ in sets])
+    any_, with_first = jaccard.may_link([jaccard.signature(s) for s in sets], sizes, labels, 75, 3)
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets):
+            if labels[i] != labels[j] and jaccard.linked(len(np.intersect1d(a, b)), len(a), len(b), 75):
+                assert any_[i] and any_[j] and (i != 3 or with_first[j])
+    assert not any_.all()
 
 
 def test_jaccard_frequent_shingles(frame, monkeypatch):

@@ -20,6 +20,8 @@ COUNT_CHUNK, COUNT_LEAST = 2_000_000, 8
 FREQUENT = 200_000
 # Shingles, over all its documents, of a region that one task joins.
 LEAF_SHINGLES = 3_000_000
+# Documents of a region whose signatures one task compares; a larger region is not screened.
+SCREEN_DOCS = 8192
 # Pivots a larger region is cut by, and documents compared with pivots in one run of rows.
 PIVOTS, RUN_ROWS = 32, 4096
 # Stands for a null id: not smaller than any.
@@ -36,6 +38,44 @@ def shingles(text: bytes, known: WordHashes, size: int = SHINGLE) -> np.ndarray:
     return np.unique(gram_hashes(known.of(words), min(size, len(words))))
 
 
+def signature(own: np.ndarray) -> bytes:
+    """Parity of the shingles in each of 2n or more buckets, a power of two. The bits in which two
+    signatures differ are at most the shingles in which the sets differ; a longer one folds onto a
+    shorter by exclusive or."""
+    bits = min(1 << 17, max(64, 1 << int(2 * len(own) - 1).bit_length())) if len(own) else 64
+    parity = np.bincount((own & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(parity.astype(np.uint8)).tobytes()
+
+
+def may_link(signatures: list[bytes], sizes: np.ndarray, labels: np.ndarray, threshold: int, first: int | None = None):
+    """Which documents may link with one of another label, and which with document `first`, as far
+    as sizes and signatures tell. Never misses a link."""
+    n = len(sizes)
+    any_, with_first = np.zeros(n, bool), np.zeros(n, bool)
+    width = np.array([len(x) for x in signatures])
+    for w in np.unique(width).tolist():
+        # linked sizes differ by less than two times: a signature of twice the width at most
+        at = np.flatnonzero((width == w) | (width == 2 * w))
+        own = width[at] == w
+        folded = np.empty((len(at), w // 8), np.uint64)
+        for row, i in enumerate(at.tolist()):
+            raw = np.frombuffer(signatures[i], np.uint64)
+            folded[row] = raw if own[row] else raw[:w // 8] ^ raw[w // 8:]
+        both = sizes[at].astype(np.int64)
+        for row in np.flatnonzero(own).tolist():
+            total = both + both[row]
+            near = (100 + threshold) * (total - np.bitwise_count(folded ^ folded[row]).sum(1, dtype=np.int64)) >= 2 * threshold * total
+            near &= labels[at] != labels[at[row]]
+            near[row] = False
+            if near.any():
+                any_[at[near]] = any_[at[row]] = True
+                if at[row] == first:
+                    with_first[at[near]] = True
+                elif first is not None and near[at == first].any():
+                    with_first[at[row]] = True
+    return any_, with_first
+
+
 def linked(inter, a, b, threshold: int):
     return 100 * inter >= threshold * (a + b - inter)
 
@@ -64,13 +104,13 @@ def _frequent(size):
 
 
 def _prefixes(size, threshold, hot, hot_n):
-    """Per document its set's size and, for the first of equal sets in a task, the prefix."""
+    """Per document its set's size and, for the first of equal sets in a task, prefix and signature."""
 
     def run(batches):
         known, seen, made = WordHashes(), {}, 0
         part = TaskContext.get().partitionId() << 33
         for b in batches:
-            rep, sizes, cold, crowded = [], [], [], []
+            rep, sizes, cold, crowded, marks = [], [], [], [], []
             for text in byte_texts(b.column("text")):
                 own = shingles(text, known, size)
                 n = len(own)
@@ -80,6 +120,7 @@ def _prefixes(size, threshold, hot, hot_n):
                     sizes.append(n)
                     cold.append(None)
                     crowded.append(None)
+                    marks.append(None)
                     continue
                 uid = part + made
                 made += 1
@@ -98,10 +139,11 @@ def _prefixes(size, threshold, hot, hot_n):
                 sizes.append(n)
                 cold.append(first[~many])
                 crowded.append(first[many])
+                marks.append(signature(own))
             yield pa.RecordBatch.from_arrays([
                 b.column("doc_id"), b.column("hash"), pa.array(rep, pa.int64()), pa.array(sizes, pa.int32()),
-                pa.array(cold, pa.list_(pa.int64())), pa.array(crowded, pa.list_(pa.int64()))],
-                names=["doc_id", "hash", "uid", "n", "cold", "crowded"])
+                pa.array(cold, pa.list_(pa.int64())), pa.array(crowded, pa.list_(pa.int64())), pa.array(marks, pa.binary())],
+                names=["doc_id", "hash", "uid", "n", "cold", "crowded", "signature"])
 
     return run
 
@@ -144,6 +186,48 @@ def _stars(threshold):
     return run
 
 
+def _screened(threshold):
+    """Rows sorted by region -> those that may link with another label in their region."""
+
+    def survivors(rows):
+        pivot = next((i for i, r in enumerate(rows) if r[0] == r[4]), None)
+        any_, with_pivot = may_link([r[3] for r in rows], np.array([r[2] for r in rows]), np.array([r[1] for r in rows]), threshold, pivot)
+        return [(rows[i][0], rows[i][1], rows[i][2], bool(with_pivot[i]) or i == pivot) for i in np.flatnonzero(any_).tolist()]
+
+    def run(batches):
+        key, rows = None, []
+        for b in batches:
+            out = []
+            for region, *row in zip(*[b.column(k).to_pylist() for k in ("region", "uid", "label", "n", "signature", "pivot")]):
+                if region != key:
+                    out += [(key, *r) for r in survivors(rows)] if rows else []
+                    key, rows = region, []
+                rows.append(row)
+            if out:
+                yield found(out)
+        if rows and (out := [(key, *r) for r in survivors(rows)]):
+            yield found(out)
+
+    def found(out):
+        kinds = (pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.bool_())
+        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), kinds)], names=["region", "uid", "label", "n", "with_pivot"])
+
+    return run
+
+
+def _screen(members: DataFrame, marks: DataFrame, threshold: int, screen_docs: int) -> DataFrame:
+    """(region, uid, label, pivot) to (region, uid, label, n, with_pivot): members that may link, by size
+    and signature, with a member of another label; `with_pivot`: also with the pivot. Regions too
+    large for one task pass whole."""
+    sizes = members.groupBy("region").agg(F.count("*").alias("size"))
+    rows = members.join(sizes, "region").join(marks, "uid")
+    small = rows.where(F.col("size") <= screen_docs).select("region", "uid", "label", "n", "signature", "pivot")
+    small = arrow_map(small.repartition("region").sortWithinPartitions("region"), _screened(threshold),
+                      "region string, uid long, label long, n int, with_pivot boolean")
+    large = rows.where(F.col("size") > screen_docs).select("region", "uid", "label", "n", F.lit(True).alias("with_pivot"))
+    return small.unionByName(large)
+
+
 def _distances(size, threshold, window):
     """Rows sorted by (region, run, pivots first) -> the region's documents against its pivots.
 
@@ -261,21 +345,23 @@ def _compare(members: DataFrame, pivots: DataFrame, texts: DataFrame, size: int,
 
 
 def _open(members: DataFrame, labels: DataFrame, window: float) -> DataFrame:
-    """Members (region, uid, d, n) of regions that may still hold a link between components.
+    """Members (region, uid, d or null) of regions that may still hold a link between components.
 
-    A link joins documents of two labels whose distances to the pivot differ by a window at most. In each
-    region the label of the pivot is settled among itself; documents nearer to the pivot than the
-    nearest of another label less the window can have no link that matters."""
+    A link joins documents of two labels whose distances to the pivot differ by a window at most.
+    In each region the label nearest to the pivot is settled among itself; documents nearer to the pivot
+    than the nearest of another label less the window can have no link that matters. A distance that was
+    not taken is more than a window."""
     named = members.join(labels.withColumnRenamed("node", "uid"), "uid", "left").withColumn("label", F.coalesce("label", "uid"))
     about = named.groupBy("region").agg(F.count("*").alias("size"), F.min("label").alias("lo"), F.max("label").alias("hi"),
-                                       F.min_by("label", "d").alias("main"))
-    named = named.join(about.where("size > 2 and lo != hi").select("region", "main"), "region")
-    near = named.where("label != main").groupBy("region").agg(F.min("d").alias("fringe"))
-    return named.join(near, "region").where(F.col("d") >= F.col("fringe") - window - 1e-9).select("region", "uid", "label", "n")
+                                       F.coalesce(F.min_by("label", "d"), F.min("label")).alias("main"))
+    named = named.join(about.where("size > 1 and lo != hi").select("region", "main"), "region")
+    near = named.where("label != main").groupBy("region").agg(F.min(F.coalesce("d", F.lit(window))).alias("fringe"))
+    return named.join(near, "region").where(F.col("d").isNull() | (F.col("d") >= F.col("fringe") - window - 1e-9)).select(
+        "region", "uid", "label", F.lit(None).cast("long").alias("pivot"))
 
 
 def near_copies(docs: DataFrame, threshold: int = THRESHOLD, size: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text",
-                leaf_shingles: int = LEAF_SHINGLES, n_pivots: int = PIVOTS, depth: int = DEPTH) -> DataFrame:
+                leaf_shingles: int = LEAF_SHINGLES, screen_docs: int = SCREEN_DOCS, n_pivots: int = PIVOTS, depth: int = DEPTH) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links, itself included), text_hash
     (xxhash64 of the text, null as empty).
 
@@ -285,7 +371,9 @@ def near_copies(docs: DataFrame, threshold: int = THRESHOLD, size: int = SHINGLE
     1. Nearly all documents are at distance 1 from each other, where pivots tell nothing. So the
        space is first cut into cells: ordered by frequency, linked sets share one of their first
        n - ceil(t n) + 1 shingles. Each cell's first document is its pivot; all cells of a pivot form its region.
-    2. Exact distances to the pivot link documents within the window; linked ones are a component.
+    2. Sizes and parity signatures, whose difference is never more than the sets' own, rule out most
+       pairs of a region. Exact distances to the pivot link documents within the window; linked ones are
+       a component.
     3. Regions in which two components could still link, by the triangle inequality, are joined
        exactly in one task if small. Larger ones get pivots of their own, every document goes to
        the nearest one's Voronoi region and, within two windows, to the neighbouring ones, and these go
@@ -303,25 +391,30 @@ def near_copies(docs: DataFrame, threshold: int = THRESHOLD, size: int = SHINGLE
     hot, hot_n = listed.column("s").to_numpy().view(np.uint64), listed.column("n").to_numpy()
     order = np.argsort(hot)
     table = written(arrow_map(rows, _prefixes(size, threshold, hot[order], hot_n[order]),
-                              "doc_id long, hash long, uid long, n int, cold array<long>, crowded array<long>"), "prefixes")
+                              "doc_id long, hash long, uid long, n int, cold array<long>, crowded array<long>, signature binary"), "prefixes")
 
     cold = table.where("size(cold) > 0").select(F.explode("cold").alias("s"), "uid", "n").repartition("s").sortWithinPartitions("s", "uid")
     pairs = arrow_map(cold, _stars(threshold), "pivot long, uid long")
     crowd = table.where("size(crowded) > 0").select(F.explode("crowded").alias("s"), "uid")
     heads = crowd.groupBy("s").agg(F.min("uid").alias("pivot"))
     pairs = written(pairs.unionByName(crowd.join(heads, "s").where("uid != pivot").select("pivot", "uid")).distinct(), "stars")
-    pivots = pairs.select("pivot").distinct().select(F.col("pivot").cast("string").alias("region"), F.col("pivot").alias("uid"))
-    members = pairs.select(F.col("pivot").cast("string").alias("region"), "uid").unionByName(pivots)
+    pivots = pairs.select("pivot").distinct().select(F.col("pivot").cast("string").alias("region"), F.col("pivot").alias("uid"), "pivot")
+    members = pairs.select(F.col("pivot").cast("string").alias("region"), "uid", "pivot").unionByName(pivots)
+    marks = table.where("signature is not null").select("uid", "n", "signature")
+    members = written(_screen(members.withColumn("label", F.col("uid")), marks, threshold, screen_docs), "members")
 
     # the first of equal sets in each task stands for them
     uids = table.where("cold is not null").select("uid", F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), "hash").join(
         members.select("uid").distinct(), "uid")
     texts = written(rows.select("doc", "hash", "text").join(uids, ["doc", "hash"]).dropDuplicates(["doc", "hash", "uid"]).select("uid", "text"), "texts")
 
-    near = written(_compare(members, pivots, texts, size, threshold), "near")
+    star = members.where("with_pivot").select("region", "uid")
+    centres = star.where("region = cast(uid as string)")
+    near = written(_compare(star, centres, texts, size, threshold), "near")
     links = near.where("link").select(F.col("pivot").alias("u"), F.col("uid").alias("v"))
     labels = components(links)
-    regions = written(_open(near.select("region", "uid", "d", "n"), labels, window), "regions")
+    measured = members.select("region", "uid").join(near.select("region", "uid", "d").dropDuplicates(["region", "uid"]), ["region", "uid"], "left")
+    regions = written(_screen(_open(measured, labels, window), marks, threshold, screen_docs).drop("with_pivot"), "regions")
     for level in range(depth + 1):
         sized = regions.groupBy("region").agg(F.sum("n").alias("all_n"), F.count("*").alias("count"))
         regions = regions.join(sized, "region")
@@ -343,8 +436,8 @@ def near_copies(docs: DataFrame, threshold: int = THRESHOLD, size: int = SHINGLE
         labels = components(links)
         if not more or level == depth:
             break
-        cells = near.select(F.concat_ws("/", "region", "pivot").alias("region"), "uid", "d", "n")
-        regions = written(_open(cells, labels, window), "regions")
+        cells = near.select(F.concat_ws("/", "region", "pivot").alias("region"), "uid", "d")
+        regions = written(_screen(_open(cells, labels, window), marks, threshold, screen_docs).drop("with_pivot"), "regions")
 
     rows = table.select("doc_id", "hash", F.col("n").alias("n_shingles"), "uid")
     joined = rows.join(labels, rows["uid"] == labels["node"], "left").select("doc_id", "hash", "n_shingles", F.coalesce("label", "uid").alias("label"))
