@@ -93,8 +93,9 @@ def _segments(window, gram):
                         pa.array([a for a, _ in found], pa.int64()), pa.array([c for _, c in found], pa.binary()),
                         pa.array([hashlib.md5(c).digest() for _, c in found], pa.binary()),
                         pa.array(np.full(n, doc), pa.int64()), pa.array(np.full(n, key), pa.int64()),
-                        pa.array(list(found.values()), pa.list_(pa.int32()))],
-                        names=["anchor", "content", "digest", "doc", "key", "starts"])
+                        pa.array(list(found.values()), pa.list_(pa.int32())),
+                        pa.array([c.count(b" ") + 2 - window for _, c in found], pa.int32())],
+                        names=["anchor", "content", "digest", "doc", "key", "starts", "windows"])
 
     return run
 
@@ -165,40 +166,35 @@ def _resolve(window):
     """Distinct segments sorted by anchor and document: one automaton per anchor."""
 
     def settle(group):
+        if len(group) == 1:
+            return
         docs, contents, digests = zip(*group)
         words = [c.split() for c in contents]
-        if len(group) == 1:
-            return [[docs[0]] * (len(words[0]) - window + 1)], digests
         automaton = Automaton()
         for doc, own in zip(docs, words):
             automaton.add(own, doc)
-        return [automaton.firsts(own, window) for own in words], digests
-
-    def rows(anchors, firsts, digests):
-        return pa.RecordBatch.from_arrays([pa.array(anchors, pa.int64()), pa.array(digests, pa.binary()), pa.array(firsts, pa.list_(pa.int64()))], names=["anchor", "digest", "firsts"])
+        for doc, own, digest in zip(docs, words, digests):
+            earlier = [k for k, first in enumerate(automaton.firsts(own, window)) if first < doc]
+            if earlier:
+                yield digest, earlier
 
     def run(batches):
-        anchor, group, out = None, [], ([], [], [])
-
-        def close():
-            firsts, digests = settle(group)
-            out[0].extend([anchor] * len(group))
-            out[1].extend(firsts)
-            out[2].extend(digests)
-
+        anchor, group = None, []
         for b in batches:
+            out = []
             for a, d, c, g in zip(*[b.column(n).to_pylist() for n in ("anchor", "doc", "content", "digest")]):
                 if a != anchor:
-                    if group:
-                        close()
+                    out += [(anchor, *r) for r in settle(group)] if group else []
                     anchor, group = a, []
                 group.append((d, c, g))
-            if out[0]:
-                yield rows(*out)
-                out = ([], [], [])
-        if group:
-            close()
-            yield rows(*out)
+            if out:
+                yield rows(out)
+        if group and (out := [(anchor, *r) for r in settle(group)]):
+            yield rows(out)
+
+    def rows(out):
+        kinds = (pa.int64(), pa.binary(), pa.list_(pa.int32()))
+        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), kinds)], names=["anchor", "digest", "earlier"])
 
     return run
 
@@ -225,9 +221,9 @@ def crowded_anchors(segments_: DataFrame, shard_segments: int) -> DataFrame:
         F.col("n") > shard_segments).select("anchor"), "crowded")
 
 
-def first_documents(segments_: DataFrame, window: int, shard_segments: int) -> DataFrame:
-    """(anchor, digest, content, doc) to (anchor, digest, firsts): per window of a distinct
-    segment the smallest document that holds it.
+def earlier_windows(segments_: DataFrame, window: int, shard_segments: int) -> DataFrame:
+    """(anchor, digest, content, doc) to (anchor, digest, earlier): of the smallest document with a
+    segment, the windows that a still smaller document holds; segments without any are left out.
 
     Each anchor's segments are a shard of the reference; its automaton is built where its
     segments meet. An anchor with more than `shard_segments` distinct segments goes by window:
@@ -238,14 +234,13 @@ def first_documents(segments_: DataFrame, window: int, shard_segments: int) -> D
     hint = F.broadcast if n <= BROADCAST_ANCHORS else lambda df: df
     shards = distinct.join(hint(crowded), "anchor", "left_anti") if n else distinct
     shards = shards.select("anchor", "doc", "content", "digest").repartition("anchor").sortWithinPartitions("anchor", "doc")
-    by_automaton = arrow_map(shards, _resolve(window), "anchor long, digest binary, firsts array<long>")
+    by_automaton = arrow_map(shards, _resolve(window), "anchor long, digest binary, earlier array<int>")
     if not n:
         return by_automaton
     crowd = distinct.join(hint(crowded), "anchor").select("anchor", "doc", "content", "digest")
     each = arrow_map(crowd, _windows(window), "anchor long, digest binary, at int, doc long, one long, two long")
-    least = each.groupBy("one", "two").agg(F.min("doc").alias("first"))
-    by_window = each.join(least, ["one", "two"]).groupBy("anchor", "digest").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("at", "first"))), lambda s: s["first"]).alias("firsts"))
+    least = each.groupBy("one", "two").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").drop("last")
+    by_window = each.join(least, ["one", "two"]).where("first < doc").groupBy("anchor", "digest").agg(F.collect_list("at").alias("earlier"))
     return by_automaton.unionByName(by_window)
 
 
@@ -293,11 +288,14 @@ def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shard_segment
     shared = anchors.groupBy("anchor").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("anchor")
     per_doc = anchors.join(shared, "anchor").groupBy("doc", "key").agg(F.collect_set("anchor").alias("anchors"))
     found = written(arrow_map(rows.join(per_doc, ["doc", "key"]).dropDuplicates(["doc", "key"]).select("doc", "key", "anchors", "text"), _segments(window, gram),
-                              "anchor long, content binary, digest binary, doc long, key long, starts array<int>"), "segments")
-    firsts = first_documents(found, window, shard_segments)
-    gone = found.select("anchor", "digest", "doc", "key", "starts").join(firsts, ["anchor", "digest"]).withColumn(
-        "at", F.expr("transform(filter(sequence(0, size(firsts) - 1), k -> firsts[k] < doc), k -> k)")).where("size(at) > 0")
+                              "anchor long, content binary, digest binary, doc long, key long, starts array<int>, windows int"), "segments")
+    earlier = written(earlier_windows(found, window, shard_segments), "earlier")
+    least = found.groupBy("anchor", "digest").agg(F.min("doc").alias("least"))
+    places = found.select("anchor", "digest", "doc", "key", "starts", "windows").join(least, ["anchor", "digest"]).join(earlier, ["anchor", "digest"], "left")
+    # a larger document loses all of a segment, the smallest what a still smaller one holds
+    at = F.when(F.col("doc") > F.col("least"), F.sequence(F.lit(0), F.col("windows") - 1)).otherwise(F.col("earlier"))
+    gone = places.withColumn("at", at).where("size(at) > 0")
     gone = gone.select("doc", "key", F.flatten(F.transform("starts", lambda s: F.transform("at", lambda k: s + k))).alias("at"))
-    gone = gone.groupBy("doc", "key").agg(F.flatten(F.collect_list("at")).alias("gone"))
+    gone = written(gone.groupBy("doc", "key").agg(F.flatten(F.collect_list("at")).alias("gone")), "gone")
     back = rows.join(gone, ["doc", "key"], "left").select("doc_id", "text", "gone")
     return arrow_map(back, _keep(window), "doc_id long, n_words long, n_removed long, kept_text string, kept_sha256 string")
