@@ -18,7 +18,8 @@ from .common import arrow_map, byte_texts, narrow
 # Ids after which a file is closed.
 FILE_IDS = 8_000_000
 END_ID = 2
-CACHE, CACHE_BYTES = 200_000, 16_000_000
+# Distinct words, and their bytes, a worker remembers before it starts anew.
+CACHE, CACHE_BYTES = 600_000, 16_000_000
 MAGIC = b"WIDS0001"
 # magic, part, number in the part, documents, ids, blocks, ids per block, checksum of the index
 HEAD = "<8sIIIQIII"
@@ -58,11 +59,17 @@ class WordIds(dict):
                 self.clear()
                 self.size = 0
                 new = list(set(words))
-            for w, e in zip(new, self.tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False)):
+            for w, e in zip(new, self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)):
                 self[w] = np.array(e.ids, "<u2").tobytes()
         return list(map(self.__getitem__, words))
 
 
+@lru_cache(maxsize=1)
+def word_ids(path: str) -> WordIds:
+    """Kept by a worker from task to task."""
+    return WordIds(path)
+
+
 def pack(part: int, number: int, docs: list[int | None], counts: list[int], ids: np.ndarray, block: int = rangecoder.BLOCK) -> bytes:
     """One file: header, index of documents, blocks."""
     block = max(1, min(block, len(ids)))
@@ -110,7 +117,7 @@ def unpack(content: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
 
 def _files(path, end_id, file_ids):
     def run(batches):
-        words = WordIds(path)
+        words = word_ids(path)
         part, number = TaskContext.get().partitionId(), 0
         end = np.array([end_id], "<u2").tobytes()
         docs, counts, held, size = [], [], [], 0
