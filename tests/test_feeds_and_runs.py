@@ -236,3 +236,34 @@ def test_checkpoint_folder_of_the_cluster_is_used(spark):
 
     ensure_checkpoint_dir(spark)
     assert freeze(spark.range(3)).count() == 3 and spark.sparkContext.getCheckpointDir()
+
+
+def test_a_batch_delivered_again_keeps_its_rows(spark, tmp_path):
+    store, out = state.SeenStore(str(tmp_path / "seen")), str(tmp_path / "out")
+    items = run_items(spark, ["A", "B"]).withColumn("link", F.concat(F.lit("https://x/"), "title")).coalesce(1)
+    items.write.parquet(str(tmp_path / "in"))
+    for again in range(2):  # a new progress folder delivers batch 0 once more
+        live = spark.readStream.schema(items.schema).parquet(str(tmp_path / "in"))
+        seen_stream.new_items_stream(live, store, out, AS_OF, str(tmp_path / f"cp{again}")).awaitTermination()
+        assert sorted(r["title"] for r in spark.read.parquet(out).collect()) == ["A", "B"]
+    assert store.read(spark, AS_OF).count() == 2 and store.read(spark, AS_OF, except_batch="s0").count() == 0
+
+
+def test_late_days_are_counted(spark, tmp_path):
+    from winnow.streaming import usage as usage_stream
+
+    kinds = "at timestamp, provider string, model string, input_tokens long, output_tokens long, cost_usd double"
+    for n, day in enumerate([20, 5, 6]):
+        spark.createDataFrame([(dt.datetime(2024, 1, day, 3), "p", "m", 10, 1, 0.5)], kinds).coalesce(1).write.parquet(str(tmp_path / f"in/{n}"))
+        calls = spark.readStream.schema(kinds).parquet(str(tmp_path / "in/*"))
+        usage_stream.keep_days(usage_stream.daily_usage_stream(calls), str(tmp_path / "days"), str(tmp_path / "cp")).awaitTermination()
+    rows = usage_stream.read_days(spark, str(tmp_path / "days")).collect()
+    assert sorted((r["day"].day, r["calls"], r["total_tokens"]) for r in rows) == [(5, 1, 11), (6, 1, 11), (20, 1, 11)]
+
+
+def test_documents_beyond_16_bits_keep_their_own_ids(spark):
+    body = "<rss><channel><item><title>t</title><link>https://x/1</link></item></channel></rss>"
+    docs = spark.createDataFrame([("a", 65536, body), ("b", 0, body)], "feed_id string, doc_ord int, body string")
+    feeds_ = spark.createDataFrame([("a", 0, "A", "ua", False, None), ("b", 1, "B", "ub", False, None)],
+                                   "feed_id string, feed_ord int, name string, url string, is_search boolean, topic_context string")
+    assert landed.feed_items(docs, feeds_).select("item_id").distinct().count() == 2

@@ -191,7 +191,7 @@ FAIR = ("fair AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY feed_
 
 LANDED = rf"""places AS (SELECT *, item_id // 500 AS doc_ord, row_number() OVER (PARTITION BY feed_id, item_id // 500 ORDER BY item_id) - 1 AS place,
   source || '.example.com' AS host FROM items),
-landed AS (SELECT feed_ord::BIGINT * 1099511627776 + doc_ord * 16777216 + place AS item_id, feed_id, feed_ord, doc_ord * 16777216 + place AS entry_ord, source,
+landed AS (SELECT feed_ord::BIGINT * 4398046511104 + doc_ord * 1048576 + place AS item_id, feed_id, feed_ord, doc_ord * 1048576 + place AS entry_ord, source,
   CASE WHEN lang <> 'fr' AND item_id % 10 = 0 THEN 'The Outlet' WHEN lang = 'es' THEN host ELSE source END AS publisher,
   CASE WHEN lang <> 'es' THEN title WHEN item_id % 10 = 0 THEN {_strip("title || ' - ' || upper(source) || '.example.com'")} ELSE title END AS title, link,
   substr(CASE WHEN lang = 'es' THEN trim(regexp_replace(description, '{WS}+', ' ', 'g')) ELSE description END, 1, 1000) AS description, published FROM places)"""

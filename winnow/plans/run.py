@@ -59,7 +59,7 @@ def run(spark: SparkSession, cfg: Settings, items: DataFrame, as_of, fn, batch_i
     try:
         result = _run(spark, cfg, items, as_of, fn, batch_id)
     except Exception as e:
-        state.log_run(spark, log, batch_id, "failure", as_of=as_of, error=str(e)[:2000])
+        state.log_run(spark, log, batch_id, "failure", as_of=as_of, error=str(e))
         return {"success": False, "error": str(e)}
     state.log_run(spark, log, batch_id, "success", result["items"], as_of, bool(result.get("previous_delivered")))
     return {"success": True, **result}
@@ -72,7 +72,7 @@ def _run(spark, cfg: Settings, items, as_of, fn, batch_id) -> dict:
         return {"items": 0}
     if cfg.content_dedupe:
         fetched = similar.dedupe_content(fetched, cfg.similarity, cfg.story_dedupe, cfg.story_containment)
-    new = freeze(seen.filter_new(fetched, store.read(spark, as_of, cfg.retention_days), as_of, cfg.retention_days))
+    new = freeze(seen.filter_new(fetched, store.read(spark, as_of, cfg.retention_days, batch_id), as_of, cfg.retention_days))
     digests = routing.only_digests(routing.apply_feed_routing(cfg.digests, cfg.feeds), cfg.digest_slugs)
 
     if new.isEmpty():

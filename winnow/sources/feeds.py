@@ -92,7 +92,8 @@ def bad_documents(docs: DataFrame) -> DataFrame:
 def feed_items(docs: DataFrame, feeds: DataFrame, max_description_chars: int = MAX_DESCRIPTION) -> DataFrame:
     """Items of the documents, cleaned the way their kind of feed needs.
 
-    item_ord packs feed, document and entry, so it needs no numbering pass."""
+    item_ord packs feed (21 bits), document (22) and entry (20, more than a document of the size
+    limit can hold), so it needs no numbering pass; what doesn't fit fails the run."""
     spec = feeds.select(
         "feed_id", "feed_ord", F.coalesce("name", "url").alias("source"), "topic_context",
         F.coalesce("is_search", F.lit(False)).alias("is_search"))
@@ -110,13 +111,13 @@ def feed_items(docs: DataFrame, feeds: DataFrame, max_description_chars: int = M
         # only search feeds carry markup to flatten; others skip the Python decoder
         .withColumn("_plain", T.strip_html(F.when(searched, text)))
     )
-    ordinal = (
-        F.shiftleft(F.col("feed_ord").cast("bigint"), 40) + F.shiftleft(F.col("doc_ord").cast("bigint"), 24)
-        + F.col("place").cast("bigint")
-    )
+    entry = F.shiftleft(F.col("doc_ord").cast("bigint"), 20) + F.col("place").cast("bigint")
+    fits = (F.col("feed_ord") < 1 << 21) & (F.col("doc_ord") < 1 << 22) & (F.col("place") < 1 << 20)
+    ordinal = F.when(fits, F.shiftleft(F.col("feed_ord").cast("bigint"), 42) + entry).otherwise(
+        F.raise_error(F.lit("feed, document or entry number too large for item_ord")).cast("bigint"))
     return rows.select(
         ordinal.alias("item_id"), "feed_id", "feed_ord",
-        (F.shiftleft(F.col("doc_ord").cast("bigint"), 24) + F.col("place")).alias("entry_ord"),
+        entry.alias("entry_ord"),
         ordinal.alias("item_ord"), "source", "publisher",
         F.when(searched, T.strip_title_suffix(F.col("_title"), F.col("publisher"))).otherwise(F.col("_title")).alias("title"),
         "link",

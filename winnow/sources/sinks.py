@@ -25,8 +25,9 @@ def write_outbox(outbox: DataFrame, path: str, batch_id) -> None:
     write_batch(outbox, path, batch_id)
 
 
-def show_digests(rendered: DataFrame, n: int = 20) -> None:
-    rendered.orderBy("digest_ord", "page").select("markdown").show(n, truncate=False)
+def show_digests(rendered: DataFrame) -> None:
+    """Every page, in order."""
+    rendered.orderBy("digest_ord", "page").select("markdown").show(rendered.count(), truncate=False)
 
 
 def deliver(rendered: DataFrame, output: str, path: str | None = None) -> None:

@@ -49,11 +49,14 @@ class SeenStore:
     def _marks(self, gen: int) -> str:
         return f"{self.path}/marks/gen={gen}"
 
-    def read(self, spark: SparkSession, as_of, retention_days: int = 14) -> DataFrame:
-        """Unexpired marks."""
+    def read(self, spark: SparkSession, as_of, retention_days: int = 14, except_batch=None) -> DataFrame:
+        """Unexpired marks; without those of `except_batch`, so that a batch delivered again is
+        not judged by its own marks. Compacting merges all batches' marks."""
         cutoff = seen_cutoff(as_of, retention_days)
         marks = read_table(spark, self._marks(self._generation(spark)), schemas.SEEN + ", seen_date date")
         live = marks.where((F.col("seen_date") >= F.to_date(cutoff)) & (F.col("seen_at") > cutoff))
+        if except_batch is not None:
+            live = live.where(F.col("batch_id") != str(except_batch))
         return live.select("link", "seen_at")
 
     def mark(self, items: DataFrame, as_of, batch_id) -> None:

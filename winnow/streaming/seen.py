@@ -15,11 +15,12 @@ def new_items_stream(items: DataFrame, store: SeenStore, out: str, as_of, checkp
     """Append each batch's new items to `out`, then mark them.
 
     Age is tested before the state, since a watermark would not keep undated items. The
-    marks come last: a batch that fails before them is judged again in full."""
+    marks come last: a batch that comes again, before or after them, is judged again in full and
+    writes the same rows."""
 
     def step(batch: DataFrame, batch_id: int) -> None:
         fresh = drop_stale(batch, as_of, max_age_days)
-        new = freeze(filter_new(fresh, store.read(batch.sparkSession, as_of, retention_days), as_of, retention_days))
+        new = freeze(filter_new(fresh, store.read(batch.sparkSession, as_of, retention_days, f"s{batch_id}"), as_of, retention_days))
         write_batch(new, out, f"s{batch_id}")
         store.mark(new, as_of, f"s{batch_id}")
 
