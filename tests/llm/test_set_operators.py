@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from conftest import CLASHING, DOCS
+from corpus_rows import CLASHING, DOCS
 from winnow.llm import exact, jaccard, mixing, sharding, substring
 from winnow.llm.common import running, written
 from winnow.llm.components import components

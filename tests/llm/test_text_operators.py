@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings, strategies as st
 
-from conftest import DOCS
+from corpus_rows import DOCS
 from winnow.llm import bpe, exact, quality, rangecoder, rules, tokenids, warc
 from winnow.llm.queries import QUERIES, tokenizer_path
 from winnow.session import scratch_path
