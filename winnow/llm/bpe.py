@@ -17,6 +17,9 @@ from .common import arrow_map, narrow
 # Distinct pieces, and their characters, that a task remembers before it starts anew.
 CACHE, CACHE_CHARS = 500_000, 16_000_000
 
+# Bits of an id in the number that stands for a pair.
+PAIR_BITS = 20
+
 # Fixed value: the cut of byte-level BPE into pieces.
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -40,10 +43,13 @@ class ByteBPE:
         letters = byte_letters()
         back = {c: b for b, c in enumerate(letters)}
         self.byte_id = [vocab[c] for c in letters]
-        self.ranks: dict[tuple[int, int], tuple[int, int]] = {}
-        for rank, pair in enumerate(model["merges"]):
+        # pair -> rank, pairs as one number; rank -> (left, right, made)
+        self.ranks: dict[int, int] = {}
+        self.merges: list[tuple[int, int, int]] = []
+        for pair in model["merges"]:
             a, b = pair.split(" ") if isinstance(pair, str) else pair
-            self.ranks.setdefault((vocab[a], vocab[b]), (rank, vocab[a + b]))
+            self.ranks.setdefault(vocab[a] << PAIR_BITS | vocab[b], len(self.merges))
+            self.merges.append((vocab[a], vocab[b], vocab[a + b]))
         self.bytes_of = {i: bytes(back[c] for c in t) for t, i in vocab.items()}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.bytes_of |= {i: t.encode() for t, i in self.special.items()}
@@ -59,63 +65,73 @@ class ByteBPE:
         after: list[int] = []
         before: list[int] = []
         starts: list[int] = []
+        byte_id = self.byte_id
         for piece in pieces:
-            starts.append(len(ids))
-            for byte in piece.encode():
-                after.append(len(ids) + 1)
-                before.append(len(ids) - 1)
-                ids.append(self.byte_id[byte])
-            if len(ids) > starts[-1]:
-                before[starts[-1]], after[-1] = -1, -1
-        ranks = self.ranks
-        where: dict[tuple[int, int], list[int]] = {}
+            s = len(ids)
+            starts.append(s)
+            ids += [byte_id[byte] for byte in piece.encode()]
+            e = len(ids)
+            if e > s:
+                after += range(s + 1, e)
+                after.append(-1)
+                before.append(-1)
+                before += range(s, e - 1)
+        rank_of, merges = self.ranks.get, self.merges
+        where: dict[int, list[int]] = {}  # rank of a pair -> its cells
+        cells_of = where.get
         for i, j in enumerate(after):
             if j >= 0:
-                pair = (ids[i], ids[j])
-                if pair in ranks:
-                    where.setdefault(pair, []).append(i)
-        active = [(ranks[p], p) for p in where]
+                rank = rank_of(ids[i] << PAIR_BITS | ids[j])
+                if rank is not None:
+                    cells = cells_of(rank)
+                    if cells is None:
+                        where[rank] = [i]
+                    else:
+                        cells.append(i)
+        active = list(where)
         heapq.heapify(active)
+        push = heapq.heappush
         while active:
-            (rank, made), pair = heapq.heappop(active)
-            cells = where.pop(pair, None)
+            now = heapq.heappop(active)
+            cells = where.pop(now, None)
             if cells is None:
                 continue
             cells.sort()
-            a, b = pair
+            a, b, made = merges[now]
             for n, i in enumerate(cells):
                 j = after[i]
                 if ids[i] != a or j < 0 or ids[j] != b:
                     continue  # an earlier merge took one of the two
                 ids[i], ids[j] = made, -1
                 k = after[i] = after[j]
+                h = before[i]
                 lower = False
                 if k >= 0:
                     before[k] = i
-                    lower = self._enter(where, active, (made, ids[k]), i, rank)
-                h = before[i]
+                    rank = rank_of(made << PAIR_BITS | ids[k])
+                    if rank is not None:
+                        lower = rank < now
+                        own = cells_of(rank)
+                        if own is None:
+                            where[rank] = [i]
+                            push(active, rank)
+                        else:
+                            own.append(i)
                 if h >= 0:
-                    lower |= self._enter(where, active, (ids[h], made), h, rank)
+                    rank = rank_of(ids[h] << PAIR_BITS | made)
+                    if rank is not None:
+                        lower |= rank < now
+                        own = cells_of(rank)
+                        if own is None:
+                            where[rank] = [h]
+                            push(active, rank)
+                        else:
+                            own.append(h)
                 if lower and n + 1 < len(cells):
-                    where.setdefault(pair, []).extend(cells[n + 1:])
-                    heapq.heappush(active, ((rank, made), pair))
+                    where.setdefault(now, []).extend(cells[n + 1:])
+                    push(active, now)
                     break
-        out = []
-        for s, e in zip(starts, [*starts[1:], len(ids)]):
-            out.append([i for i in ids[s:e] if i >= 0])
-        return out
-
-    def _enter(self, where, active, pair, cell, rank) -> bool:
-        found = self.ranks.get(pair)
-        if found is None:
-            return False
-        cells = where.get(pair)
-        if cells is None:
-            where[pair] = [cell]
-            heapq.heappush(active, (found, pair))
-        else:
-            cells.append(cell)
-        return found[0] < rank
+        return [[i for i in ids[s:e] if i >= 0] for s, e in zip(starts, [*starts[1:], len(ids)])]
 
     def decode(self, ids) -> str:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
