@@ -8,7 +8,7 @@ from __future__ import annotations
 import numpy as np
 
 # Ids per block, and entries of the order-1 and order-2 tables of a block.
-BLOCK = 1024
+BLOCK = 512
 TABLE_BITS = 9
 # Steps after which the order-0 frequencies are taken anew, and what one id adds to them.
 REFRESH, GAIN = 128, 24
@@ -25,6 +25,12 @@ NONE = 1 << 16  # no id
 RATE = 5
 
 
+def _within(x: np.ndarray, least: int, most: int) -> np.ndarray:
+    """np.clip in place; its checks of every call cost more than the work on short arrays."""
+    np.maximum(x, least, out=x)
+    return np.minimum(x, most, out=x)
+
+
 class Model:
     """Predictions of order 2, 1 and 0 for every lane, learned as ids pass by.
 
@@ -68,9 +74,9 @@ class Model:
         self.c1 = self.row8 + self.s1
         self.a2 = self.c1 + 4 * differ
         self.x, self.y, self.z = self.by_confidence.take(self.c2), self.by_agreement.take(self.a2), self.order1.take(self.c1)
-        f2 = (self.weight * (self.x >> 8) + (256 - self.weight) * (self.y >> 8)).clip(64, FULL - 4096)
+        f2 = _within(self.weight * (self.x >> 8) + (256 - self.weight) * (self.y >> 8), 64, FULL - 4096)
         f2 *= self.s2 > 0
-        f1 = (((FULL - f2) >> 4) * (self.z >> 4) >> 8).clip(16, FULL)
+        f1 = _within(((FULL - f2) >> 4) * (self.z >> 4) >> 8, 16, FULL)
         f1 = np.minimum(f1 * (differ & (self.s1 > 0)), FULL - 2048 - f2)
         self.upto2 = f2.astype(np.int64)
         self.upto1 = self.upto2 + f1
@@ -83,7 +89,7 @@ class Model:
         self.by_agreement[self.a2] = y + ((goal - y) >> RATE)
         self.order1[self.c1] = z + ((hit1 * np.int32(FULL - 1) - z) >> RATE)
         # the weight moves to the estimate that gave the event more
-        self.weight = (self.weight + (((x > y) == hit2) * np.int32(4) - 2)).clip(16, 240)
+        self.weight = _within(self.weight + (((x > y) == hit2) * np.int32(4) - 2), 16, 240)
         fresh = (small << 2) | 1
         for table, at, entry, predicted, sure in ((self.t2, self.i2, self.e2, self.p2, self.s2), (self.t1, self.i1, self.e1, self.p1, self.s1)):
             kept = entry + (sure < 3)
