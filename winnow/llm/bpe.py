@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -43,19 +43,22 @@ class ByteBPE:
         letters = byte_letters()
         back = {c: b for b, c in enumerate(letters)}
         self.byte_id = [vocab[c] for c in letters]
-        # pair -> rank, pairs as one number; rank -> (left, right, made)
-        self.ranks: dict[int, int] = {}
-        self.merges: list[tuple[int, int, int]] = []
-        for pair in model["merges"]:
+        self.ranks: dict[tuple[int, int], tuple[int, int]] = {}
+        for rank, pair in enumerate(model["merges"]):
             a, b = pair.split(" ") if isinstance(pair, str) else pair
-            self.ranks.setdefault(vocab[a] << PAIR_BITS | vocab[b], len(self.merges))
-            self.merges.append((vocab[a], vocab[b], vocab[a + b]))
+            self.ranks.setdefault((vocab[a], vocab[b]), (rank, vocab[a + b]))
         self.bytes_of = {i: bytes(back[c] for c in t) for t, i in vocab.items()}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.bytes_of |= {i: t.encode() for t, i in self.special.items()}
         self.cut = regex.compile(PIECES)
         self.cut_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
 
+    @cached_property
+    def by_number(self) -> tuple[dict[int, int], dict[int, tuple[int, int, int]]]:
+        """pair, as one number -> rank; rank -> (left, right, made)"""
+        return ({a << PAIR_BITS | b: rank for (a, b), (rank, _) in self.ranks.items()},
+                {rank: (a, b, made) for (a, b), (rank, made) in self.ranks.items()})
+
     def encode_pieces(self, pieces: list[str]) -> list[list[int]]:
         """Ids of many pieces at once. Their symbols stand in one row of cells linked to their
         neighbours; every adjacent pair is indexed with all its cells. The lowest active rank
@@ -76,7 +79,8 @@ class ByteBPE:
                 after.append(-1)
                 before.append(-1)
                 before += range(s, e - 1)
-        rank_of, merges = self.ranks.get, self.merges
+        numbers, merges = self.by_number
+        rank_of = numbers.get
         where: dict[int, list[int]] = {}  # rank of a pair -> its cells
         cells_of = where.get
         for i, j in enumerate(after):
