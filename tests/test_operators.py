@@ -170,11 +170,16 @@ def test_batch_results(spark, response, want):
     assert {r["domain"] for r in got} == {None}
 
 
-def test_vocabulary():
-    assert vocab.fallback_category() == "other" and vocab.fallback_category(["b", " a ", "exclude"]) == "b"
-    assert vocab.fallback_category(["exclude"]) == "exclude" and vocab.fallback_category(["a"], "z") == "z"
-    assert vocab.fallback_domain(["y", "x"], "q") == "x" and vocab.fallback_domain([]) is None
-    assert vocab.domains([" b", "", "a"]) == ["a", "b"]
+def test_vocabulary(spark):
+    rows = [  # settings, then the labels expected
+        ((None, None, None, None), (sorted(vocab.DEFAULT_CATEGORIES), [], "other", None)),
+        ((["b", " a ", "exclude"], [" b", "", "a"], None, None), (["a", "b", "exclude"], ["a", "b"], "b", "a")),
+        ((["exclude"], ["y", "x"], None, "q"), (["exclude"], ["x", "y"], "exclude", "x")),
+        ((["a"], ["y", "x"], "z", "y"), (["a"], ["x", "y"], "z", "y")),
+    ]
+    settings = "categories array<string>, domains array<string>, fallback_category string, fallback_domain string"
+    for given, want in rows:
+        assert tuple(vocab.with_vocabulary(spark.createDataFrame([given], settings)).first()) == want
 
 
 ITEMS = "item_id long, item_ord long, title string, link string, publisher string, source string, published timestamp, description string, topic_context string"

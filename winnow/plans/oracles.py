@@ -302,6 +302,14 @@ ORACLES = {
     "history_trim": _with(HISTORY, select="SELECT id, digest_slug FROM history ORDER BY id DESC LIMIT 10000"),
     "history_counts": _with(HISTORY, select="SELECT '' AS digest_slug, count(*) AS total FROM history UNION ALL SELECT digest_slug, count(*) FROM history GROUP BY digest_slug"),
     "history_append": _with(ITEMS, SCORED, DIGESTS, ROUTED, select="SELECT 1000 + row_number() OVER (ORDER BY digest_ord, item_ord) AS id, digest_slug, title, link, source, summary, category FROM routed"),
+    "vocabularies": """WITH v AS (SELECT p_partkey % 20 AS instance, CASE WHEN p_partkey % 20 <> 0 THEN CASE WHEN p_partkey % 7 = 0 THEN ''
+            WHEN p_partkey % 20 < 4 AND p_partkey % 11 = 0 THEN 'other' ELSE p_brand END END AS c,
+          CASE WHEN p_partkey % 20 < 15 THEN split_part(p_type, ' ', 1) END AS d FROM part),
+        labels AS (SELECT instance, c FROM v WHERE c <> '' UNION SELECT 0, unnest(['news', 'thought_leadership', 'ai', 'ai_general', 'other', 'exclude'])),
+        c AS (SELECT instance, string_agg(c, ',' ORDER BY c) AS categories, coalesce(max(c) FILTER (c = 'other'), max(c) FILTER (c <> 'exclude')) AS best FROM labels GROUP BY 1),
+        d AS (SELECT instance, coalesce(string_agg(DISTINCT d, ',' ORDER BY d), '') AS domains, min(d) AS least, bool_or(d = 'PROMO') AS promo FROM v GROUP BY 1)
+        SELECT instance, categories, CASE WHEN instance % 5 = 0 THEN 'chosen' ELSE best END AS fallback_category, domains,
+          CASE WHEN instance % 3 = 0 AND promo THEN 'PROMO' ELSE least END AS fallback_domain FROM c JOIN d USING (instance)""",
     "run_latest": """SELECT instance, run_id, status, items_processed, previous_delivered, error FROM (SELECT o_custkey AS instance, o_orderkey AS run_id,
         CASE o_orderstatus WHEN 'F' THEN 'failure' ELSE 'success' END AS status, CAST(floor(o_totalprice) AS BIGINT) AS items_processed, o_orderstatus = 'P' AS previous_delivered,
         CASE WHEN o_orderstatus = 'F' THEN 'boom' END AS error, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn FROM orders) WHERE rn = 1""",

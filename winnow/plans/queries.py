@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions import text as T
+from ..functions import text as T, vocab
 from ..operators import clusters, history, merge, readers, render, routing, scoring, seen, similar, story, trim, usage
 from ..session import freeze, scratch_path, tune
 from ..sources import feeds, search, state
@@ -403,6 +403,20 @@ def summarise_batches(spark, sf):
     return done.select("item_id", "summary", "category", "domain")
 
 
+def vocabularies(spark, sf):
+    """Labels of twenty instances: their parts' brands, domains from the types, some choices their own."""
+    part, key = V.table(spark, sf, "part"), F.col("p_partkey")
+    settings = part.groupBy((key % 20).alias("instance")).agg(
+        F.collect_list(F.when(key % 20 != 0, F.when(key % 7 == 0, F.lit(" ")).when((key % 20 < 4) & (key % 11 == 0), F.lit("other")).otherwise(
+            F.concat(F.lit(" "), "p_brand")))).alias("categories"),
+        F.collect_list(F.when(key % 20 < 15, F.element_at(F.split("p_type", " "), 1))).alias("domains"),
+    ).withColumns({
+        "fallback_category": F.when(F.col("instance") % 5 == 0, F.lit("chosen")),
+        "fallback_domain": F.when(F.col("instance") % 3 == 0, F.lit("PROMO")).when(F.col("instance") % 3 == 1, F.lit("nowhere")),
+    })
+    return vocab.with_vocabulary(settings).select("instance", _join("categories"), "fallback_category", _join("domains"), "fallback_domain")
+
+
 def summarise_topics(spark, sf):
     """Topics of a stand-in model that answers with no clusters: batches take over."""
     few = _labels(cluster=True, topic_items=200)
@@ -449,6 +463,7 @@ NAMES = [
     cluster_stories, model_calls, usage_extract, usage_cost, usage_daily, usage_rollup, history_page, history_deep,
     history_trim, history_counts, history_append, run_latest, merge_rows, merge_changes, merge_values, render_digests,
     outbox, previous_digests, feed_scan, landed_trim, summarise_batches, summarise_topics, stream_daily, stream_seen, health,
+    vocabularies,
 ]
 
 

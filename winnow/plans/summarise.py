@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import vocab as V
 from ..operators import clusters, scoring
 from ..operators.ordinals import dense_ordinal
 from ..session import freeze
 
+SETTINGS = "categories array<string>, domains array<string>, fallback_category string, fallback_domain string"
+
 
 @dataclass
 class Labels:
@@ -31,11 +33,11 @@ class Labels:
     model: str = "none"
     calls: list[DataFrame] = field(default_factory=list)
 
-    def vocabulary(self):
-        return (
-            V.categories(self.categories), V.fallback_category(self.categories, self.fallback_category),
-            V.domains(self.domains), V.fallback_domain(self.domains, self.fallback_domain),
-        )
+    def vocabulary(self, spark: SparkSession):
+        """(categories, fallback, domains, fallback) of this instance: one row of settings."""
+        rows = [(self.categories, self.domains, self.fallback_category, self.fallback_domain)]
+        row = V.with_vocabulary(spark.createDataFrame(rows, SETTINGS)).first()
+        return row["categories"], row["fallback_category"], row["domains"], row["fallback_domain"]
 
 
 def _ask(prompts: DataFrame, keys: str, labels: Labels, fn, kind: str) -> DataFrame:
@@ -52,7 +54,7 @@ def by_batch(items: DataFrame, labels: Labels, fn) -> DataFrame:
     """Batches of items; items of a batch whose call failed are asked one by one."""
     batched = scoring.number_batches(items, labels.batch_size)
     answers = _ask(scoring.batch_prompts(batched, labels.batch_template), "batch_id bigint", labels, fn, "batch")
-    spec = labels.vocabulary()
+    spec = labels.vocabulary(items.sparkSession)
     failed = answers.where(F.col("response").isNull()).select("batch_id")
     done = scoring.attach_results(batched, answers, *spec)
     if not failed.isEmpty():
@@ -71,7 +73,7 @@ def by_topic(items: DataFrame, labels: Labels, fn) -> DataFrame:
 
     usable = unwrap_list(F.col("response"), "clusters").isNotNull()
     lost = answers.where(~F.coalesce(usable, F.lit(False))).select("source", "chunk")
-    merged = clusters.assign_clusters(numbered.join(lost, ["source", "chunk"], "left_anti"), answers, *labels.vocabulary())
+    merged = clusters.assign_clusters(numbered.join(lost, ["source", "chunk"], "left_anti"), answers, *labels.vocabulary(items.sparkSession))
     rest = numbered.join(lost, ["source", "chunk"], "left_semi").drop("chunk", "item_idx")
     if not lost.isEmpty():
         merged = merged.unionByName(by_batch(rest, labels, fn), allowMissingColumns=True)
