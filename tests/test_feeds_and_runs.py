@@ -166,6 +166,48 @@ def test_a_run_and_the_next_one(spark, tmp_path):
     assert runs["status"] == "success" and runs["previous_delivered"]
 
 
+def test_topics_and_readers_from_landed_files_to_the_outbox(spark, tmp_path):
+    """Topics become feeds, each reader's digest follows from the topics, skipped files are reported."""
+    written = spark.createDataFrame([("w", 0, "W", "https://w", False, None, None)], schemas.FEEDS)
+    topics = spark.createDataFrame(
+        [(0, "Bridges", ["bridge"], "", None, None, None, ["google"], "all"),
+         (1, "Ports", ["port", "harbour"], "", None, None, None, ["bing", "google"], "Ann@x.io")], schemas.TOPICS)
+    users = spark.createDataFrame([(0, "Ann", "ann@x.io"), (1, "Bob", "bob@x.io"), (2, "None", "nowhere")], schemas.USERS)
+    cfg = whole.Settings(written, None, str(tmp_path / "state"), topics, users, digest_sections=("news",),
+                         labels=Labels(categories=["news", "exclude"]))
+    feeds = [tuple(r) for r in whole.all_feeds(cfg).orderBy("feed_ord").select("feed_id", "feed_ord", "name", "is_search").collect()]
+    assert feeds == [("w", 0, "W", False), ("search-0-0-google", 1, "Bridges", True)] + [
+        (f"search-1-{q}-{e}", 2 + 2 * q + n, "Ports", True) for q in (0, 1) for n, e in enumerate(("google", "bing"))]
+    land = tmp_path / "landed"
+    land.mkdir()
+
+    def body(title):
+        return f"<rss><channel><item><title>{title}</title><link>https://x/{title}</link><pubDate>2024-01-30</pubDate></item></channel></rss>"
+
+    for stem, text in {"w": body("own"), "search-0-0-google": body("span"), "search-1-1-bing~1": body("quay"),
+                       "stranger": body("stray"), "search-1-0-google": "<rss><chan"}.items():
+        (land / f"{stem}.xml").write_text(text)
+    (land / "w~2.xml").write_bytes(b" " * (landed.MAX_BYTES + 1))
+    items = whole.fetch_all(spark, str(land), cfg, AS_OF, "r1")
+    result = whole.run(spark, cfg, items, AS_OF, answering("news"), "r1")
+    assert result == {"success": True, "items": 3}
+    routed = state.HistoryStore(f"{cfg.state_path}/history").read(spark)
+    assert sorted((r["digest_title"], r["title"]) for r in routed.collect()) == [
+        ("Ann's Digest", "quay"), ("Ann's Digest", "span"), ("Bob's Digest", "span")]
+    box = spark.read.parquet(f"{cfg.state_path}/outbox")
+    assert sorted(r["recipient"] for r in box.collect()) == ["ann@x.io", "bob@x.io"]
+    skipped = spark.read.parquet(f"{cfg.state_path}/skipped").select("feed_id", "doc_ord", "reason")
+    assert sorted(tuple(r) for r in skipped.collect()) == [
+        ("search-1-0-google", 0, "malformed"), ("stranger", 0, "unknown_feed"), ("w", 2, "oversized")]
+
+
+def test_settings_that_work_against_each_other(spark, tmp_path):
+    cfg = settings(spark, tmp_path, story_dedupe=True)
+    assert whole.warnings(cfg) == []
+    cfg.labels.cluster = True
+    assert len(whole.warnings(cfg)) == 1
+
+
 def test_unrouted_items_come_back_and_excluded_ones_do_not(spark, tmp_path):
     cfg = settings(spark, tmp_path)
     items = run_items(spark, ["A", "B"])

@@ -6,8 +6,8 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..operators import history, render, routing, scoring, seen, similar, trim, usage
-from ..sources import feeds as landed, sinks, state
+from ..operators import history, readers, render, routing, scoring, seen, similar, trim, usage
+from ..sources import feeds as landed, search, sinks, state
 from ..session import freeze, tune
 from .summarise import Labels, summarise_all
 
@@ -16,11 +16,18 @@ DIGEST_ARCHIVE = "digest_ord int, digest_title string, digest_slug string, page
 
 @dataclass
 class Settings:
-    """Configuration tables and limits of one instance."""
+    """Configuration tables and limits of one instance.
+
+    Topics add search feeds. Without declared digests (None) every user gets one, of the topics
+    addressed to them or to everyone; declared digests leave the users out."""
 
     feeds: DataFrame
-    digests: DataFrame
+    digests: DataFrame | None
     state_path: str
+    topics: DataFrame | None = None
+    users: DataFrame | None = None
+    digest_title: str = "{name}'s Digest"
+    digest_sections: tuple[str, ...] = ("key", "notable", "mention")
     prices: DataFrame | None = None
     labels: Labels = field(default_factory=Labels)
     per_feed: int = 20
@@ -44,12 +51,39 @@ def trim_run(items: DataFrame, cfg: Settings, as_of) -> DataFrame:
     return trim.fair_trim(young, cfg.max_total, as_of) if cfg.fair else trim.newest(young, cfg.max_total, as_of)
 
 
-def fetch_all(spark: SparkSession, path: str, cfg: Settings, as_of) -> DataFrame:
-    """Items of this run from a folder of landed feed documents."""
-    items, _ = landed.read_feeds(spark, path, cfg.feeds, max_description_chars=cfg.max_description_chars)
+def all_feeds(cfg: Settings) -> DataFrame:
+    """Written feeds and those of the topics."""
+    return cfg.feeds if cfg.topics is None else search.crawl_list(cfg.feeds, readers.clean_topics(cfg.topics))
+
+
+def all_digests(cfg: Settings) -> DataFrame:
+    """Declared digests, or one per reader."""
+    if cfg.digests is not None:
+        return cfg.digests
+    if cfg.users is None or cfg.topics is None:
+        raise ValueError("declare digests, or give users and topics to derive them from")
+    return readers.derive_digests(cfg.users, readers.clean_topics(cfg.topics), cfg.digest_title, cfg.digest_sections)
+
+
+def fetch_all(spark: SparkSession, path: str, cfg: Settings, as_of, batch_id="0") -> DataFrame:
+    """Items of this run from a folder of landed feed documents. Documents that give none are
+    written to the `skipped` table with their reason."""
+    feeds = freeze(all_feeds(cfg))
+    items, _ = landed.read_feeds(spark, path, feeds, max_description_chars=cfg.max_description_chars)
+    state.write_batch(landed.skipped_documents(spark, path, feeds), f"{cfg.state_path}/skipped", batch_id)
     return trim_run(items, cfg, as_of)
 
 
+def warnings(cfg: Settings) -> list[str]:
+    """Settings that work against each other."""
+    found = []
+    if cfg.story_dedupe and cfg.labels.cluster:
+        found.append("story_dedupe drops retold stories before clustering can keep their links")
+    if cfg.digests is not None and cfg.users is not None:
+        found.append("users are ignored: digests are declared")
+    return found
+
+
 def run(spark: SparkSession, cfg: Settings, items: DataFrame, as_of, fn, batch_id="0") -> dict:
     """One run over trimmed items. State is written last, so a failure leaves it untouched
     and a replay of the batch delivers the same rows again instead of twice."""
@@ -62,7 +96,8 @@ def run(spark: SparkSession, cfg: Settings, items: DataFrame, as_of, fn, batch_i
         state.log_run(spark, log, batch_id, "failure", as_of=as_of, error=str(e))
         return {"success": False, "error": str(e)}
     state.log_run(spark, log, batch_id, "success", result["items"], as_of, bool(result.get("previous_delivered")))
-    return {"success": True, **result}
+    found = warnings(cfg)
+    return {"success": True, **result} | ({"warnings": found} if found else {})
 
 
 def _run(spark, cfg: Settings, items, as_of, fn, batch_id) -> dict:
@@ -73,7 +108,7 @@ def _run(spark, cfg: Settings, items, as_of, fn, batch_id) -> dict:
     if cfg.content_dedupe:
         fetched = similar.dedupe_content(fetched, cfg.similarity, cfg.story_dedupe, cfg.story_containment)
     new = freeze(seen.filter_new(fetched, store.read(spark, as_of, cfg.retention_days, batch_id), as_of, cfg.retention_days))
-    digests = routing.only_digests(routing.apply_feed_routing(cfg.digests, cfg.feeds), cfg.digest_slugs)
+    digests = freeze(routing.only_digests(routing.apply_feed_routing(all_digests(cfg), cfg.feeds), cfg.digest_slugs))
 
     if new.isEmpty():
         return {"items": 0, "previous_delivered": deliver_previous(spark, cfg, digests, as_of, batch_id)}

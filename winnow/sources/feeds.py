@@ -31,21 +31,35 @@ def parse_date(c: Column) -> Column:
     return F.coalesce(*[F.try_to_timestamp(plain, F.lit(f)) for f in formats], plain.try_cast("timestamp"))
 
 
+def _place(path: Column) -> list[Column]:
+    """feed_id and doc_ord of a landed file named `<feed_id>.xml` or `<feed_id>~<n>.xml`."""
+    stem = F.regexp_extract(path, r"([^/]+?)(?:\.[^./]*)?$", 1)
+    number = F.coalesce(F.regexp_extract(stem, "~([0-9]+)$", 1).try_cast("int"), F.lit(0))
+    return [F.substring_index(stem, "~", 1).alias("feed_id"), number.alias("doc_ord")]
+
+
 def read_documents(spark: SparkSession, path: str, max_bytes: int = MAX_BYTES) -> DataFrame:
-    """(feed_id, doc_ord, body) of landed files named `<feed_id>.xml` or `<feed_id>~<n>.xml`.
+    """(feed_id, doc_ord, body) of landed files.
 
-    Oversized files are left out by the scan itself."""
-    stem = F.regexp_extract("path", r"([^/]+?)(?:\.[^./]*)?$", 1)
+    Oversized files are left out by the scan itself; `skipped_documents` names them."""
     latin = F.lower(F.substring(F.col("content").cast("string"), 1, 100)).rlike("encoding=.iso-8859-1")
     body = F.when(latin, F.decode("content", "ISO-8859-1")).otherwise(F.make_valid_utf8(F.col("content").cast("string")))
+    files = spark.read.format("binaryFile").load(path).where(F.col("length") <= max_bytes)
+    return files.select(*_place(F.col("path")), body.alias("body"))
+
+
+def skipped_documents(spark: SparkSession, path: str, feeds: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """(feed_id, doc_ord, reason) of landed files that give no items: oversized, of no known
+    feed, or malformed. Only the last reads contents."""
+    files = spark.read.format("binaryFile").load(path).select(*_place(F.col("path")), "length")
+    known = feeds.where(F.coalesce("url", F.lit("")) != "").select("feed_id").distinct()
+    large = F.col("length") > max_bytes
+    stray = files.where(~large).join(known, "feed_id", "left_anti")
+    broken = bad_documents(read_documents(spark, path, max_bytes)).join(known, "feed_id", "left_semi")
     return (
-        spark.read.format("binaryFile").load(path)
-        .where(F.col("length") <= max_bytes)
-        .select(
-            F.substring_index(stem, "~", 1).alias("feed_id"),
-            F.coalesce(F.regexp_extract(stem, "~([0-9]+)$", 1).try_cast("int"), F.lit(0)).alias("doc_ord"),
-            body.alias("body"),
-        )
+        files.where(large).select("feed_id", "doc_ord", F.lit("oversized").alias("reason"))
+        .unionAll(stray.select("feed_id", "doc_ord", F.lit("unknown_feed")))
+        .unionAll(broken.select("feed_id", "doc_ord", F.lit("malformed")))
     )
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import blank_to_null, strip
+from ..operators.ordinals import dense_ordinal
+from ..session import freeze
 
 # The two search endpoints and the defaults of a topic.
 GOOGLE_SEARCH = "https://news.google.com/rss/search"
@@ -60,3 +62,19 @@ def union_feeds(written: DataFrame, generated: DataFrame) -> DataFrame:
     urls = generated.select("url").distinct().withColumn("_s", F.lit(True))
     return rows.drop("is_search").join(urls, "url", "left").withColumn(
         "is_search", F.coalesce("_s", F.lit(False))).drop("_s", "_g")
+
+
+def crawl_list(written: DataFrame, topics: DataFrame, engines: tuple[str, ...] = ENGINES) -> DataFrame:
+    """All feeds of an instance: `written` and those its topics generate.
+
+    A generated feed is named by topic, query and engine in its feed_id, which is also the stem
+    of its landed files, and its feed_ord goes on after the written ones in that order."""
+    place = F.array_position(F.array(*[F.lit(e) for e in ENGINES]), F.col("engine")).alias("engine_ord")
+    generated = freeze(search_feeds(topics, engines).select("*", place))
+    order = ["topic_ord", "query_ord", "engine_ord"]
+    last = written.agg(F.max("feed_ord")).first()[0]  # one number
+    searched = dense_ordinal(generated, order, "_place").select(
+        F.concat_ws("-", F.lit("search"), "topic_ord", "query_ord", "engine").alias("feed_id"),
+        (F.lit(-1 if last is None else last) + 1 + F.col("_place")).cast("int").alias("feed_ord"),
+        "name", "url", "topic_context", "is_search")
+    return union_feeds(written, searched)
