@@ -52,7 +52,10 @@ def test_bpe_whole_table(spark, sf, texts, library):
 @given(st.text(alphabet=st.sampled_from("abe tht  '\n\t<|>sé漢1 \U0001f600"), max_size=60))
 def test_bpe_text(library, text):
     own = bpe.tokenizer(tokenizer_path(BYTE))
-    ids = [i for p in bpe.cut(own, text) for i in ([own.special[p]] if p in own.special else own.encode_pieces([p])[0])]
+    cache = bpe.PieceCache(own)
+    numbers = cache.numbers(bpe.cut(own, text))
+    cache.learn()
+    ids = cache.spell(numbers).tolist()
     assert ids == library[BYTE].encode(text, add_special_tokens=False).ids
     assert own.decode(ids) == text
 
@@ -63,7 +66,28 @@ def test_bpe_pieces_together_and_a_lower_rank_that_arises():
     a, b, c = b"abc"
     # (b, c) -> 300 comes after (a, 300) in rank: applying (b, c) makes a pair that must go first
     own.ranks = {(b, c): (5, 300), (a, 300): (1, 301), (301, b): (2, 302)}
-    assert own.encode_pieces(["abcbc", "bc", "", "abc"]) == [[302, c], [300], [], [301]]
+    pieces, wanted = ["abcbc", "bc", "", "abc"], [[302, c], [300], [], [301]]
+    ids, counts = own.encode_pieces(pieces)
+    assert [own_ids.tolist() for own_ids in np.split(ids, np.cumsum(counts)[:-1])] == wanted == own.encode_stepwise(pieces)
+    # a chain of merges makes (300, b) for a moment, which has to go before the second (b, b)
+    own = object.__new__(bpe.ByteBPE)
+    own.byte_id = list(range(256))
+    own.ranks = {(b, b): (5, 300), (300, b): (1, 301)}
+    assert own.encode_pieces(["bbbb", "cbb"])[0].tolist() == [301, b, c, 300] == sum(own.encode_stepwise(["bbbb", "cbb"]), [])
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.text("ab", max_size=12), max_size=8), st.randoms())
+def test_bpe_together_as_stepwise(pieces, rnd):
+    """Any order of ranks, also where a token is made by several pairs."""
+    own = object.__new__(bpe.ByteBPE)
+    own.byte_id = list(range(256))
+    tokens = {"a": 97, "b": 98, **{t: 300 + n for n, t in enumerate(["aa", "ab", "ba", "aab", "aba", "abab", "baab"])}}
+    pairs = [(x, y) for x in tokens for y in tokens if x + y in tokens]
+    rnd.shuffle(pairs)
+    own.ranks = {(tokens[x], tokens[y]): (n, tokens[x + y]) for n, (x, y) in enumerate(pairs)}
+    ids, counts = own.encode_pieces(pieces)
+    assert ids.tolist() == sum(own.encode_stepwise(pieces), []) and counts.tolist() == list(map(len, own.encode_stepwise(pieces)))
 
 
 # --- token id files -----------------------------------------------------------------------

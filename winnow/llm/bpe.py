@@ -14,8 +14,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import arrow_map, narrow
 
-# Distinct pieces, and their characters, that a task remembers before it starts anew.
-CACHE, CACHE_CHARS = 500_000, 16_000_000
+# Distinct pieces, and their characters, that a worker remembers before it starts anew.
+CACHE, CACHE_CHARS = 800_000, 16_000_000
 
 # Bits of an id in the number that stands for a pair.
 PAIR_BITS = 20
@@ -59,11 +59,112 @@ class ByteBPE:
         return ({a << PAIR_BITS | b: rank for (a, b), (rank, _) in self.ranks.items()},
                 {rank: (a, b, made) for (a, b), (rank, made) in self.ranks.items()})
 
-    def encode_pieces(self, pieces: list[str]) -> list[list[int]]:
-        """Ids of many pieces at once. Their symbols stand in one row of cells linked to their
-        neighbours; every adjacent pair is indexed with all its cells. The lowest active rank
-        is applied to all its cells from left to right, the pairs it makes enter the index,
-        and a pair of lower rank that arises goes first."""
+    @cached_property
+    def by_pair(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Pairs as sorted numbers, their ranks, and the ranks of pairs of single bytes; -1: none."""
+        numbers = self.by_number[0]
+        keys = np.array(sorted(numbers), np.int64)
+        of_bytes = [[numbers.get(a << PAIR_BITS | b, -1) for b in self.byte_id] for a in self.byte_id]
+        return keys, np.array([numbers[k] for k in keys.tolist()], np.int64), np.array(of_bytes, np.int64)
+
+    def ranks_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        keys, ranks, _ = self.by_pair
+        numbers = left << PAIR_BITS | right
+        at = np.searchsorted(keys, numbers)
+        at[at == len(keys)] = 0
+        return np.where(keys[at] == numbers, ranks[at], -1) if len(keys) else np.full(len(numbers), -1)
+
+    def encode_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of many pieces at once, all in one array, and the number of ids of each piece.
+
+        The symbols of all pieces stand in one row of cells linked to their neighbours; every
+        adjacent pair is indexed with all its cells. The lowest active rank is applied to all its cells
+        together, and the pairs that it makes enter the index. Pieces where a merge makes a pair
+        of lower rank, which has to go before the rest, are encoded step by step."""
+        raw = [p.encode() for p in pieces]
+        sizes = np.fromiter(map(len, raw), np.int64, len(raw))
+        ends = np.cumsum(sizes)
+        cells = np.frombuffer(b"".join(raw), np.uint8)
+        if not len(cells):
+            return np.empty(0, np.int32), sizes
+        ids = np.array(self.byte_id, np.int64)[cells]
+        after = np.arange(1, len(ids) + 1)
+        before = np.arange(-1, len(ids) - 1)
+        after[ends[sizes > 0] - 1] = -1
+        before[(ends - sizes)[sizes > 0]] = -1
+
+        where: dict[int, list[np.ndarray]] = {}  # rank of a pair -> its cells
+        active: list[int] = []
+
+        def enter(at: np.ndarray, ranks: np.ndarray) -> None:
+            known = np.flatnonzero(ranks >= 0)
+            if not len(known):
+                return
+            at, ranks = at[known], ranks[known]
+            order = np.argsort(ranks, kind="stable")
+            at, ranks = at[order], ranks[order]
+            cuts = [0, *(np.flatnonzero(ranks[1:] != ranks[:-1]) + 1).tolist(), len(ranks)]
+            for rank, s, e in zip(ranks[cuts[:-1]].tolist(), cuts, cuts[1:]):
+                own = where.get(rank)
+                if own is None:
+                    where[rank] = [at[s:e]]
+                    heapq.heappush(active, rank)
+                else:
+                    own.append(at[s:e])
+
+        first = np.flatnonzero(after >= 0)
+        enter(first, self.by_pair[2][cells[first], cells[first + 1]])
+        merges = self.by_number[1]
+        rank_of = self.by_number[0].get
+        odd = []  # cells of pieces that go step by step
+        while active:
+            now = heapq.heappop(active)
+            a, b, made = merges[now]
+            at = where.pop(now)
+            i = at[0] if len(at) == 1 else np.concatenate(at)
+            if len(i) > 1:
+                i = np.unique(i)
+            i = i[(ids[i] == a) & (after[i] >= 0)]
+            i = i[ids[after[i]] == b]
+            if a == b and len(i) > 1:
+                # of overlapping pairs every second one, from the left of each run
+                places = np.arange(len(i))
+                begins = np.concatenate([[True], after[i[:-1]] != i[1:]])
+                i = i[(places - np.maximum.accumulate(np.where(begins, places, 0))) % 2 == 0]
+            if not len(i):
+                continue
+            j = after[i]
+            k = after[j]
+            ids[i], ids[j] = made, -1
+            after[i] = k
+            followed = np.flatnonzero(k >= 0)
+            before[k[followed]] = i[followed]
+            chained = k[:-1] == i[1:]  # two merged cells side by side
+            h = before[i]
+            led = h >= 0
+            led[1:] &= ~chained
+            changed = np.concatenate([i[followed], h[led]])
+            ranks = self.ranks_of(ids[changed], ids[after[changed]])
+            odd.append(changed[(ranks >= 0) & (ranks < now)])
+            between = rank_of(made << PAIR_BITS | a)  # stands for a moment in a chain
+            if between is not None and between < now:
+                odd.append(i[1:][chained])
+            enter(changed, ranks)
+        alive = ids >= 0
+        upto = np.concatenate([[0], np.cumsum(alive)])
+        counts = upto[ends] - upto[ends - sizes]
+        flat = ids[alive].astype(np.int32)
+        stepwise = np.unique(np.searchsorted(ends, np.concatenate(odd), side="right")).tolist() if odd else []
+        if stepwise:
+            parts = np.split(flat, np.cumsum(counts)[:-1])
+            for n, own in zip(stepwise, self.encode_stepwise([pieces[n] for n in stepwise])):
+                parts[n] = np.array(own, np.int32)
+                counts[n] = len(own)
+            flat = np.concatenate(parts)
+        return flat, counts
+
+    def encode_stepwise(self, pieces: list[str]) -> list[list[int]]:
+        """As encode_pieces, one cell at a time, which may stop inside a rank for a lower one."""
         ids: list[int] = []
         after: list[int] = []
         before: list[int] = []
@@ -147,25 +248,45 @@ def tokenizer(path: str) -> ByteBPE:
 
 
 class PieceCache(dict):
-    """piece -> (ids as decimal text, ids as 32 bit); special tokens are always in it."""
+    """piece -> its number; the ids of all numbered pieces stand in one array. Special tokens are
+    always among them. A piece asked for the first time gets a number, and its ids by learn()."""
 
     def __init__(self, bpe: ByteBPE):
         self.bpe = bpe
         self.restart()
 
+    def __missing__(self, piece: str) -> int:
+        n = self[piece] = len(self)
+        self.new.append(piece)
+        return n
+
     def restart(self) -> None:
         self.clear()
         self.chars = 0
-        self.update({t: (str(i), np.array([i], np.int32).tobytes()) for t, i in self.bpe.special.items()})
+        self.new: list[str] = []
+        self.update({t: n for n, t in enumerate(self.bpe.special)})
+        self.ids = np.array(list(self.bpe.special.values()), np.int32)
+        self.ends = np.arange(len(self) + 1)
 
-    def learn(self, pieces: set[str]) -> None:
-        new = [p for p in pieces if p not in self]
-        if len(self) + len(new) > CACHE or self.chars > CACHE_CHARS:
-            self.restart()
-            new = [p for p in pieces if p not in self]
-        self.chars += sum(map(len, new))
-        for p, ids in zip(new, self.bpe.encode_pieces(new)):
-            self[p] = ",".join(map(str, ids)), np.array(ids, np.int32).tobytes()
+    def numbers(self, pieces: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, pieces), np.int32, len(pieces))
+
+    def learn(self) -> None:
+        self.chars += sum(map(len, self.new))
+        ids, counts = self.bpe.encode_pieces(self.new)
+        self.ids = np.concatenate([self.ids, ids])
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(counts)])
+        self.new = []
+
+    def full(self) -> bool:
+        return len(self) > CACHE or self.chars > CACHE_CHARS
+
+    def spell(self, numbers: np.ndarray) -> np.ndarray:
+        """Ids of a row of numbered pieces."""
+        begin = self.ends[numbers]
+        sizes = self.ends[numbers + 1] - begin
+        upto = np.cumsum(sizes)
+        return self.ids[np.repeat(begin - upto + sizes, sizes) + np.arange(upto[-1] if len(upto) else 0)]
 
 
 @lru_cache(maxsize=1)
@@ -187,41 +308,43 @@ def cut(bpe: ByteBPE, text: str) -> list[str]:
     return out
 
 
-# Characters of text whose pieces are indexed together.
-GROUP_CHARS = 4_000_000
-
-
-def _groups(texts):
-    group, chars = [], 0
-    for i, t in enumerate(texts):
-        group.append(i)
-        chars += len(t)
-        if chars >= GROUP_CHARS:
-            yield group
-            group, chars = [], 0
-    if group:
-        yield group
+# Characters of text whose new pieces are indexed together.
+GROUP_CHARS = 16_000_000
 
 
 def _encode(path: str):
     def run(batches):
         bpe = tokenizer(path)
         cache = piece_cache(path)
+        if cache.new:  # left by a task that failed
+            cache.restart()
+        decimal = list(map(str, range(max(bpe.bytes_of, default=-1) + 1)))
+        held, chars = [], 0
+
+        def spelled():
+            cache.learn()
+            for doc_ids, rows in held:
+                n, ids_sha, ids_all = [], [], []
+                for row in rows:
+                    ids = cache.spell(row)
+                    n.append(len(ids))
+                    ids_sha.append(hashlib.sha256(",".join(map(decimal.__getitem__, ids.tolist())).encode()).hexdigest())
+                    ids_all.append(ids.tobytes())
+                yield pa.RecordBatch.from_arrays(
+                    [doc_ids, pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(ids_all, pa.binary())],
+                    names=["doc_id", "n_tokens", "ids_sha256", "ids"])
+            if cache.full():
+                cache.restart()
+
         for b in batches:
             texts = [t or "" for t in b.column("text").to_pylist()]
-            n, ids_sha, ids_all = [], [], []
-            for group in _groups(texts):
-                pieces = [cut(bpe, texts[i]) for i in group]
-                cache.learn(set().union(*pieces))
-                for own in pieces:
-                    texts_, raw = zip(*map(cache.__getitem__, own)) if own else ((), ())
-                    ids = b"".join(raw)
-                    n.append(len(ids) // 4)
-                    ids_sha.append(hashlib.sha256(",".join(texts_).encode()).hexdigest())
-                    ids_all.append(ids)
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(ids_all, pa.binary())],
-                names=["doc_id", "n_tokens", "ids_sha256", "ids"])
+            held.append((b.column("doc_id"), [cache.numbers(cut(bpe, t)) for t in texts]))
+            chars += sum(map(len, texts))
+            if chars >= GROUP_CHARS:
+                yield from spelled()
+                held, chars = [], 0
+        if held:
+            yield from spelled()
 
     return run
 
