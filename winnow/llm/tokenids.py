@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import struct
+import unicodedata
 import zlib
 from functools import lru_cache
 
@@ -18,8 +21,8 @@ from .common import arrow_map, byte_texts, narrow
 # Ids after which a file is closed.
 FILE_IDS = 8_000_000
 END_ID = 2
-# Distinct words, and their bytes, a worker remembers before it starts anew.
-CACHE, CACHE_BYTES = 600_000, 16_000_000
+# Distinct pieces, and their characters, that a worker remembers before it starts anew.
+CACHE, CACHE_CHARS = 800_000, 16_000_000
 MAGIC = b"WIDS0001"
 # magic, part, number in the part, documents, ids, blocks, ids per block, checksum of the index
 HEAD = "<8sIIIQIII"
@@ -44,30 +47,99 @@ def _tokenizer(path: str):
     return tokenizer
 
 
-class WordIds(dict):
-    """word -> its ids as little-endian 16 bit. Exact for tokenizers that cut at white space and
-    drop it: no piece and no normalisation reaches across."""
+# Characters of texts that are cut here, Latin-1 without other white space and controls.
+# Normal form C leaves them as they are and lower case is a matter of single characters.
+PLAIN = "".join(map(chr, [*range(0x09, 0x0E), *range(0x20, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]))
+
+
+@lru_cache(maxsize=2)
+def _cut(path: str):
+    """The tokenizer's own cut of a plain text in lower case, its special tokens, and which ids end
+    a piece. None for a tokenizer that normalises or cuts in any other way."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    normal = [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])]
+    cuts = (spec["pre_tokenizer"] or {}).get("pretokenizers", [])
+    if normal != ["NFC", "Replace", "Lowercase"] or [c["type"] for c in cuts] != ["Split", "ByteLevel"]:
+        return None
+    white = spec["normalizer"]["normalizers"][1]
+    split, level = cuts
+    if white["pattern"] != {"Regex": r"\s+"} or white["content"] != " " or (split["behavior"], split["invert"]) != ("Removed", True):
+        return None
+    suffix = spec["model"].get("end_of_word_suffix")
+    if level["use_regex"] or level["add_prefix_space"] or not suffix:
+        return None
+    # classes of plain characters spelled out, which the standard patterns can do
+    pattern = split["pattern"].get("Regex", r"\p")
+    for kind in "LN":
+        pattern = pattern.replace(rf"\p{{{kind}}}", re.escape("".join(c for c in PLAIN if unicodedata.category(c)[0] == kind)))
+    if r"\p" in pattern or r"\P" in pattern:
+        return None
+    last = np.zeros(1 << 16, bool)
+    last[[i for t, i in spec["model"]["vocab"].items() if t.endswith(suffix)]] = True
+    return re.compile(pattern).findall, [t["content"].lower() for t in spec["added_tokens"]], last
+
+
+class PieceIds(dict):
+    """piece -> its ids as little-endian 16 bit, so that the tokenizer sees a piece once. A word with
+    other than plain characters or a special token is one piece. Exact for tokenizers that cut at
+    white space and drop it: no piece and no normalisation reaches across."""
+
+    strange = staticmethod(re.compile("[^" + re.escape(PLAIN) + "]").search)
 
     def __init__(self, path: str):
         self.tokenizer, self.size = _tokenizer(path), 0
-
-    def ids(self, words: list[bytes]) -> list[bytes]:
-        new = [w for w in set(words) if w not in self]
-        if new:
-            self.size += sum(map(len, new))
-            if len(self) + len(new) > CACHE or self.size > CACHE_BYTES:
-                self.clear()
-                self.size = 0
-                new = list(set(words))
-            for w, e in zip(new, self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)):
-                self[w] = np.array(e.ids, "<u2").tobytes()
-        return list(map(self.__getitem__, words))
+        self.findall, self.special, self.last = _cut(path) or (None, [], None)
+
+    def _plain(self, text: str, low: str) -> bool:
+        return self.findall is not None and not self.strange(text) and not any(t in low for t in self.special)
+
+    def ids(self, raw: bytes) -> bytes:
+        """Of a whole text."""
+        text = raw.decode()
+        low = text.lower()
+        whole: set[str] = set()
+        if self._plain(text, low):
+            pieces = self.findall(low)
+        else:
+            pieces = []
+            for word in map(bytes.decode, raw.split()):
+                low = word.lower()
+                if self._plain(word, low):
+                    pieces += self.findall(low)
+                else:
+                    pieces.append(word)
+                    whole.add(word)
+        try:
+            return b"".join(map(self.__getitem__, pieces))
+        except KeyError:
+            self._learn(set(pieces), whole)
+            return b"".join(map(self.__getitem__, pieces))
+
+    def _learn(self, wanted: set[str], whole: set[str]) -> None:
+        new = [p for p in wanted if p not in self]
+        self.size += sum(map(len, new))
+        if len(self) + len(new) > CACHE or self.size > CACHE_CHARS:
+            self.clear()
+            new = list(wanted)
+            self.size = sum(map(len, new))
+        cut = [p for p in new if p not in whole]
+        if cut:
+            # one text of all of them: the last id of a piece, and no other, has the suffix
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(cut)], add_special_tokens=False)[0].ids, "<u2")
+            ends = (2 * np.flatnonzero(self.last[ids]) + 2).tolist()
+            if len(ends) != len(cut):
+                raise ValueError("the tokenizer's ids do not show where pieces end")
+            self.update(zip(cut, map(ids.tobytes().__getitem__, map(slice, [0, *ends], ends))))
+        words = [p for p in new if p in whole]
+        for w, e in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False)):
+            self[w] = np.array(e.ids, "<u2").tobytes()
 
 
 @lru_cache(maxsize=1)
-def word_ids(path: str) -> WordIds:
+def piece_ids(path: str) -> PieceIds:
     """Kept by a worker from task to task."""
-    return WordIds(path)
+    return PieceIds(path)
 
 
 def pack(part: int, number: int, docs: list[int | None], counts: list[int], ids: np.ndarray, block: int = rangecoder.BLOCK) -> bytes:
@@ -117,7 +189,7 @@ def unpack(content: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
 
 def _files(path, end_id, file_ids):
     def run(batches):
-        words = word_ids(path)
+        pieces = piece_ids(path)
         part, number = TaskContext.get().partitionId(), 0
         end = np.array([end_id], "<u2").tobytes()
         docs, counts, held, size = [], [], [], 0
@@ -128,7 +200,7 @@ def _files(path, end_id, file_ids):
 
         for b in batches:
             for doc, text in zip(b.column("doc_id").to_pylist(), byte_texts(b.column("text"))):
-                own = b"".join([*words.ids(text.split()), end])
+                own = pieces.ids(text) + end
                 docs.append(doc)
                 counts.append(len(own) // 2)
                 held.append(own)
