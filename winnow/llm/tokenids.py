@@ -23,6 +23,8 @@ FILE_IDS = 8_000_000
 END_ID = 2
 # Distinct pieces, and their characters, that a worker remembers before it starts anew.
 CACHE, CACHE_CHARS = 800_000, 16_000_000
+# Pieces the tokenizer is given as one text, and the piece that ends a document; no text has an empty piece.
+JOINED, END = 1000, ""
 MAGIC = b"WIDS0001"
 # magic, part, number in the part, documents, ids, blocks, ids per block, checksum of the index
 HEAD = "<8sIIIQIII"
@@ -81,24 +83,36 @@ def _cut(path: str):
 
 
 class PieceIds(dict):
-    """piece -> its ids as little-endian 16 bit, so that the tokenizer sees a piece once. A word with
-    other than plain characters or a special token is one piece. Exact for tokenizers that cut at
-    white space and drop it: no piece and no normalisation reaches across."""
+    """piece -> its number; the ids of all numbered pieces stand in one array, so that the tokenizer
+    sees a piece once. A word with other than plain characters or a special token is one piece.
+    Exact for tokenizers that cut at white space and drop it: no piece and no normalisation
+    reaches across. Piece 0 is the end of a document."""
 
     strange = staticmethod(re.compile("[^" + re.escape(PLAIN) + "]").search)
 
     def __init__(self, path: str):
-        self.tokenizer, self.size = _tokenizer(path), 0
+        self.tokenizer = _tokenizer(path)
         self.findall, self.special, self.last = _cut(path) or (None, [], None)
+        self.restart()
+
+    def __missing__(self, piece: str) -> int:
+        n = self[piece] = len(self)
+        self.new.append(piece)
+        return n
+
+    def restart(self) -> None:
+        self.clear()
+        self[END] = 0
+        self.chars, self.new, self.whole = 0, [], set()
+        self.parts, self.begin, self.sizes = np.empty(0, "<u2"), np.zeros(1, np.int64), np.ones(1, np.int64)
 
     def _plain(self, text: str, low: str) -> bool:
         return self.findall is not None and not self.strange(text) and not any(t in low for t in self.special)
 
-    def ids(self, raw: bytes) -> bytes:
-        """Of a whole text."""
+    def numbers(self, raw: bytes) -> np.ndarray:
+        """Of the pieces of a whole text, and its end."""
         text = raw.decode()
         low = text.lower()
-        whole: set[str] = set()
         if self._plain(text, low):
             pieces = self.findall(low)
         else:
@@ -109,31 +123,46 @@ class PieceIds(dict):
                     pieces += self.findall(low)
                 else:
                     pieces.append(word)
-                    whole.add(word)
-        try:
-            return b"".join(map(self.__getitem__, pieces))
-        except KeyError:
-            self._learn(set(pieces), whole)
-            return b"".join(map(self.__getitem__, pieces))
-
-    def _learn(self, wanted: set[str], whole: set[str]) -> None:
-        new = [p for p in wanted if p not in self]
-        self.size += sum(map(len, new))
-        if len(self) + len(new) > CACHE or self.size > CACHE_CHARS:
-            self.clear()
-            new = list(wanted)
-            self.size = sum(map(len, new))
-        cut = [p for p in new if p not in whole]
-        if cut:
-            # one text of all of them: the last id of a piece, and no other, has the suffix
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(cut)], add_special_tokens=False)[0].ids, "<u2")
-            ends = (2 * np.flatnonzero(self.last[ids]) + 2).tolist()
-            if len(ends) != len(cut):
-                raise ValueError("the tokenizer's ids do not show where pieces end")
-            self.update(zip(cut, map(ids.tobytes().__getitem__, map(slice, [0, *ends], ends))))
-        words = [p for p in new if p in whole]
-        for w, e in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False)):
-            self[w] = np.array(e.ids, "<u2").tobytes()
+                    self.whole.add(word)
+        pieces.append(END)
+        return np.fromiter(map(self.__getitem__, pieces), np.int32, len(pieces))
+
+    def learn(self) -> None:
+        """Ids of the pieces numbered since the last time."""
+        apart = np.fromiter(map(self.whole.__contains__, self.new), bool, len(self.new))
+        cut = [p for p in self.new if p not in self.whole]
+        words = [p for p in self.new if p in self.whole]
+        joined = [" ".join(cut[i:i + JOINED]) for i in range(0, len(cut), JOINED)]
+        encoded = [np.array(e.ids, "<u2") for e in self.tokenizer.encode_batch_fast([*joined, *words], add_special_tokens=False)]
+        ids = np.concatenate([np.empty(0, "<u2"), *encoded])
+        n = sum(map(len, encoded[:len(joined)]))
+        # one text of many pieces: the last id of a piece, and no other, has the suffix
+        ends = np.flatnonzero(self.last[ids[:n]]) + 1 if n else np.empty(0, np.int64)
+        if len(ends) != len(cut):
+            raise ValueError("the tokenizer's ids do not show where pieces end")
+        sizes = np.empty(len(self.new), np.int64)
+        begin = np.empty(len(self.new), np.int64)
+        sizes[~apart] = np.diff(ends, prepend=0)
+        begin[~apart] = ends - sizes[~apart]
+        sizes[apart] = own = np.fromiter(map(len, encoded[len(joined):]), np.int64, len(words))
+        begin[apart] = n + np.cumsum(own) - own
+        self.begin = np.concatenate([self.begin, len(self.parts) + begin])
+        self.sizes = np.concatenate([self.sizes, sizes])
+        self.parts = np.concatenate([self.parts, ids])
+        self.chars += sum(map(len, self.new))
+        self.new, self.whole = [], set()
+
+    def full(self) -> bool:
+        return len(self) > CACHE or self.chars > CACHE_CHARS
+
+    def spell(self, numbers: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of a row of numbered pieces, and where each piece's ids end."""
+        sizes = self.sizes[numbers]
+        upto = np.cumsum(sizes)
+        at = np.repeat(self.begin[numbers] - upto + sizes, sizes) + np.arange(upto[-1])
+        ids = self.parts[at] if len(self.parts) else np.empty(len(at), "<u2")
+        ids[upto[numbers == 0] - 1] = end_id
+        return ids, upto
 
 
 @lru_cache(maxsize=1)
@@ -190,21 +219,29 @@ def unpack(content: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
 def _files(path, end_id, file_ids):
     def run(batches):
         pieces = piece_ids(path)
+        if pieces.new:  # left by a task that failed
+            pieces.restart()
         part, number = TaskContext.get().partitionId(), 0
-        end = np.array([end_id], "<u2").tobytes()
         docs, counts, held, size = [], [], [], 0
 
         def close():
-            ids = np.frombuffer(b"".join(held), "<u2")
-            return pa.RecordBatch.from_pydict({"file": [pack(part, number, docs, counts, ids)]})
+            return pa.RecordBatch.from_pydict({"file": [pack(part, number, docs, counts, np.concatenate(held))]})
 
         for b in batches:
-            for doc, text in zip(b.column("doc_id").to_pylist(), byte_texts(b.column("text"))):
-                own = pieces.ids(text) + end
+            if not b.num_rows:
+                continue
+            rows = [pieces.numbers(text) for text in byte_texts(b.column("text"))]
+            pieces.learn()
+            ids, upto = pieces.spell(np.concatenate(rows), end_id)
+            if pieces.full():
+                pieces.restart()
+            begin = 0
+            for doc, end in zip(b.column("doc_id").to_pylist(), upto[np.cumsum(list(map(len, rows))) - 1].tolist()):
                 docs.append(doc)
-                counts.append(len(own) // 2)
-                held.append(own)
-                size += len(own) // 2
+                counts.append(end - begin)
+                held.append(ids[begin:end])
+                size += end - begin
+                begin = end
                 if size >= file_ids:
                     yield close()
                     docs, counts, held, size, number = [], [], [], 0, number + 1
