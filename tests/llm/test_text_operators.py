@@ -115,6 +115,24 @@ def test_token_ids_whole_table(spark, sf, texts, library):
     assert got == wanted_ids(library, sorted(texts))
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.one_of(st.sampled_from(["'S", "'re", "<|endoftext|>", "<|EndOfText|>", "İ", "ſ", "ẞ", "e\u0301", "\u0301", "\xa0", "\x85", "\x1f", "\xad", " ", "\n", "é", "²", "漢"]),
+                          st.text(st.characters(max_codepoint=0x17F), max_size=6)), max_size=20))
+def test_token_ids_of_a_text(library, parts):
+    """Plain texts are cut here, words of other characters or special tokens by the library."""
+    text = "".join(parts).encode("utf-8", "ignore").decode()
+    ids = np.frombuffer(tokenids.piece_ids(tokenizer_path(WORD)).ids(text.encode()), "<u2").tolist()
+    assert ids == library[WORD].encode(text, add_special_tokens=False).ids
+
+
+def test_token_ids_memory_starts_anew(library, texts, monkeypatch):
+    monkeypatch.setattr(tokenids, "CACHE", 50)
+    pieces = tokenids.PieceIds(tokenizer_path(WORD))
+    for _, text in list(texts)[:40]:
+        text = text or ""
+        assert np.frombuffer(pieces.ids(text.encode()), "<u2").tolist() == library[WORD].encode(text, add_special_tokens=False).ids
+
+
 def test_token_ids_empty_table(spark, docs):
     path = scratch_path(spark, "ids")
     tokenids.write(docs.limit(0), path, tokenizer_path(WORD))
