@@ -309,3 +309,43 @@ def test_documents_beyond_16_bits_keep_their_own_ids(spark):
     feeds_ = spark.createDataFrame([("a", 0, "A", "ua", False, None), ("b", 1, "B", "ub", False, None)],
                                    "feed_id string, feed_ord int, name string, url string, is_search boolean, topic_context string")
     assert landed.feed_items(docs, feeds_).select("item_id").distinct().count() == 2
+
+
+@pytest.mark.parametrize("reported", [1, 2])
+@pytest.mark.parametrize("cap", [3, 7])
+def test_a_low_and_a_high_cap_give_equal_stories(spark, cap, reported):
+    """Stories are the titles' letters; the stand-in reports those it sees at least `reported` times."""
+    def make():
+        def call(prompt):
+            groups = {}
+            for i, line in enumerate(x for x in prompt.split("\n") if x.startswith("TITLE: ")):
+                groups.setdefault(line[7], []).append(i)
+            told = [{"title": f"{c} all", "summary": f"about {c}", "category": "news", "members": at} for c, at in groups.items() if len(at) >= reported]
+            return json.dumps({"clusters": told}), None
+        return call
+
+    items = run_items(spark, ["a1", "b1", "c1", "d1", "b2", "a2", "e1", "f1", "a3", "f2", "e2", "g1"], "a").unionAll(run_items(spark, ["a9", "a8"], "b", 20))
+
+    def told(size):
+        rows = summarise_all(items, Labels(cluster=True, topic_items=size), scoring.caller(make)).orderBy("item_ord").collect()
+        return [(r["item_ord"], r["item_id"], r["source"], r["title"], r["summary"], r["category"], r["link"], [x["link"] for x in r["links"]]) for r in rows]
+
+    high = told(100)
+    assert len(high) == 8 and told(cap) == high
+
+
+def test_a_lost_call_of_a_topic_is_made_good(spark):
+    """Items of a call without an answer join stories of the others; the rest goes through batches."""
+    def make():
+        def call(prompt):
+            if prompt.startswith("Item"):
+                return json.dumps({"items": [{"summary": "batch", "category": "news"}] * prompt.count("TITLE: ")}), None
+            titles = [x[7:] for x in prompt.split("\n") if x.startswith("TITLE: ")]
+            if titles == ["a2", "b1"]:
+                return None, None
+            at = [i for i, t in enumerate(titles) if t[0] == "a"]
+            return json.dumps({"clusters": [{"title": "A", "summary": "s", "category": "news", "members": at}]}), None
+        return call
+
+    rows = summarise_all(run_items(spark, ["a1", "c1", "a2", "b1"]), Labels(cluster=True, topic_items=2), scoring.caller(make)).orderBy("item_ord").collect()
+    assert [(r["title"], r["summary"]) for r in rows] == [("A", "s"), ("c1", "text"), ("b1", "batch")]

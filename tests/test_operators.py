@@ -283,3 +283,12 @@ def test_topics_for_everyone_by_list_and_by_join(spark, sf):
     users, topics = readers.normalise_users(views.users(spark, sf)), views.topics(spark, sf)
     rows = lambda limit: {r["user_ord"]: r["topics"] for r in readers.topics_by_user(users, topics, limit).collect()}
     assert rows(50_000) == rows(0)
+
+
+def test_stories_of_a_source_count_on_across_calls(spark):
+    """Unclaimed items are numbered over the source, clusters through its answers."""
+    numbered = scoring.number_topics(topic_items(spark, 6), max_items=3)
+    answers = [("t", k, json.dumps({"clusters": [{"title": f"C{k}", "members": [0, 2]}]})) for k in (0, 1)]
+    rows = clusters.assign_clusters(numbered, spark.createDataFrame(answers, "source string, chunk long, response string"), VOCAB, "mention")
+    late = 1 << 40
+    assert sorted((r["story_ord"], r["title"]) for r in rows.collect()) == [(0, "C0"), (1, "C1"), (late + 1, "T1"), (late + 4, "T4")]

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.responses import field, integers, is_object, unwrap_list
 from ..functions.text import blank_to_null
 from ..functions.vocab import coerce
+from ..session import freeze
+from .ordinals import dense_ordinal
 from .scoring import SUMMARY_CHARS
 
 KEYS = ["source", "chunk"]
+LABELS = ["cluster_ord", "c_title", "c_summary", "c_category", "c_domain"]
 # story_ord of a story no cluster named: after every cluster
 _LATE = 1 << 40
 
@@ -34,37 +37,133 @@ def claims(responses: DataFrame) -> DataFrame:
     return members.groupBy(*KEYS, "item_idx").agg(first.alias("_claim")).select(*KEYS, "item_idx", "_claim.*")
 
 
+def place_items(numbered: DataFrame, responses: DataFrame) -> DataFrame:
+    """Every item with its story's number inside the source and the labels it was claimed with.
+
+    Clusters count through the answers of a topic, unclaimed items through its items, so
+    neither number depends on where the topic was cut into calls."""
+    sizes = responses.select(*KEYS, F.coalesce(F.size(unwrap_list(F.col("response"), "clusters")), F.lit(0)).alias("_n"))
+    # one narrow row per call
+    earlier = Window.partitionBy("source").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(*KEYS, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"))
+    rows = numbered.join(claims(responses).join(starts, KEYS), [*KEYS, "item_idx"], "left")
+    story = F.coalesce(F.col("_start") + F.col("cluster_ord"), F.lit(_LATE) + F.col("topic_idx"))
+    place = F.struct("chunk", F.coalesce("pos", F.lit(0)).alias("pos"), "item_idx")
+    return rows.withColumn("story_ord", story.cast("bigint")).withColumn("_place", place).drop("_start")
+
+
+def in_several_calls(placed: DataFrame, responses: DataFrame) -> DataFrame:
+    """The earliest item of each story, for topics that took several calls, one of them usable;
+    numbered by n in item order."""
+    usable = responses.where(unwrap_list(F.col("response"), "clusters").isNotNull())
+    cut = placed.groupBy("source").agg(F.max("chunk").alias("_last")).where("_last > 0").select("source")
+    asked = cut.join(usable.select("source").distinct(), "source", "left_semi")
+    shown = [c for c in placed.columns if c not in (*KEYS, "item_idx", "topic_idx", "story_ord", "_place", *LABELS, "pos")]
+    heads = placed.join(asked, "source", "left_semi").groupBy("source", "story_ord").agg(
+        F.min_by(F.struct(*shown), F.col("_place")).alias("_head"), F.min("topic_idx").alias("topic_idx"),
+    ).select("source", "story_ord", "topic_idx", "_head.*")
+    return dense_ordinal(freeze(heads), ["topic_idx"], "n", ["source"], key=["item_id"])
+
+
+def paired_calls(stories: DataFrame, max_items: int) -> DataFrame:
+    """Numbered stories in prompts of at most max_items, so that any two of a topic share one.
+
+    Half a prompt is a block, and every two blocks are a prompt: b blocks take b(b - 1)/2 calls,
+    what it takes to compare everything when only the model can tell."""
+    half = max_items // 2
+    if half < 1:
+        raise ValueError("a prompt of fewer than two items cannot compare any")
+    most = stories.groupBy("source").agg((F.floor(F.max("n") / half) + 1).alias("_blocks"))
+    own, other, blocks = F.col("_block"), F.col("_other"), F.greatest(F.col("_blocks"), F.lit(2))
+    return (
+        stories.join(most, "source")
+        .withColumn("_block", F.floor(F.col("n") / half))
+        .withColumn("_other", F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)))
+        .where(own != other)
+        .withColumn("chunk", F.least(own, other) * blocks + F.greatest(own, other))
+        .withColumn("item_idx", (F.when(own > other, F.lit(half)).otherwise(0) + F.col("n") % half).cast("int"))
+        .drop("_blocks", "_block", "_other", "n")
+    )
+
+
+def _connected(links: DataFrame) -> DataFrame:
+    """(u, v) to (node, label): the smallest node that links lead to. Each round joins every
+    node to its smallest neighbour's smallest neighbour and goes on with what is still linked."""
+    links = freeze(links.where("u != v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
+    labels = None
+    while not links.isEmpty():
+        both = links.unionAll(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        near = freeze(both.groupBy("u").agg(F.least("u", F.min("v")).alias("p")))
+        far = near.select(F.col("u").alias("p"), F.col("p").alias("_p"))
+        parent = freeze(near.join(far, "p").select("u", F.col("_p").alias("p")))
+        if labels is None:
+            labels = parent.select(F.col("u").alias("node"), F.col("p").alias("label"))
+        else:
+            labels = freeze(labels.join(parent.select(F.col("u").alias("label"), "p"), "label", "left").select(
+                "node", F.coalesce("p", "label").alias("label")))
+        a, b = (parent.select(F.col("u").alias(k), F.col("p").alias(f"_{k}")) for k in ("u", "v"))
+        links = freeze(links.join(a, "u").join(b, "v").where("_u != _v").select(
+            F.least("_u", "_v").alias("u"), F.greatest("_u", "_v").alias("v")).distinct())
+    return links.select(F.col("u").alias("node"), F.col("v").alias("label")) if labels is None else labels
+
+
+def merge_calls(placed: DataFrame, stories: DataFrame, paired: DataFrame, responses: DataFrame) -> DataFrame:
+    """The second merge: stories that an answer of the paired calls put together become one.
+
+    A joined story has the labels of its first cluster in these answers. In the topics of
+    `stories`, clusters are ordered by their first item, as one call over the whole would show
+    them; a call without a usable answer joins nothing."""
+    told = paired.select(*KEYS, "item_idx", F.col("item_id").alias("node")).join(claims(responses), [*KEYS, "item_idx"])
+    groups = [*KEYS, "cluster_ord"]
+    joined = freeze(told.join(told.groupBy(*groups).agg(F.min("node").alias("v"), F.count("*").alias("_k")).where("_k > 1"), groups))
+    labels = _connected(joined.select(F.col("node").alias("u"), "v"))
+    called = joined.join(labels, "node").groupBy("label").agg(
+        F.min_by(F.struct(*LABELS), F.struct("chunk", "cluster_ord", "pos")).alias("_told"))
+    found = stories.select("source", "story_ord", "topic_idx", F.col("item_id").alias("node")).join(labels, "node", "left")
+    starts = found.groupBy(F.coalesce("label", "node").alias("_group")).agg(F.min("topic_idx").alias("_start"))
+    new = (
+        found.withColumn("_group", F.coalesce("label", "node")).join(starts, "_group").join(called, "label", "left")
+        .select("source", "story_ord", "_start", "_told")
+    )
+    rows = placed.join(new, ["source", "story_ord"], "left")
+    joined_up = F.col("_told").isNotNull()
+    for c in LABELS:
+        rows = rows.withColumn(c, F.when(joined_up, F.col(f"_told.{c}")).otherwise(F.col(c)))
+    order = F.when(F.col("_start").isNotNull() & F.col("cluster_ord").isNotNull(), F.col("_start")).otherwise(F.col("story_ord"))
+    return rows.withColumn("story_ord", order).drop("_start", "_told")
+
+
 def assign_clusters(numbered: DataFrame, responses: DataFrame, vocab: list[str], fallback: str,
                     domains: list[str] | None = None, fallback_domain: str | None = None) -> DataFrame:
     """One row per story: claimed items merged, every unclaimed item a story of its own."""
-    item_cols = [c for c in numbered.columns if c not in (*KEYS, "item_idx")]
-    rows = numbered.join(claims(responses), [*KEYS, "item_idx"], "left")
-    story = F.coalesce(F.col("cluster_ord").cast("bigint"), F.lit(_LATE) + F.col("item_idx"))
-    place = F.struct(F.coalesce("pos", F.lit(0)).alias("pos"), "item_idx")
-    rows = rows.withColumn("story_ord", story).withColumn("_place", place)
+    return merge_stories(place_items(numbered, responses), vocab, fallback, domains, fallback_domain)
+
 
+def merge_stories(placed: DataFrame, vocab: list[str], fallback: str,
+                  domains: list[str] | None = None, fallback_domain: str | None = None) -> DataFrame:
+    """One row per (source, story_ord) of placed items."""
+    item_cols = [c for c in placed.columns if c not in (*KEYS, "item_idx", "topic_idx", "story_ord", "_place", "pos", *LABELS)]
     # a link counts once per story, at its first place; the first row of all is the primary
-    labels = ["cluster_ord", "c_title", "c_summary", "c_category", "c_domain"]
-    by_link = rows.groupBy(*KEYS, "story_ord", F.coalesce("link", F.lit("")).alias("_link")).agg(
+    by_link = placed.groupBy("source", "story_ord", F.coalesce("link", F.lit("")).alias("_link")).agg(
         F.min("_place").alias("_place"),
-        F.min_by(F.struct(*item_cols, *labels), F.col("_place")).alias("_row"),
+        F.min_by(F.struct(*item_cols, *LABELS), F.col("_place")).alias("_row"),
         F.max("published").alias("_published"),
         F.count("*").alias("_n"),
     )
     credited = F.coalesce(blank_to_null(F.col("_row.publisher")), F.col("source"))
     entry = F.struct("_place", credited.alias("publisher"), F.col("_link").alias("link"))
-    merged = by_link.groupBy(*KEYS, "story_ord").agg(
+    merged = by_link.groupBy("source", "story_ord").agg(
         F.min_by("_row", F.col("_place")).alias("_row"),
         F.max("_published").alias("_published"),
         F.sum("_n").alias("n_members"),
         F.sort_array(F.collect_list(F.when(F.col("_link") != "", entry))).alias("_links"),
-    ).select(*KEYS, "story_ord", "n_members", "_published", "_links", "_row.*")
+    ).select("source", "story_ord", "n_members", "_published", "_links", "_row.*")
 
     claimed = F.col("cluster_ord").isNotNull()
     links = F.transform("_links", lambda e: F.struct(e["publisher"].alias("publisher"), e["link"].alias("link")))
-    kept = [c for c in numbered.columns if c not in ("title", "link", "published", "item_idx", "chunk")]
+    kept = [c for c in item_cols if c not in ("title", "link", "published")]
     return merged.select(
-        *kept, "story_ord", "n_members",
+        "source", *kept, "story_ord", "n_members",
         F.coalesce(blank_to_null(F.col("c_title")), F.col("title")).alias("title"),
         F.coalesce(F.get("_links", F.lit(0))["link"], F.col("link")).alias("link"),
         F.col("_published").alias("published"),

@@ -27,15 +27,15 @@ def number_batches(items: DataFrame, batch_size: int = 8) -> DataFrame:
 
 
 def number_topics(items: DataFrame, max_items: int = 2000) -> DataFrame:
-    """chunk and item_idx: 0-based position inside each source, in item order.
+    """topic_idx: 0-based position inside each source, in item order; chunk and item_idx: the
+    prompt that shows the item and its position there.
 
-    One call takes one topic; a topic above max_items becomes several calls, so that no
-    prompt grows without end."""
+    max_items is the size of one prompt only. A larger topic becomes several calls, and
+    `clusters.merge_calls` finds the stories that a cut has separated."""
     return (
-        dense_ordinal(items, ["item_ord"], "_n", ["source"], key=["item_id"])
-        .withColumn("chunk", F.floor(F.col("_n") / max_items))
-        .withColumn("item_idx", (F.col("_n") % max_items).cast("int"))
-        .drop("_n")
+        dense_ordinal(items, ["item_ord"], "topic_idx", ["source"], key=["item_id"])
+        .withColumn("chunk", F.floor(F.col("topic_idx") / max_items))
+        .withColumn("item_idx", (F.col("topic_idx") % max_items).cast("int"))
     )
 
 

@@ -65,17 +65,31 @@ def by_batch(items: DataFrame, labels: Labels, fn) -> DataFrame:
 
 
 def by_topic(items: DataFrame, labels: Labels, fn) -> DataFrame:
-    """One call per topic, its items merged into stories; a topic without a usable answer
-    goes through batches. Topics never mix: the topic is what digests route on."""
+    """Calls over each topic, its items merged into stories; what no usable answer told of goes
+    through batches. Topics never mix: the topic is what digests route on.
+
+    topic_items bounds a prompt and nothing else: the stories of a topic that took several calls
+    are compared across them."""
+    if labels.topic_items < 2:
+        raise ValueError("topic_items below 2 compares nothing")
     numbered = scoring.number_topics(items, labels.topic_items)
-    answers = _ask(scoring.topic_prompts(numbered, labels.cluster_template), "source string, chunk bigint", labels, fn, "cluster")
+    keys = "source string, chunk bigint"
+    answers = _ask(scoring.topic_prompts(numbered, labels.cluster_template), keys, labels, fn, "cluster")
     from ..functions.responses import unwrap_list
 
+    placed = clusters.place_items(numbered, answers)
+    stories = clusters.in_several_calls(placed, answers)
+    if not stories.isEmpty():
+        paired = freeze(clusters.paired_calls(stories, labels.topic_items))
+        again = _ask(scoring.topic_prompts(paired, labels.cluster_template), keys, labels, fn, "cluster")
+        placed = freeze(clusters.merge_calls(placed, stories, paired, again))
     usable = unwrap_list(F.col("response"), "clusters").isNotNull()
-    lost = answers.where(~F.coalesce(usable, F.lit(False))).select("source", "chunk")
-    merged = clusters.assign_clusters(numbered.join(lost, ["source", "chunk"], "left_anti"), answers, *labels.vocabulary(items.sparkSession))
-    rest = numbered.join(lost, ["source", "chunk"], "left_semi").drop("chunk", "item_idx")
+    lost = answers.where(~F.coalesce(usable, F.lit(False))).select("source", "chunk", F.lit(True).alias("_lost"))
+    marked = placed.join(lost, ["source", "chunk"], "left")
+    alone = F.col("_lost").isNotNull() & F.col("cluster_ord").isNull()
+    merged = clusters.merge_stories(marked.where(~alone).drop("_lost"), *labels.vocabulary(items.sparkSession))
     if not lost.isEmpty():
+        rest = marked.where(alone).select(*items.columns, "story_ord")
         merged = merged.unionByName(by_batch(rest, labels, fn), allowMissingColumns=True)
     # stories follow their topic's first item, clusters first
     first = items.groupBy("source").agg(F.min("item_ord").alias("_topic"))

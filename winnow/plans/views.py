@@ -276,7 +276,7 @@ def cluster_responses(spark, sf) -> DataFrame:
     body = ('{"clusters":[{"title":"Pair","summary":"both","category":"key","domain":"en","members":[0,2]},'
             '{"title":"","summary":"one","category":"odd","domain":"xx","members":[1]},'
             '{"title":"Late","summary":"","category":"notable","domain":"fr","members":[2,5,5]},'
-            '{"title":"Out","summary":"x","category":"key","domain":"en","members":[99999]},"junk"]}')
+            '{"title":"Out","summary":"x","category":"key","domain":"en","members":[1099511627776]},"junk"]}')
     return table(spark, sf, "documents").select("source").distinct().select(
         "source", F.lit(0).cast("bigint").alias("chunk"), F.lit(body).alias("response"))
 
