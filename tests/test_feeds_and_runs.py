@@ -349,3 +349,18 @@ def test_a_lost_call_of_a_topic_is_made_good(spark):
 
     rows = summarise_all(run_items(spark, ["a1", "c1", "a2", "b1"]), Labels(cluster=True, topic_items=2), scoring.caller(make)).orderBy("item_ord").collect()
     assert [(r["title"], r["summary"]) for r in rows] == [("A", "s"), ("c1", "text"), ("b1", "batch")]
+
+
+def test_messages_refer_to_the_blocks_of_their_batch(spark, tmp_path):
+    from winnow.operators import render
+
+    cfg = settings(spark, tmp_path)
+    items = run_items(spark, ["A", "B"])
+    for batch, at in (("r1", AS_OF), ("r2", "2024-01-31 06:00:00")):
+        assert whole.run(spark, cfg, items, at, answering("news"), batch)["success"]
+    box = spark.read.parquet(f"{cfg.state_path}/outbox")
+    blocks = state.read_table(spark, f"{cfg.state_path}/blocks", whole.DIGEST_BLOCKS)
+    told = render.message_blocks(box, blocks).orderBy("n").collect()
+    texts = {again: "\n".join(r["text"] for r in told if r["no_new_updates"] == again) for again in (False, True)}
+    assert texts[False] == texts[True] and texts[False].count("### [") == 2
+    assert [r["body_chars"] for r in box.collect()] == [len(texts[True])] * 2

@@ -292,3 +292,14 @@ def test_stories_of_a_source_count_on_across_calls(spark):
     rows = clusters.assign_clusters(numbered, spark.createDataFrame(answers, "source string, chunk long, response string"), VOCAB, "mention")
     late = 1 << 40
     assert sorted((r["story_ord"], r["title"]) for r in rows.collect()) == [(0, "C0"), (1, "C1"), (late + 1, "T1"), (late + 4, "T4")]
+
+
+def test_a_digest_as_blocks_and_one_message(spark):
+    """However a digest is cut, each recipient gets one message, and its blocks are the document."""
+    digests = spark.createDataFrame([(0, "D", ["key", "mention"], [], False, None, ["a@x.io, b@x.io"], {"key": "Top"})], schemas.DIGESTS)
+    blocks = render.document(routed_rows(spark), digests, AS_OF).orderBy("n").collect()
+    assert [r["n"] for r in blocks] == list(range(7)) and "\n".join(r["text"] for r in blocks) == DOCUMENT
+    pages = render.render(routed_rows(spark), digests, AS_OF, page_blocks=2)
+    for rendered in (pages, render.document(routed_rows(spark), digests, AS_OF)):
+        box = render.outbox(rendered, digests, None, AS_OF).orderBy("recipient").collect()
+        assert [(r["recipient"], r["body_chars"]) for r in box] == [("a@x.io", len(DOCUMENT)), ("b@x.io", len(DOCUMENT))]

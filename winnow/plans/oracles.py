@@ -181,6 +181,14 @@ rendered AS (SELECT digest_ord, digest_title, digest_slug, 0::BIGINT AS page,
   regexp_replace('# ' || digest_title || chr(10) || chr(10) || '*2024-01-31*' || chr(10) || chr(10) || string_agg(body, chr(10) ORDER BY rk), '{WS}+$', '') AS markdown
   FROM secs GROUP BY digest_ord, digest_title, digest_slug)"""
 
+BLOCKS = f"""texts AS (SELECT digest_ord, digest_slug, 0 AS rank, 0 AS step, 0 AS place, '# ' || any_value(digest_title) || chr(10) || chr(10) || '*2024-01-31*' || chr(10) AS text
+  FROM rows_ GROUP BY digest_ord, digest_slug
+UNION ALL SELECT digest_ord, digest_slug, rk, 0, 0, '## ' || any_value(CASE WHEN label.s = category THEN label.l
+  ELSE upper(substr(category, 1, 1)) || substr(category, 2) END) || chr(10) FROM rows_ GROUP BY digest_ord, digest_slug, rk
+UNION ALL SELECT digest_ord, digest_slug, rk, 1, item_ord, {BLOCK} FROM rows_
+UNION ALL SELECT DISTINCT digest_ord, digest_slug, rk, 2, 0, '' FROM rows_),
+placed AS (SELECT *, row_number() OVER (PARTITION BY digest_ord ORDER BY rank, step, place) - 1 AS n, count(*) OVER (PARTITION BY digest_ord) AS k FROM texts)"""
+
 
 def _with(*parts, select):
     return "WITH " + ",\n".join(parts) + "\n" + select
@@ -323,6 +331,8 @@ ORACLES = {
         CASE WHEN e IS NULL THEN 'same' WHEN s = e AND b IS NULL THEN 'removed' WHEN s = e AND b <> e THEN 'kept' WHEN s = e THEN 'same'
         WHEN b IS DISTINCT FROM e THEN 'set' ELSE 'same' END AS action FROM j"""),
     "render_digests": _with(ITEMS, SCORED, DIGESTS, ROUTED, RENDERED, select="SELECT digest_slug, page, markdown FROM rendered"),
+    "digest_blocks": _with(ITEMS, SCORED, DIGESTS, ROUTED, RENDERED, BLOCKS, select=f"""SELECT digest_slug, rank, n,
+        CASE WHEN n = k - 2 THEN regexp_replace(text, '{WS}+$', '') ELSE text END AS text FROM placed WHERE n < k - 1"""),
     "outbox": _with(ITEMS, SCORED, DIGESTS, ROUTED, RENDERED, select="""SELECT r.digest_slug, coalesce(x.a, '') AS recipient, r.digest_title || ' — 2024-01-31' AS subject, length(r.markdown) AS body_chars,
         CASE WHEN x.a IS NULL THEN 'no recipient configured' ELSE '' END AS error FROM rendered r JOIN digests d ON d.digest_ord = r.digest_ord
         LEFT JOIN (SELECT digest_ord, unnest(rcpt) AS a FROM digests) x ON x.digest_ord = r.digest_ord"""),

@@ -352,18 +352,23 @@ def merge_values(spark, sf):
 
 # --- documents --------------------------------------------------------------------------------------
 
-def _rendered(spark, sf, page_blocks=1_000_000):
-    return render.render(_routed(spark, sf), V.digests(spark), AS_OF, page_blocks=page_blocks)
+def _document(spark, sf):
+    return render.document(_routed(spark, sf), V.digests(spark), AS_OF)
+
+
+def digest_blocks(spark, sf):
+    """Every digest as a run writes it."""
+    return render.in_order(_document(spark, sf)).select("digest_slug", "rank", "n", "text")
 
 
 def render_digests(spark, sf):
-    return _rendered(spark, sf).select("digest_slug", "page", "markdown")
+    """Each digest as one string."""
+    return render.render(_routed(spark, sf), V.digests(spark), AS_OF).select("digest_slug", "page", "markdown")
 
 
 def outbox(spark, sf):
-    return render.outbox(_rendered(spark, sf), V.digests(spark), None, AS_OF).select(
-        "digest_slug", F.coalesce("recipient", F.lit("")).alias("recipient"), "subject",
-        F.length("body").cast("bigint").alias("body_chars"), F.coalesce("error", F.lit("")).alias("error"))
+    return render.outbox(_document(spark, sf), V.digests(spark), None, AS_OF).select(
+        "digest_slug", F.coalesce("recipient", F.lit("")).alias("recipient"), "subject", "body_chars", F.coalesce("error", F.lit("")).alias("error"))
 
 
 def previous_digests(spark, sf):
@@ -461,7 +466,7 @@ NAMES = [
     available_digests, clean_links, publishers, title_suffixes, strip_html, truncate_text, slugs, norm_titles,
     title_tokens, safe_text, delimiters, email_check, prompts, topic_prompts, batch_join, response_audit, single_join,
     cluster_stories, model_calls, usage_extract, usage_cost, usage_daily, usage_rollup, history_page, history_deep,
-    history_trim, history_counts, history_append, run_latest, merge_rows, merge_changes, merge_values, render_digests,
+    history_trim, history_counts, history_append, run_latest, merge_rows, merge_changes, merge_values, digest_blocks, render_digests,
     outbox, previous_digests, feed_scan, landed_trim, summarise_batches, summarise_topics, stream_daily, stream_seen, health,
     vocabularies,
 ]

@@ -11,7 +11,8 @@ from ..sources import feeds as landed, search, sinks, state
 from ..session import freeze, tune
 from .summarise import Labels, summarise_all
 
-DIGEST_ARCHIVE = "digest_ord int, digest_title string, digest_slug string, page bigint, markdown string, rendered_at timestamp"
+DIGEST_ARCHIVE = "digest_ord int, digest_title string, digest_slug string, n_blocks bigint, body_chars bigint, rendered_at timestamp"
+DIGEST_BLOCKS = "digest_ord int, digest_title string, digest_slug string, rank int, n bigint, text string"
 
 
 @dataclass
@@ -117,8 +118,11 @@ def _run(spark, cfg: Settings, items, as_of, fn, batch_id) -> dict:
         return {"items": 0, "message": "No matching digests"}
 
     routed = freeze(routing.route(scored, digests))
-    rendered = freeze(render.render(routed, digests, as_of, cfg.template))
-    sinks.write_outbox(render.outbox(rendered, digests, cfg.default_to, as_of), f"{path}/outbox", batch_id)
+    state.write_batch(render.in_order(render.document(routed, digests, as_of, cfg.template)), f"{path}/blocks", batch_id)
+    blocks = state.read_table(spark, f"{path}/blocks", DIGEST_BLOCKS).where(F.col("batch_id") == str(batch_id))
+    rendered = freeze(render.sizes(blocks))
+    own = rendered.withColumn("document_batch", F.lit(str(batch_id)))
+    sinks.write_outbox(render.outbox(own, digests, cfg.default_to, as_of), f"{path}/outbox", batch_id)
     state.write_batch(rendered.withColumn("rendered_at", F.lit(as_of).cast("timestamp")), f"{path}/digests", batch_id)
     sent = state.HistoryStore(f"{path}/history")
     sent.append(history.history_rows(routed, as_of, sent.last_id(spark, batch_id)), batch_id)
@@ -137,8 +141,10 @@ def _run(spark, cfg: Settings, items, as_of, fn, batch_id) -> dict:
 
 
 def deliver_previous(spark, cfg: Settings, digests: DataFrame, as_of, batch_id) -> int:
-    """Nothing new: the last rendering of each digest goes out again, marked as such."""
-    archive = state.read_table(spark, f"{cfg.state_path}/digests", DIGEST_ARCHIVE).drop("digest_ord", "batch_id")
+    """Nothing new: the last rendering of each digest goes out again, marked as such; the messages
+    refer to the blocks of the batch that wrote them."""
+    archive = state.read_table(spark, f"{cfg.state_path}/digests", DIGEST_ARCHIVE).withColumnsRenamed(
+        {"digest_ord": "document_ord", "batch_id": "document_batch"})
     wanted = digests.select("digest_ord", F.col("title").alias("digest_title"))
     latest = freeze(render.latest_digests(archive).join(wanted, "digest_title"))
     box = render.outbox(latest, digests, cfg.default_to, as_of, no_new_updates=True)
