@@ -354,3 +354,19 @@ def test_stages_odd_rows(spark, docs, sf):
     kept = [r["text"] for r in corpus_pipeline.STAGES[1][1](spark, docs, sf).collect()]
     assert len(kept) == len({"".join(re.split(r"[\x20\x09-\x0D]", t or "")) for _, t, _ in DOCS})
     assert set(CLASHING) <= set(docs.columns) and exact.dedup(docs).columns[0] == "doc_id"
+
+
+def test_stages_keep_one_row_of_null_and_repeated_ids(spark, frame):
+    """One of each group of near copies, and of equal texts the longest, whatever the ids are."""
+    from winnow.llm import stages
+
+    words = [f"w{i}" for i in range(60)]
+    near_ = [" ".join(words), " ".join(words + ["x"]), " ".join(words + ["y"])]
+    other = [" ".join(f"o{i}" for i in range(40)) + end for end in ("", " a", " b")]
+    kept = stages.jaccard_join(spark, frame([(None, t, "s") for t in near_] + [(7, t, "s") for t in other]), "").collect()
+    assert sorted((r["doc_id"] is None, r["text"][0]) for r in kept) == [(False, "o"), (True, "w")]
+    variants = ["a b c", "a  b  c", "abc", "a b  c"]
+    rows = [(None, t, "s") for t in variants] + [(3, t.upper(), "s") for t in variants]
+    for parts in (1, 3):
+        kept = stages.exact_dedup(spark, frame(rows, parts), "").collect()
+        assert sorted((r["doc_id"] or 0, r["text"]) for r in kept) == [(0, "a  b  c"), (3, "A  B  C")]

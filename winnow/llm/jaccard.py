@@ -363,7 +363,8 @@ def _open(members: DataFrame, labels: DataFrame, window: float) -> DataFrame:
 def near_copies(docs: DataFrame, threshold: int = THRESHOLD, size: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text",
                 leaf_shingles: int = LEAF_SHINGLES, screen_docs: int = SCREEN_DOCS, n_pivots: int = PIVOTS, depth: int = DEPTH) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links, itself included), text_hash
-    (xxhash64 of the text, null as empty).
+    (xxhash64 of the text, null as empty), kept: the one (doc_id, text_hash) of each component that is
+    smallest, null ids last; rows equal in both are alike.
 
     Two documents link when their sets of `size`-word shingles, lower-cased in A-Z, overlap in at least
     `threshold` per cent of their union: when their Jaccard distance, a metric, is within the window.
@@ -441,10 +442,12 @@ def near_copies(docs: DataFrame, threshold: int = THRESHOLD, size: int = SHINGLE
 
     rows = table.select("doc_id", "hash", F.col("n").alias("n_shingles"), "uid")
     joined = rows.join(labels, rows["uid"] == labels["node"], "left").select("doc_id", "hash", "n_shingles", F.coalesce("label", "uid").alias("label"))
-    least = joined.where("n_shingles > 0").groupBy("label").agg(F.min("doc_id").alias("least")).withColumnRenamed("label", "_label")
+    least = joined.where("n_shingles > 0").groupBy("label").agg(
+        F.min("doc_id").alias("least"), F.min(F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), "hash")).alias("first")).withColumnRenamed("label", "_label")
     return joined.join(least, (joined["label"] == least["_label"]) & (joined["n_shingles"] > 0), "left").select(
         "doc_id", F.col("n_shingles").cast("long").alias("n_shingles"), F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"),
-        F.col("hash").alias("text_hash"))
+        F.col("hash").alias("text_hash"),
+        ((F.col("n_shingles") == 0) | (F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), "hash") == F.col("first"))).alias("kept"))
 
 
 def _join_leaves(rows: DataFrame, texts: DataFrame, size: int, threshold: int) -> DataFrame:

@@ -17,11 +17,18 @@ def _ready(spark: SparkSession) -> None:
     tune(spark).conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
-def _joined(docs: DataFrame, decisions: DataFrame, digest) -> DataFrame:
-    """Rows of `docs` with the decision for their (doc_id, digest); one row for each such pair."""
+def _joined(docs: DataFrame, decisions: DataFrame, digest, best=None) -> DataFrame:
+    """Rows of `docs` with the decision for their (doc_id, digest); one row for each such pair, the
+    one that is largest in `best`."""
     keyed = docs.withColumns({"__doc": F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)), "__digest": digest})
+    if best is not None:
+        keyed = keyed.withColumn("__best", best)
     wanted = decisions.withColumn("__doc", F.coalesce("doc_id", F.lit(NO_ID))).drop("doc_id")
-    return keyed.join(wanted, ["__doc", "__digest"]).dropDuplicates(["__doc", "__digest"])
+    joined = keyed.join(wanted, ["__doc", "__digest"])
+    if best is None:
+        return joined.dropDuplicates(["__doc", "__digest"])
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    return joined.groupBy("__doc", "__digest").agg(F.max_by(row, F.col("__best")).alias("__row")).select("__row.*")
 
 
 def _text_hash(docs: DataFrame):
@@ -38,17 +45,19 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts."""
+    """One document of each group of equal texts: the row that exact.dedup keeps. Of rows with its id and
+    its normalised text that is the one with the most code points."""
     _ready(spark)
     kept = exact.dedup(docs).where("kept").select("doc_id", F.col("text_sha256").alias("__digest")).distinct()
-    return _joined(docs, kept, F.sha2(exact.normalise(docs["text"]), 256)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    longest = F.struct(F.coalesce(F.length(docs["text"]), F.lit(0)), _text_hash(docs))
+    return _joined(docs, kept, F.sha2(exact.normalise(docs["text"]), 256), longest).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies. Rows without an id leave
-    where a row with one is linked, else they stay; rows of one id and one group stay together."""
+    """One document of each group of near copies: the smallest id, then the smallest hash of the text; a null id
+    is larger than any."""
     _ready(spark)
-    kept = jaccard.near_copies(docs).where("component_id <=> doc_id").select("doc_id", F.col("text_hash").alias("__digest")).distinct()
+    kept = jaccard.near_copies(docs).where("kept").select("doc_id", F.col("text_hash").alias("__digest")).distinct()
     return _joined(docs, kept, _text_hash(docs)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
