@@ -370,3 +370,24 @@ def test_stages_keep_one_row_of_null_and_repeated_ids(spark, frame):
     for parts in (1, 3):
         kept = stages.exact_dedup(spark, frame(rows, parts), "").collect()
         assert sorted((r["doc_id"] or 0, r["text"]) for r in kept) == [(0, "a  b  c"), (3, "A  B  C")]
+
+
+@pytest.mark.parametrize("threshold", [20, 40, 50, 75])
+def test_signatures_of_any_width_that_may_link_are_compared(threshold):
+    sets = [np.sort(jaccard.mix64(np.arange(n, dtype=np.uint64))) for n in (30, 33, 60, 66, 75, 130, 150, 160)]
+    sizes, labels = np.array([len(x) for x in sets]), np.arange(len(sets))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if jaccard.linked(len(b), len(a), len(b), threshold):
+                assert jaccard.may_link([jaccard.signature(b), jaccard.signature(a)], sizes[[j, i]], labels[[j, i]], threshold, 0)[0].all()
+
+
+@pytest.mark.parametrize("threshold", [25, 45])
+def test_low_thresholds_lose_no_link(frame, threshold):
+    rng = random.Random(threshold)
+    rows = []
+    for k in range(6):
+        words = [f"k{k}w{i}" for i in range(200)]
+        rows += [(100 * k + n, " ".join(words[:n])) for n in (rng.randrange(18, 24), rng.randrange(40, 50), rng.randrange(70, 90))]
+    got = near(frame([(d, t, "s") for d, t in rows]), threshold=threshold, screen_docs=8192)
+    assert got == by_text(plain_near_copies(rows, threshold=threshold))

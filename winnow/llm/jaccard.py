@@ -54,13 +54,13 @@ def may_link(signatures: list[bytes], sizes: np.ndarray, labels: np.ndarray, thr
     any_, with_first = np.zeros(n, bool), np.zeros(n, bool)
     width = np.array([len(x) for x in signatures])
     for w in np.unique(width).tolist():
-        # linked sizes differ by less than two times: a signature of twice the width at most
-        at = np.flatnonzero((width == w) | (width == 2 * w))
+        # linked sizes differ by 100 / threshold times at most, and a width by less than two times from its size's share
+        at = np.flatnonzero((width >= w) & (width * threshold < 200 * w))
         own = width[at] == w
         folded = np.empty((len(at), w // 8), np.uint64)
         for row, i in enumerate(at.tolist()):
             raw = np.frombuffer(signatures[i], np.uint64)
-            folded[row] = raw if own[row] else raw[:w // 8] ^ raw[w // 8:]
+            folded[row] = raw if own[row] else np.bitwise_xor.reduce(raw.reshape(-1, w // 8), axis=0)
         both = sizes[at].astype(np.int64)
         for row in np.flatnonzero(own).tolist():
             total = both + both[row]
