@@ -32,14 +32,14 @@ def narrow(df: DataFrame, **columns: str) -> DataFrame:
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows as a table in the shared scratch folder: lineage ends here, and nothing needs the
-    shuffles behind it any more."""
+def written(df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
+    """The rows as a table in the shared scratch folder, in folders by the columns `by`: lineage ends here, and nothing
+    needs the shuffles behind it any more."""
     spark = df.sparkSession
     path, before = scratch_path(spark, name), spark.conf.get(CLEANUP)
     spark.conf.set(CLEANUP, "true")
     try:
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.option("compression", "zstd").partitionBy(*by or []).parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)

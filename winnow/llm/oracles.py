@@ -104,7 +104,66 @@ SELECT doc_id, len(words) AS n_words, coalesce(len(gone), 0) AS n_removed,
 FROM d LEFT JOIN r USING (doc_id)
 """
 
+# A turn's place in its path is the digest of its role and text, so that one path starts with another exactly where the
+# conversations do. crc32 bit by bit.
+OP12 = r"""
+WITH RECURSIVE t AS MATERIALIZED (
+    SELECT conv_id, sha256(octet_length(encode(coalesce(role, '')))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, '')) AS digest,
+        len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS words, turn FROM conversations WHERE conv_id IS NOT NULL),
+o AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, digest) - 1 AS pos FROM t),
+c AS MATERIALIZED (
+    SELECT conv_id, conv_id - conv_id % 20 AS base, xor(4294967295, list_reduce(
+        list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda ch: ord(ch)::BIGINT)),
+        lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda x, y: xor(x >> 1, (x & 1) * 3988292384)))) % 4 AS h
+    FROM (SELECT DISTINCT conv_id FROM t)),
+b AS (
+    SELECT c.conv_id, 0 AS part, o.pos, o.digest, o.words FROM c JOIN o ON o.conv_id = c.base WHERE o.pos < c.h
+    UNION ALL SELECT c.conv_id, 1, o.pos, o.digest, o.words FROM c JOIN o ON o.conv_id = c.conv_id WHERE o.pos >= c.h),
+s AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY part, pos) AS depth FROM b),
+r AS MATERIALIZED (
+    SELECT conv_id AS conv, 0 AS depth, '' AS path, 0 AS words FROM c
+    UNION ALL SELECT conv_id, depth, string_agg(digest, '') OVER (PARTITION BY conv_id ORDER BY depth), words FROM s),
+m AS (SELECT conv, max(depth) AS depth FROM r GROUP BY conv),
+e AS (
+    SELECT path, sha256(string_agg(conv::VARCHAR, ',' ORDER BY conv)) AS ends_sha256 FROM r JOIN m USING (conv, depth) GROUP BY path),
+n AS MATERIALIZED (SELECT path, depth, any_value(words) AS words, min(conv) AS conv_id, count(*) AS n_convs FROM r GROUP BY path, depth),
+k AS MATERIALIZED (
+    SELECT n.*, p.conv_id AS parent_conv_id, left(n.path, 64 * (n.depth - 1)) AS parent FROM n LEFT JOIN n p
+        ON n.depth > 0 AND p.depth = n.depth - 1 AND p.path = left(n.path, 64 * (n.depth - 1))),
+f AS MATERIALIZED (
+    SELECT k.*, coalesce(x.n, 0) AS n_children FROM k LEFT JOIN (SELECT parent, count(*) AS n FROM k WHERE depth > 0 GROUP BY parent) x ON x.parent = k.path),
+u AS (
+    SELECT r.path, sum((f.n_convs - 1) * f.words) AS saved, count(*) FILTER (f.n_children = 0) AS leaves
+    FROM f JOIN r ON r.conv = f.conv_id AND r.depth <= f.depth GROUP BY r.path)
+SELECT f.conv_id, f.depth, f.parent_conv_id, f.n_convs, f.n_children, u.leaves AS n_leaves, u.saved::BIGINT AS saved_tokens,
+    coalesce(e.ends_sha256, sha256('')) AS ends_sha256
+FROM f JOIN u USING (path) LEFT JOIN e USING (path)
+"""
+
+ALNUM = r"""[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"""
+LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP13 = rf"""
+WITH d AS MATERIALIZED (SELECT doc_id, regexp_extract_all({LOWER}, '{ALNUM}') AS words FROM documents),
+i AS (SELECT item_id, regexp_extract_all({LOWER}, '{ALNUM}') AS words FROM benchmark),
+w AS MATERIALIZED (
+    SELECT DISTINCT item_id, least(len(words), 10) AS k, unnest([array_to_string(words[p:p + least(len(words), 10) - 1], ' ')
+        for p in range(1, len(words) - least(len(words), 10) + 2)]) AS gram FROM i WHERE len(words) > 0),
+g AS (
+    SELECT doc_id, k, unnest(range(1, len(words) - k + 2)) AS p,
+        unnest([array_to_string(words[q:q + k - 1], ' ') for q in range(1, len(words) - k + 2)]) AS gram
+    FROM d, (SELECT DISTINCT k FROM w) WHERE len(words) >= k),
+o AS MATERIALIZED (SELECT doc_id, p, k, item_id FROM g JOIN w USING (k, gram)),
+h AS (SELECT doc_id, count(*) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(p, p + k)) AS hit FROM o) GROUP BY doc_id),
+x AS (
+    SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids
+    FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM o WHERE item_id IS NOT NULL) GROUP BY doc_id)
+SELECT d.doc_id, len(words) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+    coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN x USING (doc_id)
+"""
+
 ORACLES = {
     "op2_exact_dedup": OP2, "op4_jaccard_join": OP4, "op5_mixing": OP5, "op8_quality_rules": OP8, "rule_ablation": ABLATION,
-    "op9_substring_dedup": OP9,
+    "op9_substring_dedup": OP9, "op12_trie": OP12, "op13_decontaminate": OP13,
 }

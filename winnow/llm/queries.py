@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from ..session import scratch_path, tune
-from . import bpe, exact, jaccard, mixing, quality, rules, sharding, substring, tokenids, warc
+from . import align, bpe, decontaminate, exact, jaccard, mixing, quality, rules, sharding, substring, tokenids, trie, warc
 from .common import read_table, written
 
 POLICY = "v2"
@@ -72,6 +72,20 @@ def op10_sharding(spark, sf):
     return sharding.shard(_documents(spark, sf))
 
 
+def op11_align(spark, sf):
+    return align.align(_documents(spark, sf), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
+def op12_trie(spark, sf):
+    turns = trie.numbered(read_table(tune(spark), sf, "conversations"))
+    return trie.trie(trie.rebuilt(turns)).select(
+        "conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
+def op13_decontaminate(spark, sf):
+    return decontaminate.report(decontaminate.find(_documents(spark, sf), read_table(spark, sf, "benchmark")))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_bpe, op2_exact_dedup, op3_warc, op4_jaccard_join, op5_mixing, op6_quality, op7_token_ids, op8_quality_rules, rule_ablation,
-    op9_substring_dedup, op10_sharding)}
+    op9_substring_dedup, op10_sharding, op11_align, op12_trie, op13_decontaminate)}
