@@ -262,7 +262,7 @@ def found(spark, docs, items, **settings):
     return sorted(tuple(r) for r in rows)
 
 
-@pytest.mark.parametrize("shard_bytes", [decontaminate.SHARD_BYTES, 40])
+@pytest.mark.parametrize("shard_bytes", [decontaminate.SHARD_BYTES, 700])
 def test_decontaminate_odd_rows(spark, frame, shard_bytes):
     docs = DOCS + [(50, "A" * 300 + "-" + "b" * 40 + "\x00" + "be,be.be;be:be be be be be be be be", "s"), (51, "lazy\ndog same line  lazy dog", "s")]
     assert found(spark, frame(docs), ITEMS, shard_bytes=shard_bytes) == plain_hits([(d, t) for d, t, _ in docs], ITEMS)

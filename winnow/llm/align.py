@@ -283,37 +283,25 @@ def _invert(path_a: str, path_b: str, kinds: pa.Schema):
     return run
 
 
-def _scores(batches):
-    """Counts that the bitmaps of a container return to its documents; rows come container by container."""
-    now = None
-    sums = np.zeros((CONTAINER_DOCS, 2), np.int64)
-
-    def scored():
-        place = np.flatnonzero(sums.any(axis=1))
-        return pa.RecordBatch.from_arrays(
-            [pa.array(np.full(len(place), now)), pa.array(place), pa.array(sums[place, 0]), pa.array(sums[place, 1])], names=["container", "place", "n_best", "count_sum"])
-
-    for b in batches:
-        container = b.column("container").to_numpy()
-        weight = np.left_shift(1, np.maximum(b.column("plane").to_numpy().astype(np.int64), 0))
-        best = b.column("best").to_numpy(zero_copy_only=False) * weight
-        count = b.column("links").to_numpy() * weight
-        cuts = [0, *(np.flatnonzero(container[1:] != container[:-1]) + 1).tolist(), len(container)]
-        bitmaps = b.column("docs").to_pylist()
-        for s, e in zip(cuts, cuts[1:]):
-            if s == e:
-                continue
-            if container[s] != now:
-                if now is not None:
-                    yield scored()
-                now = container[s]
-                sums[:] = 0
-            own = [places(x) for x in bitmaps[s:e]]
-            at, n = np.concatenate(own), list(map(len, own))
-            np.add.at(sums[:, 0], at, np.repeat(best[s:e], n))
-            np.add.at(sums[:, 1], at, np.repeat(count[s:e], n))
-    if now is not None:
-        yield scored()
+SCORE = pa.schema([(c, pa.int64()) for c in ("container", "place", "n_best", "count_sum")])
+
+
+def _scores(postings: pa.Table, counts: pa.Table) -> pa.Table:
+    """What the bitmaps of a container return to its documents: how many links the pairs that they have are counted with."""
+    known = counts.column("pair").to_numpy()
+    order = np.argsort(known)
+    own = order[np.searchsorted(known, postings.column("pair").to_numpy(), sorter=order)]
+    weight = np.left_shift(1, np.maximum(postings.column("plane").to_numpy().astype(np.int64), 0))
+    best = counts.column("best").to_numpy()[own] * weight
+    links = counts.column("links").to_numpy()[own] * weight
+    listed = [places(x) for x in postings.column("docs").to_pylist()]
+    at, n = np.concatenate(listed), list(map(len, listed))
+    sums = np.zeros((2, CONTAINER_DOCS), np.int64)
+    np.add.at(sums[0], at, np.repeat(best, n))
+    np.add.at(sums[1], at, np.repeat(links, n))
+    place = np.flatnonzero(sums[1])
+    container = np.full(len(place), postings.column("container")[0].as_py())
+    return pa.table([container, place, *sums[:, place]], schema=SCORE)
 
 
 def invert(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -339,14 +327,14 @@ def _arrow_type(rows: DataFrame) -> pa.DataType:
 
 
 def pair_counts(postings: DataFrame) -> DataFrame:
-    """a, b, n_docs, links of every linked pair of ids, and whether no other pair of its second id has more links. Popcounts of the
+    """a, b, n_docs, links of every linked pair of ids, and best: 1 if no other pair of its second id has more links. Popcounts of the
     bitmaps are added up; those of one pair cover different documents. Reads no bitmap."""
     weight = F.when(F.col("plane") < 0, 1).otherwise(F.expr("shiftleft(1L, plane)"))
     counts = postings.groupBy("pair").agg(
         F.sum(F.when(F.col("plane") < 0, F.col("n")).otherwise(0)).alias("n_docs"), F.sum(F.col("n") * weight).alias("links"))
     counts = written(counts.select("pair", F.shiftright("pair", B_BITS).alias("a"), F.col("pair").bitwiseAND((1 << B_BITS) - 1).alias("b"), "n_docs", "links"), "pairs")
     most = counts.groupBy("b").agg(F.max("links").alias("most"))
-    return counts.join(most, "b").select("pair", "a", "b", "n_docs", "links", (F.col("links") == F.col("most")).alias("best"))
+    return counts.join(most, "b").select("pair", "a", "b", "n_docs", "links", (F.col("links") == F.col("most")).cast("long").alias("best"))
 
 
 def align(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -361,8 +349,10 @@ def align(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", tex
     Null and repeated doc_ids are rows like any other; every row counts. No rows give no rows. Long texts are whole."""
     documents, postings = invert(docs, path_a, path_b, id_col, text_col)
     counts = pair_counts(postings).select("pair", "links", "best")
-    scored = postings.select("container", "pair", "plane", "docs").join(counts, "pair").select("container", "plane", "docs", "links", "best")
-    scored = scored.repartition("container").sortWithinPartitions("container")
-    scores = arrow_map(scored, _scores, "container long, place long, n_best long, count_sum long")
+    # only numbers meet by pair; the bitmaps move once, to the counts of their own container, which is of bounded size
+    pairs = postings.where(F.col("plane") == PRESENCE).select("container", "pair")
+    counted = pairs.join(counts.hint("merge"), "pair").select("container", "pair", "links", "best")
+    scores = postings.select("container", "pair", "plane", "docs").groupBy("container").cogroup(counted.groupBy("container")).applyInArrow(
+        _scores, "container long, place long, n_best long, count_sum long")
     return documents.join(scores, ["container", "place"], "left").select(
         "doc_id", *Segments.COUNTS, *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_best", "count_sum")], "groups_sha256")
