@@ -288,7 +288,7 @@ SCORE = pa.schema([(c, pa.int64()) for c in ("container", "place", "n_best", "co
 
 def _scores(postings: pa.Table, counts: pa.Table) -> pa.Table:
     """What the bitmaps of a container return to its documents: how many links the pairs that they have are counted with."""
-    known = counts.column("pair").to_numpy()
+    known = counts.column("linked").to_numpy()
     order = np.argsort(known)
     own = order[np.searchsorted(known, postings.column("pair").to_numpy(), sorter=order)]
     weight = np.left_shift(1, np.maximum(postings.column("plane").to_numpy().astype(np.int64), 0))
@@ -350,9 +350,9 @@ def align(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", tex
     documents, postings = invert(docs, path_a, path_b, id_col, text_col)
     counts = pair_counts(postings).select("pair", "links", "best")
     # only numbers meet by pair; the bitmaps move once, to the counts of their own container, which is of bounded size
-    pairs = postings.where(F.col("plane") == PRESENCE).select("container", "pair")
-    counted = pairs.join(counts.hint("merge"), "pair").select("container", "pair", "links", "best")
-    scores = postings.select("container", "pair", "plane", "docs").groupBy("container").cogroup(counted.groupBy("container")).applyInArrow(
+    pairs = postings.where(F.col("plane") == PRESENCE).select(F.col("container").alias("home"), F.col("pair").alias("linked"))
+    counted = pairs.join(counts.hint("merge"), pairs["linked"] == counts["pair"]).select("home", "linked", "links", "best")
+    scores = postings.select("container", "pair", "plane", "docs").groupBy("container").cogroup(counted.groupBy("home")).applyInArrow(
         _scores, "container long, place long, n_best long, count_sum long")
     return documents.join(scores, ["container", "place"], "left").select(
         "doc_id", *Segments.COUNTS, *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_best", "count_sum")], "groups_sha256")
