@@ -4,12 +4,13 @@ import datetime as dt
 import random
 from difflib import SequenceMatcher
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from winnow.functions.text import normalize_title
 from winnow.operators import similar, story
-from winnow.operators.similar import TitleIndex, dedupe_content, first_come, gram_bound
+from winnow.operators.similar import Profiles, dedupe_content, earliest_close, gram_bound
 
 SCHEMA = "item_id long, item_ord long, title string, published timestamp, source string"
 
@@ -65,9 +66,9 @@ def ids(df):
 @pytest.mark.parametrize("seed,threshold,stories,options", [
     (1, 0.85, False, {}),
     (2, 0.85, True, {}),
-    (3, 0.85, False, dict(pivots=25, small_round=30)),
-    (4, 0.7, False, dict(pivots=40)),
-    (5, 0.5, True, dict(pivots=100, small_round=10)),
+    (3, 0.85, False, dict(cell=25)),
+    (4, 0.7, False, dict(cell=40)),
+    (5, 0.5, True, dict(cell=100)),
     (6, 1.0, True, {}),
 ])
 def test_kept_titles_are_apart_and_cover_the_rest(spark, seed, threshold, stories, options):
@@ -100,12 +101,6 @@ def test_story_rule_with_every_kind_of_key(spark, hot_word, hot_key):
     assert 0 < len(want) < 300 and ids(story.drop_retold(df, 0.6, hot_word, hot_key)) == want
 
 
-def test_earliest_titles_of_a_large_table(spark):
-    df = spark.range(3000).select(
-        F.col("id").alias("tid"), F.struct((F.col("id") * 7 % 3000).alias("age"), F.col("id").alias("item_ord")).alias("ord"))
-    assert [r["ord"]["age"] for r in similar._earliest(df, 3000, 20).orderBy("ord").collect()] == list(range(20))
-
-
 def test_a_third_of_all_rows_under_one_template(spark):
     """One hot source, one template: two own words each, so all but the newest go."""
     rows = [(i, i, f"alpha bravo charlie delta echo foxtrot left{i} right{i}", dt.datetime(2024, 1, 1), "hot") for i in range(300)]
@@ -136,42 +131,36 @@ def test_whole_table_at_the_smallest_size(spark, sf):
     check_cover(in_order(items), ids(dedupe_content(items, 0.85)), 0.85)
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_first_come_on_random_graphs(spark, seed):
-    rnd = random.Random(seed)
-    edges = {(b, a) for a in range(60) for b in range(a + 1, 60) if rnd.random() < 0.08}
-    dropped = set()
-    for later, earlier in sorted(edges):
-        if earlier not in dropped:
-            dropped.add(later)
-    got = first_come(spark.createDataFrame(sorted(edges), "later bigint, earlier bigint"))
-    assert {r["node"] for r in got.collect()} == dropped
+def test_a_crowd_of_look_alikes_and_a_chain(spark):
+    """A third of all titles close to each other, and titles each close to its neighbours alone, so that every second goes."""
+    rows = [(i, i, f"one long template of a headline that only its number tells apart {i:03}", None, "a") for i in range(300)]
+    word = "abcdefghijklmnopqrstuvwxyz"
+    rows += [(2000 + i, 2000 + i, word[:26 - i] + "0123456789ABCDEF"[:i], None, "a") for i in range(12)]
+    rows += [(3000 + i, 3000 + i, f"{i * 7919 % 1000003:x} " * 4, None, "b") for i in range(200)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    for cell in (None, 100):
+        check_cover(in_order(df), ids(dedupe_content(df, 0.85, cell=cell)), 0.85)
 
 
 def test_bounds_never_hide_a_pair():
     titles = sorted({" ".join(r[2].lower().split()) for seed in range(4) for r in headlines(seed, 150)} - {""})
+    random.Random(3).shuffle(titles)
+    titles.insert(7, "e" * 400 + " long titles go past the counted levels" + "e" * 300)
+    titles.append("e" * 390 + " long titles go past the counted levels" + "e" * 300)
+    ranks = np.arange(len(titles)) * 3
     for t in (0.85, 0.6):
-        index = TitleIndex(titles, t)
-        for title, *counts in index.profiles(titles):
-            want = {i for i, other in enumerate(titles) if SequenceMatcher(None, title, other).ratio() >= t}
-            assert set(index.close(title, *counts)) == want
+        want = [next((j for j in range(i) if SequenceMatcher(None, titles[i], titles[j]).ratio() >= t), -1) for i in range(len(titles))]
+        assert earliest_close(Profiles(titles), ranks, Profiles(titles), ranks, t).tolist() == want
 
 
 def test_gram_bound_is_reached():
     assert round(gram_bound(120, 0.85, 2), 6) == 32.0 and round(gram_bound(120, 0.85, 3), 6) == 13.0
 
 
-def test_index_handles_no_titles():
-    index = TitleIndex([], 0.85)
-    for title, *counts in index.profiles(["x"]):
-        assert list(index.close(title, *counts)) == []
-
-
 def test_order_key_sorts_undated_last(spark):
     df = spark.createDataFrame([(1, None), (2, dt.datetime(2024, 1, 1)), (3, dt.datetime(2024, 1, 2))], "item_ord long, published timestamp")
     got = df.orderBy(story.newest_first(F.col("published"), F.col("item_ord"))).collect()
     assert [r["item_ord"] for r in got] == [3, 2, 1]
-    assert similar.PIVOTS <= similar.SMALL_ROUND
 
 
 def test_common_subsequence():

@@ -1,44 +1,38 @@
 """Near-identical titles: an item goes when its title is too close to one already kept.
 
-Newest first, each title is compared with the kept ones only, so the answer is the
-first-come independent set of the similarity graph. It is found in rounds. A round takes
-the earliest undecided titles, a bounded number, and finds the close pairs among them in
-parallel; those kept are then compared with all later titles in one distributed pass,
-which removes whatever they cover.
-
-No pair of titles is shuffled. A crowd of look-alike titles is gone after the round in
-which its first member is kept, and only then do the rounds grow, so that the close pairs
-inside one round stay few. Comparing means: length band by binary search, then bounds from
-character, bigram and trigram counts on whole arrays, then the longest common
-subsequence, and an alignment for what passes all of them."""
+Newest first, each title is compared with the kept ones only. A title without any close earlier title is
+kept; one whose earliest close title is kept goes; one whose earliest close title went looks for the
+next among the titles that still stand. So a title needs one number, the rank of its earliest close
+title, and never a list of pairs: a crowd of look-alikes points at its first member and is gone at once.
+
+No key that close titles must share is selective at the usual threshold (of two titles of 60 characters up to 18 characters may
+be unmatched, anywhere). Titles meet by length instead: a title of one length bucket has all its close ones in
+that bucket and its neighbours. Buckets are cut by rank into cells of bounded size, and two cells meet in one
+task, whichever bucket holds most titles. There, bit vectors of character counts, character, bigram and trigram counts and
+the longest common subsequence bound the ratio from above; an alignment decides what passes all of them."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
 from difflib import SequenceMatcher
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.text import normalize_title
-from ..session import freeze
+from ..session import broadcast_if_small, freeze
+from .ordinals import dense_ordinal
 from .story import drop_retold, newest_first
 
-# Titles decided in the first round, and in any later one. The first is small: if look-alikes
-# crowd the table, their close pairs inside it stay few, and it removes the crowd.
-PIVOTS = 512
-MAX_PIVOTS = 16_384
-# Characters of the titles of one round.
-PIVOT_CHARS = 32_000_000
-# Rounds grow once one removes less than this share of the later titles.
-ROUND_YIELD = 0.05
-# Up to this many titles the close pairs of a round are settled on the driver.
-SMALL_ROUND = 4096
-# Titles one task compares, so that a small table still uses every core.
-TITLES_PER_TASK = 512
+# Titles of a cell, at most, and fewest of them: smaller cells so that a small table still uses every core.
+CELL, LEAST_CELL = 8192, 512
+# Titles compared at once, later by earlier ones.
+ROWS, COLUMNS = 256, 512
 # Counting buckets for single characters, bigrams and trigrams.
 _BUCKETS = (64, 256, 512)
+# How often a character may occur before the bit vectors stop counting it.
+_LEVELS = 8
 
 
 def gram_bound(total_length, threshold: float, q: int):
@@ -52,14 +46,15 @@ def gram_bound(total_length, threshold: float, q: int):
 def _counts(titles: list[str], q: int) -> np.ndarray:
     """q-gram counts in hashed buckets. Merging grams can only raise what two titles share."""
     size = _BUCKETS[q - 1]
-    out = np.zeros((len(titles), size), dtype=np.int32)
-    for row, title in enumerate(titles):
-        codes = np.frombuffer(title.encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
-        grams = codes[: max(len(codes) - q + 1, 0)].copy()
-        for i in range(1, q):
-            grams = grams * 31 + codes[i: len(codes) - q + 1 + i]
-        out[row] = np.bincount(grams % size, minlength=size)
-    return out
+    lengths = np.fromiter(map(len, titles), np.int64, len(titles))
+    codes = np.frombuffer("".join(titles).encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
+    row = np.repeat(np.arange(len(titles)), lengths)
+    n = max(len(codes) - q + 1, 0)
+    grams = codes[:n].copy()
+    for i in range(1, q):
+        grams = grams * 31 + codes[i:n + i]
+    inside = row[:n] == row[q - 1:]  # a gram of one title
+    return np.bincount((row[:n] * size + grams % size)[inside], minlength=len(titles) * size).reshape(-1, size).astype(np.int32)
 
 
 def _positions(title: str) -> dict[str, int]:
@@ -81,166 +76,116 @@ def common_subsequence(positions: dict[str, int], n: int, other: str) -> int:
     return n - open_.bit_count()
 
 
-class TitleIndex:
-    """Titles sorted by length, asked which of them are close to a later title."""
-
-    def __init__(self, titles: list[str], threshold: float):
-        self.threshold = threshold
-        order = sorted(range(len(titles)), key=lambda i: len(titles[i]))
-        self.place = np.array(order, dtype=np.int64)
-        self.titles = [titles[i] for i in order]
-        self.sizes = np.array([len(t) for t in self.titles], dtype=np.int64)
-        self.counts = [_counts(self.titles, q) for q in (1, 2, 3)]
-
-    def profiles(self, titles: list[str]):
-        return zip(titles, *[_counts(titles, q) for q in (1, 2, 3)])
-
-    def close(self, title: str, *counts: np.ndarray, before: int | None = None) -> Iterator[int]:
-        """Places of the titles with a ratio of at least the threshold to this one.
-
-        matched characters <= shared characters, and the q-grams a match must share, bound
-        the ratio from above, so only titles passing every bound are aligned. A shade of
-        slack keeps rounding from hiding a pair."""
-        n, t = len(title), self.threshold
-        low = int(np.searchsorted(self.sizes, n * t / (2 - t) - 1e-6))
-        high = int(np.searchsorted(self.sizes, n * (2 - t) / t + 1e-6, side="right")) if t > 0 else len(self.titles)
-        near = np.arange(low, high)
-        if before is not None:
-            near = near[self.place[near] < before]
-        for q in (1, 2, 3):
-            if not len(near):
-                return
-            total = self.sizes[near] + n
-            grams = total - 2 * (q - 1)
-            apart = np.abs(self.counts[q - 1][near] - counts[q - 1]).sum(axis=1)
-            near = near[grams - apart >= 2 * gram_bound(total, t, q) - 1e-6]
-        positions = _positions(title) if len(near) else {}
-        for i in near:
-            # matched runs form a common subsequence: much cheaper than the alignment
-            most = common_subsequence(positions, n, self.titles[i])
-            if 2 * most < t * (n + len(self.titles[i])) - 1e-6:
-                continue
-            if SequenceMatcher(None, title, self.titles[i]).ratio() >= t:
-                yield int(self.place[i])
-
-
-def _close_pairs(threshold: float, titles):
-    """(later, earlier) places among the titles of a round."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        index = TitleIndex(titles.value, threshold)
-        for frame in frames:
-            pairs = [
-                (place, earlier)
-                for place, (title, *counts) in zip(frame["place"], index.profiles([titles.value[p] for p in frame["place"]]))
-                for earlier in index.close(title, *counts, before=place)
-            ]
-            yield pd.DataFrame(pairs, columns=["later", "earlier"], dtype="int64")
+class Profiles:
+    """Counts of titles, and one bit per character bucket and level that the count reaches."""
 
-    return run
+    def __init__(self, titles: list[str]):
+        self.titles = titles
+        self.sizes = np.fromiter(map(len, titles), np.int64, len(titles))
+        self.counts = [_counts(titles, q) for q in (1, 2, 3)]
+        one = self.counts[0]
+        self.levels = [np.packbits(one >= k, axis=1).view(np.uint64)[:, 0] for k in range(1, _LEVELS + 1)]
+        self.over = np.maximum(one - _LEVELS, 0).sum(axis=1).astype(np.int32)
 
 
-def _uncovered(threshold: float, kept):
-    """Titles no kept title is close to."""
+def close(title: str, other: str, positions: dict[str, int], threshold: float) -> bool:
+    # matched runs form a common subsequence: much cheaper than the alignment
+    most = common_subsequence(positions, len(title), other)
+    total = len(title) + len(other)
+    return 2 * most >= threshold * total - 1e-6 and SequenceMatcher(None, title, other).ratio() >= threshold
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        index = TitleIndex(kept.value, threshold)
-        for frame in frames:
-            covered = [
-                next(index.close(title, *counts), None) is not None
-                for title, *counts in index.profiles(list(frame["norm"]))
-            ]
-            yield frame[~np.array(covered, dtype=bool)]
+
+def earliest_close(later: Profiles, later_ranks: np.ndarray, earlier: Profiles, earlier_ranks: np.ndarray, threshold: float) -> np.ndarray:
+    """For every later title the place of the first of the earlier titles, which ascend by rank, that precedes it and is
+    close to it; -1 if there is none. A shade of slack keeps rounding from hiding a pair."""
+    found = np.full(len(later.titles), -1)
+    for r in range(0, len(found), ROWS):
+        rows = np.arange(r, min(r + ROWS, len(found)))
+        for c in range(0, len(earlier.titles), COLUMNS):
+            rows = rows[(found[rows] < 0) & (later_ranks[rows] > earlier_ranks[c])]
+            if not len(rows):
+                break
+            columns = slice(c, min(c + COLUMNS, len(earlier.titles)))
+            shared = np.minimum(later.over[rows][:, None], earlier.over[columns][None])
+            for own, other in zip(later.levels, earlier.levels):
+                shared += np.bitwise_count(own[rows][:, None] & other[columns][None])
+            total = later.sizes[rows][:, None] + earlier.sizes[columns][None]
+            i, j = np.nonzero((2 * shared >= threshold * total - 1e-6) & (later_ranks[rows][:, None] > earlier_ranks[columns][None]))
+            total, i, j = total[i, j], rows[i], j + c
+            for q in (1, 2, 3):
+                # what two titles share of q-grams must reach the bound
+                apart = np.abs(later.counts[q - 1][i] - earlier.counts[q - 1][j]).sum(axis=1)
+                near = total - 2 * (q - 1) - apart >= 2 * gram_bound(total, threshold, q) - 1e-6
+                i, j, total = i[near], j[near], total[near]
+            now, positions = -1, {}
+            for a, b in zip(i.tolist(), j.tolist()):
+                if found[a] >= 0:
+                    continue
+                if a != now:
+                    now, positions = a, _positions(later.titles[a])
+                if close(later.titles[a], earlier.titles[b], positions, threshold):
+                    found[a] = b
+    return found
+
+
+def _meet(threshold: float):
+    """Two cells of titles in one task."""
+
+    def run(earlier: pa.Table, later: pa.Table) -> pa.Table:
+        ranks = [earlier.column("rank").to_numpy(), later.column("_rank").to_numpy()]
+        titles = [earlier.column("norm").to_pylist(), later.column("_norm").to_pylist()]
+        order = np.argsort(ranks[0])
+        first = ranks[0][order]
+        at = earliest_close(Profiles(titles[1]), ranks[1], Profiles([titles[0][i] for i in order.tolist()]), first, threshold) \
+            if len(first) else np.full(len(titles[1]), -1)
+        hit = at >= 0
+        return pa.table([pa.array(ranks[1][hit]), pa.array(first[at[hit]] if len(first) else ranks[1][hit])], names=["rank", "found"])
 
     return run
 
 
-def first_come(edges: DataFrame) -> DataFrame:
-    """Nodes to drop, from edges (later, earlier): a node goes when an earlier kept node is
-    its neighbour. Each step keeps the nodes nobody undecided precedes."""
-    edges = freeze(edges)
-    dropped = edges.select("later").limit(0)
-    while not edges.isEmpty():
-        kept = edges.select(F.col("earlier").alias("node")).distinct().join(
-            edges.select(F.col("later").alias("node")), "node", "left_anti")
-        gone = freeze(edges.join(kept.withColumnRenamed("node", "earlier"), "earlier", "left_semi").select("later").distinct())
-        dropped = dropped.unionAll(gone)
-        edges = freeze(
-            edges.join(gone, "later", "left_anti")
-            .join(gone.withColumnRenamed("later", "earlier"), "earlier", "left_anti")
-            .select("later", "earlier")
-        )
-    return dropped.withColumnRenamed("later", "node")
-
-
-def _dropped_places(pairs: DataFrame, count: int, small_round: int) -> set[int]:
-    if count > small_round:
-        return {r["node"] for r in first_come(pairs).collect()}
-    dropped: set[int] = set()
-    for later, earlier in pairs.toPandas().sort_values(["later", "earlier"]).itertuples(index=False):
-        if earlier not in dropped:
-            dropped.add(later)
-    return dropped
-
-
-def _spread(df: DataFrame, count: int, key: str) -> DataFrame:
-    """Enough tasks for work that is heavy per row, however few bytes the rows take."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(max(1, min(count // TITLES_PER_TASK + 1, cores * 4)), key)
-
-
-def _earliest(left: DataFrame, count: int, take: int) -> DataFrame:
-    """The `take` first titles. On a large table an approximate age limit thins the rows
-    before the exact pick; too tight a limit only makes the round smaller."""
-    if count > 50 * take:
-        limit = left.agg(F.percentile_approx("ord.age", 2.0 * take / count, 10_000)).first()[0]
-        left = left.where(F.col("ord.age") <= limit)
-    return left.orderBy("ord").limit(take)
-
-
-def similar_titles(titles: DataFrame, threshold: float, pivots: int = PIVOTS, max_pivots: int = MAX_PIVOTS,
-                   small_round: int = SMALL_ROUND) -> DataFrame:
+def _nearest(earlier: DataFrame, later: DataFrame, threshold: float) -> DataFrame:
+    """(rank, found): the rank of the earliest close title for each of `later` that has one among `earlier`."""
+    # a pair of cells is met only if some later title needs it
+    cells = later.select(
+        "rank", "norm", F.col("block").alias("own"), F.explode(F.sequence(F.col("bucket") - 1, F.col("bucket") + 1)).alias("bucket")
+    ).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), "own")))
+    wanted = later.select(F.col("block").alias("own"), F.explode(F.sequence(F.col("bucket") - 1, F.col("bucket") + 1)).alias("bucket")).distinct()
+    index = earlier.join(broadcast_if_small(wanted), "bucket").where("block <= own").select("rank", "norm", "bucket", "block", "own")
+    keys = ["bucket", "block", "own"]
+    return index.groupBy(*keys).cogroup(cells.select(*[F.col(k).alias(f"_{k}") for k in (*keys, "rank", "norm")]).groupBy(*[f"_{k}" for k in keys])).applyInArrow(
+        _meet(threshold), "rank long, found long").groupBy("rank").agg(F.min("found").alias("found"))
+
+
+def similar_titles(titles: DataFrame, threshold: float, cell: int | None = None) -> DataFrame:
     """tids to keep, from distinct non-empty (tid, norm, len, ord)."""
-    spark = titles.sparkSession
-    schema = titles.schema
-    left = freeze(titles)
-    count = left.count()
-    kept = left.select("tid").limit(0)
-    take, rounds = pivots, 0
-    while count:
-        # the titles of a round are bounded in number and in characters
-        while True:
-            head = freeze(_earliest(left, count, take))
-            if take == 1 or head.agg(F.sum("len")).first()[0] <= PIVOT_CHARS:
-                break
-            take = max(1, take // 2)
-        rows = head.select("tid", "norm", "ord").orderBy("ord").collect()
-        taken = spark.sparkContext.broadcast([r["norm"] for r in rows])
-        pairs = _spread(spark.range(len(rows)).withColumnRenamed("id", "place"), len(rows), "place").mapInPandas(
-            _close_pairs(threshold, taken), "later bigint, earlier bigint")
-        dropped = _dropped_places(pairs, len(rows), small_round)
-        taken.unpersist()
-        standing = [r for i, r in enumerate(rows) if i not in dropped]
-        kept = kept.unionAll(spark.createDataFrame([(r["tid"],) for r in standing], "tid bigint"))
-        rounds += 1
-        if rounds % 8 == 0:
-            kept = freeze(kept)  # one table instead of a plan that grows with the rounds
-        if count <= len(rows):
-            break
-        last = F.struct(*[F.lit(v).cast("bigint").alias(k) for k, v in rows[-1]["ord"].asDict().items()])
-        known = spark.sparkContext.broadcast([r["norm"] for r in standing])
-        later = _spread(left.where(F.col("ord") > last), count, "tid")
-        left = freeze(later.mapInPandas(_uncovered(threshold, known), schema))
-        known.unpersist()
-        before, count = count - len(rows), left.count()
-        if before - count < ROUND_YIELD * before:
-            take = min(take * 2, max_pivots)
-    return kept
+    ranked = dense_ordinal(titles, ["ord"], "rank")
+    if cell is None:
+        cores = titles.sparkSession.sparkContext.defaultParallelism
+        cell = min(CELL, max(LEAST_CELL, math.isqrt(titles.count() ** 2 // (cores * 4))))
+    widest = (2 - threshold) / threshold * (1 + 1e-9) if threshold > 0 else math.inf
+    bucket = F.floor(F.log(F.col("len")) / F.lit(math.log(widest))) if threshold > 0 else F.lit(0)
+    titles = freeze(ranked.select("tid", "norm", "rank", bucket.cast("long").alias("bucket"), F.expr(f"rank div {cell}").alias("block")))
+    nodes = titles.select("rank").join(_nearest(titles, titles, threshold), "rank", "left").withColumn("state", F.lit("open"))
+    while True:
+        nodes = freeze(nodes)
+        of = nodes.select(F.col("rank").alias("found"), F.col("state").alias("of"))
+        nodes = freeze(nodes.join(of, "found", "left").select("rank", "found", F.when(F.col("state") != "open", F.col("state"))
+                       .when(F.col("found").isNull(), "kept").when(F.col("of") == "kept", "dropped")
+                       .when(F.col("of") == "dropped", "search").otherwise("open").alias("state")))
+        if nodes.where("state IN ('open', 'search')").isEmpty():
+            return titles.join(nodes.where("state = 'kept'"), "rank").select("tid")
+        if not nodes.where("state = 'search'").isEmpty():
+            later = titles.join(nodes.where("state = 'search'").select("rank"), "rank")
+            earlier = titles.join(nodes.where("state = 'dropped'").select("rank"), "rank", "left_anti")
+            again = _nearest(earlier, later, threshold).select("rank", F.col("found").alias("again"))
+            search = F.col("state") == "search"
+            nodes = nodes.join(again, "rank", "left").select(
+                "rank", F.when(search, F.col("again")).otherwise(F.col("found")).alias("found"), F.when(search, "open").otherwise(F.col("state")).alias("state"))
 
 
 def dedupe_content(items: DataFrame, similarity_threshold: float = 0.85, story_dedupe: bool = False,
-                   story_containment_threshold: float = 0.6, pivots: int = PIVOTS,
-                   max_pivots: int = MAX_PIVOTS, small_round: int = SMALL_ROUND) -> DataFrame:
+                   story_containment_threshold: float = 0.6, cell: int | None = None) -> DataFrame:
     """Drop items whose title nearly equals a kept newer one's, and with story_dedupe
     items retelling an earlier one of their source.
 
@@ -260,7 +205,7 @@ def dedupe_content(items: DataFrame, similarity_threshold: float = 0.85, story_d
         result = left
     else:
         kept = titles.select("tid") if similarity_threshold == 1.0 else similar_titles(
-            titles, similarity_threshold, pivots, max_pivots, small_round)
+            titles, similarity_threshold, cell)
         untitled = placed.where(F.col("_norm") == "").select(F.col("item_id").alias("tid"))
         result = left.join(kept.unionAll(untitled), left["item_id"] == F.col("tid"), "left_semi")
     return result.select(items.columns)

@@ -204,6 +204,57 @@ landed AS (SELECT feed_ord::BIGINT * 4398046511104 + doc_ord * 1048576 + place A
   CASE WHEN lang <> 'es' THEN title WHEN item_id % 10 = 0 THEN {_strip("title || ' - ' || upper(source) || '.example.com'")} ELSE title END AS title, link,
   substr(CASE WHEN lang = 'es' THEN trim(regexp_replace(description, '{WS}+', ' ', 'g')) ELSE description END, 1, 1000) AS description, published FROM places)"""
 
+# The ratio of matched characters: the longest run that two titles share (the leftmost of equals), then the same to its
+# left and right. In a title of 200 characters and more, characters above a hundredth of it begin no run but prolong one.
+# Pairs sharing too few characters for the ratio are left out first. Then titles in order, each against those kept.
+TITLES = f"""named AS MATERIALIZED (
+  SELECT item_id, title, {_norm('title')} AS norm, row_number() OVER (ORDER BY published DESC NULLS LAST, item_ord) AS ord FROM items),
+titles AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY min(ord)) AS tid, norm, length(norm) AS n, string_split(norm, '') AS c FROM named WHERE norm <> '' GROUP BY norm),
+chars AS MATERIALIZED (SELECT tid, n, unnest(range(1, n + 1)) AS i, unnest(c) AS ch FROM titles),
+nth AS MATERIALIZED (SELECT tid, n, ch, row_number() OVER (PARTITION BY tid, ch ORDER BY i) AS k FROM chars),
+common AS MATERIALIZED (
+  SELECT a.tid AS a, b.tid AS b FROM nth a JOIN nth b ON a.ch = b.ch AND a.k = b.k AND a.tid > b.tid
+    AND 2 * least(a.n, b.n) >= 0.85 * (a.n + b.n) GROUP BY ALL HAVING 2 * count(*) >= 0.85 * (min(a.n) + min(b.n)) - 1e-6),
+tri AS MATERIALIZED (
+  SELECT tid, n, gram, row_number() OVER (PARTITION BY tid, gram) AS k
+  FROM (SELECT tid, n, unnest([norm[i:i + 2] for i in range(1, n - 1)]) AS gram FROM titles)),
+near AS MATERIALIZED (
+  SELECT c.a, c.b FROM common c JOIN titles x ON x.tid = c.a JOIN titles y ON y.tid = c.b LEFT JOIN (
+    SELECT p.a, p.b, count(*) AS shared FROM common p JOIN tri g ON g.tid = p.a JOIN tri h ON h.tid = p.b AND h.gram = g.gram AND h.k = g.k GROUP BY ALL) s
+    ON s.a = c.a AND s.b = c.b WHERE coalesce(shared, 0) >= (x.n + y.n) * 0.125 - 2 - 1e-6),
+seeds AS MATERIALIZED (
+  SELECT * FROM chars QUALIFY n < 200 OR count(*) OVER (PARTITION BY tid, ch) <= n // 100 + 1),
+parts AS (
+  SELECT a, b, 1 AS alo, x.n + 1 AS ahi, 1 AS blo, y.n + 1 AS bhi, 0 AS size FROM near JOIN titles x ON x.tid = a JOIN titles y ON y.tid = b
+  UNION ALL (
+    WITH open AS (SELECT *, row_number() OVER () AS id FROM parts WHERE alo < ahi AND blo < bhi),
+    hits AS (
+      SELECT o.id, p.i, q.i AS j, p.i - row_number() OVER (PARTITION BY o.id, p.i - q.i ORDER BY p.i) AS run
+      FROM open o JOIN chars p ON p.tid = o.a AND p.i >= o.alo AND p.i < o.ahi JOIN seeds q ON q.tid = o.b AND q.ch = p.ch AND q.i >= o.blo AND q.i < o.bhi),
+    runs AS (SELECT id, min(i) AS i, min(j) AS j, count(*) AS k FROM hits GROUP BY id, i - j, run),
+    best AS (SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY id ORDER BY k DESC, i, j) = 1),
+    found AS (
+      SELECT o.*, coalesce(f.i, o.alo) AS i, coalesce(f.j, o.blo) AS j, coalesce(f.k, 0) AS k, x.c AS ac, y.c AS bc
+      FROM open o LEFT JOIN best f USING (id) JOIN titles x ON x.tid = o.a JOIN titles y ON y.tid = o.b),
+    longer AS (
+      SELECT *, coalesce(list_position([ac[i - s] <> bc[j - s] for s in range(1, least(i - alo, j - blo) + 1)], true) - 1, least(i - alo, j - blo)) AS l,
+        coalesce(list_position([ac[i + k + s] <> bc[j + k + s] for s in range(0, least(ahi - i - k, bhi - j - k))], true) - 1,
+          least(ahi - i - k, bhi - j - k)) AS r FROM found),
+    block AS (SELECT a, b, alo, ahi, blo, bhi, i - l AS i, j - l AS j, k + l + r AS k FROM longer)
+    SELECT a, b, alo, i, blo, j, 0 FROM block WHERE k > 0
+    UNION ALL SELECT a, b, i + k, ahi, j + k, bhi, 0 FROM block WHERE k > 0
+    UNION ALL SELECT a, b, 0, 0, 0, 0, k FROM block WHERE k > 0)),
+pairs AS MATERIALIZED (
+  SELECT a, list(b) AS earlier FROM (
+    SELECT a, b FROM parts JOIN titles x ON x.tid = a JOIN titles y ON y.tid = b GROUP BY a, b, x.n, y.n HAVING 2.0 * sum(size) / (x.n + y.n) >= 0.85)
+  GROUP BY a),
+steps AS MATERIALIZED (SELECT row_number() OVER (ORDER BY a) AS step, a, earlier FROM pairs),
+walk AS (
+  SELECT 0 AS step, []::BIGINT[] AS gone
+  UNION ALL SELECT s.step, CASE WHEN len(list_filter(s.earlier, lambda e: NOT list_contains(w.gone, e))) > 0 THEN list_append(w.gone, s.a) ELSE w.gone END
+  FROM walk w JOIN steps s ON s.step = w.step + 1)"""
+
 ORACLES = {
     "digest_run": _with(
         ITEMS, SEEN, SCORED, DIGESTS,
@@ -222,6 +273,9 @@ ORACLES = {
         SELECT link, seen_at FROM seen WHERE seen_at > {AS_OF} - INTERVAL 14 DAY UNION ALL
         SELECT link, {AS_OF} FROM routed UNION ALL SELECT link, {AS_OF} FROM scored WHERE category = 'exclude') GROUP BY link"""),
     "story_dedup": _with(ITEMS, STORY_ITEMS, STORY, select="SELECT item_id, source, title FROM survivors"),
+    "title_dedup": "WITH RECURSIVE " + ITEMS + ", " + TITLES + """ SELECT m.item_id, m.title FROM named m LEFT JOIN titles t USING (norm)
+        WHERE m.norm = '' OR NOT list_contains((SELECT gone FROM walk ORDER BY step DESC LIMIT 1), t.tid)
+        QUALIFY m.norm = '' OR row_number() OVER (PARTITION BY m.norm ORDER BY m.ord) = 1""",
     "title_dedup_exact": _with(ITEMS, STORY_ITEMS, STORY, select="SELECT item_id, title FROM survivors QUALIFY norm = '' OR row_number() OVER (PARTITION BY norm ORDER BY ord) = 1"),
     "route": _with(ITEMS, SCORED, DIGESTS, ROUTED, select="SELECT item_id, digest_title, digest_slug, category FROM routed"),
     "unrouted": _with(ITEMS, SCORED, DIGESTS, ROUTED, select="""SELECT source, coalesce(nullif(domain, ''), '-') AS domain, category, count(*) AS n FROM scored
