@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import broadcast_if_small
 
@@ -93,5 +93,10 @@ def usage_totals(daily: DataFrame) -> DataFrame:
     )
 
 
+def usage_cutoff(as_of, retention_days: int) -> Column:
+    """The oldest day kept."""
+    return F.date_sub(F.to_date(F.lit(as_of).cast("timestamp")), retention_days)
+
+
 def expire_usage(usage: DataFrame, as_of, retention_days: int = 400) -> DataFrame:
-    return usage.where(F.col("day") >= F.date_sub(F.to_date(F.lit(as_of).cast("timestamp")), retention_days))
+    return usage.where(F.col("day") >= usage_cutoff(as_of, retention_days))

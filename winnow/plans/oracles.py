@@ -401,6 +401,40 @@ ORACLES = {
     "stream_seen": _with(ITEMS, "f AS (SELECT link, min(item_id % 4) AS d FROM items GROUP BY link)",
         select="SELECT item_id, items.link FROM items JOIN f ON f.link = items.link WHERE item_id % 4 = d"),
 }
+_YOUNG = f"young AS (SELECT * FROM landed WHERE landed.published IS NULL OR landed.published >= {AS_OF} - INTERVAL 21 DAY)"
+# the stand-in labels items by their place in batches of eight
+_LABELLED = """numbered AS (SELECT *, item_id AS item_ord, CAST((row_number() OVER (ORDER BY item_id) - 1) % 8 AS INT) AS pos FROM {src}),
+scored AS (SELECT *, 'place ' || pos AS summary, ['exclude','key','mention','notable'][pos % 4 + 1] AS category, ['de','en','es','fr'][pos // 2 % 4 + 1] AS domain FROM numbered)"""
+# a run derives the sources of digests without any from the feeds that name them
+_WIRED = [FEEDS, DIGESTS.replace("digests AS", "declared AS", 1), "named AS (SELECT DISTINCT trim(name) AS feed, trim(t) AS t FROM (SELECT name, unnest(digests) AS t FROM feeds))",
+          """digests AS (SELECT digest_ord, title, sections, CASE WHEN len(sources) > 0 THEN sources ELSE coalesce((SELECT list(feed) FROM named n WHERE n.t = declared.title), []) END AS sources,
+          len(sources) = 0 AS derived, domain, rcpt, label FROM declared)"""]
+ORACLES["full_run"] = _with(ITEMS, LANDED, _YOUNG, _LABELLED.format(src="young"), *_WIRED, ROUTED,
+    select=f"""SELECT 'history' AS kind, digest_slug AS name, row_number() OVER (ORDER BY digest_ord, item_ord) AS number, title || ' ' || link || ' ' || summary || ' ' || category AS text FROM routed
+    UNION ALL SELECT 'outbox', {_slug('d.title')}, 0, coalesce(a, '-') || ' ' || d.title || ' — 2024-01-31' FROM digests d
+      LEFT JOIN (SELECT digest_ord, unnest(rcpt) AS a FROM digests) x ON x.digest_ord = d.digest_ord WHERE d.digest_ord IN (SELECT digest_ord FROM routed)
+    UNION ALL SELECT 'unrouted', source, count(*), coalesce(nullif(domain, ''), '-') || ' ' || category FROM scored
+      WHERE category <> 'exclude' AND item_id NOT IN (SELECT item_id FROM routed) GROUP BY source, domain, category
+    UNION ALL SELECT 'usage', 'alpha', count(*), 'm-1' FROM scored
+    UNION ALL SELECT DISTINCT 'seen', link, 0, '' FROM (SELECT link FROM routed UNION ALL SELECT link FROM scored WHERE category = 'exclude')
+    UNION ALL SELECT 'run', 'success', count(*), '' FROM routed""")
+ORACLES["run_metrics"] = _with(ITEMS, LANDED,
+    "capped AS (SELECT * FROM landed QUALIFY row_number() OVER (PARTITION BY feed_id ORDER BY entry_ord) <= 20)",
+    f"young AS (SELECT * FROM capped WHERE published IS NULL OR published >= {AS_OF} - INTERVAL 21 DAY)", FAIR.format(src="young"),
+    _LABELLED.format(src="fair"), *_WIRED, ROUTED,
+    select="""SELECT * FROM (SELECT unnest(['trim', 'dedup', 'seen', 'summarise', 'route']) AS stage,
+      unnest([(SELECT count(*) FROM landed), n, n, n, n]) AS rows_in, unnest([n, n, n, n, (SELECT count(*) FROM routed)]) AS rows_out FROM (SELECT count(*) AS n FROM fair))""")
+ORACLES["bad_feeds"] = _with(ITEMS, LANDED, f"young AS (SELECT * FROM landed WHERE feed_ord % 5 > 2 AND (landed.published IS NULL OR landed.published >= {AS_OF} - INTERVAL 21 DAY))",
+    select="""SELECT feed_id, -1 AS doc_ord, 'items ' || count(*) AS reason FROM young GROUP BY feed_id
+    UNION ALL SELECT DISTINCT CASE feed_ord % 5 WHEN 2 THEN 'stray-' || feed_id ELSE feed_id END, CAST(item_id // 500 AS INT),
+      CASE feed_ord % 5 WHEN 0 THEN 'malformed' WHEN 1 THEN 'oversized' ELSE 'unknown_feed' END FROM items WHERE feed_ord % 5 <= 2""")
+ORACLES["digest_files"] = _with(ITEMS, SCORED, DIGESTS, ROUTED, RENDERED, BLOCKS, select=f"""SELECT digest_slug, line, count(*) AS n FROM (
+    SELECT digest_slug, unnest(string_split(CASE WHEN n = k - 2 THEN regexp_replace(text, '{WS}+$', '') ELSE text END, chr(10))) AS line FROM placed WHERE n < k - 1) GROUP BY ALL""")
+ORACLES["state_retention"] = _with(ITEMS, HISTORY, USAGE, select=f"""SELECT DISTINCT 'live' AS kept, link FROM items WHERE item_id % 3 > 0
+    UNION ALL SELECT DISTINCT 'without_1', link FROM items WHERE item_id % 3 = 2
+    UNION ALL SELECT 'marks', (item_id % 3) || '=' || count(DISTINCT link) FROM items WHERE item_id % 3 > 0 GROUP BY item_id % 3
+    UNION ALL SELECT 'history', id::VARCHAR FROM (SELECT id FROM history ORDER BY id DESC LIMIT 1000)
+    UNION ALL SELECT 'usage', strftime(day, '%Y-%m-%d') || '=' || count(*) FROM usage WHERE day >= CAST({AS_OF} AS DATE) - 14 GROUP BY day""")
 ORACLES["stream_daily"] = ORACLES["usage_daily"].replace(f"WHERE day >= CAST({AS_OF} AS DATE) - 29 ", "")
 _LINTS = ORACLES["wiring_lints"]
 _GAPS = _with(

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from .. import schemas
 from ..functions import text as T, vocab
 from ..operators import clusters, history, merge, readers, render, routing, scoring, seen, similar, story, trim, usage
 from ..session import freeze, scratch_path, tune
-from ..sources import feeds, search, state
+from ..sources import feeds, search, sinks, state
 from ..streaming import seen as seen_stream, usage as usage_stream
 from . import run as whole, summarise, views as V
 
@@ -327,10 +328,44 @@ def history_append(spark, sf):
 
 
 def run_latest(spark, sf):
-    log = V.run_log(spark, sf)
-    fields = ["run_id", "status", "items_processed", "previous_delivered", "error"]
-    latest = log.groupBy("instance").agg(F.max_by(F.struct(*fields), F.struct("at", "run_id")).alias("r"))
-    return latest.select("instance", "r.*")
+    return state.latest_run(V.run_log(spark, sf), ["instance"], ["run_id"]).select(
+        "instance", "run_id", "status", "items_processed", "previous_delivered", "error")
+
+
+def state_retention(spark, sf):
+    """Marks of three batches, 20, 10 and 0 days old: the oldest expire, the second is delivered again after that and judged without its own
+    marks. History is cut to 1000 rows, usage to 14 days; a table forgotten after a rewrite that died stays empty."""
+    path = scratch_path(spark, "retention")
+    items, out = freeze(V.items(spark, sf).select("item_id", "link")), []
+    store = state.SeenStore(f"{path}/seen")
+    for batch, at in enumerate(("2024-01-11 00:00:00", "2024-01-21 00:00:00", AS_OF)):
+        store.mark(items.where(F.col("item_id") % 3 == batch), at, batch)
+    store.expire(spark, AS_OF)
+    store.mark(items.where("item_id % 3 = 1"), "2024-01-21 00:00:00", 1)
+    for name, other in (("live", None), ("without_1", 1)):
+        out.append(store.read(spark, AS_OF, except_batch=other).select(F.lit(name).alias("kept"), "link").distinct())
+    out.append(store.rows(spark).groupBy("written_by").agg(F.count_distinct("link").alias("n")).select(
+        F.lit("marks").alias("kept"), F.concat_ws("=", "written_by", F.col("n").cast("string")).alias("link")))
+    sent = state.HistoryStore(f"{path}/history")
+    for batch in range(2):
+        rows = V.history(spark, sf).where(F.col("id") % 2 == batch).withColumns(
+            {c: F.lit("") for c in ("link", "summary", "category")} | {"sent_at": F.date_trunc("year", "sent_at")})
+        sent.append(rows, batch)
+    sent.expire(spark, 1000)
+    out.append(sent.read(spark).select(F.lit("history"), F.col("id").cast("string")))
+    used = state.UsageStore(f"{path}/usage")
+    used.add(_usage(spark, sf).select("at", "day", "provider", "model", "kind", "input_tokens", "output_tokens", "cost_usd"), "0")
+    used.expire(spark, AS_OF, 14)
+    out.append(used.read(spark).groupBy("day").count().select(F.lit("usage"), F.concat_ws("=", F.date_format("day", "yyyy-MM-dd"), F.col("count").cast("string"))))
+    gone = state.SeenStore(f"{path}/gone")
+    gone.mark(items, AS_OF, 0)
+    gone.compact(spark, AS_OF)
+    gone.clear(spark)
+    out.append(gone.rows(spark).select(F.lit("forgotten"), "link"))
+    rows = out[0]
+    for more in out[1:]:
+        rows = rows.unionAll(more)
+    return rows
 
 
 # --- merge ---------------------------------------------------------------------------------------
@@ -371,6 +406,13 @@ def outbox(spark, sf):
         "digest_slug", F.coalesce("recipient", F.lit("")).alias("recipient"), "subject", "body_chars", F.coalesce("error", F.lit("")).alias("error"))
 
 
+def digest_files(spark, sf):
+    """Lines of the files that the digests were written to."""
+    path = scratch_path(spark, "files")
+    sinks.write_block_files(render.in_order(_document(spark, sf)), path)
+    return spark.read.schema("value string, digest_slug string").text(path).groupBy("digest_slug", F.col("value").alias("line")).agg(F.count("*").alias("n"))
+
+
 def previous_digests(spark, sf):
     archive = V.history(spark, sf).select("digest_slug", "digest_title", F.col("sent_at").alias("rendered_at"), "id")
     return render.latest_digests(archive).select("digest_slug", "id", _stamp("rendered_at"))
@@ -398,6 +440,79 @@ def landed_trim(spark, sf):
     return whole.trim_run(items, cfg, AS_OF).select("item_id", "feed_id", _stamp("published"))
 
 
+def _labelling(prompt: str):
+    """Stand-in for a model: labels each item of a batch by its place."""
+    import json
+
+    count = prompt.count("\nTITLE: ")
+    found = [{"summary": f"place {i}", "category": V.VOCAB[i % 4], "domain": V.DOMAINS[i // 2 % 4]} for i in range(count)]
+    return json.dumps({"items": found}), json.dumps({"input_tokens": len(prompt), "output_tokens": count})
+
+
+def _settings(spark, sf, path: str, **more) -> whole.Settings:
+    labels = _labels(provider="alpha", model="m-1")
+    return whole.Settings(
+        V.search_marked_feeds(spark, sf), V.digests(spark), path, prices=V.prices(spark), labels=labels, max_age_days=21,
+        **{"per_feed": None, "max_total": None} | more)
+
+
+def _whole_run(spark, sf, docs: DataFrame, **more) -> tuple[str, dict]:
+    path = scratch_path(spark, "run")
+    feeds.land_documents(docs, f"{path}/landed")
+    cfg = _settings(spark, sf, f"{path}/state", **more)
+    result = whole.run(spark, cfg, whole.fetch_all(spark, f"{path}/landed", cfg, AS_OF), AS_OF, scoring.caller(lambda: _labelling))
+    if not result["success"]:
+        raise RuntimeError(result["error"])
+    return cfg.state_path, result
+
+
+def full_run(spark, sf):
+    """Landed documents through a whole run; what it leaves in history, outbox, unrouted, usage and the seen store."""
+    path, _ = _whole_run(spark, sf, V.feed_documents(spark, sf))
+    read = lambda name, schema: state.read_table(spark, f"{path}/{name}", schema)
+    row = lambda kind, name, number, text: [F.lit(kind).alias("kind"), name.alias("name"), number.cast("bigint").alias("number"), text.alias("text")]
+    none, zero = F.lit(""), F.lit(0)
+    sent = state.HistoryStore(f"{path}/history").read(spark)
+    box = read("outbox", "digest_slug string, recipient string, subject string, body_chars bigint, error string")
+    dropped = read("unrouted", "source string, domain string, category string, n bigint")
+    used = state.UsageStore(f"{path}/usage").read(spark)
+    tables = [
+        sent.select(*row("history", F.col("digest_slug"), F.col("id"), F.concat_ws(" ", "title", "link", "summary", "category"))),
+        box.select(*row("outbox", F.col("digest_slug"), zero, F.concat_ws(" ", F.coalesce("recipient", F.lit("-")), "subject"))),
+        dropped.select(*row("unrouted", F.col("source"), F.col("n"), F.concat_ws(" ", "domain", "category"))),
+        used.groupBy("provider", "model").agg(F.sum("output_tokens").alias("n")).select(*row("usage", F.col("provider"), F.col("n"), F.col("model"))),
+        state.SeenStore(f"{path}/seen").read(spark, AS_OF).select(*row("seen", F.col("link"), zero, none)),
+        state.latest_run(read("runs", schemas.RUN_LOG)).select(*row("run", F.col("status"), F.col("items_processed"), none)),
+    ]
+    rows = tables[0]
+    for more in tables[1:]:
+        rows = rows.unionAll(more)
+    return rows
+
+
+def run_metrics(spark, sf):
+    """Rows in and out of the stages of a run that trims fairly, as its own jobs observed them."""
+    path, _ = _whole_run(spark, sf, V.feed_documents(spark, sf), per_feed=20, max_total=CAP, fair=True)
+    return state.read_table(spark, f"{path}/metrics", "stage string, rows_in bigint, rows_out bigint").drop("batch_id")
+
+
+def bad_feeds(spark, sf):
+    """Documents of every fifth feed broken off, of others too large or under an unknown feed: what is skipped, and the items of the rest."""
+    docs = V.feed_documents(spark, sf).join(V.feeds(spark, sf).select("feed_id", "feed_ord"), "feed_id")
+    kind = F.col("feed_ord") % 5
+    limit = 1_000_000
+    docs = docs.select(
+        F.when(kind == 2, F.concat(F.lit("stray-"), "feed_id")).otherwise(F.col("feed_id")).alias("feed_id"), "doc_ord",
+        F.when(kind == 0, F.substring("body", 1, 10)).when(kind == 1, F.rpad("body", limit + 1, " ")).otherwise(F.col("body")).alias("body"))
+    path = scratch_path(spark, "bad")
+    feeds.land_documents(docs, f"{path}/landed")
+    cfg = _settings(spark, sf, f"{path}/state", max_document_bytes=limit)
+    items = whole.fetch_all(spark, f"{path}/landed", cfg, AS_OF)
+    skipped = state.read_table(spark, f"{path}/state/skipped", "feed_id string, doc_ord int, reason string").drop("batch_id")
+    return items.groupBy("feed_id").agg(F.count("*").alias("n")).select(
+        "feed_id", F.lit(-1).alias("doc_ord"), F.concat(F.lit("items "), F.col("n").cast("string")).alias("reason")).unionByName(skipped)
+
+
 def _labels(**more):
     return summarise.Labels(categories=V.VOCAB, domains=V.DOMAINS, fallback_category=V.FALLBACK, **more)
 
@@ -468,7 +583,7 @@ NAMES = [
     cluster_stories, model_calls, usage_extract, usage_cost, usage_daily, usage_rollup, history_page, history_deep,
     history_trim, history_counts, history_append, run_latest, merge_rows, merge_changes, merge_values, digest_blocks, render_digests,
     outbox, previous_digests, feed_scan, landed_trim, summarise_batches, summarise_topics, stream_daily, stream_seen, health,
-    vocabularies,
+    vocabularies, state_retention, full_run, run_metrics, bad_feeds, digest_files,
 ]
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..operators import history, readers, render, routing, scoring, seen, similar, trim, usage
 from ..sources import feeds as landed, search, sinks, state
 from ..session import freeze, tune
+from .meter import Meter
 from .summarise import Labels, summarise_all
 
 DIGEST_ARCHIVE = "digest_ord int, digest_title string, digest_slug string, n_blocks bigint, body_chars bigint, rendered_at timestamp"
@@ -31,25 +32,34 @@ class Settings:
     digest_sections: tuple[str, ...] = ("key", "notable", "mention")
     prices: DataFrame | None = None
     labels: Labels = field(default_factory=Labels)
-    per_feed: int = 20
-    max_total: int = 50
+    per_feed: int | None = 20  # no limit if None
+    max_total: int | None = 50
     fair: bool = False
     max_age_days: int | None = None
     max_description_chars: int = landed.MAX_DESCRIPTION
+    max_document_bytes: int = landed.MAX_BYTES
     content_dedupe: bool = False
     similarity: float = 0.85
     story_dedupe: bool = False
     story_containment: float = 0.6
     retention_days: int = 14
+    history_entries: int = 10_000
+    usage_days: int = 400
     digest_slugs: list[str] | None = None
     default_to: str | None = None
     template: str = render.HEADER
+    meter: Meter = field(default_factory=Meter)
 
 
 def trim_run(items: DataFrame, cfg: Settings, as_of) -> DataFrame:
     """Per-feed cap, age, total: in this order, each limit changes what the next sees."""
-    young = trim.drop_stale(trim.cap_per_feed(items, cfg.per_feed), as_of, cfg.max_age_days)
-    return trim.fair_trim(young, cfg.max_total, as_of) if cfg.fair else trim.newest(young, cfg.max_total, as_of)
+    given = cfg.meter.on("trim", "in", items)
+    capped = given if cfg.per_feed is None else trim.cap_per_feed(given, cfg.per_feed)
+    young = trim.drop_stale(capped, as_of, cfg.max_age_days)
+    if cfg.max_total is not None:
+        young = trim.fair_trim(young, cfg.max_total, as_of) if cfg.fair else trim.newest(young, cfg.max_total, as_of)
+    cfg.meter.trimmed = young
+    return young
 
 
 def all_feeds(cfg: Settings) -> DataFrame:
@@ -70,8 +80,8 @@ def fetch_all(spark: SparkSession, path: str, cfg: Settings, as_of, batch_id="0"
     """Items of this run from a folder of landed feed documents. Documents that give none are
     written to the `skipped` table with their reason."""
     feeds = freeze(all_feeds(cfg))
-    items, _ = landed.read_feeds(spark, path, feeds, max_description_chars=cfg.max_description_chars)
-    state.write_batch(landed.skipped_documents(spark, path, feeds), f"{cfg.state_path}/skipped", batch_id)
+    items, _ = landed.read_feeds(spark, path, feeds, cfg.max_document_bytes, cfg.max_description_chars)
+    state.write_batch(landed.skipped_documents(spark, path, feeds, cfg.max_document_bytes), f"{cfg.state_path}/skipped", batch_id)
     return trim_run(items, cfg, as_of)
 
 
@@ -103,12 +113,16 @@ def run(spark: SparkSession, cfg: Settings, items: DataFrame, as_of, fn, batch_i
 
 def _run(spark, cfg: Settings, items, as_of, fn, batch_id) -> dict:
     path, store = cfg.state_path, state.SeenStore(f"{cfg.state_path}/seen")
-    fetched = freeze(items)
+    meter = cfg.meter
+    if items is not meter.trimmed:
+        meter.forget("trim", "in")
+    fetched = freeze(meter.on("trim", "out", items))
     if fetched.isEmpty():
         return {"items": 0}
     if cfg.content_dedupe:
         fetched = similar.dedupe_content(fetched, cfg.similarity, cfg.story_dedupe, cfg.story_containment)
-    new = freeze(seen.filter_new(fetched, store.read(spark, as_of, cfg.retention_days, batch_id), as_of, cfg.retention_days))
+    fetched = meter.on("dedup", "out", fetched)
+    new = freeze(meter.on("seen", "out", seen.filter_new(fetched, store.read(spark, as_of, cfg.retention_days, batch_id), as_of, cfg.retention_days)))
     digests = freeze(routing.only_digests(routing.apply_feed_routing(all_digests(cfg), cfg.feeds), cfg.digest_slugs))
 
     if new.isEmpty():
@@ -117,7 +131,9 @@ def _run(spark, cfg: Settings, items, as_of, fn, batch_id) -> dict:
     if digests.isEmpty():
         return {"items": 0, "message": "No matching digests"}
 
-    routed = freeze(routing.route(scored, digests))
+    scored = freeze(meter.on("summarise", "out", scored))
+    routed = freeze(meter.on("route", "out", routing.route(scored, digests)))
+    n_routed = meter.rows("route", "out")
     state.write_batch(render.in_order(render.document(routed, digests, as_of, cfg.template)), f"{path}/blocks", batch_id)
     blocks = state.read_table(spark, f"{path}/blocks", DIGEST_BLOCKS).where(F.col("batch_id") == str(batch_id))
     rendered = freeze(render.sizes(blocks))
@@ -125,19 +141,23 @@ def _run(spark, cfg: Settings, items, as_of, fn, batch_id) -> dict:
     sinks.write_outbox(render.outbox(own, digests, cfg.default_to, as_of), f"{path}/outbox", batch_id)
     state.write_batch(rendered.withColumn("rendered_at", F.lit(as_of).cast("timestamp")), f"{path}/digests", batch_id)
     sent = state.HistoryStore(f"{path}/history")
-    sent.append(history.history_rows(routed, as_of, sent.last_id(spark, batch_id)), batch_id)
-    dropped = routing.unrouted(scored, routed)
+    sent.append(history.history_rows(routed, as_of, sent.claim(spark, batch_id, n_routed)), batch_id)
+    dropped = meter.on("unrouted", "out", routing.unrouted(scored, routed))
     state.write_batch(dropped, f"{path}/unrouted", batch_id)
+    used = state.UsageStore(f"{path}/usage")
     if cfg.prices is not None and cfg.labels.calls:
         calls = cfg.labels.calls[0]
         for more in cfg.labels.calls[1:]:
             calls = calls.unionByName(more)
-        state.append_usage(usage.usage_rows(calls, cfg.prices, as_of), f"{path}/usage", batch_id)
-    stages = stage_counts(fetched=fetched, new=new, scored=scored, routed=routed, unrouted=dropped)
-    state.write_batch(stages, f"{path}/stages", batch_id)
+        used.add(usage.usage_rows(calls, cfg.prices, as_of), batch_id)
+    state.write_batch(meter.stages(spark), f"{path}/stages", batch_id)
+    state.write_batch(meter.table(spark), f"{path}/metrics", batch_id)
     # last: what was delivered or deliberately excluded
     store.mark(seen.settled(new, scored, routed), as_of, batch_id)
-    return {"items": routed.count()}
+    store.expire(spark, as_of, cfg.retention_days)
+    sent.expire(spark, cfg.history_entries)
+    used.expire(spark, as_of, cfg.usage_days)
+    return {"items": n_routed}
 
 
 def deliver_previous(spark, cfg: Settings, digests: DataFrame, as_of, batch_id) -> int:
@@ -200,12 +220,3 @@ def readers_of(users: DataFrame) -> DataFrame:
     from ..operators.readers import normalise_users
 
     return normalise_users(users)
-
-
-def stage_counts(**frames: DataFrame) -> DataFrame:
-    """(stage, rows) of a run, so that a stage that swallows rows shows."""
-    counts = [df.agg(F.count("*").alias("rows")).select(F.lit(name).alias("stage"), "rows") for name, df in frames.items()]
-    out = counts[0]
-    for more in counts[1:]:
-        out = out.unionAll(more)
-    return out

@@ -38,20 +38,34 @@ def _place(path: Column) -> list[Column]:
     return [F.substring_index(stem, "~", 1).alias("feed_id"), number.alias("doc_ord")]
 
 
+def _files(spark: SparkSession, path: str) -> DataFrame:
+    """Landed files with feed_id and doc_ord: from their folders, as land_documents writes them, or from their names."""
+    files = spark.read.format("binaryFile").load(path)
+    if {"feed_id", "doc_ord"} <= set(files.columns):
+        return files.withColumns({"feed_id": F.col("feed_id").cast("string"), "doc_ord": F.col("doc_ord").cast("int")})
+    return files.select("*", *_place(F.col("path")))
+
+
+def land_documents(docs: DataFrame, path: str) -> None:
+    """Write (feed_id, doc_ord, body) as files in folders feed_id=/doc_ord=, where read_documents finds them. Bodies end
+    with a line end."""
+    docs.select("feed_id", "doc_ord", "body").write.partitionBy("feed_id", "doc_ord").text(path)
+
+
 def read_documents(spark: SparkSession, path: str, max_bytes: int = MAX_BYTES) -> DataFrame:
     """(feed_id, doc_ord, body) of landed files.
 
     Oversized files are left out by the scan itself; `skipped_documents` names them."""
     latin = F.lower(F.substring(F.col("content").cast("string"), 1, 100)).rlike("encoding=.iso-8859-1")
     body = F.when(latin, F.decode("content", "ISO-8859-1")).otherwise(F.make_valid_utf8(F.col("content").cast("string")))
-    files = spark.read.format("binaryFile").load(path).where(F.col("length") <= max_bytes)
-    return files.select(*_place(F.col("path")), body.alias("body"))
+    files = _files(spark, path).where(F.col("length") <= max_bytes)
+    return files.select("feed_id", "doc_ord", body.alias("body"))
 
 
 def skipped_documents(spark: SparkSession, path: str, feeds: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
     """(feed_id, doc_ord, reason) of landed files that give no items: oversized, of no known
     feed, or malformed. Only the last reads contents."""
-    files = spark.read.format("binaryFile").load(path).select(*_place(F.col("path")), "length")
+    files = _files(spark, path).select("feed_id", "doc_ord", "length")
     known = feeds.where(F.coalesce("url", F.lit("")) != "").select("feed_id").distinct()
     large = F.col("length") > max_bytes
     stray = files.where(~large).join(known, "feed_id", "left_anti")
