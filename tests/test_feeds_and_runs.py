@@ -255,14 +255,114 @@ def test_stream_runs_equal_batches(spark, tmp_path):
     assert sorted((r["id"], r["title"]) for r in sent.collect()) == [(1, "A"), (2, "B"), (3, "C")]
 
 
-def test_first_arrivals(spark, tmp_path):
-    rows = spark.createDataFrame([("a", dt.datetime(2024, 1, 1)), ("a", dt.datetime(2024, 1, 2)), ("b", dt.datetime(2024, 1, 1))], "link string, at timestamp")
-    rows.write.parquet(str(tmp_path / "in"))
-    live = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
-    out = str(tmp_path / "out")
-    seen_stream.first_arrivals(live, "at").writeStream.option("checkpointLocation", str(tmp_path / "cp")).trigger(
-        availableNow=True).format("parquet").start(out).awaitTermination()
-    assert sorted(r["link"] for r in spark.read.parquet(out).collect()) == ["a", "b"]
+def test_keyed_arrivals(spark, tmp_path):
+    """Late rows are judged, a link comes back after the retention, a batch that comes again gives the same rows."""
+    day = lambda d: dt.datetime(2024, 1, d)
+    drops = [[("a", day(10)), ("a", day(10)), ("b", day(10)), ("", day(1)), (None, day(1)), ("c", None)],
+             [("a", day(2)), ("c", day(1)), ("b", day(12))], [("a", day(24)), ("b", day(23)), ("c", day(3))], [("a", day(30))]]
+    new = []
+    for n, rows in enumerate(drops):
+        spark.createDataFrame(rows, "link string, time timestamp").coalesce(1).write.parquet(str(tmp_path / f"in/{n}"))
+        live = spark.readStream.schema("link string, time timestamp").parquet(str(tmp_path / "in/*"))
+        seen_stream.run_available(seen_stream.keyed_arrivals(live, "time"), str(tmp_path / "out"), str(tmp_path / "cp"))
+        rows = sorted((r["link"], r["time"].day) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+        new.append(rows)
+    assert new[0] == [("a", 10), ("a", 10), ("b", 10)]
+    assert new[1] == sorted(new[0] + [("c", 1)])
+    assert new[3] == new[2] == sorted(new[1] + [("a", 24)])
+
+
+def test_a_batch_that_comes_again_after_compacting(spark, tmp_path):
+    store = state.SeenStore(str(tmp_path / "seen"))
+    links = lambda *names: spark.createDataFrame([(n,) for n in names], "link string")
+    live = lambda **k: sorted(r["link"] for r in store.read(spark, AS_OF, **k).collect())
+    store.mark(links("a", "b"), AS_OF, "1")
+    store.mark(links("b", "c"), AS_OF, "2")
+    store.compact(spark, AS_OF)
+    assert live() == ["a", "b", "b", "c"] and live(except_batch="1") == ["b", "c"]
+    store.mark(links("a"), AS_OF, "1")  # its rows stand for the folded ones
+    assert live() == ["a", "b", "c"]
+    store.compact(spark, AS_OF)
+    assert live() == ["a", "b", "c"] and live(except_batch=2) == ["a"]
+
+
+def test_clear_after_a_rewrite_that_died(spark, tmp_path, monkeypatch):
+    store = state.SeenStore(str(tmp_path / "seen"))
+    store.mark(spark.createDataFrame([("a",)], "link string"), AS_OF, "1")
+    note = store._note
+
+    def dies(spark, gen, live, watermark=None):
+        if live:
+            raise RuntimeError("lost")
+        note(spark, gen, live, watermark)
+
+    monkeypatch.setattr(store, "_note", dies)
+    with pytest.raises(RuntimeError):
+        store.compact(spark, AS_OF)
+    assert store.read(spark, AS_OF).count() == 1  # the old generation still counts
+    monkeypatch.undo()
+    store.clear(spark)
+    assert store.read(spark, AS_OF).count() == 0
+    store.mark(spark.createDataFrame([("b",)], "link string"), AS_OF, "2")
+    assert [r["link"] for r in store.read(spark, AS_OF).collect()] == ["b"]
+
+
+def test_two_renderings_of_one_time(spark):
+    from winnow.operators import render
+
+    rows = [("a", "A", dt.datetime(2024, 1, 1), "r1"), ("a", "A", dt.datetime(2024, 1, 1), "r2"), ("b", "B", dt.datetime(2024, 1, 1), "r1")]
+    archive = spark.createDataFrame(rows, "digest_slug string, digest_title string, rendered_at timestamp, document_batch string")
+    assert sorted((r["digest_slug"], r["document_batch"]) for r in render.latest_digests(archive).collect()) == [("a", "r2"), ("b", "r1")]
+
+
+def test_a_run_expires_what_it_keeps(spark, tmp_path):
+    cfg = settings(spark, tmp_path, history_entries=3, usage_days=30)
+    for n, at in enumerate(("2023-11-01 00:00:00", "2024-01-30 00:00:00", AS_OF)):
+        titles = [f"batch {n} item {i}" for i in range(2)]
+        items = run_items(spark, titles, start=10 * n)
+        assert whole.run(spark, cfg, items, at, answering("news"), f"r{n}")["items"] == 2
+    path = cfg.state_path
+    sent = state.HistoryStore(f"{path}/history")
+    assert sorted(r["id"] for r in sent.read(spark).collect()) == [4, 5, 6] and sent.last_id(spark, "next") == 6
+    assert [r["day"].year for r in state.UsageStore(f"{path}/usage").read(spark).collect()] == [2024, 2024]
+    seen = state.SeenStore(f"{path}/seen").rows(spark)
+    assert sorted(r["link"][-2:] for r in seen.collect()) == ["10", "11", "20", "21"]
+    # the last batch comes again: same rows, no ids used twice
+    assert whole.run(spark, cfg, run_items(spark, ["batch 2 item 0", "batch 2 item 1"], start=20), AS_OF, answering("news"), "r2")["items"] == 2
+    assert sorted(r["id"] for r in sent.read(spark).collect()) == [4, 5, 6]
+
+
+def test_metrics_of_a_run(spark, tmp_path):
+    cfg = settings(spark, tmp_path, content_dedupe=True, per_feed=4, max_total=None)
+    items = run_items(spark, ["A first headline", "A first headline", "Something else entirely", "third", "cut off"])
+    # an unused trim must not be waited for
+    whole.trim_run(items, cfg, AS_OF)
+    whole.run(spark, cfg, whole.trim_run(items, cfg, AS_OF), AS_OF, answering("news"), "r1")
+    rows = [tuple(r)[:3] for r in spark.read.parquet(f"{cfg.state_path}/metrics").collect()]
+    assert sorted(rows) == sorted([("trim", 5, 4), ("dedup", 4, 3), ("seen", 3, 3), ("summarise", 3, 3), ("route", 3, 3)])
+    whole.trim_run(items, cfg, AS_OF)
+    whole.run(spark, cfg, run_items(spark, ["other"], start=50), AS_OF, answering("news"), "r2")
+    rows = [tuple(r)[:3] for r in spark.read.parquet(f"{cfg.state_path}/metrics/batch_id=r2").collect()]
+    assert ("trim", None, 1) in rows
+
+
+def test_landed_folders(spark, tmp_path):
+    path = str(tmp_path / "landed")
+    docs = spark.createDataFrame([("a/b c", 0, RSS), ("a/b c", 1, "<rss><chan"), ("x", 0, ATOM)], "feed_id string, doc_ord int, body string")
+    landed.land_documents(docs, path)
+    got = landed.read_documents(spark, path).collect()
+    assert sorted((r["feed_id"], r["doc_ord"]) for r in got) == [("a/b c", 0), ("a/b c", 1), ("x", 0)]
+    plan = landed.read_documents(spark, path, 4000)._jdf.queryExecution().executedPlan().toString()
+    assert "LessThanOrEqual(length,4000)" in plan
+
+
+def test_block_files_in_order(spark, tmp_path):
+    rows = [("a", i // 50, i % 50, f"line {i}") for i in range(200)] + [("b", 0, 0, "two\nlines")]
+    spark_rows = spark.createDataFrame(rows, "digest_slug string, rank int, n long, text string").repartition(7)
+    sinks.deliver(spark_rows, "file", str(tmp_path / "out"))
+    for slug, want in (("a", [f"line {i}" for i in range(200)]), ("b", ["two", "lines"])):
+        files = sorted((tmp_path / "out" / f"digest_slug={slug}").glob("part-*"))
+        assert "".join(f.read_text() for f in files).splitlines() == want
 
 
 def test_digest_files(spark, tmp_path):

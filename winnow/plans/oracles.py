@@ -430,6 +430,10 @@ ORACLES["bad_feeds"] = _with(ITEMS, LANDED, f"young AS (SELECT * FROM landed WHE
       CASE feed_ord % 5 WHEN 0 THEN 'malformed' WHEN 1 THEN 'oversized' ELSE 'unknown_feed' END FROM items WHERE feed_ord % 5 <= 2""")
 ORACLES["digest_files"] = _with(ITEMS, SCORED, DIGESTS, ROUTED, RENDERED, BLOCKS, select=f"""SELECT digest_slug, line, count(*) AS n FROM (
     SELECT digest_slug, unnest(string_split(CASE WHEN n = k - 2 THEN regexp_replace(text, '{WS}+$', '') ELSE text END, chr(10))) AS line FROM placed WHERE n < k - 1) GROUP BY ALL""")
+_DROPS = [f"""p{k} AS (SELECT a.* FROM arrived a LEFT JOIN m{k - 1} m USING (link) WHERE a.item_id % 4 = {drop} AND (m.t IS NULL OR a.t >= m.t + INTERVAL 5 DAY)),
+m{k} AS (SELECT link, max(t) AS t FROM (SELECT link, t FROM m{k - 1} UNION ALL SELECT link, t FROM p{k}) GROUP BY link)""" for k, drop in ((1, 2), (2, 0), (3, 3), (4, 1))]
+ORACLES["stream_keyed"] = _with(ITEMS, f"arrived AS (SELECT item_id, link, coalesce(published, {AS_OF}) AS t FROM items WHERE link <> '')",
+    "m0 AS (SELECT link, t FROM arrived WHERE false)", *_DROPS, select="SELECT item_id, link FROM p1 " + " ".join(f"UNION ALL SELECT item_id, link FROM p{k}" for k in (2, 3, 4)))
 ORACLES["state_retention"] = _with(ITEMS, HISTORY, USAGE, select=f"""SELECT DISTINCT 'live' AS kept, link FROM items WHERE item_id % 3 > 0
     UNION ALL SELECT DISTINCT 'without_1', link FROM items WHERE item_id % 3 = 2
     UNION ALL SELECT 'marks', (item_id % 3) || '=' || count(DISTINCT link) FROM items WHERE item_id % 3 > 0 GROUP BY item_id % 3

@@ -568,6 +568,18 @@ def stream_seen(spark, sf):
     return state.read_table(spark, f"{out}/new", "item_id bigint, link string, published timestamp").select("item_id", "link")
 
 
+def stream_keyed(spark, sf):
+    """documents arriving in four drops out of the order of their times, judged by state of their links."""
+    out = scratch_path(spark, "keyed")
+    rows = V.items(spark, sf).select("item_id", "link", F.coalesce("published", F.lit(AS_OF).cast("timestamp")).alias("published"))
+    arrived = freeze(rows.withColumn("drop_no", F.col("item_id") % 4))
+    for drop_no in (2, 0, 3, 1):
+        arrived.where(F.col("drop_no") == drop_no).drop("drop_no").write.parquet(f"{out}/landed/drop={drop_no}")
+        live = spark.readStream.schema(rows.schema).parquet(f"{out}/landed/drop=*")
+        seen_stream.run_available(seen_stream.keyed_arrivals(live, "published", "5 days"), f"{out}/new", f"{out}/progress")
+    return spark.read.schema(rows.schema).parquet(f"{out}/new").select("item_id", "link")
+
+
 def health(spark, sf):
     audit = scoring.response_audit(_batched(spark, sf), V.responses(spark, sf), V.VOCAB)
     found = whole.health(V.feeds(spark, sf), V.topics(spark, sf), V.users(spark, sf), V.plain_digests(spark), V.VOCAB, audit=audit)
@@ -583,7 +595,7 @@ NAMES = [
     cluster_stories, model_calls, usage_extract, usage_cost, usage_daily, usage_rollup, history_page, history_deep,
     history_trim, history_counts, history_append, run_latest, merge_rows, merge_changes, merge_values, digest_blocks, render_digests,
     outbox, previous_digests, feed_scan, landed_trim, summarise_batches, summarise_topics, stream_daily, stream_seen, health,
-    vocabularies, state_retention, full_run, run_metrics, bad_feeds, digest_files,
+    vocabularies, state_retention, full_run, run_metrics, bad_feeds, digest_files, stream_keyed,
 ]
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ..operators.seen import filter_new
 from ..operators.trim import drop_stale
@@ -30,7 +32,48 @@ def new_items_stream(items: DataFrame, store: SeenStore, out: str, as_of, checkp
     )
 
 
-def first_arrivals(items: DataFrame, time: str, retention: str = "14 days") -> DataFrame:
-    """Continuous variant: the first item per link within the retention, marked on arrival
-    and not on delivery. State expires with the watermark."""
-    return items.withWatermark(time, retention).dropDuplicatesWithinWatermark(["link"])
+def _judge(retention: pd.Timedelta, keep: pd.Timedelta):
+    def run(key, frames, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        mark = pd.Timestamp(state.get[0]) if state.exists else None
+        newest = mark
+        for frame in frames:
+            new = frame if mark is None else frame[frame["at"] >= mark + retention]
+            if len(new):
+                latest = new["at"].max()
+                newest = latest if newest is None else max(newest, latest)
+                yield new
+        if newest is not None:
+            state.update((newest.to_pydatetime(),))
+            state.setTimeoutDuration(int(keep.total_seconds() * 1000))
+
+    return run
+
+
+def keyed_arrivals(items: DataFrame, time: str, retention: str = "14 days", keep: str = "28 days") -> DataFrame:
+    """Items of a stream whose link was not delivered within the retention before them, from state by link.
+
+    All rows of a batch are judged by what earlier batches delivered; repeats inside it all pass. The mark of a link
+    is written with the batch's progress: a batch that fails comes again with the marks before it. A late row is judged
+    like any other, and is no news once its link was delivered after it. Rows without a link or a time are left
+    out. The state of a link that was quiet for `keep`, by the clock of the cluster, goes; `keep` must exceed
+    the retention by the longest delay of the stream."""
+    rows = items.where((F.coalesce("link", F.lit("")) != "") & F.col(time).isNotNull()).withColumn("at", F.col(time).cast("timestamp"))
+    kept = rows.groupBy("link").applyInPandasWithState(
+        _judge(pd.Timedelta(retention), pd.Timedelta(keep)), rows.schema, "at timestamp", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return kept.select(*items.columns)
+
+
+def run_available(stream, out: str, checkpoint: str) -> None:
+    """Append what the stream has now to the table at `out`, and stop. Batches without data, which would go on for ever to look for state to
+    expire, are left to streams that stay up."""
+    spark = stream.sparkSession
+    key = "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).format("parquet").start(out).awaitTermination()
+    finally:
+        spark.conf.set(key, before)
