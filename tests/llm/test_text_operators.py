@@ -166,7 +166,7 @@ def test_range_coder_blocks_are_independent_and_learn():
 
 def test_warc(spark):
     rows = [(4, "http://x/é y", "<p>same</p>"), (2, None, "<p>same</p>"), (2, None, "<p>same</p>"), (9, "", "<p>same</p>"), (None, "u", "<p>same</p>"),
-            (5, "u", None), (6, "u", ""), (7, "u", "<p>" + "long é " * 30000), (8, "u", "PK*M\x18\x00\x00\x00\x00\r\n\r\n")]
+            (None, "u", "<p>same</p>"), (None, "u", "of no page"), (None, "u", "of no page"), (5, "u", None), (6, "u", ""), (7, "u", "<p>" + "long é " * 30000), (8, "u", "PK*M\x18\x00\x00\x00\x00\r\n\r\n")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 AS refers_to", "'x' AS digest", "0 AS archive")
     for min_bytes in (0, 1):
         path = scratch_path(spark, "warc")
@@ -176,7 +176,7 @@ def test_warc(spark):
         for page, _, html in rows:
             raw = (html or "").encode()
             first = min((p for p, _, h in rows if p is not None and (h or "") == (html or "")), default=None)
-            again = page is not None and len(raw) >= min_bytes and first != page
+            again = first is not None and len(raw) >= min_bytes and first != page
             want.append((page, len(raw), base64.b32encode(hashlib.sha1(raw).digest()).decode(), "revisit" if again else "response", first if again else None))
         assert got == sorted(want, key=str)
     path = scratch_path(spark, "warc")

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, functions as F
 from .common import arrow_map, narrow
 
 # Distinct pieces, and their characters, that a worker remembers before it starts anew.
-CACHE, CACHE_CHARS = 800_000, 16_000_000
+CACHE, CACHE_CHARS = 400_000, 8_000_000
 
 # Bits of an id in the number that stands for a pair.
 PAIR_BITS = 20
@@ -258,12 +258,14 @@ class PieceCache(dict):
     def __missing__(self, piece: str) -> int:
         n = self[piece] = len(self)
         self.new.append(piece)
+        self.new_chars += len(piece)
         return n
 
     def restart(self) -> None:
         self.clear()
         self.chars = 0
         self.new: list[str] = []
+        self.new_chars = 0
         self.update({t: n for n, t in enumerate(self.bpe.special)})
         self.ids = np.array(list(self.bpe.special.values()), np.int32)
         self.ends = np.arange(len(self) + 1)
@@ -272,11 +274,11 @@ class PieceCache(dict):
         return np.fromiter(map(self.__getitem__, pieces), np.int32, len(pieces))
 
     def learn(self) -> None:
-        self.chars += sum(map(len, self.new))
+        self.chars += self.new_chars
         ids, counts = self.bpe.encode_pieces(self.new)
         self.ids = np.concatenate([self.ids, ids])
         self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(counts)])
-        self.new = []
+        self.new, self.new_chars = [], 0
 
     def full(self) -> bool:
         return len(self) > CACHE or self.chars > CACHE_CHARS
@@ -308,11 +310,13 @@ def cut(bpe: ByteBPE, text: str) -> list[str]:
     return out
 
 
-# Characters of text whose new pieces are indexed together.
-GROUP_CHARS = 16_000_000
+# Pieces are indexed together until a group has so many characters of text, or of new pieces.
+GROUP_CHARS, GROUP_NEW = 8_000_000, 1_000_000
 
 
-def _encode(path: str):
+def _encode(path: str, decoded: bool = False):
+    """With `decoded`, digests of what the ids spell instead of the ids."""
+
     def run(batches):
         bpe = tokenizer(path)
         cache = piece_cache(path)
@@ -329,10 +333,11 @@ def _encode(path: str):
                     ids = cache.spell(row)
                     n.append(len(ids))
                     ids_sha.append(hashlib.sha256(",".join(map(decimal.__getitem__, ids.tolist())).encode()).hexdigest())
-                    ids_all.append(ids.tobytes())
+                    ids_all.append(hashlib.sha256(bpe.decode(ids.tolist()).encode()).hexdigest() if decoded else ids.tobytes())
+                last = pa.array(ids_all, pa.string() if decoded else pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [doc_ids, pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(ids_all, pa.binary())],
-                    names=["doc_id", "n_tokens", "ids_sha256", "ids"])
+                    [doc_ids, pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), last],
+                    names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256" if decoded else "ids"])
             if cache.full():
                 cache.restart()
 
@@ -340,7 +345,7 @@ def _encode(path: str):
             texts = [t or "" for t in b.column("text").to_pylist()]
             held.append((b.column("doc_id"), [cache.numbers(cut(bpe, t)) for t in texts]))
             chars += sum(map(len, texts))
-            if chars >= GROUP_CHARS:
+            if chars >= GROUP_CHARS or cache.new_chars >= GROUP_NEW:
                 yield from spelled()
                 held, chars = [], 0
         if held:
@@ -375,3 +380,10 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     kind = encoded.schema["doc_id"].dataType.simpleString()
     return arrow_map(encoded.select("doc_id", "n_tokens", "ids_sha256", F.coalesce("ids", F.lit(b"")).alias("ids")), _decode(path),
                      f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+
+def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """decode(encode(docs)) in one pass: doc_id, n_tokens, ids_sha256, decoded_sha256. The ids stay in the task."""
+    rows = narrow(docs, doc_id=id_col, text=text_col)
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return arrow_map(rows, _encode(path, True), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -162,7 +162,10 @@ def fit(labelled: DataFrame, shrinkage: float = SHRINKAGE, calibration_rows: int
     model = Discriminant(means, inverse, logdet)
     rows = []
     for label in (0, 1):  # a bounded sample, the same on every run
-        rows += labelled.where(F.col("label") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(calibration_rows).select("x", "label").collect()
+        # ids hashed below the share that is needed, and a half more: only these are sorted, and reach the driver from any task
+        below = min(1.0, 1.5 * calibration_rows / total[label][0]) * (1 << 32)
+        own = labelled.where((F.col("label") == label) & (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32)) < F.lit(int(below))))
+        rows += own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(calibration_rows).select("x", "label").collect()
     x, y = np.array([r["x"] for r in rows]), np.array([r["label"] for r in rows], float)
     model.slope, model.offset = _calibrate(model.signal(x), y)
     return model

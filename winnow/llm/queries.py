@@ -22,8 +22,7 @@ def _documents(spark, sf) -> DataFrame:
 
 
 def op1_bpe(spark, sf):
-    path = tokenizer_path("byte_bpe_50k.json")
-    return bpe.decode(bpe.encode(_documents(spark, sf), path), path)
+    return bpe.round_trip(_documents(spark, sf), tokenizer_path("byte_bpe_50k.json"))
 
 
 def op2_exact_dedup(spark, sf):

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import tune
 from . import bpe, exact, jaccard, mixing, quality
-from .common import BATCH_ROWS, read_table, written
+from .common import BATCH_BYTES, BATCH_ROWS, read_table, written
 from .jaccard import NO_ID
 from .queries import tokenizer_path
 
@@ -15,6 +15,7 @@ REJECT_BELOW = 0.3
 
 def _ready(spark: SparkSession) -> None:
     tune(spark).conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def _joined(docs: DataFrame, decisions: DataFrame, digest, best=None) -> DataFrame:
@@ -36,7 +37,8 @@ def _text_hash(docs: DataFrame):
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier doesn't reject, every row on its own."""
+    """Documents that the classifier doesn't reject, every row on its own, whatever its id; a null text is empty. Without labels of
+    both classes all stay."""
     _ready(spark)
     marks = quality.marks(read_table(spark, sf_dir, "labels"))
     table = written(quality.features(docs), "features")
@@ -62,7 +64,8 @@ def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: every document as often as it is taken."""
+    """The mix: every document as often as it is taken. Rows with one id (null ids are one) and one text count as one row that is
+    taken as often as all of them; documents without words are not taken."""
     _ready(spark)
     taken = mixing.mix(docs).groupBy("doc_id", F.col("text_hash").alias("__digest")).agg(F.sum("copies").cast("int").alias("__copies")).where("__copies > 0")
     return _joined(docs, taken, _text_hash(docs)).withColumn("__copy", F.explode(F.sequence(F.lit(1), "__copies"))).select(
@@ -70,7 +73,7 @@ def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens and the digests of the ids and of the decoded text of every row."""
+    """doc_id, n_tokens and the digests of the ids and of the decoded text of every row, rows with null or repeated ids too; a
+    null text is empty."""
     _ready(spark)
-    path = tokenizer_path("byte_bpe_50k.json")
-    return bpe.decode(bpe.encode(docs, path), path)
+    return bpe.round_trip(docs, tokenizer_path("byte_bpe_50k.json"))

@@ -142,14 +142,14 @@ def write(pages: DataFrame, path: str, min_bytes: int = 0, archive_bytes: int =
     separator after it is an empty skippable frame.
 
     Of pages with equal payloads of at least `min_bytes`, the one with the smallest page_id is a
-    response and the others revisit it. Null html is an empty payload. A page without id is
-    always a response. Repeated rows are alike. An empty table leaves a folder without archives."""
+    response and the others revisit it, pages without id too; payloads of pages without id alone are responses, as
+    are several rows with the smallest page_id. Null html is an empty payload. An empty table leaves a folder without archives."""
     rows = narrow(pages, page_id=id_col, url=url_col, html=html_col).select(
         F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html")).withColumn(
         "digest", F.unhex(F.sha2("html", 256)))
-    keys = rows.where(F.col("page_id").isNotNull() & (F.octet_length("html") >= min_bytes)).select("page_id", "digest")
+    keys = rows.where(F.octet_length("html") >= min_bytes).select("page_id", "digest")
     first = keys.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").drop("n")
-    again = keys.join(first, "digest").where("page_id != refers_to").distinct().select(
+    again = keys.join(first, "digest").where("page_id IS DISTINCT FROM refers_to AND refers_to IS NOT NULL").distinct().select(
         F.col("page_id").alias("_page"), F.col("digest").alias("_digest"), "refers_to")
     # by page, not by payload: a payload that a third of all pages share is spread evenly
     joined = rows.join(again, null_safe(rows, again, {"page_id": "_page", "digest": "_digest"}), "left")
