@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..session import scratch_path
 
-# Rows, and bytes, per Arrow batch: documents run from a few bytes to megabytes.
-BATCH_ROWS, BATCH_BYTES = 1000, 16_000_000
+# Rows per Arrow batch: documents run from a few bytes to megabytes.
+BATCH_ROWS = 1000
 # Distinct words a task remembers the hash of before it starts anew.
 WORD_CACHE = 300_000
 GRAM_BASE = 0x9E3779B97F4A7C15
@@ -20,7 +20,6 @@ GRAM_BASE = 0x9E3779B97F4A7C15
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
