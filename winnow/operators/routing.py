@@ -154,21 +154,32 @@ def routing_matrix(feeds, digests, categories, domains=None, exclude="exclude"):
     return grid.orderBy(F.lower("feed"), "col"), unroutable, orphans
 
 
-def reach(feeds: DataFrame, digests: DataFrame) -> DataFrame:
-    """Digests that accept each feed by name, whatever the category."""
+def _reached(named: DataFrame, digests: DataFrame, *about: str) -> DataFrame:
+    """Digests that accept the `name` of each row, in their order."""
     keys = digests.select(
         "digest_ord", F.col("title").alias("digest_title"), F.explode(_feed_keys()).alias("_feed_key")
     )
     hit = F.when(F.col("digest_ord").isNotNull(), F.struct("digest_ord", "digest_title"))
     return (
-        _named(feeds).select("feed_id", F.col("name").alias("feed"))
-        .withColumn("_feed_key", _either(F.col("feed")))
+        named.withColumn("_feed_key", _either(F.col("name")))
         .join(broadcast_if_small(keys), "_feed_key", "left")
-        .groupBy("feed_id", "feed")
+        .groupBy(*about, "name")
         .agg(F.transform(F.sort_array(F.collect_list(hit)), lambda s: s["digest_title"]).alias("digests"))
     )
 
 
+def reach(feeds: DataFrame, digests: DataFrame) -> DataFrame:
+    """Digests that accept each feed by name, whatever the category."""
+    return _reached(_named(feeds).select("feed_id", "name"), digests, "feed_id").withColumnRenamed("name", "feed")
+
+
+def topic_reach(topics: DataFrame, digests: DataFrame) -> DataFrame:
+    """Digests that accept the items of each topic by its name; an empty list shows a name that reaches nobody. Topics
+    without a name are left out."""
+    named = topics.select("topic_ord", strip(F.col("name")).alias("name")).where("name <> ''")
+    return _reached(named, digests, "topic_ord").withColumnRenamed("name", "topic")
+
+
 def lints(feeds: DataFrame, topics: DataFrame, users: DataFrame, digests: DataFrame) -> DataFrame:
     """Wiring faults as rows of (rule, subject, object)."""
 

@@ -123,6 +123,18 @@ def feed_reach(spark, sf):
     return routing.reach(V.feeds(spark, sf), V.digests(spark)).select("feed_id", "feed", _join("digests", "|"))
 
 
+def topic_reach(spark, sf):
+    """Topics against the declared digests and one digest for each brand, which lists its topics."""
+    topics = V.topics(spark, sf)
+    brand = F.element_at("queries", 2)
+    branded = topics.withColumn("brand", F.regexp_extract(brand, "^(Brand#([0-9]+))", 1)).where("topic_ord % 2 = 0").groupBy("brand").agg(
+        F.collect_list("name").alias("sources")).select(
+        (F.regexp_extract("brand", "([0-9]+)", 1).cast("int") + 100).alias("digest_ord"), F.col("brand").alias("title"), F.array(F.lit("key")).alias("sections"),
+        "sources", F.lit(False).alias("sources_derived"), F.lit(None).cast("string").alias("domain"), F.array().cast("array<string>").alias("to"),
+        F.lit(None).cast("map<string,string>").alias("labels"))
+    return routing.topic_reach(topics, V.digests(spark).unionByName(branded)).select("topic_ord", "topic", _join("digests", "|"))
+
+
 def reader_users(spark, sf):
     return readers.normalise_users(V.users(spark, sf))
 
@@ -595,7 +607,7 @@ NAMES = [
     cluster_stories, model_calls, usage_extract, usage_cost, usage_daily, usage_rollup, history_page, history_deep,
     history_trim, history_counts, history_append, run_latest, merge_rows, merge_changes, merge_values, digest_blocks, render_digests,
     outbox, previous_digests, feed_scan, landed_trim, summarise_batches, summarise_topics, stream_daily, stream_seen, health,
-    vocabularies, state_retention, full_run, run_metrics, bad_feeds, digest_files, stream_keyed,
+    vocabularies, state_retention, full_run, run_metrics, bad_feeds, digest_files, stream_keyed, topic_reach,
 ]
 
 
