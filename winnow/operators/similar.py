@@ -8,7 +8,7 @@ title, and never a list of pairs: a crowd of look-alikes points at its first mem
 No key that close titles must share is selective at the usual threshold (of two titles of 60 characters up to 18 characters may
 be unmatched, anywhere). Titles meet by length instead: a title of one length bucket has all its close ones in
 that bucket and its neighbours. Buckets are cut by rank into cells of bounded size, and two cells meet in one
-task, whichever bucket holds most titles. There, bit vectors of character counts, character, bigram and trigram counts and
+task, whichever bucket holds most titles. There, bit vectors of bigram counts, character, bigram and trigram counts and
 the longest common subsequence bound the ratio from above; an alignment decides what passes all of them."""
 
 from __future__ import annotations
@@ -31,8 +31,8 @@ CELL, LEAST_CELL = 8192, 512
 ROWS, COLUMNS = 256, 512
 # Counting buckets for single characters, bigrams and trigrams.
 _BUCKETS = (64, 256, 512)
-# How often a character may occur before the bit vectors stop counting it.
-_LEVELS = 8
+# How often a bigram may occur before the bit vectors stop counting it.
+_LEVELS = 2
 
 
 def gram_bound(total_length, threshold: float, q: int):
@@ -77,15 +77,16 @@ def common_subsequence(positions: dict[str, int], n: int, other: str) -> int:
 
 
 class Profiles:
-    """Counts of titles, and one bit per character bucket and level that the count reaches."""
+    """Counts of titles, and one bit per bigram bucket and level that the count reaches."""
 
     def __init__(self, titles: list[str]):
         self.titles = titles
         self.sizes = np.fromiter(map(len, titles), np.int64, len(titles))
         self.counts = [_counts(titles, q) for q in (1, 2, 3)]
-        one = self.counts[0]
-        self.levels = [np.packbits(one >= k, axis=1).view(np.uint64)[:, 0] for k in range(1, _LEVELS + 1)]
-        self.over = np.maximum(one - _LEVELS, 0).sum(axis=1).astype(np.int32)
+        two = self.counts[1]
+        bits = np.concatenate([np.packbits(two >= k, axis=1).view(np.uint64) for k in range(1, _LEVELS + 1)], axis=1)
+        self.levels = [np.ascontiguousarray(word) for word in bits.T]
+        self.over = np.maximum(two - _LEVELS, 0).sum(axis=1).astype(np.int32)
 
 
 def close(title: str, other: str, positions: dict[str, int], threshold: float) -> bool:
@@ -110,7 +111,7 @@ def earliest_close(later: Profiles, later_ranks: np.ndarray, earlier: Profiles,
             for own, other in zip(later.levels, earlier.levels):
                 shared += np.bitwise_count(own[rows][:, None] & other[columns][None])
             total = later.sizes[rows][:, None] + earlier.sizes[columns][None]
-            i, j = np.nonzero((2 * shared >= threshold * total - 1e-6) & (later_ranks[rows][:, None] > earlier_ranks[columns][None]))
+            i, j = np.nonzero((shared >= gram_bound(total, threshold, 2) - 1e-6) & (later_ranks[rows][:, None] > earlier_ranks[columns][None]))
             total, i, j = total[i, j], rows[i], j + c
             for q in (1, 2, 3):
                 # what two titles share of q-grams must reach the bound

@@ -435,7 +435,7 @@ m{k} AS (SELECT link, max(t) AS t FROM (SELECT link, t FROM m{k - 1} UNION ALL S
 ORACLES["stream_keyed"] = _with(ITEMS, f"arrived AS (SELECT item_id, link, coalesce(published, {AS_OF}) AS t FROM items WHERE link <> '')",
     "m0 AS (SELECT link, t FROM arrived WHERE false)", *_DROPS, select="SELECT item_id, link FROM p1 " + " ".join(f"UNION ALL SELECT item_id, link FROM p{k}" for k in (2, 3, 4)))
 ORACLES["topic_reach"] = _with(ITEMS, DIGESTS, TOPICS, "open AS (SELECT string_agg(title, '|' ORDER BY digest_ord) AS titles FROM digests WHERE len(sources) = 0 AND NOT derived)",
-    select="""SELECT topic_ord, name AS topic, titles || CASE WHEN topic_ord % 2 = 0 THEN '|' || regexp_extract(queries[2], '^(Brand#[0-9]+)', 1) ELSE '' END AS digests FROM topics, open""")
+    select="""SELECT topic_ord, name AS topic, titles || CASE WHEN contains(context, 'M') THEN '|' || regexp_extract(queries[2], '^(Brand#[0-9]+)', 1) ELSE '' END AS digests FROM topics, open""")
 ORACLES["state_retention"] = _with(ITEMS, HISTORY, USAGE, select=f"""SELECT DISTINCT 'live' AS kept, link FROM items WHERE item_id % 3 > 0
     UNION ALL SELECT DISTINCT 'without_1', link FROM items WHERE item_id % 3 = 2
     UNION ALL SELECT 'marks', (item_id % 3) || '=' || count(DISTINCT link) FROM items WHERE item_id % 3 > 0 GROUP BY item_id % 3

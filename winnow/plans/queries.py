@@ -127,7 +127,7 @@ def topic_reach(spark, sf):
     """Topics against the declared digests and one digest for each brand, which lists its topics."""
     topics = V.topics(spark, sf)
     brand = F.element_at("queries", 2)
-    branded = topics.withColumn("brand", F.regexp_extract(brand, "^(Brand#([0-9]+))", 1)).where("topic_ord % 2 = 0").groupBy("brand").agg(
+    branded = topics.withColumn("brand", F.regexp_extract(brand, "^(Brand#([0-9]+))", 1)).where(F.col("context").contains("M")).groupBy("brand").agg(
         F.collect_list("name").alias("sources")).select(
         (F.regexp_extract("brand", "([0-9]+)", 1).cast("int") + 100).alias("digest_ord"), F.col("brand").alias("title"), F.array(F.lit("key")).alias("sections"),
         "sources", F.lit(False).alias("sources_derived"), F.lit(None).cast("string").alias("domain"), F.array().cast("array<string>").alias("to"),
