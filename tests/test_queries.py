@@ -25,4 +25,4 @@ def test_entry_has_rows(spark):
 def test_every_twin_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert set(QUERIES) <= set(entry.queries())
-    assert set(QUERIES) - set(ORACLES) == {"title_dedup"}
+    assert set(QUERIES) == set(ORACLES)
