@@ -142,6 +142,7 @@ def test_token_ids_empty_table(spark, docs):
 def test_damaged_file():
     content = bytearray(tokenids.pack(0, 0, [1, None], [3, 2], np.array([5, 6, 2, 7, 2])))
     assert tokenids.unpack(bytes(content))[0] == [1, None]
+    assert tokenids.unpack(tokenids.pack(0, 0, [4], [0], np.array([], np.uint16)))[0] == [4]
     content[-1] ^= 1
     content[-3] ^= 255
     with pytest.raises(ValueError):
@@ -162,6 +163,42 @@ def test_range_coder_blocks_are_independent_and_learn():
     assert (rangecoder.decode(coded[1:2], rows.shape[1]) == rows[1]).all()
 
 
+@settings(max_examples=40, deadline=None)
+@given(st.integers(1, 3000), st.integers(1, 1 << 16), st.floats(1, 8), st.integers(0, 1 << 30))
+def test_start_round_trip(size, top, skew, seed):
+    ids = (top * np.random.default_rng(seed).random(size) ** skew).astype(np.uint16)
+    start, ranks = rangecoder.Start.of(ids)
+    assert (start.ids[ranks] == ids).all()
+    again, at = rangecoder.Start.unpack(b"xy" + start.pack() + b"z", 2)
+    assert at == len(start.pack()) + 2
+    for field in ("ids", "cls", "freq", "begin", "rank", "counts", "after"):
+        assert (getattr(start, field) == getattr(again, field)).all()
+    docs, counts, back = tokenids.unpack(tokenids.pack(1, 2, [7], [size], ids, block=100))
+    assert (docs, counts.tolist()) == ([7], [size]) and (back == ids).all()
+
+
+def test_start_keeps_the_most_frequent_successor():
+    start, _ = rangecoder.Start.of(np.array([8, 9] * 5 + [8, 7] * 9 + [3], np.uint16))
+    rank = {int(i): r for r, i in enumerate(start.ids)}
+    assert start.after[rank[8]] == rank[7] and start.after[rank[7]] == rank[8] and start.after[rank[3]] == rangecoder.NONE
+
+
+def test_file_is_smaller_than_zlib(texts):
+    """Header, index of documents and blocks of a file against its ids alone under zlib."""
+    pieces = tokenids.piece_ids(tokenizer_path(WORD))
+    docs = [np.frombuffer(pieces.ids((t or "").encode()), "<u2") for _, t in texts]
+    ids = np.concatenate(docs)
+    content = tokenids.pack(0, 0, [d for d, _ in texts], [len(d) for d in docs], ids)
+    assert len(content) < len(zlib.compress(ids.tobytes(), 6))
+
+
+def test_damaged_start():
+    content = bytearray(tokenids.pack(0, 0, [1], [3], np.array([5, 6, 2])))
+    content[tokenids.HEAD_BYTES + 13 + 12] ^= 255
+    with pytest.raises(ValueError):
+        tokenids.unpack(bytes(content))
+
+
 # --- WARC -----------------------------------------------------------------------------------
 
 def test_warc(spark):

@@ -1,28 +1,44 @@
 """Adaptive context-mixing range coder over token ids, many blocks side by side.
 
-Every block starts from the same reset state, so all blocks of a file advance together: one
-step codes the next id of every block, each block being one lane of the arrays."""
+Every block starts from the same reset state, which the file's header holds: the frequencies of
+its ids and what mostly follows each. So all blocks of a file advance together: one step codes
+the next id of every block, each block being one lane of the arrays. Inside the coder an id is
+its rank, the place among the file's ids by falling frequency."""
 
 from __future__ import annotations
 
+import struct
+import zlib
+from functools import lru_cache
+
 import numpy as np
 
 # Ids per block, and entries of the order-1 and order-2 tables of a block.
-BLOCK = 512
-TABLE_BITS = 9
-# Steps after which the order-0 frequencies are taken anew, and what one id adds to them.
-REFRESH, GAIN = 128, 24
-# Bits of the three parts of a frequency: which prediction holds, the range of 1024 ids, the id in it.
-WHICH, RANGE, WITHIN = 16, 12, 10
-FULL = 1 << WHICH
-RANGES = 64
-TOTAL = np.uint64(WHICH + RANGE + WITHIN)
-LITERAL = RANGE + WITHIN
+BLOCK = 4096
+TABLE_BITS = 11
+# Steps after which the order-0 frequencies are taken anew, what one id adds to them, and how many
+# ids the file's frequencies count for.
+REFRESH, GAIN, PRIOR = 128, 24, 256
+# Bits of the three parts of a frequency: which prediction holds, the class of ranks, the rank in it.
+WHICH, CLASS, WITHIN = 16, 12, 12
+FULL, SLOTS = 1 << WHICH, 1 << WITHIN
+CLASSES = 64
+TOTAL = np.uint64(WHICH + CLASS + WITHIN)
+LITERAL = CLASS + WITHIN
 # A span is at least BOTTOM before a step; words of 16 bits go out below it.
 BOTTOM = np.uint64(1 << 48)
 S16, S48 = np.uint64(16), np.uint64(48)
-NONE = 1 << 16  # no id
+NONE = 1 << 16  # no rank
 RATE = 5
+# An entry of a table is a rank and, in its lowest bits, a confidence.
+SURE_BITS = 3
+MOST_SURE = (1 << SURE_BITS) - 1
+EMPTY = NONE << SURE_BITS
+# Counts are kept as levels, four to a doubling.
+LEVELS = np.array([(16, 19, 23, 27)[k & 3] << (k >> 2) for k in range(128)], np.int64)
+# Pairs of ids seen less often in a file are no successors.
+SUCCESSOR_COUNT = 4
+START_HEAD = "<III"
 
 
 def _within(x: np.ndarray, least: int, most: int) -> np.ndarray:
@@ -31,58 +47,135 @@ def _within(x: np.ndarray, least: int, most: int) -> np.ndarray:
     return np.minimum(x, most, out=x)
 
 
+class Start:
+    """The reset state of every block of a file: distinct `ids`, their count `levels`, and
+    `after`, the rank that mostly follows each rank (NONE where none does).
+
+    Ranks fall into classes of contiguous ranks, halfway between equal frequency and equal number:
+    frequent ids stand alone, and no class has more ranks than slots."""
+
+    def __init__(self, ids: np.ndarray, levels: np.ndarray, after: np.ndarray | None = None):
+        order = np.lexsort((ids, -levels.astype(np.int64)))
+        self.ids, self.levels = ids[order], levels[order]
+        n = len(ids)
+        weight = LEVELS[self.levels]
+        total = max(1, int(weight.sum()))
+        self.cls = CLASSES * ((np.cumsum(weight) - weight) * n + np.arange(n) * total) // max(1, 2 * n * total)
+        share = np.bincount(self.cls, weight, CLASSES).astype(np.int64)
+        size = np.bincount(self.cls, minlength=CLASSES)
+        self.freq = 1 + weight * (SLOTS - size[self.cls]) // np.maximum(1, share[self.cls])
+        first = np.flatnonzero(np.diff(self.cls, prepend=-1))
+        used = np.bincount(self.cls, self.freq, CLASSES).astype(np.int64)
+        self.freq[first] += SLOTS - used[self.cls[first]]
+        before = np.cumsum(self.freq) - self.freq
+        # of a rank: its first slot; of a slot in a class: its rank
+        self.begin = before & (SLOTS - 1)
+        self.rank = np.zeros(CLASSES << WITHIN, np.int64)
+        self.rank[np.repeat((self.cls << WITHIN) + self.begin - before, self.freq) + np.arange(int(self.freq.sum()))] = np.repeat(np.arange(n), self.freq)
+        self.counts = (1 + GAIN * PRIOR * share // total).astype(np.int32)
+        self.after = np.full(n, NONE, np.int32) if after is None else after
+
+    @classmethod
+    def of(cls, ids: np.ndarray) -> tuple[Start, np.ndarray]:
+        """The state for these ids below 65536, and their ranks."""
+        count = np.bincount(ids, minlength=1 << 16)
+        own = np.flatnonzero(count)
+        start = cls(own, np.searchsorted(LEVELS, count[own] * 16, "right") - 1)
+        place = np.zeros(1 << 16, np.uint16)
+        place[start.ids] = np.arange(len(own))
+        ranks = place[ids]
+        pairs = np.sort((ranks[:-1].astype(np.uint32) << np.uint32(16)) | ranks[1:])
+        ends = np.flatnonzero(np.append(pairs[1:] != pairs[:-1], len(pairs) > 0))
+        often = np.diff(ends, prepend=-1)
+        pair, often = pairs[ends][often >= SUCCESSOR_COUNT], often[often >= SUCCESSOR_COUNT]
+        rising = np.argsort(often, kind="stable")
+        start.after[pair[rising] >> 16] = pair[rising] & 0xFFFF  # the most frequent is written last
+        return start, ranks
+
+    def pack(self) -> bytes:
+        marks = np.zeros(1 << 16, np.uint8)
+        marks[self.ids] = 1
+        by_id = np.argsort(self.ids)
+        body = [np.packbits(marks).tobytes(), self.levels[by_id].astype(np.uint8).tobytes(),
+                (self.after < NONE).astype(np.uint8).tobytes(), self.after[self.after < NONE].astype("<u2").tobytes()]
+        raw = zlib.compress(b"".join(body), 9)
+        return struct.pack(START_HEAD, len(raw), len(self.ids), zlib.crc32(raw)) + raw
+
+    @classmethod
+    def unpack(cls, content: bytes, at: int) -> tuple[Start, int]:
+        """The state packed at `at`, and where it ends; a wrong checksum raises."""
+        size, n, crc = struct.unpack_from(START_HEAD, content, at)
+        at += struct.calcsize(START_HEAD)
+        raw = content[at:at + size]
+        if zlib.crc32(raw) != crc:
+            raise ValueError("start of a token id file is damaged")
+        body = zlib.decompress(raw)
+        marks = 1 << 13
+        ids = np.flatnonzero(np.unpackbits(np.frombuffer(body, np.uint8, marks)))
+        after = np.full(n, NONE, np.int32)
+        after[np.frombuffer(body, np.uint8, n, marks + n) > 0] = np.frombuffer(body, "<u2", offset=marks + 2 * n)
+        return cls(ids, np.frombuffer(body, np.uint8, n, marks), after), at + size
+
+
+@lru_cache(maxsize=1)
+def _even() -> Start:
+    """Of ids that nothing is known about: each is its own rank."""
+    return Start(np.arange(1 << 16), np.zeros(1 << 16, np.int64))
+
+
 class Model:
     """Predictions of order 2, 1 and 0 for every lane, learned as ids pass by.
 
-    The entry of an order-2 or order-1 context is its last id times 4 plus a confidence: 0
-    for none yet, then 1 to 3. The chance that the order-2 id comes is mixed from two learned
-    estimates, by its confidence and by what order 1 says, with a weight learned per block; the order-1
-    id has its own. All other ids share what is left by their range's frequency."""
+    The entry of an order-2 or order-1 context is its last rank and a confidence, 1 to 7; an
+    empty order-1 entry stands for the file's successor with confidence 0. The chance that the
+    order-2 rank comes is mixed from two learned estimates, by its confidence and by what order 1
+    says, with a weight learned per block; the order-1 rank has its own. All other ranks share what
+    is left by their class's frequency in the block and their own in the file."""
 
-    def __init__(self, lanes: int):
-        self.lanes = lanes
+    def __init__(self, lanes: int, start: Start):
+        self.lanes, self.start = lanes, start
         self.row = np.arange(lanes, dtype=np.int64) << TABLE_BITS
-        self.t1 = np.full(lanes << TABLE_BITS, NONE << 2, np.int32)
-        self.t2 = np.full(lanes << TABLE_BITS, NONE << 2, np.int32)
-        self.row8 = np.arange(lanes, dtype=np.int64) << 3
-        self.by_confidence = np.full(lanes << 3, FULL // 4, np.int32)
-        self.by_agreement = np.full(lanes << 3, FULL // 4, np.int32)
-        self.order1 = np.full(lanes << 3, FULL // 8, np.int32)
+        self.t1 = np.full(lanes << TABLE_BITS, EMPTY, np.int32)
+        self.t2 = np.full(lanes << TABLE_BITS, EMPTY, np.int32)
+        kinds = SURE_BITS + 1
+        self.row_kind = np.arange(lanes, dtype=np.int64) << kinds
+        self.by_confidence = np.full(lanes << kinds, FULL // 4, np.int32)
+        self.by_agreement = np.full(lanes << kinds, FULL // 4, np.int32)
+        self.order1 = np.full(lanes << kinds, FULL // 8, np.int32)
         self.weight = np.full(lanes, 128, np.int32)
-        self.counts = np.ones(lanes * RANGES, np.int32)
-        self.row_count = np.arange(lanes, dtype=np.int64) * RANGES
-        self.row_cum = np.arange(lanes, dtype=np.int64) * (RANGES + 1)
-        self.hash1 = np.zeros(lanes, np.int64)
-        self.hash2 = np.zeros(lanes, np.int64)
+        self.counts = np.tile(start.counts, lanes)
+        self.row_count = np.arange(lanes, dtype=np.int64) * CLASSES
+        self.row_cum = np.arange(lanes, dtype=np.int64) * (CLASSES + 1)
         self.steps = 0
         self._refresh()
 
     def _refresh(self) -> None:
-        total = np.cumsum(self.counts.reshape(-1, RANGES), axis=1, dtype=np.int64)
-        cum = np.zeros((self.lanes, RANGES + 1), np.int64)
-        cum[:, 1:] = total * ((1 << RANGE) - RANGES) // total[:, -1:] + np.arange(1, RANGES + 1)
+        total = np.cumsum(self.counts.reshape(-1, CLASSES), axis=1, dtype=np.int64)
+        cum = np.zeros((self.lanes, CLASSES + 1), np.int64)
+        cum[:, 1:] = total * ((1 << CLASS) - CLASSES) // total[:, -1:] + np.arange(1, CLASSES + 1)
         self.cum = cum.reshape(-1)
 
-    def predict(self) -> None:
-        """Ids p2 and p1; `upto2` and `upto1`: the ends of their shares of FULL."""
-        self.i1, self.i2 = self.row + self.hash1, self.row + self.hash2
+    def predict(self, hash1: np.ndarray, hash2: np.ndarray, after: np.ndarray) -> None:
+        """Ranks p2 and p1; `upto2` and `upto1`: the ends of their shares of FULL."""
+        self.i1, self.i2 = self.row + hash1, self.row + hash2
         self.e1, self.e2 = self.t1.take(self.i1), self.t2.take(self.i2)
-        self.p1, self.p2 = self.e1 >> 2, self.e2 >> 2
-        self.s1, self.s2 = self.e1 & 3, self.e2 & 3
+        np.copyto(self.e1, after << SURE_BITS, where=self.e1 == EMPTY)
+        self.p1, self.p2 = self.e1 >> SURE_BITS, self.e2 >> SURE_BITS
+        self.s1, self.s2 = self.e1 & MOST_SURE, self.e2 & MOST_SURE
         differ = self.p1 != self.p2
-        self.c2 = self.row8 + self.s2
-        self.c1 = self.row8 + self.s1
-        self.a2 = self.c1 + 4 * differ
+        self.c2 = self.row_kind + self.s2
+        self.c1 = self.row_kind + self.s1
+        self.a2 = self.c1 + (differ << SURE_BITS)
         self.x, self.y, self.z = self.by_confidence.take(self.c2), self.by_agreement.take(self.a2), self.order1.take(self.c1)
-        f2 = _within(self.weight * (self.x >> 8) + (256 - self.weight) * (self.y >> 8), 64, FULL - 4096)
-        f2 *= self.s2 > 0
+        f2 = _within(self.weight * (self.x >> 8) + (256 - self.weight) * (self.y >> 8), 64, FULL - 1024)
+        f2 *= self.p2 < NONE
         f1 = _within(((FULL - f2) >> 4) * (self.z >> 4) >> 8, 16, FULL)
-        f1 = np.minimum(f1 * (differ & (self.s1 > 0)), FULL - 2048 - f2)
+        f1 = np.minimum(f1 * (differ & (self.p1 < NONE)), FULL - 512 - f2)
         self.upto2 = f2.astype(np.int64)
         self.upto1 = self.upto2 + f1
 
-    def learn(self, ids: np.ndarray, hit2: np.ndarray, hit1: np.ndarray) -> None:
-        small = ids.astype(np.int32)
+    def learn(self, ranks: np.ndarray, classes: np.ndarray, hit2: np.ndarray, hit1: np.ndarray) -> None:
+        small = ranks.astype(np.int32)
         x, y, z = self.x, self.y, self.z
         goal = hit2 * np.int32(FULL - 1)
         self.by_confidence[self.c2] = x + ((goal - x) >> RATE)
@@ -90,27 +183,36 @@ class Model:
         self.order1[self.c1] = z + ((hit1 * np.int32(FULL - 1) - z) >> RATE)
         # the weight moves to the estimate that gave the event more
         self.weight = _within(self.weight + (((x > y) == hit2) * np.int32(4) - 2), 16, 240)
-        fresh = (small << 2) | 1
+        fresh = (small << SURE_BITS) | 1
         for table, at, entry, predicted, sure in ((self.t2, self.i2, self.e2, self.p2, self.s2), (self.t1, self.i1, self.e1, self.p1, self.s1)):
-            kept = entry + (sure < 3)
-            table[at] = np.where(predicted == small, kept, np.where(sure > 1, entry - 1, fresh))
-        self.counts[self.row_count + (ids >> WITHIN)] += GAIN
-        self.hash2 = ((ids * 0x85EBCA6B + self.hash1 * 0xC2B2AE35) & 0xFFFFFFFF) >> (32 - TABLE_BITS)
-        self.hash1 = ((ids * 0x9E3779B1) & 0xFFFFFFFF) >> (32 - TABLE_BITS)
+            kept = entry + (sure < MOST_SURE)
+            table[at] = np.where(predicted == small, kept, np.where(sure > 1, entry - (sure >> 1), fresh))
+        self.counts[self.row_count + classes] += GAIN
         self.steps += 1
         if self.steps % REFRESH == 0:
             self._refresh()
 
 
-def encode(blocks: np.ndarray) -> list[bytes]:
-    """Code rows of ids below 65536, a row per block; returns the bytes of each."""
-    blocks = blocks.astype(np.uint16, copy=False)
+def _hash1(ranks: np.ndarray) -> np.ndarray:
+    return ((ranks * 0x9E3779B1) & 0xFFFFFFFF) >> (32 - TABLE_BITS)
+
+
+def _hash2(ranks: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """Of two ranks, the earlier one by its hash."""
+    return ((ranks * 0x85EBCA6B + before * 0xC2B2AE35) & 0xFFFFFFFF) >> (32 - TABLE_BITS)
+
+
+def encode(blocks: np.ndarray, start: Start | None = None) -> list[bytes]:
+    """Code rows of ranks, a row per block; returns the bytes of each. Without a start ranks are ids."""
+    start = start or _even()
     lanes, length = blocks.shape
-    model = Model(lanes)
+    model = Model(lanes, start)
     low = np.zeros(lanes, np.uint64)
     span = np.full(lanes, (1 << 64) - 1, np.uint64)
     out = np.zeros((lanes, length * 3 + 4), np.uint16)
     at = np.zeros(lanes, np.int64)
+    hash1 = hash2 = np.zeros(lanes, np.int64)
+    after = np.full(lanes, NONE, np.int32)
 
     def carry_over(lane):
         back = at[lane] - 1
@@ -119,32 +221,34 @@ def encode(blocks: np.ndarray) -> list[bytes]:
             out[lane, back] += 1  # wraps to 0 where full
             lane, back = lane[full], back[full] - 1
 
-    for ids in np.ascontiguousarray(blocks.T):
-        ids = ids.astype(np.int64)
-        model.predict()
+    for ranks in np.ascontiguousarray(blocks.T):
+        ranks = ranks.astype(np.int64)
+        model.predict(hash1, hash2, after)
         upto2, upto1 = model.upto2, model.upto1
-        hit2 = (ids == model.p2) & (upto2 > 0)
-        hit1 = (ids == model.p1) & (upto1 > upto2)
-        at_range = model.row_cum + (ids >> WITHIN)
-        begin = model.cum.take(at_range)
-        freq = model.cum.take(at_range + 1) - begin
+        hit2 = (ranks == model.p2) & (upto2 > 0)
+        hit1 = (ranks == model.p1) & (upto1 > upto2)
+        classes = start.cls.take(ranks)
+        at_class = model.row_cum + classes
+        begin = model.cum.take(at_class)
+        freq = model.cum.take(at_class + 1) - begin
         left = FULL - upto1
-        start = (upto1 << LITERAL) + left * ((begin << WITHIN) + (ids & ((1 << WITHIN) - 1)) * freq)
-        freq *= left
+        place = (upto1 << LITERAL) + left * ((begin << WITHIN) + start.begin.take(ranks) * freq)
+        freq *= left * start.freq.take(ranks)
         known = np.flatnonzero(hit2 | hit1)
         if len(known):
             two, lo, hi = hit2[known], upto2[known], upto1[known]
-            start[known] = np.where(two, 0, lo) << LITERAL
+            place[known] = np.where(two, 0, lo) << LITERAL
             freq[known] = np.where(two, lo, hi - lo) << LITERAL
-        model.learn(ids, hit2, hit1)
+        model.learn(ranks, classes, hit2, hit1)
+        hash2, hash1, after = _hash2(ranks, hash1), _hash1(ranks), start.after.take(ranks)
         r = span >> TOTAL
-        new = low + r * start.view(np.uint64)
+        new = low + r * place.view(np.uint64)
         over = np.flatnonzero(new < low)
         if len(over):
             carry_over(over)
         low = new
         span = r * freq.view(np.uint64)
-        for _ in range(2):
+        for _ in range(3):
             which = np.flatnonzero(span < BOTTOM)
             if not len(which):
                 break
@@ -160,13 +264,14 @@ def encode(blocks: np.ndarray) -> list[bytes]:
     return [out[i, :n].astype("<u2").tobytes() for i, n in enumerate(at.tolist())]
 
 
-def decode(payloads: list[bytes], length: int) -> np.ndarray:
-    """The ids of blocks of `length` ids, a row per block."""
+def decode(payloads: list[bytes], length: int, start: Start | None = None) -> np.ndarray:
+    """The ranks of blocks of `length` ranks, a row per block."""
+    start = start or _even()
     lanes = len(payloads)
-    model = Model(lanes)
-    sizes = np.array([len(p) // 2 for p in payloads])
+    model = Model(lanes, start)
+    sizes = np.array([len(p) // 2 for p in payloads], np.int64)
     words = np.concatenate([*(np.frombuffer(p, "<u2") for p in payloads), np.zeros(8, "<u2")]).astype(np.uint64)
-    at = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    at = np.cumsum(sizes) - sizes
     code = np.zeros(lanes, np.uint64)
     for i in range(4):
         code = (code << S16) | words[at + i]
@@ -174,39 +279,45 @@ def decode(payloads: list[bytes], length: int) -> np.ndarray:
     span = np.full(lanes, (1 << 64) - 1, np.uint64)
     last_word = len(words) - 1  # damaged blocks may ask for more
     out = np.empty((length, lanes), np.uint16)
+    hash1 = hash2 = np.zeros(lanes, np.int64)
+    after = np.full(lanes, NONE, np.int32)
+    last_rank = len(start.ids) - 1
     for step in range(length):
-        model.predict()
+        model.predict(hash1, hash2, after)
         upto2, upto1 = model.upto2, model.upto1
         r = span >> TOTAL
         value = np.minimum((code // r).view(np.int64), (1 << int(TOTAL)) - 1)
         which = value >> LITERAL
         hit2 = which < upto2
         hit1 = (which < upto1) & ~hit2
-        left = FULL - upto1
-        # exact: all numbers are below 2 to the 53
-        inner = ((value - (upto1 << LITERAL)) / left).astype(np.int64)
-        place = inner >> WITHIN
-        at_range = model.row_cum.copy()
-        for half in (32, 16, 8, 4, 2, 1):
-            at_range += half * (model.cum.take(at_range + half) <= place)
-        begin = model.cum.take(at_range)
-        freq = model.cum.take(at_range + 1) - begin
-        within = ((inner - (begin << WITHIN)) / freq).astype(np.int64)
-        ids = ((at_range - model.row_cum) << WITHIN) + within
-        start = (upto1 << LITERAL) + left * ((begin << WITHIN) + within * freq)
-        freq *= left
-        known = np.flatnonzero(hit2 | hit1)
-        if len(known):
-            two, lo, hi = hit2[known], upto2[known], upto1[known]
-            start[known] = np.where(two, 0, lo) << LITERAL
-            freq[known] = np.where(two, lo, hi - lo) << LITERAL
-            ids[known] = np.where(two, model.p2[known], model.p1[known])
-        ids &= 0xFFFF
-        out[step] = ids
-        model.learn(ids, hit2, hit1)
-        code -= r * start.view(np.uint64)
+        ranks = np.where(hit2, model.p2, model.p1).astype(np.int64)
+        place = np.where(hit2, 0, upto2) << LITERAL
+        freq = np.where(hit2, upto2, upto1 - upto2) << LITERAL
+        other = np.flatnonzero(which >= upto1)
+        if len(other):
+            # exact: all numbers are below 2 to the 53
+            upto = upto1[other]
+            left = FULL - upto
+            inner = ((value[other] - (upto << LITERAL)) / left).astype(np.int64)
+            slot = inner >> WITHIN
+            row = model.row_cum[other]
+            at_class = row.copy()
+            for half in (32, 16, 8, 4, 2, 1):
+                at_class += half * (model.cum.take(at_class + half) <= slot)
+            begin = model.cum.take(at_class)
+            own = model.cum.take(at_class + 1) - begin
+            slot = ((inner - (begin << WITHIN)) / own).astype(np.int64)
+            rank = start.rank.take(((at_class - row) << WITHIN) + np.minimum(slot, SLOTS - 1))
+            ranks[other] = rank
+            place[other] = (upto << LITERAL) + left * ((begin << WITHIN) + start.begin.take(rank) * own)
+            freq[other] = own * left * start.freq.take(rank)
+        np.minimum(ranks, last_rank, out=ranks)
+        out[step] = ranks
+        model.learn(ranks, start.cls.take(ranks), hit2, hit1)
+        hash2, hash1, after = _hash2(ranks, hash1), _hash1(ranks), start.after.take(ranks)
+        code -= r * place.view(np.uint64)
         span = r * freq.view(np.uint64)
-        for _ in range(2):
+        for _ in range(3):
             low = np.flatnonzero(span < BOTTOM)
             if not len(low):
                 break

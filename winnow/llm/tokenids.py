@@ -23,7 +23,7 @@ FILE_IDS = 8_000_000
 END_ID = 2
 # Distinct pieces, and their characters, that a worker remembers before it starts anew.
 CACHE, CACHE_CHARS = 400_000, 8_000_000
-MAGIC = b"WIDS0001"
+MAGIC = b"WIDS0002"
 # magic, part, number in the part, documents, ids, blocks, ids per block, checksum of the index
 HEAD = "<8sIIIQIII"
 HEAD_BYTES = struct.calcsize(HEAD)
@@ -143,17 +143,18 @@ def piece_ids(path: str) -> PieceIds:
 
 
 def pack(part: int, number: int, docs: list[int | None], counts: list[int], ids: np.ndarray, block: int = rangecoder.BLOCK) -> bytes:
-    """One file: header, index of documents, blocks."""
+    """One file: header, index of documents, the blocks' common start, blocks."""
     block = max(1, min(block, len(ids)))
     n = -(-len(ids) // block)
+    start, ranks = rangecoder.Start.of(ids)
     lanes = np.zeros(n * block, np.uint16)
-    lanes[:len(ids)] = ids
+    lanes[:len(ids)] = ranks
     lanes = lanes.reshape(n, block)
     index = b"".join([
         np.array([d is None for d in docs], np.uint8).tobytes(),
         np.array([d or 0 for d in docs], "<i8").tobytes(), np.array(counts, "<u4").tobytes()])
-    out = [struct.pack(HEAD, MAGIC, part, number, len(docs), len(ids), n, block, zlib.crc32(index)), index]
-    for i, payload in enumerate(rangecoder.encode(lanes)):
+    out = [struct.pack(HEAD, MAGIC, part, number, len(docs), len(ids), n, block, zlib.crc32(index)), index, start.pack()]
+    for i, payload in enumerate(rangecoder.encode(lanes, start)):
         own = ids[i * block:(i + 1) * block]
         out += [struct.pack(BLOCK_HEAD, len(own), len(payload), zlib.crc32(own.astype("<u4").tobytes()), zlib.crc32(payload)), payload]
     return b"".join(out)
@@ -171,6 +172,7 @@ def unpack(content: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     missing = np.frombuffer(index, np.uint8, n_docs)
     docs = [None if m else d for m, d in zip(missing.tolist(), np.frombuffer(index, "<i8", n_docs, n_docs).tolist())]
     counts = np.frombuffer(index, "<u4", n_docs, 9 * n_docs)
+    start, at = rangecoder.Start.unpack(content, at)
     payloads, sums = [], []
     for _ in range(n):
         size, length, crc, raw_crc = struct.unpack_from(BLOCK_HEAD, content, at)
@@ -180,7 +182,7 @@ def unpack(content: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
             raise ValueError("block of a token id file is damaged")
         sums.append((size, crc))
         at += length
-    lanes = rangecoder.decode(payloads, block)
+    lanes = start.ids.astype(np.uint16)[rangecoder.decode(payloads, block, start)]
     for own, (size, crc) in zip(lanes, sums):
         if zlib.crc32(own[:size].astype("<u4").tobytes()) != crc:
             raise ValueError("block of a token id file is damaged")
