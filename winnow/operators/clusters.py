@@ -53,37 +53,41 @@ def place_items(numbered: DataFrame, responses: DataFrame) -> DataFrame:
 
 
 def in_several_calls(placed: DataFrame, responses: DataFrame) -> DataFrame:
-    """The earliest item of each story, for topics that took several calls, one of them usable;
-    numbered by n in item order."""
+    """The earliest item of each story and its call, for topics that took several calls, one of them usable."""
     usable = responses.where(unwrap_list(F.col("response"), "clusters").isNotNull())
     cut = placed.groupBy("source").agg(F.max("chunk").alias("_last")).where("_last > 0").select("source")
     asked = cut.join(usable.select("source").distinct(), "source", "left_semi")
     shown = [c for c in placed.columns if c not in (*KEYS, "item_idx", "topic_idx", "story_ord", "_place", *LABELS, "pos")]
     heads = placed.join(asked, "source", "left_semi").groupBy("source", "story_ord").agg(
-        F.min_by(F.struct(*shown), F.col("_place")).alias("_head"), F.min("topic_idx").alias("topic_idx"),
-    ).select("source", "story_ord", "topic_idx", "_head.*")
-    return dense_ordinal(freeze(heads), ["topic_idx"], "n", ["source"], key=["item_id"])
+        F.min_by(F.struct(*shown), F.col("_place")).alias("_head"), F.min("topic_idx").alias("topic_idx"), F.min("chunk").alias("part"))
+    return freeze(heads.select("source", "story_ord", "topic_idx", "part", "_head.*"))
 
 
-def paired_calls(stories: DataFrame, max_items: int) -> DataFrame:
-    """Numbered stories in prompts of at most max_items, so that any two of a topic share one.
+def paired_calls(heads: DataFrame, stories: DataFrame, max_items: int) -> DataFrame:
+    """Prompts of at most max_items that show every story of an even part beside every one of the
+    odd part after it. heads: (source, topic_idx, node, part), node being the item that tells a story.
 
-    Half a prompt is a block, and every two blocks are a prompt: b blocks take b(b - 1)/2 calls,
-    what it takes to compare everything when only the model can tell."""
+    Half a prompt is a block; a blocks on one side and b on the other take a * b calls. Stories of
+    one part met before and are not compared again."""
     half = max_items // 2
     if half < 1:
         raise ValueError("a prompt of fewer than two items cannot compare any")
-    most = stories.groupBy("source").agg((F.floor(F.max("n") / half) + 1).alias("_blocks"))
-    own, other, blocks = F.col("_block"), F.col("_other"), F.greatest(F.col("_blocks"), F.lit(2))
-    return (
-        stories.join(most, "source")
-        .withColumn("_block", F.floor(F.col("n") / half))
-        .withColumn("_other", F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)))
-        .where(own != other)
-        .withColumn("chunk", F.least(own, other) * blocks + F.greatest(own, other))
-        .withColumn("item_idx", (F.when(own > other, F.lit(half)).otherwise(0) + F.col("n") % half).cast("int"))
-        .drop("_blocks", "_block", "_other", "n")
+    numbered = dense_ordinal(heads, ["topic_idx"], "n", ["source", "part"], key=["node"])
+    sizes = freeze(numbered.groupBy("source", "part").agg(F.count("*").alias("_across")))
+    most = F.lit((sizes.agg(F.max("_across")).first()[0] - 1) // half + 1)
+    across = sizes.withColumn("part", F.col("part").bitwiseXOR(F.lit(1).cast("bigint")))
+    odd, own, other = F.col("part") % 2 == 1, F.floor(F.col("n") / half), F.col("_other")
+    # the left block of a prompt comes first, and the last one of a part may be short
+    before = F.when(odd, F.least(F.lit(half), F.col("_across") - other * half)).otherwise(0)
+    left, right = F.when(odd, other).otherwise(own), F.when(odd, own).otherwise(other)
+    placed = (
+        numbered.join(across, ["source", "part"])
+        .withColumn("_other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("_across") - 1) / half))))
+        .withColumn("chunk", (F.floor(F.col("part") / 2) * most + left) * most + right)
+        .withColumn("item_idx", (before + F.col("n") % half).cast("int"))
+        .select("node", "chunk", "item_idx")
     )
+    return placed.join(stories.drop("story_ord", "topic_idx", "part"), F.col("node") == F.col("item_id"))
 
 
 def _connected(links: DataFrame) -> DataFrame:
@@ -107,24 +111,45 @@ def _connected(links: DataFrame) -> DataFrame:
     return links.select(F.col("u").alias("node"), F.col("v").alias("label")) if labels is None else labels
 
 
-def merge_calls(placed: DataFrame, stories: DataFrame, paired: DataFrame, responses: DataFrame) -> DataFrame:
-    """The second merge: stories that an answer of the paired calls put together become one.
-
-    A joined story has the labels of its first cluster in these answers. In the topics of
-    `stories`, clusters are ordered by their first item, as one call over the whole would show
-    them; a call without a usable answer joins nothing."""
-    told = paired.select(*KEYS, "item_idx", F.col("item_id").alias("node")).join(claims(responses), [*KEYS, "item_idx"])
+def _told_together(heads: DataFrame, paired: DataFrame, responses: DataFrame) -> DataFrame | None:
+    """(node, head, _told) of the stories that the answers put together: the earliest one of each
+    group and the labels of its first cluster. None where the answers join nothing."""
+    told = paired.select(*KEYS, "item_idx", "node").join(claims(responses), [*KEYS, "item_idx"])
     groups = [*KEYS, "cluster_ord"]
     joined = freeze(told.join(told.groupBy(*groups).agg(F.min("node").alias("v"), F.count("*").alias("_k")).where("_k > 1"), groups))
+    if joined.isEmpty():
+        return None
     labels = _connected(joined.select(F.col("node").alias("u"), "v"))
     called = joined.join(labels, "node").groupBy("label").agg(
         F.min_by(F.struct(*LABELS), F.struct("chunk", "cluster_ord", "pos")).alias("_told"))
-    found = stories.select("source", "story_ord", "topic_idx", F.col("item_id").alias("node")).join(labels, "node", "left")
-    starts = found.groupBy(F.coalesce("label", "node").alias("_group")).agg(F.min("topic_idx").alias("_start"))
-    new = (
-        found.withColumn("_group", F.coalesce("label", "node")).join(starts, "_group").join(called, "label", "left")
-        .select("source", "story_ord", "_start", "_told")
-    )
+    first = heads.join(labels, "node").groupBy("label").agg(F.min_by("node", "topic_idx").alias("head"))
+    return freeze(labels.join(first, "label").join(called, "label").select("node", "head", "_told"))
+
+
+def merge_calls(placed: DataFrame, stories: DataFrame, ask, max_items: int) -> DataFrame:
+    """The second merge: stories that were told in different calls of a topic become one where the
+    model puts them together. `ask` turns numbered stories into responses.
+
+    Parts of a topic, at first its calls, are compared two by two and then go on as one part with
+    their joined stories shown once, so a round has half the parts and only stories still apart.
+    A topic of s stories in c calls of m items takes about c * (s / m) squared calls, and all pairs of
+    blocks only where nothing joins. A joined story has the labels of its first cluster in the last
+    round that joined it. In the topics of `stories`, clusters are ordered by their first item, as one
+    call over the whole would show them; a call without a usable answer joins nothing."""
+    heads = freeze(stories.select("source", "topic_idx", F.col("item_id").alias("node"), "part"))
+    told_type = f"struct<{', '.join(f'{c}: {placed.schema[c].dataType.simpleString()}' for c in LABELS)}>"
+    found = stories.select("source", "story_ord", "topic_idx", F.col("item_id").alias("head"), F.lit(None).cast(told_type).alias("_told"))
+    while heads.agg(F.max("part")).first()[0]:
+        paired = freeze(paired_calls(heads, stories, max_items))
+        moved = None if paired.isEmpty() else _told_together(heads, paired, ask(paired))
+        if moved is not None:
+            new = moved.select(F.col("node").alias("head"), F.col("head").alias("_head"), F.col("_told").alias("_new"))
+            found = freeze(found.join(new, "head", "left").select(
+                "source", "story_ord", "topic_idx", F.coalesce("_head", "head").alias("head"), F.coalesce("_new", "_told").alias("_told")))
+            heads = heads.join(moved.where("node != head").select("node"), "node", "left_anti")
+        heads = freeze(heads.withColumn("part", F.floor(F.col("part") / 2)))
+    starts = found.groupBy("head").agg(F.min("topic_idx").alias("_start"))
+    new = found.join(starts, "head").select("source", "story_ord", "_start", "_told")
     rows = placed.join(new, ["source", "story_ord"], "left")
     joined_up = F.col("_told").isNotNull()
     for c in LABELS:

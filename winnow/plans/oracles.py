@@ -398,6 +398,13 @@ ORACLES = {
         select=f"SELECT item_id, feed_id, {_stamp('published')} AS published FROM fair"),
     "summarise_batches": _with(ITEMS, NUMBERED, select="SELECT item_id, 'place ' || pos AS summary, 'key' AS category, 'en' AS domain FROM batched"),
     "summarise_topics": _with(ITEMS, NUMBERED, select="SELECT source, 'key' AS category, 'place ' || pos AS summary, count(*) AS n FROM batched GROUP BY ALL"),
+    "topic_stories": _with(ITEMS,
+        "lettered AS (SELECT *, substr(title, 1, 1) AS letter, min(item_ord) OVER (PARTITION BY source) AS topic FROM items)",
+        """stories AS (SELECT source, letter, topic, count(*) AS n, min(item_ord) AS first, arg_min(item_id, item_ord) AS item_id, arg_min(title, item_ord) AS title,
+          arg_min(description, item_ord) AS description, max(published) AS published, count(DISTINCT link) AS n_links FROM lettered GROUP BY ALL)""",
+        select=f"""SELECT row_number() OVER (ORDER BY topic, n = 1, first) - 1 AS item_ord, item_id, source, CASE WHEN n > 1 THEN 'All of ' || letter ELSE title END AS title,
+        CASE WHEN n > 1 THEN 'about ' || letter ELSE substr(description, 1, 300) END AS summary, CASE WHEN n > 1 THEN 'key' ELSE 'mention' END AS category,
+        {_stamp('published')} AS published, CAST(n_links AS INT) AS n_links FROM stories"""),
     "stream_seen": _with(ITEMS, "f AS (SELECT link, min(item_id % 4) AS d FROM items GROUP BY link)",
         select="SELECT item_id, items.link FROM items JOIN f ON f.link = items.link WHERE item_id % 4 = d"),
 }

@@ -556,6 +556,25 @@ def summarise_topics(spark, sf):
     return done.groupBy("source", "category", "summary").agg(F.count("*").alias("n"))
 
 
+def _by_letter(prompt: str):
+    """Stand-in for a model that tells stories: titles of one first letter, where it sees several."""
+    import json
+    import re
+
+    groups: dict[str, list[int]] = {}
+    for index, letter in re.findall(r"^INDEX: (\d+)\n(?:TOPIC: .*\n(?:TOPIC CONTEXT: .*\n)?)?TITLE: (.?)", prompt, re.M):
+        groups.setdefault(letter, []).append(int(index))
+    told = [{"title": f"All of {c}", "summary": f"about {c}", "category": "key", "domain": "en", "members": at} for c, at in groups.items() if len(at) > 1]
+    return json.dumps({"clusters": told}), None
+
+
+def topic_stories(spark, sf):
+    """Stories of topics that take many calls, merged across them."""
+    small = _labels(cluster=True, topic_items=20)
+    done = summarise.summarise_all(V.items(spark, sf), small, scoring.caller(lambda: _by_letter))
+    return done.select("item_ord", "item_id", "source", "title", "summary", "category", _stamp("published"), F.size("links").alias("n_links"))
+
+
 def stream_daily(spark, sf):
     """Daily usage from a stream over events."""
     schema = V.table(spark, sf, "events").schema
@@ -606,7 +625,7 @@ NAMES = [
     title_tokens, safe_text, delimiters, email_check, prompts, topic_prompts, batch_join, response_audit, single_join,
     cluster_stories, model_calls, usage_extract, usage_cost, usage_daily, usage_rollup, history_page, history_deep,
     history_trim, history_counts, history_append, run_latest, merge_rows, merge_changes, merge_values, digest_blocks, render_digests,
-    outbox, previous_digests, feed_scan, landed_trim, summarise_batches, summarise_topics, stream_daily, stream_seen, health,
+    outbox, previous_digests, feed_scan, landed_trim, summarise_batches, summarise_topics, topic_stories, stream_daily, stream_seen, health,
     vocabularies, state_retention, full_run, run_metrics, bad_feeds, digest_files, stream_keyed, topic_reach,
 ]
 

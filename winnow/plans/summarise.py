@@ -80,9 +80,10 @@ def by_topic(items: DataFrame, labels: Labels, fn) -> DataFrame:
     placed = clusters.place_items(numbered, answers)
     stories = clusters.in_several_calls(placed, answers)
     if not stories.isEmpty():
-        paired = freeze(clusters.paired_calls(stories, labels.topic_items))
-        again = _ask(scoring.topic_prompts(paired, labels.cluster_template), keys, labels, fn, "cluster")
-        placed = freeze(clusters.merge_calls(placed, stories, paired, again))
+        def ask(paired: DataFrame) -> DataFrame:
+            return _ask(scoring.topic_prompts(paired, labels.cluster_template), keys, labels, fn, "cluster")
+
+        placed = freeze(clusters.merge_calls(placed, stories, ask, labels.topic_items))
     usable = unwrap_list(F.col("response"), "clusters").isNotNull()
     lost = answers.where(~F.coalesce(usable, F.lit(False))).select("source", "chunk", F.lit(True).alias("_lost"))
     marked = placed.join(lost, ["source", "chunk"], "left")
