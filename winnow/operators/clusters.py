@@ -57,22 +57,21 @@ def in_several_calls(placed: DataFrame, responses: DataFrame) -> DataFrame:
     usable = responses.where(unwrap_list(F.col("response"), "clusters").isNotNull())
     cut = placed.groupBy("source").agg(F.max("chunk").alias("_last")).where("_last > 0").select("source")
     asked = cut.join(usable.select("source").distinct(), "source", "left_semi")
-    shown = [c for c in placed.columns if c not in (*KEYS, "item_idx", "topic_idx", "story_ord", "_place", *LABELS, "pos")]
-    heads = placed.join(asked, "source", "left_semi").groupBy("source", "story_ord").agg(
-        F.min_by(F.struct(*shown), F.col("_place")).alias("_head"), F.min("topic_idx").alias("topic_idx"), F.min("chunk").alias("part"))
-    return freeze(heads.select("source", "story_ord", "topic_idx", "part", "_head.*"))
+    return freeze(placed.join(asked, "source", "left_semi").groupBy("source", "story_ord").agg(
+        F.min_by("item_id", "_place").alias("item_id"), F.min("topic_idx").alias("topic_idx"), F.min("chunk").alias("part")))
 
 
-def paired_calls(heads: DataFrame, stories: DataFrame, max_items: int) -> DataFrame:
-    """Prompts of at most max_items that show every story of an even part beside every one of the
-    odd part after it. heads: (source, topic_idx, node, part), node being the item that tells a story.
+def paired_calls(heads: DataFrame, max_items: int) -> DataFrame:
+    """(source, chunk, item_idx, item_id): prompts of at most max_items that show every story of an
+    even part beside every one of the odd part after it. heads: (source, topic_idx, item_id, part), the item
+    that tells a story.
 
     Half a prompt is a block; a blocks on one side and b on the other take a * b calls. Stories of
     one part met before and are not compared again."""
     half = max_items // 2
     if half < 1:
         raise ValueError("a prompt of fewer than two items cannot compare any")
-    numbered = dense_ordinal(heads, ["topic_idx"], "n", ["source", "part"], key=["node"])
+    numbered = dense_ordinal(heads, ["topic_idx"], "n", ["source", "part"], key=["item_id"])
     sizes = freeze(numbered.groupBy("source", "part").agg(F.count("*").alias("_across")))
     most = F.lit((sizes.agg(F.max("_across")).first()[0] - 1) // half + 1)
     across = sizes.withColumn("part", F.col("part").bitwiseXOR(F.lit(1).cast("bigint")))
@@ -80,14 +79,13 @@ def paired_calls(heads: DataFrame, stories: DataFrame, max_items: int) -> DataFr
     # the left block of a prompt comes first, and the last one of a part may be short
     before = F.when(odd, F.least(F.lit(half), F.col("_across") - other * half)).otherwise(0)
     left, right = F.when(odd, other).otherwise(own), F.when(odd, own).otherwise(other)
-    placed = (
+    return (
         numbered.join(across, ["source", "part"])
         .withColumn("_other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("_across") - 1) / half))))
         .withColumn("chunk", (F.floor(F.col("part") / 2) * most + left) * most + right)
         .withColumn("item_idx", (before + F.col("n") % half).cast("int"))
-        .select("node", "chunk", "item_idx")
+        .select(*KEYS, "item_idx", "item_id")
     )
-    return placed.join(stories.drop("story_ord", "topic_idx", "part"), F.col("node") == F.col("item_id"))
 
 
 def _connected(links: DataFrame) -> DataFrame:
@@ -114,7 +112,7 @@ def _connected(links: DataFrame) -> DataFrame:
 def _told_together(heads: DataFrame, paired: DataFrame, responses: DataFrame) -> DataFrame | None:
     """(node, head, _told) of the stories that the answers put together: the earliest one of each
     group and the labels of its first cluster. None where the answers join nothing."""
-    told = paired.select(*KEYS, "item_idx", "node").join(claims(responses), [*KEYS, "item_idx"])
+    told = paired.withColumnRenamed("item_id", "node").join(claims(responses), [*KEYS, "item_idx"])
     groups = [*KEYS, "cluster_ord"]
     joined = freeze(told.join(told.groupBy(*groups).agg(F.min("node").alias("v"), F.count("*").alias("_k")).where("_k > 1"), groups))
     if joined.isEmpty():
@@ -122,13 +120,13 @@ def _told_together(heads: DataFrame, paired: DataFrame, responses: DataFrame) ->
     labels = _connected(joined.select(F.col("node").alias("u"), "v"))
     called = joined.join(labels, "node").groupBy("label").agg(
         F.min_by(F.struct(*LABELS), F.struct("chunk", "cluster_ord", "pos")).alias("_told"))
-    first = heads.join(labels, "node").groupBy("label").agg(F.min_by("node", "topic_idx").alias("head"))
+    first = heads.withColumnRenamed("item_id", "node").join(labels, "node").groupBy("label").agg(F.min_by("node", "topic_idx").alias("head"))
     return freeze(labels.join(first, "label").join(called, "label").select("node", "head", "_told"))
 
 
 def merge_calls(placed: DataFrame, stories: DataFrame, ask, max_items: int) -> DataFrame:
     """The second merge: stories that were told in different calls of a topic become one where the
-    model puts them together. `ask` turns numbered stories into responses.
+    model puts them together. `ask` turns the rows of `paired_calls` into responses; texts are its business.
 
     Parts of a topic, at first its calls, are compared two by two and then go on as one part with
     their joined stories shown once, so a round has half the parts and only stories still apart.
@@ -136,17 +134,17 @@ def merge_calls(placed: DataFrame, stories: DataFrame, ask, max_items: int) -> D
     blocks only where nothing joins. A joined story has the labels of its first cluster in the last
     round that joined it. In the topics of `stories`, clusters are ordered by their first item, as one
     call over the whole would show them; a call without a usable answer joins nothing."""
-    heads = freeze(stories.select("source", "topic_idx", F.col("item_id").alias("node"), "part"))
+    heads = stories.drop("story_ord")
     told_type = f"struct<{', '.join(f'{c}: {placed.schema[c].dataType.simpleString()}' for c in LABELS)}>"
     found = stories.select("source", "story_ord", "topic_idx", F.col("item_id").alias("head"), F.lit(None).cast(told_type).alias("_told"))
     while heads.agg(F.max("part")).first()[0]:
-        paired = freeze(paired_calls(heads, stories, max_items))
+        paired = freeze(paired_calls(heads, max_items))
         moved = None if paired.isEmpty() else _told_together(heads, paired, ask(paired))
         if moved is not None:
             new = moved.select(F.col("node").alias("head"), F.col("head").alias("_head"), F.col("_told").alias("_new"))
             found = freeze(found.join(new, "head", "left").select(
                 "source", "story_ord", "topic_idx", F.coalesce("_head", "head").alias("head"), F.coalesce("_new", "_told").alias("_told")))
-            heads = heads.join(moved.where("node != head").select("node"), "node", "left_anti")
+            heads = heads.join(moved.where("node != head").select(F.col("node").alias("item_id")), "item_id", "left_anti")
         heads = freeze(heads.withColumn("part", F.floor(F.col("part") / 2)))
     starts = found.groupBy("head").agg(F.min("topic_idx").alias("_start"))
     new = found.join(starts, "head").select("source", "story_ord", "_start", "_told")
@@ -168,21 +166,21 @@ def merge_stories(placed: DataFrame, vocab: list[str], fallback: str,
                   domains: list[str] | None = None, fallback_domain: str | None = None) -> DataFrame:
     """One row per (source, story_ord) of placed items."""
     item_cols = [c for c in placed.columns if c not in (*KEYS, "item_idx", "topic_idx", "story_ord", "_place", "pos", *LABELS)]
-    # a link counts once per story, at its first place; the first row of all is the primary
+    # a link counts once per story, at its first place; the first row of all is the primary. Texts join its id
     by_link = placed.groupBy("source", "story_ord", F.coalesce("link", F.lit("")).alias("_link")).agg(
         F.min("_place").alias("_place"),
-        F.min_by(F.struct(*item_cols, *LABELS), F.col("_place")).alias("_row"),
+        F.min_by(F.struct("item_id", "publisher"), F.col("_place")).alias("_row"),
         F.max("published").alias("_published"),
         F.count("*").alias("_n"),
     )
     credited = F.coalesce(blank_to_null(F.col("_row.publisher")), F.col("source"))
     entry = F.struct("_place", credited.alias("publisher"), F.col("_link").alias("link"))
     merged = by_link.groupBy("source", "story_ord").agg(
-        F.min_by("_row", F.col("_place")).alias("_row"),
+        F.min_by("_row.item_id", F.col("_place")).alias("item_id"),
         F.max("_published").alias("_published"),
         F.sum("_n").alias("n_members"),
         F.sort_array(F.collect_list(F.when(F.col("_link") != "", entry))).alias("_links"),
-    ).select("source", "story_ord", "n_members", "_published", "_links", "_row.*")
+    ).join(placed.select(*item_cols, *LABELS), "item_id")
 
     claimed = F.col("cluster_ord").isNotNull()
     links = F.transform("_links", lambda e: F.struct(e["publisher"].alias("publisher"), e["link"].alias("link")))

@@ -77,16 +77,18 @@ def by_topic(items: DataFrame, labels: Labels, fn) -> DataFrame:
     answers = _ask(scoring.topic_prompts(numbered, labels.cluster_template), keys, labels, fn, "cluster")
     from ..functions.responses import unwrap_list
 
-    placed = clusters.place_items(numbered, answers)
+    # ids and places alone until stories are whole
+    placed = freeze(clusters.place_items(numbered.select("item_id", "source", "chunk", "item_idx", "topic_idx"), answers))
+    texts = items.drop("source")
     stories = clusters.in_several_calls(placed, answers)
     if not stories.isEmpty():
         def ask(paired: DataFrame) -> DataFrame:
-            return _ask(scoring.topic_prompts(paired, labels.cluster_template), keys, labels, fn, "cluster")
+            return _ask(scoring.topic_prompts(paired.join(texts, "item_id"), labels.cluster_template), keys, labels, fn, "cluster")
 
         placed = freeze(clusters.merge_calls(placed, stories, ask, labels.topic_items))
     usable = unwrap_list(F.col("response"), "clusters").isNotNull()
     lost = answers.where(~F.coalesce(usable, F.lit(False))).select("source", "chunk", F.lit(True).alias("_lost"))
-    marked = placed.join(lost, ["source", "chunk"], "left")
+    marked = placed.join(lost, ["source", "chunk"], "left").join(texts, "item_id")
     alone = F.col("_lost").isNotNull() & F.col("cluster_ord").isNull()
     merged = clusters.merge_stories(marked.where(~alone).drop("_lost"), *labels.vocabulary(items.sparkSession))
     if not lost.isEmpty():
