@@ -303,3 +303,18 @@ def test_a_digest_as_blocks_and_one_message(spark):
     for rendered in (pages, render.document(routed_rows(spark), digests, AS_OF)):
         box = render.outbox(rendered, digests, None, AS_OF).orderBy("recipient").collect()
         assert [(r["recipient"], r["body_chars"]) for r in box] == [("a@x.io", len(DOCUMENT)), ("b@x.io", len(DOCUMENT))]
+
+
+@pytest.mark.parametrize("template", [render.HEADER, "", " \t", "\n\n {title} \n"])
+def test_sizes_without_blocks(spark, template):
+    """Lengths alone give what the blocks give: blank and padded headers, summaries that end in white space or are null."""
+    digests = spark.createDataFrame([
+        (0, "D", ["key", "mention"], [], False, None, ["a@x.io"], {"key": "Top"}), (1, " E ", ["mention"], [], False, None, [], None),
+        (2, "Nothing", ["gone"], [], False, None, [], None)], schemas.DIGESTS)
+    base = routed_rows(spark)
+    tailed = base.withColumn("summary", F.when(F.col("item_ord") % 2 == 0, F.concat("summary", F.lit(" \n "))))
+    other = tailed.withColumns({"digest_ord": F.lit(1), "digest_title": F.lit(" E "), "digest_slug": F.lit("e")})
+    for routed in (base, tailed, tailed.unionByName(other), base.limit(0)):
+        told = [sorted(map(tuple, f.collect())) for f in (
+            render.document_sizes(routed, digests, AS_OF, template), render.sizes(render.document(routed, digests, AS_OF, template)))]
+        assert told[0] == told[1]

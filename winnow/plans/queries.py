@@ -414,7 +414,8 @@ def render_digests(spark, sf):
 
 
 def outbox(spark, sf):
-    return render.outbox(_document(spark, sf), V.digests(spark), None, AS_OF).select(
+    digests = V.digests(spark)
+    return render.outbox(render.document_sizes(_routed(spark, sf), digests, AS_OF), digests, None, AS_OF).select(
         "digest_slug", F.coalesce("recipient", F.lit("")).alias("recipient"), "subject", "body_chars", F.coalesce("error", F.lit("")).alias("error"))
 
 
