@@ -415,7 +415,8 @@ def render_digests(spark, sf):
 
 def outbox(spark, sf):
     digests = V.digests(spark)
-    return render.outbox(render.document_sizes(_routed(spark, sf), digests, AS_OF), digests, None, AS_OF).select(
+    routed = routing.route(V.scored(spark, sf, render.measured(V.summarised(spark, sf))), digests)
+    return render.outbox(render.document_sizes(routed, digests, AS_OF), digests, None, AS_OF).select(
         "digest_slug", F.coalesce("recipient", F.lit("")).alias("recipient"), "subject", "body_chars", F.coalesce("error", F.lit("")).alias("error"))
 
 

@@ -81,12 +81,16 @@ def category(quality, toxic):
     )
 
 
-def scored(spark, sf) -> DataFrame:
-    """items with the category of their label, their language as domain."""
+def summarised(spark, sf) -> DataFrame:
+    """items with their description as summary."""
+    return items(spark, sf).withColumn("summary", F.col("description"))
+
+
+def scored(spark, sf, given: DataFrame | None = None) -> DataFrame:
+    """items (or those given) with the category of their label, their language as domain."""
     labels = table(spark, sf, "labels").withColumnRenamed("doc_id", "item_id")
     return (
-        items(spark, sf).join(labels, "item_id", "left")
-        .withColumn("summary", F.col("description"))
+        (summarised(spark, sf) if given is None else given).join(labels, "item_id", "left")
         .withColumn("category", category(F.col("quality"), F.col("toxic")))
         .withColumn("domain", F.col("lang"))
         .drop("quality", "toxic", "lang")
