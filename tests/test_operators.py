@@ -285,6 +285,20 @@ def test_topics_for_everyone_by_list_and_by_join(spark, sf):
     assert rows(50_000) == rows(0)
 
 
+def test_a_long_list_for_everyone_is_in_no_shuffle(spark):
+    """More names than a dimension may have rows: still one list, joined after the readers met their own topics."""
+    users = spark.createDataFrame([(1, "A", "a@x.io"), (2, "B", "b@x.io")], "user_ord int, name string, email string")
+    topics = spark.range(60_001).select(
+        F.col("id").cast("int").alias("topic_ord"), F.concat(F.lit("t"), "id").alias("name"), F.when(F.col("id") == 30_000, "A@x.io").alias("recipient"))
+    rows = readers.topics_by_user(users, topics)
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "_salt" not in plan and plan.index("_common") < plan.index("Join LeftOuter")
+    got = {r["user_ord"]: r["topics"] for r in rows.collect()}
+    assert got[1] == [f"t{i}" for i in range(60_001)] and got[2] == [t for t in got[1] if t != "t30000"]
+    none = readers.topics_by_user(users, topics.where("recipient IS NOT NULL")).collect()
+    assert [(r["user_ord"], r["topics"]) for r in none] == [(1, ["t30000"])]
+
+
 def test_stories_of_a_source_count_on_across_calls(spark):
     """Unclaimed items are numbered over the source, clusters through its answers."""
     numbered = scoring.number_topics(topic_items(spark, 6), max_items=3)
