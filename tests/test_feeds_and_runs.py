@@ -356,6 +356,23 @@ def test_landed_folders(spark, tmp_path):
     assert "LessThanOrEqual(length,4000)" in plan
 
 
+def test_landed_documents_share_files(spark, tmp_path):
+    """Files follow the tasks and not the documents; every document is read back, whatever its id, length or body."""
+    path = str(tmp_path / "landed")
+    body = F.when(F.col("id") == 7, F.lit(None)).when(F.col("id") == 8, F.repeat(F.lit("é"), 3000)).otherwise(F.concat(F.lit("<rss>"), "id"))
+    docs = spark.range(300).coalesce(2).select(
+        F.when(F.col("id") == 9, F.lit("")).otherwise(F.concat(F.lit("00"), F.col("id") % 90)).alias("feed_id"), F.floor(F.col("id") / 90).cast("int").alias("doc_ord"),
+        body.cast("string").alias("body"))
+    landed.land_documents(docs, path)
+    assert len(list((tmp_path / "landed").rglob("*.parquet"))) == 2
+    want = sorted((r["feed_id"] or "", r["doc_ord"], (r["body"] or "") + "\n") for r in docs.collect())
+    assert sorted((r["feed_id"] or "", r["doc_ord"], r["body"]) for r in landed.read_documents(spark, path).collect()) == want
+    known = docs.where("feed_id <> ''").select("feed_id", F.lit("u").alias("url"))
+    reasons = {(r["feed_id"], r["doc_ord"]): r["reason"] for r in landed.skipped_documents(spark, path, known, 6000).collect()}
+    assert reasons[("008", 0)] == "oversized" and reasons[(None, 0)] == "unknown_feed"
+    assert landed.read_documents(spark, path, 6001).count() == 300
+
+
 def test_block_files_in_order(spark, tmp_path):
     rows = [("a", i // 50, i % 50, f"line {i}") for i in range(200)] + [("b", 0, 0, "two\nlines")]
     spark_rows = spark.createDataFrame(rows, "digest_slug string, rank int, n long, text string").repartition(7)

@@ -38,8 +38,15 @@ def _place(path: Column) -> list[Column]:
     return [F.substring_index(stem, "~", 1).alias("feed_id"), number.alias("doc_ord")]
 
 
+# Documents of one container are read in groups of about so many bytes, however many or large they are.
+_GROUP_BYTES = 8 << 20
+
+
 def _files(spark: SparkSession, path: str) -> DataFrame:
-    """Landed files with feed_id and doc_ord: from their folders, as land_documents writes them, or from their names."""
+    """Landed documents with feed_id, doc_ord, length and content: packed in containers, as land_documents writes them, or
+    files with a document each, placed by their folders or their names."""
+    if not spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path).select("path").isEmpty():
+        return spark.read.schema("feed_id string, doc_ord int, length bigint, content binary").parquet(path)
     files = spark.read.format("binaryFile").load(path)
     if {"feed_id", "doc_ord"} <= set(files.columns):
         return files.withColumns({"feed_id": F.col("feed_id").cast("string"), "doc_ord": F.col("doc_ord").cast("int")})
@@ -47,15 +54,19 @@ def _files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def land_documents(docs: DataFrame, path: str) -> None:
-    """Write (feed_id, doc_ord, body) as files in folders feed_id=/doc_ord=, where read_documents finds them. Bodies end
-    with a line end."""
-    docs.select("feed_id", "doc_ord", "body").write.partitionBy("feed_id", "doc_ord").text(path)
+    """Write (feed_id, doc_ord, body) where read_documents finds them, many documents a file: a file or folder for each
+    would cost more than what is in it. Bodies end with a line end."""
+    content = F.concat(F.coalesce("body", F.lit("")), F.lit("\n")).cast("binary")
+    packed = docs.select(T.blank_to_null(F.col("feed_id")).alias("feed_id"), F.col("doc_ord").cast("int").alias("doc_ord"), content.alias("content"))
+    packed.select("feed_id", "doc_ord", F.length("content").cast("bigint").alias("length"), "content").write.options(**{
+        "compression": "zstd", "parquet.block.size": str(_GROUP_BYTES), "parquet.block.size.row.check.min": "1",
+        "parquet.enable.dictionary#content": "false"}).parquet(path)
 
 
 def read_documents(spark: SparkSession, path: str, max_bytes: int = MAX_BYTES) -> DataFrame:
-    """(feed_id, doc_ord, body) of landed files.
+    """(feed_id, doc_ord, body) of landed documents.
 
-    Oversized files are left out by the scan itself; `skipped_documents` names them."""
+    Oversized ones are left out by the scan itself; `skipped_documents` names them."""
     latin = F.lower(F.substring(F.col("content").cast("string"), 1, 100)).rlike("encoding=.iso-8859-1")
     body = F.when(latin, F.decode("content", "ISO-8859-1")).otherwise(F.make_valid_utf8(F.col("content").cast("string")))
     files = _files(spark, path).where(F.col("length") <= max_bytes)
@@ -63,7 +74,7 @@ def read_documents(spark: SparkSession, path: str, max_bytes: int = MAX_BYTES) -
 
 
 def skipped_documents(spark: SparkSession, path: str, feeds: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
-    """(feed_id, doc_ord, reason) of landed files that give no items: oversized, of no known
+    """(feed_id, doc_ord, reason) of landed documents that give no items: oversized, of no known
     feed, or malformed. Only the last reads contents."""
     files = _files(spark, path).select("feed_id", "doc_ord", "length")
     known = feeds.where(F.coalesce("url", F.lit("")) != "").select("feed_id").distinct()
