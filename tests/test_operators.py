@@ -332,3 +332,16 @@ def test_sizes_without_blocks(spark, template):
         told = [sorted(map(tuple, f.collect())) for f in (
             render.document_sizes(routed, digests, AS_OF, template), render.sizes(render.document(routed, digests, AS_OF, template)))]
         assert told[0] == told[1]
+
+
+def test_prompts_reach_a_worker_in_bounded_batches(spark):
+    """Bytes bound a batch, not rows: 32 prompts of a megabyte are never held at once."""
+    from winnow.session import tune
+
+    def sizes(frames):
+        for frame in frames:
+            yield frame.assign(n=int(frame["prompt"].str.len().sum()))[["id", "n"]]
+
+    prompts = tune(spark).range(0, 32, 1, 1).select("id", F.repeat(F.lit("x"), 1_000_000).alias("prompt"))
+    rows = scoring.score(prompts, sizes, "id long, n long").collect()
+    assert len(rows) == 32 and max(r["n"] for r in rows) < 8 << 20

@@ -18,8 +18,14 @@ WORD_CACHE = 300_000
 GRAM_BASE = 0x9E3779B97F4A7C15
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def batch_rows(spark: SparkSession) -> None:
+    """Batches of the corpus operators are bounded in rows and not, as `tune` leaves them, in bytes."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+
+
+def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    batch_rows(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import tune
 from . import bpe, exact, jaccard, mixing, quality
-from .common import BATCH_ROWS, read_table, written
+from .common import batch_rows, read_table, written
 from .jaccard import NO_ID
 from .queries import tokenizer_path
 
@@ -14,7 +14,7 @@ REJECT_BELOW = 0.3
 
 
 def _ready(spark: SparkSession) -> None:
-    tune(spark).conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    batch_rows(tune(spark))
 
 
 def _joined(docs: DataFrame, decisions: DataFrame, digest, best=None) -> DataFrame:

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 # A dimension table is broadcast only when it has at most this many rows.
 BROADCAST_ROWS = 50_000
+# Bytes handed to a Python worker at once: pages and prompts may hold megabytes, and a worker holds a batch several times.
+BATCH_BYTES = 4 << 20
 
 
 def build_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "winnow") -> SparkSession:
@@ -34,6 +36,7 @@ def tune(spark: SparkSession) -> SparkSession:
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.sql.execution.arrow.maxBytesPerBatch": str(BATCH_BYTES),
     }.items():
         spark.conf.set(key, value)
     return spark
