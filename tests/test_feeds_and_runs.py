@@ -481,3 +481,49 @@ def test_messages_refer_to_the_blocks_of_their_batch(spark, tmp_path):
     texts = {again: "\n".join(r["text"] for r in told if r["no_new_updates"] == again) for again in (False, True)}
     assert texts[False] == texts[True] and texts[False].count("### [") == 2
     assert [r["body_chars"] for r in box.collect()] == [len(texts[True])] * 2
+
+
+@pytest.mark.parametrize("buckets", [1, 3])
+def test_keyed_arrivals_share_state(spark, tmp_path, buckets):
+    """Links in one bucket keep their own marks, and each drop makes no more calls than there are buckets."""
+    day = lambda d: dt.datetime(2024, 1, d)
+    drops = [[(f"l{i}", day(1 + i % 3)) for i in range(50)], [(f"l{i}", day(4 + i % 14)) for i in range(60)], [("l0", day(9)), ("l1", day(30))]]
+    marks, want = {}, []
+    for n, rows in enumerate(drops):
+        new = [(k, t) for k, t in rows if k not in marks or t >= marks[k] + dt.timedelta(days=14)]
+        for k, t in new:
+            marks[k] = max(t, marks.get(k, t))
+        want += new
+        spark.createDataFrame(rows, "link string, time timestamp").write.parquet(str(tmp_path / f"in/{n}"))
+        live = spark.readStream.schema("link string, time timestamp").parquet(str(tmp_path / "in/*"))
+        judged = seen_stream.keyed_arrivals(live, "time", buckets=buckets)
+        assert "_bucket" in judged._jdf.queryExecution().analyzed().toString()
+        seen_stream.run_available(judged, str(tmp_path / "out"), str(tmp_path / "cp"))
+    got = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert sorted((r["link"], r["time"]) for r in got) == sorted(want)
+
+
+def test_marks_of_a_bucket_go_one_by_one():
+    """A mark that is due goes unless its link has rows, which are still judged by it; the rest stays with its own time."""
+    import pandas as pd
+
+    class State:
+        hasTimedOut, exists, get, gone = False, True, (["a", "b", "c"], [100, 100, 100], [5, 5, 50]), False
+        getCurrentProcessingTimeMs = staticmethod(lambda: 10)  # noqa: N815
+
+        def update(self, value):
+            self.get = value
+
+        def remove(self):
+            self.gone = True
+
+        def setTimeoutDuration(self, ms):  # noqa: N802
+            self.wait = ms
+
+    state_, frame = State(), pd.DataFrame({"link": ["a", "d"], "_micros": [105, 7]})
+    assert [f["link"].tolist() for f in seen_stream._judge(20, 30)(None, iter([frame]), state_)] == [["d"]]
+    assert state_.get == (["c", "a", "d"], [100, 100, 7], [50, 40, 40]) and state_.wait == 30
+    state_.hasTimedOut, State.getCurrentProcessingTimeMs = True, staticmethod(lambda: 45)
+    assert list(seen_stream._judge(20, 30)(None, iter([]), state_)) == [] and state_.get[0] == ["c"] and state_.wait == 5
+    State.getCurrentProcessingTimeMs = staticmethod(lambda: 50)
+    assert list(seen_stream._judge(20, 30)(None, iter([]), state_)) == [] and state_.gone
