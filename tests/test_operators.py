@@ -345,3 +345,22 @@ def test_prompts_reach_a_worker_in_bounded_batches(spark):
     prompts = tune(spark).range(0, 32, 1, 1).select("id", F.repeat(F.lit("x"), 1_000_000).alias("prompt"))
     rows = scoring.score(prompts, sizes, "id long, n long").collect()
     assert len(rows) == 32 and max(r["n"] for r in rows) < 8 << 20
+
+
+@pytest.mark.parametrize("size", [2, 5])
+def test_paired_prompts_without_a_text_for_every_prompt(spark, size):
+    """The prompts that every item's row would give, over parts of no, few and many blocks; a text is shuffled a few times at most."""
+    counts = [("a", 0, 23), ("a", 1, 19), ("a", 2, 1), ("a", 3, 7), ("a", 4, 5), ("b", 0, 2), ("b", 1, 1)]
+    ids = [(s, 100 * part + i, 1000 * ord(s) + 100 * part + i, part) for s, part, k in counts for i in range(k)]
+    heads = spark.createDataFrame(ids, "source string, topic_idx long, item_id long, part long")
+    items = heads.select("item_id", "source", F.concat(F.lit("T"), "item_id").alias("title"), F.lit(None).cast("string").alias("publisher"),
+                         F.lit("x <item_description>").alias("description"), F.when(F.col("item_id") % 2 == 0, "about").alias("topic_context"))
+    paired = clusters.paired_calls(heads, size).cache()
+    want = scoring.topic_prompts(paired.join(items.drop("source"), "item_id"), "see {items}!").select("source", "chunk", "prompt")
+    bodies = items.select("item_id", scoring.item_body().alias("body"))
+    got = scoring.paired_prompts(paired, bodies, "see {items}!")
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(got) == rows(want) and got.count() > 40 // size
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    # prompts are put together above the last join and go through no aggregate
+    assert plan.index("prompt") < plan.index("Join Inner") < plan.index("Aggregate")

@@ -63,8 +63,8 @@ def in_several_calls(placed: DataFrame, responses: DataFrame) -> DataFrame:
 
 def paired_calls(heads: DataFrame, max_items: int) -> DataFrame:
     """(source, chunk, item_idx, item_id): prompts of at most max_items that show every story of an
-    even part beside every one of the odd part after it. heads: (source, topic_idx, item_id, part), the item
-    that tells a story.
+    even part beside every one of the odd part after it, and for `scoring.paired_prompts` the part, its block, the
+    other one's and the most blocks of any part. heads: (source, topic_idx, item_id, part), the item that tells a story.
 
     Half a prompt is a block; a blocks on one side and b on the other take a * b calls. Stories of
     one part met before and are not compared again."""
@@ -84,7 +84,7 @@ def paired_calls(heads: DataFrame, max_items: int) -> DataFrame:
         .withColumn("_other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("_across") - 1) / half))))
         .withColumn("chunk", (F.floor(F.col("part") / 2) * most + left) * most + right)
         .withColumn("item_idx", (before + F.col("n") % half).cast("int"))
-        .select(*KEYS, "item_idx", "item_id")
+        .select(*KEYS, "item_idx", "item_id", "part", own.alias("block"), other.alias("other"), most.cast("bigint").alias("most"))
     )
 
 
@@ -126,7 +126,8 @@ def _told_together(heads: DataFrame, paired: DataFrame, responses: DataFrame) ->
 
 def merge_calls(placed: DataFrame, stories: DataFrame, ask, max_items: int) -> DataFrame:
     """The second merge: stories that were told in different calls of a topic become one where the
-    model puts them together. `ask` turns the rows of `paired_calls` into responses; texts are its business.
+    model puts them together. `ask` turns the rows of `paired_calls` into responses, given the stories still
+    apart; texts are its business.
 
     Parts of a topic, at first its calls, are compared two by two and then go on as one part with
     their joined stories shown once, so a round has half the parts and only stories still apart.
@@ -139,7 +140,7 @@ def merge_calls(placed: DataFrame, stories: DataFrame, ask, max_items: int) -> D
     found = stories.select("source", "story_ord", "topic_idx", F.col("item_id").alias("head"), F.lit(None).cast(told_type).alias("_told"))
     while heads.agg(F.max("part")).first()[0]:
         paired = freeze(paired_calls(heads, max_items))
-        moved = None if paired.isEmpty() else _told_together(heads, paired, ask(paired))
+        moved = None if paired.isEmpty() else _told_together(heads, paired.select(*KEYS, "item_idx", "item_id"), ask(paired, heads))
         if moved is not None:
             new = moved.select(F.col("node").alias("head"), F.col("head").alias("_head"), F.col("_told").alias("_new"))
             found = freeze(found.join(new, "head", "left").select(

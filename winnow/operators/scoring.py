@@ -60,9 +60,14 @@ def _described() -> Column:
 
 
 def item_text(first_line: Column) -> Column:
-    """An item as it stands in a prompt; untrusted text between the two markers."""
+    """An item as it stands in a prompt."""
+    return F.concat(first_line, F.lit("\n"), item_body())
+
+
+def item_body() -> Column:
+    """An item below its first line; untrusted text between the two markers."""
     return F.concat(
-        first_line, F.lit("\n"), topic_lines(),
+        topic_lines(),
         F.lit("TITLE: "), strip_delimiters(F.col("title")), F.lit("\n"),
         F.lit("SOURCE: "), _credited(), F.lit("\n"),
         F.lit("DESCRIPTION:\n" + DELIMITERS[0] + "\n"), _described(), F.lit("\n" + DELIMITERS[1] + "\n"),
@@ -96,6 +101,34 @@ def topic_prompts(numbered: DataFrame, template: str = "{items}") -> DataFrame:
     )
 
 
+# Blocks of one side that meet in one task: a task makes at most the square of it in prompts.
+_TILE = 8
+
+
+def paired_prompts(paired: DataFrame, bodies: DataFrame, template: str = "{items}") -> DataFrame:
+    """`topic_prompts` of the rows of `clusters.paired_calls`, from (item_id, body).
+
+    Texts are gathered once by block, and the blocks of two parts meet in tiles where their prompts are made. So a text
+    is shuffled as often as its part has tiles across, which is mostly once, and not for every prompt that shows it."""
+    block = ["source", "part", "block"]
+    texts = (
+        paired.where("other = 0").select(*block, "most", "item_idx", "item_id").join(bodies, "item_id")
+        .groupBy(*block, "most").agg(F.sort_array(F.collect_list(F.struct("item_idx", "body"))).alias("_rows"))
+        .select(*block, "most", F.transform("_rows", lambda r: r["body"]).alias("_texts"))
+    )
+    # blocks of the other part, from narrow rows
+    across = paired.groupBy(*block).agg(F.max("other").alias("_last"))
+    tiles = F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor(F.col("_last") / _TILE)))
+    dealt = texts.join(across, block).withColumn("_across", tiles)
+    own, pair = F.floor(F.col("block") / _TILE), F.floor(F.col("part") / 2)
+    left = dealt.where("part % 2 = 0").select("source", pair.alias("_pair"), own.alias("_l"), F.col("_across").alias("_r"), "most", F.col("block").alias("_left"), "_texts")
+    right = dealt.where("part % 2 = 1").select("source", pair.alias("_pair"), F.col("_across").alias("_l"), own.alias("_r"), F.col("block").alias("_right"), F.col("_texts").alias("_more"))
+    shown = F.transform(F.concat("_texts", "_more"), lambda body, i: F.concat(F.lit("INDEX: "), i.cast("string"), F.lit("\n"), body))
+    return left.join(right, ["source", "_pair", "_l", "_r"]).select(
+        "source", ((F.col("_pair") * F.col("most") + F.col("_left")) * F.col("most") + F.col("_right")).alias("chunk"),
+        fill_template(template, items=F.array_join(shown, "\n")).alias("prompt"))
+
+
 def item_prompts(items: DataFrame, template: str) -> DataFrame:
     """One prompt per item, for batches whose call failed."""
     return items.select("item_id", fill_template(

@@ -64,6 +64,22 @@ def by_batch(items: DataFrame, labels: Labels, fn) -> DataFrame:
     return done.drop("batch_id", "pos").withColumn("links", F.lit(None).cast("array<struct<publisher:string,link:string>>"))
 
 
+def _asker(items: DataFrame, stories: DataFrame, keys: str, labels: Labels, fn):
+    """Calls of the second merge. Only the texts of stories still apart go on: they are cut whenever half of them have joined
+    others, so all rounds together read little more than the first."""
+    bodies = freeze(items.select("item_id", scoring.item_body().alias("body")).join(stories.select("item_id"), "item_id", "left_semi"))
+    size = bodies.count()
+
+    def ask(paired: DataFrame, apart: DataFrame) -> DataFrame:
+        nonlocal bodies, size
+        n = apart.count()
+        if 2 * n <= size:
+            bodies, size = freeze(bodies.join(apart.select("item_id"), "item_id", "left_semi")), n
+        return _ask(scoring.paired_prompts(paired, bodies, labels.cluster_template), keys, labels, fn, "cluster")
+
+    return ask
+
+
 def by_topic(items: DataFrame, labels: Labels, fn) -> DataFrame:
     """Calls over each topic, its items merged into stories; what no usable answer told of goes
     through batches. Topics never mix: the topic is what digests route on.
@@ -82,10 +98,7 @@ def by_topic(items: DataFrame, labels: Labels, fn) -> DataFrame:
     texts = items.drop("source")
     stories = clusters.in_several_calls(placed, answers)
     if not stories.isEmpty():
-        def ask(paired: DataFrame) -> DataFrame:
-            return _ask(scoring.topic_prompts(paired.join(texts, "item_id"), labels.cluster_template), keys, labels, fn, "cluster")
-
-        placed = freeze(clusters.merge_calls(placed, stories, ask, labels.topic_items))
+        placed = freeze(clusters.merge_calls(placed, stories, _asker(items, stories, keys, labels, fn), labels.topic_items))
     usable = unwrap_list(F.col("response"), "clusters").isNotNull()
     lost = answers.where(~F.coalesce(usable, F.lit(False))).select("source", "chunk", F.lit(True).alias("_lost"))
     marked = placed.join(lost, ["source", "chunk"], "left").join(texts, "item_id")
