@@ -356,6 +356,7 @@ def test_paired_prompts_without_a_text_for_every_prompt(spark, size):
     items = heads.select("item_id", "source", F.concat(F.lit("T"), "item_id").alias("title"), F.lit(None).cast("string").alias("publisher"),
                          F.lit("x <item_description>").alias("description"), F.when(F.col("item_id") % 2 == 0, "about").alias("topic_context"))
     paired = clusters.paired_calls(heads, size).cache()
+    items = items.unionAll(items.where("item_id % 10 = 3").withColumn("title", F.lit("again")))  # ids may repeat
     want = scoring.topic_prompts(paired.join(items.drop("source"), "item_id"), "see {items}!").select("source", "chunk", "prompt")
     bodies = items.select("item_id", scoring.item_body().alias("body"))
     got = scoring.paired_prompts(paired, bodies, "see {items}!")

@@ -64,7 +64,7 @@ def in_several_calls(placed: DataFrame, responses: DataFrame) -> DataFrame:
 def paired_calls(heads: DataFrame, max_items: int) -> DataFrame:
     """(source, chunk, item_idx, item_id): prompts of at most max_items that show every story of an
     even part beside every one of the odd part after it, and for `scoring.paired_prompts` the part, its block, the
-    other one's and the most blocks of any part. heads: (source, topic_idx, item_id, part), the item that tells a story.
+    other one's, the place in the block, the size of the other part, that of a block, and the most blocks of any part. heads: (source, topic_idx, item_id, part), the item that tells a story.
 
     Half a prompt is a block; a blocks on one side and b on the other take a * b calls. Stories of
     one part met before and are not compared again."""
@@ -84,7 +84,8 @@ def paired_calls(heads: DataFrame, max_items: int) -> DataFrame:
         .withColumn("_other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("_across") - 1) / half))))
         .withColumn("chunk", (F.floor(F.col("part") / 2) * most + left) * most + right)
         .withColumn("item_idx", (before + F.col("n") % half).cast("int"))
-        .select(*KEYS, "item_idx", "item_id", "part", own.alias("block"), other.alias("other"), most.cast("bigint").alias("most"))
+        .select(*KEYS, "item_idx", "item_id", "part", own.alias("block"), other.alias("other"), (F.col("n") % half).alias("place"),
+                F.col("_across").alias("across"), F.lit(half).alias("half"), most.cast("bigint").alias("most"))
     )
 
 

@@ -110,23 +110,28 @@ def paired_prompts(paired: DataFrame, bodies: DataFrame, template: str = "{items
 
     Texts are gathered once by block, and the blocks of two parts meet in tiles where their prompts are made. So a text
     is shuffled as often as its part has tiles across, which is mostly once, and not for every prompt that shows it."""
-    block = ["source", "part", "block"]
+    block, fixed = ["source", "part", "block"], ["across", "half", "most"]
     texts = (
-        paired.where("other = 0").select(*block, "most", "item_idx", "item_id").join(bodies, "item_id")
-        .groupBy(*block, "most").agg(F.sort_array(F.collect_list(F.struct("item_idx", "body"))).alias("_rows"))
-        .select(*block, "most", F.transform("_rows", lambda r: r["body"]).alias("_texts"))
+        paired.where("other = 0").select(*block, *fixed, "place", "item_id").join(bodies, "item_id")
+        .groupBy(*block, *fixed).agg(F.sort_array(F.collect_list(F.struct("place", "body"))).alias("_texts"))
     )
     # blocks of the other part, from narrow rows
-    across = paired.groupBy(*block).agg(F.max("other").alias("_last"))
+    others = paired.groupBy(*block).agg(F.max("other").alias("_last"))
     tiles = F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor(F.col("_last") / _TILE)))
-    dealt = texts.join(across, block).withColumn("_across", tiles)
+    dealt = texts.join(others, block).withColumn("_tile", tiles)
     own, pair = F.floor(F.col("block") / _TILE), F.floor(F.col("part") / 2)
-    left = dealt.where("part % 2 = 0").select("source", pair.alias("_pair"), own.alias("_l"), F.col("_across").alias("_r"), "most", F.col("block").alias("_left"), "_texts")
-    right = dealt.where("part % 2 = 1").select("source", pair.alias("_pair"), F.col("_across").alias("_l"), own.alias("_r"), F.col("block").alias("_right"), F.col("_texts").alias("_more"))
-    shown = F.transform(F.concat("_texts", "_more"), lambda body, i: F.concat(F.lit("INDEX: "), i.cast("string"), F.lit("\n"), body))
+    left = dealt.where("part % 2 = 0").select("source", pair.alias("_pair"), own.alias("_l"), F.col("_tile").alias("_r"), "most", "half", F.col("block").alias("_left"), "_texts")
+    right = dealt.where("part % 2 = 1").select(
+        "source", pair.alias("_pair"), F.col("_tile").alias("_l"), own.alias("_r"), "across", F.col("block").alias("_right"), F.col("_texts").alias("_more"))
+    before = F.least(F.col("half"), F.col("across") - F.col("_left") * F.col("half"))
+
+    def shown(rows: str, start: Column) -> Column:
+        return F.transform(rows, lambda r: F.concat(F.lit("INDEX: "), (start + r["place"]).cast("string"), F.lit("\n"), r["body"]))
+
+    items = F.array_join(F.concat(shown("_texts", F.lit(0)), shown("_more", before)), "\n")
     return left.join(right, ["source", "_pair", "_l", "_r"]).select(
         "source", ((F.col("_pair") * F.col("most") + F.col("_left")) * F.col("most") + F.col("_right")).alias("chunk"),
-        fill_template(template, items=F.array_join(shown, "\n")).alias("prompt"))
+        fill_template(template, items=items).alias("prompt"))
 
 
 def item_prompts(items: DataFrame, template: str) -> DataFrame:
