@@ -372,6 +372,25 @@ def test_stages_keep_one_row_of_null_and_repeated_ids(spark, frame):
         assert sorted((r["doc_id"] or 0, r["text"]) for r in kept) == [(0, "a  b  c"), (3, "A  B  C")]
 
 
+def test_exact_dedup_keeps_the_rows_of_dedup_without_joining_texts(spark, frame):
+    """The rows that exact.dedup keeps; whole texts meet no decisions in a join and are gathered in no aggregate."""
+    from winnow.llm import stages
+
+    lead = "z" * 200  # beyond the characters that splitters look at
+    rows = [(k, lead + str(k % 7) + " " * (k % 3), "s") for k in range(40)] + [(None, None, "s"), (None, "", "t"), (50, " \n", "s"), (51, None, "s")]
+    rows += [(52, "\u00e9 \u00a0x", "s"), (52, "\u00e9\u00a0x", "s"), (53, "\u00e9x", "s"), (None, "\u00e9x ", "s")]
+    for parts in (1, 4):
+        table = frame(rows, parts)
+        out = stages.exact_dedup(spark, table, "")
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "Join" not in plan and "Aggregate" not in plan
+        digest = F.sha2(exact.normalise(F.col("text")), 256).alias("text_sha256")
+        got = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["text_sha256"]) for r in out.select("doc_id", digest).collect())
+        kept = exact.dedup(table).where("kept").collect()
+        assert got == sorted((r["doc_id"] is None, r["doc_id"] or 0, r["text_sha256"]) for r in kept)
+    assert stages.exact_dedup(spark, frame(rows[:0]), "").count() == 0
+
+
 @pytest.mark.parametrize("threshold", [20, 40, 50, 75])
 def test_signatures_of_any_width_that_may_link_are_compared(threshold):
     sets = [np.sort(jaccard.mix64(np.arange(n, dtype=np.uint64))) for n in (30, 33, 60, 66, 75, 130, 150, 160)]

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .common import arrow_map, narrow, written
+from .common import arrow_map, byte_texts, narrow, written
 
 SPACE = (" ", "\t", "\n", "\x0b", "\x0c", "\r")
 # Characters of the normalised text that range splitters look at; the driver holds samples of them.
@@ -105,3 +105,39 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
                        _neighbours, "run long, keep_id long, group_size long, wins boolean, text_sha256 string")
     return local.where(F.col("norm").isNull()).select("run", "doc_id", "first").join(groups, "run").select(
         "doc_id", "keep_id", "group_size", (F.col("first") & F.col("wins")).alias("kept"), "text_sha256")
+
+
+def _leaders(text_col):
+    white = "".join(SPACE).encode()
+
+    def run(batches):
+        """Of rows sorted by normalised text, the first of each run of equal ones."""
+        last = None
+        for b in batches:
+            first = []
+            for text in byte_texts(b.column(text_col)):
+                norm = text.translate(None, white)
+                first.append(norm != last)
+                last = norm
+            yield b.filter(pa.array(first, pa.bool_()))
+
+    return run
+
+
+def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows that `dedup` keeps, all their columns: one of each group of equal texts.
+
+    The same two sorts, but whole rows take part, so that they meet no list of decisions afterwards: they are shuffled once and
+    neither joined nor gathered in groups. Sorts go by the first characters and the digest of the normalised text, neighbours are
+    compared in full. Of rows equal in code points and id the one with the largest hash of its text stays."""
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    text, norm = F.coalesce(F.col(text_col), F.lit("")), normalise(F.col(text_col))
+    # columns of their own, as a sort takes an expression anew in every comparison; their names are longer than any in `docs`
+    lead, sha, chars, doc, text_hash = ["_" * max(map(len, docs.columns)) + c for c in ("lead", "sha", "chars", "doc", "text")]
+    keyed = docs.withColumns({
+        lead: F.substring(norm, 1, SPLITTER_CHARS), sha: F.sha2(norm, 256), chars: F.length(text),
+        doc: F.col(id_col).cast("long"), text_hash: F.xxhash64(text)})
+    order = [lead, sha, F.col(chars).desc(), F.col(doc).asc_nulls_last(), F.col(text_hash).desc()]
+    local = written(keyed.sortWithinPartitions(*order).mapInArrow(_leaders(text_col), keyed.schema), "runs")
+    placed = local.repartitionByRange(lead, sha).sortWithinPartitions(*order)
+    return placed.select(*columns).mapInArrow(_leaders(text_col), docs.schema)

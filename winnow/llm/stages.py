@@ -17,18 +17,11 @@ def _ready(spark: SparkSession) -> None:
     batch_rows(tune(spark))
 
 
-def _joined(docs: DataFrame, decisions: DataFrame, digest, best=None) -> DataFrame:
-    """Rows of `docs` with the decision for their (doc_id, digest); one row for each such pair, the
-    one that is largest in `best`."""
+def _joined(docs: DataFrame, decisions: DataFrame, digest) -> DataFrame:
+    """Rows of `docs` with the decision for their (doc_id, digest), one row for each such pair."""
     keyed = docs.withColumns({"__doc": F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)), "__digest": digest})
-    if best is not None:
-        keyed = keyed.withColumn("__best", best)
     wanted = decisions.withColumn("__doc", F.coalesce("doc_id", F.lit(NO_ID))).drop("doc_id")
-    joined = keyed.join(wanted, ["__doc", "__digest"])
-    if best is None:
-        return joined.dropDuplicates(["__doc", "__digest"])
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    return joined.groupBy("__doc", "__digest").agg(F.max_by(row, F.col("__best")).alias("__row")).select("__row.*")
+    return keyed.join(wanted, ["__doc", "__digest"]).dropDuplicates(["__doc", "__digest"])
 
 
 def _text_hash(docs: DataFrame):
@@ -49,9 +42,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts: the row that exact.dedup keeps. Of rows with its id and
     its normalised text that is the one with the most code points."""
     _ready(spark)
-    kept = exact.dedup(docs).where("kept").select("doc_id", F.col("text_sha256").alias("__digest")).distinct()
-    longest = F.struct(F.coalesce(F.length(docs["text"]), F.lit(0)), _text_hash(docs))
-    return _joined(docs, kept, F.sha2(exact.normalise(docs["text"]), 256), longest).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return exact.survivors(docs)
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
