@@ -172,3 +172,30 @@ def test_common_subsequence():
             for j, y in enumerate(b):
                 best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
         assert similar.common_subsequence(similar._positions(a), len(a), b) == best[-1][-1]
+
+
+def test_common_subsequences_of_many_pairs():
+    rnd = random.Random(6)
+    titles = ["".join(rnd.choice("abcdé") for _ in range(rnd.choice([1, 5, 63, 64, 65, 130, 200, 260]))) for _ in range(60)]
+    titles += [t[:k] + t[k + 3:] for t in titles for k in (2, 40)]
+    titles = [t for t in titles if t]
+    profiles, every = Profiles(titles), np.arange(len(titles))
+    places, texts = profiles.places(every), profiles.texts(every)
+    i, j = (x.reshape(-1) for x in np.meshgrid(every, every))
+    size, other = profiles.sizes[i], profiles.sizes[j]
+    most = np.array([similar.common_subsequence(similar._positions(titles[a]), len(titles[a]), titles[b]) for a, b in zip(i.tolist(), j.tolist())])
+    for t in (0.5, 0.85, 0.95):
+        least = t * (size + other) / 2
+        assert (similar.common_subsequences_reach(places, i, texts, j, size, other, least) == (most >= least)).all()
+
+
+def test_pairs_of_usual_titles_are_not_compared_one_by_one(monkeypatch):
+    rnd = random.Random(7)
+    titles = [" ".join(rnd.choice(["the", "ing", "and", "tion", "re", "ed"]) for _ in range(40)) for _ in range(300)]
+    titles += [t[:-2] for t in titles[::50]]
+    ranks, aligned = np.arange(len(titles)), []
+    want = [next((j for j in range(i) if close(titles[i], titles[j], 0.9)), -1) for i in range(300, len(titles))]
+    monkeypatch.setattr(similar, "common_subsequence", None)
+    monkeypatch.setattr(similar, "SequenceMatcher", lambda *a: aligned.append(a) or SequenceMatcher(*a))
+    got = earliest_close(Profiles(titles), ranks, Profiles(titles), ranks, 0.9).tolist()
+    assert got[300:] == want and -1 not in want and len(aligned) < 300
