@@ -26,8 +26,9 @@ from ..session import broadcast_if_small, freeze
 from .ordinals import dense_ordinal
 from .story import drop_retold, newest_first
 
-# Titles of a cell, at most, and fewest of them: smaller cells so that a small table still uses every core.
-CELL, LEAST_CELL = 8192, 512
+# Titles of a cell in all length buckets, at most, and fewest of them: smaller cells so that a small table still uses every core. A title is
+# copied, and its counts are taken, once for each cell that its own meets.
+CELL, LEAST_CELL = 24576, 512
 # Titles compared at once, later by earlier ones.
 ROWS, COLUMNS = 256, 512
 # Counting buckets for single characters and bigrams.
@@ -275,22 +276,22 @@ def similar_titles(titles: DataFrame, threshold: float, cell: int | None = None)
         cell = min(CELL, max(LEAST_CELL, math.isqrt(titles.count() ** 2 // (cores * 4))))
     bucket = F.floor(F.log(F.col("len")) / F.lit(math.log(widest(threshold)))) if threshold > 0 else F.lit(0)
     titles = freeze(ranked.select("tid", "norm", "rank", bucket.cast("long").alias("bucket"), F.expr(f"rank div {cell}").alias("block")))
-    nodes = titles.select("rank").join(_nearest(titles, titles, threshold), "rank", "left").withColumn("state", F.lit("open"))
+    nodes = freeze(titles.select("rank").join(_nearest(titles, titles, threshold), "rank", "left").withColumn("state", F.lit("open")))
     while True:
-        nodes = freeze(nodes)
         of = nodes.select(F.col("rank").alias("found"), F.col("state").alias("of"))
         nodes = freeze(nodes.join(of, "found", "left").select("rank", "found", F.when(F.col("state") != "open", F.col("state"))
                        .when(F.col("found").isNull(), "kept").when(F.col("of") == "kept", "dropped")
                        .when(F.col("of") == "dropped", "search").otherwise("open").alias("state")))
-        if nodes.where("state IN ('open', 'search')").isEmpty():
+        states = {r["state"] for r in nodes.select("state").distinct().collect()}  # four at most
+        if not states & {"open", "search"}:
             return titles.join(nodes.where("state = 'kept'"), "rank").select("tid")
-        if not nodes.where("state = 'search'").isEmpty():
+        if "search" in states:
             later = titles.join(nodes.where("state = 'search'").select("rank"), "rank")
             earlier = titles.join(nodes.where("state = 'dropped'").select("rank"), "rank", "left_anti")
             again = _nearest(earlier, later, threshold).select("rank", F.col("found").alias("again"))
             search = F.col("state") == "search"
-            nodes = nodes.join(again, "rank", "left").select(
-                "rank", F.when(search, F.col("again")).otherwise(F.col("found")).alias("found"), F.when(search, "open").otherwise(F.col("state")).alias("state"))
+            nodes = freeze(nodes.join(again, "rank", "left").select(
+                "rank", F.when(search, F.col("again")).otherwise(F.col("found")).alias("found"), F.when(search, "open").otherwise(F.col("state")).alias("state")))
 
 
 def dedupe_content(items: DataFrame, similarity_threshold: float = 0.85, story_dedupe: bool = False,
