@@ -133,6 +133,33 @@ def test_token_ids_memory_starts_anew(library, texts, monkeypatch):
         assert np.frombuffer(pieces.ids(text.encode()), "<u2").tolist() == library[WORD].encode(text, add_special_tokens=False).ids
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.lists(st.one_of(
+    st.sampled_from(["'s", "'S", "'re", "'ll", "'l", "''m", "'v", "'ve", "d'", "x'd'y", "12", "²½", "ª", "É", " ", "\t\n", "<|EndOfText|>", "e\u0301", "漢", "\x1f", "\xa0", "!?"]),
+    st.text(st.characters(max_codepoint=0xFF), max_size=5)), max_size=8), max_size=6))
+def test_token_ids_of_many_texts(library, texts):
+    """Plain texts are cut and looked up together, with the ids of each alone."""
+    texts = ["".join(t).encode("utf-8", "ignore").decode() for t in texts]
+    got = tokenids.piece_ids(tokenizer_path(WORD)).of([t.encode() for t in texts])
+    assert [ids.tolist() for ids in got] == [library[WORD].encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_token_ids_many_texts_see_a_piece_once(library, texts, monkeypatch):
+    """What the library is given for the pieces of many texts, also with a memory that starts anew."""
+    texts = [t or "" for _, t in texts][:60]
+    wanted = [library[WORD].encode(t, add_special_tokens=False).ids for t in texts]
+    given = []
+    real = tokenids.PieceIds._encode
+    monkeypatch.setattr(tokenids.PieceIds, "_encode", lambda self, pieces: given.extend(pieces.to_pylist()) or real(self, pieces))
+    for cache in (tokenids.CACHE, 50):
+        monkeypatch.setattr(tokenids, "CACHE", cache)
+        pieces, got = tokenids.PieceIds(tokenizer_path(WORD)), []
+        for k in range(0, len(texts), 7):
+            got += pieces.of([t.encode() for t in texts[k:k + 7]])
+        assert [ids.tolist() for ids in got] == wanted
+        assert len(given) == len(set(given)) or cache == 50
+
+
 def test_token_ids_empty_table(spark, docs):
     path = scratch_path(spark, "ids")
     tokenids.write(docs.limit(0), path, tokenizer_path(WORD))
@@ -177,6 +204,20 @@ def test_start_round_trip(size, top, skew, seed):
     assert (docs, counts.tolist()) == ([7], [size]) and (back == ids).all()
 
 
+@pytest.mark.parametrize("skew", [1, 3, 9])
+def test_coder_takes_the_files_shares(skew):
+    """Shares of the file come from its header, and those of a block are taken anew on the way."""
+    ids = (5000 * np.random.default_rng(skew).random(3 * 700) ** skew).astype(np.uint16)
+    ids[700:] = ids[np.arange(1400) % 90]
+    start, ranks = rangecoder.Start.of(ids)
+    before = start.chances.copy()
+    coded = rangecoder.encode(ranks.reshape(3, 700), start)
+    again, _ = rangecoder.Start.unpack(start.pack(), 0)
+    assert (again.chances == start.chances).all() and (start.chances != before).any() and 700 > 2 * rangecoder.REFRESH
+    assert (rangecoder.decode(coded, 700, again) == ranks.reshape(3, 700)).all()
+    assert (rangecoder.decode(coded[2:], 700, again) == ranks[1400:]).all()
+
+
 def test_start_keeps_the_most_frequent_successor():
     start, _ = rangecoder.Start.of(np.array([8, 9] * 5 + [8, 7] * 9 + [3], np.uint16))
     rank = {int(i): r for r, i in enumerate(start.ids)}

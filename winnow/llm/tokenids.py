@@ -12,6 +12,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
@@ -23,7 +24,9 @@ FILE_IDS = 8_000_000
 END_ID = 2
 # Distinct pieces, and their characters, that a worker remembers before it starts anew.
 CACHE, CACHE_CHARS = 400_000, 8_000_000
-MAGIC = b"WIDS0002"
+# Bytes of texts that are cut at once.
+GROUP_BYTES = 8_000_000
+MAGIC = b"WIDS0003"
 # magic, part, number in the part, documents, ids, blocks, ids per block, checksum of the index
 HEAD = "<8sIIIQIII"
 HEAD_BYTES = struct.calcsize(HEAD)
@@ -48,14 +51,44 @@ def _tokenizer(path: str):
 
 
 # Characters of texts that are cut here, Latin-1 without other white space and controls.
-# Normal form C leaves them as they are and lower case is a matter of single characters.
+# Normal form C leaves them as they are, lower case is a matter of single characters, and each is one byte of Latin-1.
 PLAIN = "".join(map(chr, [*range(0x09, 0x0E), *range(0x20, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]))
+# The cut that arrays can do, and the classes of plain characters that it knows.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+WHITE, LETTER, NUMBER, OTHER = range(4)
+KIND = np.array([WHITE if chr(b).isspace() else {"L": LETTER, "N": NUMBER}.get(unicodedata.category(chr(b))[0], OTHER) for b in range(256)], np.uint8)
+# The characters that a byte-level vocabulary writes bytes of UTF-8 with; spaces stay between pieces.
+SHOWN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+BYTE_LEVEL = {b: chr(b) for b in [0x20, *SHOWN]} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in SHOWN) if b != 0x20}
+
+
+def _pieces(data: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """Pieces by SPLIT of plain lower-case texts in Latin-1, with white space between texts; where each starts."""
+    kind = KIND[data]
+    starts = kind == NUMBER
+    starts[:1] = True
+    starts[1:] |= kind[1:] != kind[:-1]
+    # an apostrophe that starts a piece takes some letters along, and what follows them is a new one
+    quotes = np.flatnonzero((data == ord("'")) & starts)
+    padded = np.append(data, np.full(3, ord(" "), np.uint8))
+    after, last = padded[quotes + 1], padded[quotes + 2]
+    two = ((after == ord("r")) | (after == ord("v"))) & (last == ord("e")) | (after == ord("l")) & (last == ord("l"))
+    one = np.isin(after, np.frombuffer(b"stmd", np.uint8))
+    starts[quotes[one | two] + 1] = False
+    for ends in (quotes[one] + 2, quotes[two] + 3):
+        starts[ends[ends < len(starts)]] = True
+    dark = kind != WHITE
+    starts &= dark
+    values = data[dark]
+    offsets = np.append(np.flatnonzero(starts[dark]), len(values)).astype(np.int32)
+    pieces = pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(values)])
+    return pieces, np.flatnonzero(starts)
 
 
 @lru_cache(maxsize=2)
 def _cut(path: str):
-    """The tokenizer's own cut of a plain text in lower case, its special tokens, and which ids end
-    a piece. None for a tokenizer that normalises or cuts in any other way."""
+    """The tokenizer's own cut of a plain text in lower case, its special tokens, which ids end
+    a piece, and whether the cut is SPLIT. None for a tokenizer that normalises or cuts in any other way."""
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
     normal = [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])]
@@ -77,7 +110,7 @@ def _cut(path: str):
         return None
     last = np.zeros(1 << 16, bool)
     last[[i for t, i in spec["model"]["vocab"].items() if t.endswith(suffix)]] = True
-    return re.compile(pattern).findall, [t["content"].lower() for t in spec["added_tokens"]], last
+    return re.compile(pattern).findall, [t["content"].lower() for t in spec["added_tokens"]], last, split["pattern"].get("Regex") == SPLIT
 
 
 class PieceIds(dict):
@@ -89,7 +122,14 @@ class PieceIds(dict):
 
     def __init__(self, path: str):
         self.tokenizer, self.size = _tokenizer(path), 0
-        self.findall, self.special, self.last = _cut(path) or (None, [], None)
+        self.findall, self.special, self.last, self.arrays = _cut(path) or (None, [], None, False)
+        self.known, self.first, self.length, self.flat = pa.array([], pa.binary()), *(np.zeros(0, t) for t in (np.int64, np.int64, "<u2"))
+        if self.arrays:
+            # for pieces alone: nothing to normalise, and no other cut than at spaces
+            from tokenizers import Tokenizer, pre_tokenizers
+
+            self.bare = Tokenizer(self.tokenizer.model)
+            self.bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
 
     def _plain(self, text: str, low: str) -> bool:
         return self.findall is not None and not self.strange(text) and not any(t in low for t in self.special)
@@ -116,6 +156,70 @@ class PieceIds(dict):
             self._learn(set(pieces), whole)
             return b"".join(map(self.__getitem__, pieces))
 
+    def of(self, texts: list[bytes]) -> list[np.ndarray]:
+        """Ids of each of many texts; plain ones are cut, and their pieces looked up, together."""
+        out: list[np.ndarray] = [np.zeros(0, "<u2")] * len(texts)
+        plain, cut = [], []
+        for k, raw in enumerate(texts):
+            text = raw.decode()
+            low = text.lower()
+            if self.arrays and self._plain(text, low):
+                plain.append(k)
+                cut.append(low.encode("latin-1"))
+            else:
+                out[k] = np.frombuffer(self.ids(raw), "<u2")
+        if plain:
+            pieces, starts = _pieces(np.frombuffer(b" ".join(cut), np.uint8))
+            ids, before = self._spell(pieces)
+            # the ids of a text go from its first piece to the next text's
+            begins = np.cumsum([0, *(len(c) + 1 for c in cut)])
+            ends = before[np.searchsorted(starts, begins)]
+            for k, a, b in zip(plain, ends[:-1].tolist(), ends[1:].tolist()):
+                out[k] = ids[a:b]
+        return out
+
+    def _spell(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the pieces, and how many stand before each piece and at the end."""
+        coded = pieces.dictionary_encode()
+        own = coded.dictionary
+        place = pc.index_in(own, value_set=self.known)
+        if place.null_count:
+            new = own.filter(place.is_null())
+            ids, ends = self._encode(new)
+            old = np.arange(len(self.known))
+            if len(old) + len(new) > CACHE or self.known.nbytes + new.nbytes > CACHE_CHARS + 4 * CACHE:
+                old = place.drop_null().to_numpy(zero_copy_only=False)  # anew, with what these texts have
+            # where each distinct piece will stand: the new ones come last
+            there = np.empty(len(self.known), np.int64)
+            there[old] = np.arange(len(old))
+            missing = place.is_null().to_numpy(zero_copy_only=False)
+            places = np.empty(len(own), np.int64)
+            places[missing] = len(old) + np.arange(len(new))
+            places[~missing] = there[place.drop_null().to_numpy(zero_copy_only=False)]
+            kept, upto = self._gather(old)
+            self.known = pa.concat_arrays([self.known.take(pa.array(old, pa.int64())), new])
+            self.flat = np.concatenate([kept, ids])
+            self.first = np.concatenate([upto[:-1], upto[-1] + np.append(0, ends)[:-1]])
+            self.length = np.concatenate([np.diff(upto), np.diff(ends, prepend=0)])
+        else:
+            places = place.to_numpy(zero_copy_only=False)
+        return self._gather(places[coded.indices.to_numpy()])
+
+    def _gather(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        size = self.length[places]
+        upto = np.concatenate([[0], np.cumsum(size)])
+        return self.flat[np.repeat(self.first[places] - upto[:-1], size) + np.arange(upto[-1])], upto
+
+    def _encode(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct pieces in Latin-1, and where those of each end."""
+        text = b" ".join(pieces.to_pylist()).decode("latin-1").encode().decode("latin-1").translate(BYTE_LEVEL)
+        # one text of all of them: the last id of a piece, and no other, has the suffix
+        ids = np.array(self.bare.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u2")
+        ends = np.flatnonzero(self.last[ids]) + 1
+        if len(ends) != len(pieces):
+            raise ValueError("the tokenizer's ids do not show where pieces end")
+        return ids, ends
+
     def _learn(self, wanted: set[str], whole: set[str]) -> None:
         new = [p for p in wanted if p not in self]
         self.size += sum(map(len, new))
@@ -153,8 +257,10 @@ def pack(part: int, number: int, docs: list[int | None], counts: list[int], ids:
     index = b"".join([
         np.array([d is None for d in docs], np.uint8).tobytes(),
         np.array([d or 0 for d in docs], "<i8").tobytes(), np.array(counts, "<u4").tobytes()])
-    out = [struct.pack(HEAD, MAGIC, part, number, len(docs), len(ids), n, block, zlib.crc32(index)), index, start.pack()]
-    for i, payload in enumerate(rangecoder.encode(lanes, start)):
+    out = [struct.pack(HEAD, MAGIC, part, number, len(docs), len(ids), n, block, zlib.crc32(index)), index]
+    payloads = rangecoder.encode(lanes, start)
+    out.append(start.pack())
+    for i, payload in enumerate(payloads):
         own = ids[i * block:(i + 1) * block]
         out += [struct.pack(BLOCK_HEAD, len(own), len(payload), zlib.crc32(own.astype("<u4").tobytes()), zlib.crc32(payload)), payload]
     return b"".join(out)
@@ -189,24 +295,37 @@ def unpack(content: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     return docs, counts, lanes.reshape(-1)[:n_ids]
 
 
+def _groups(batches):
+    """Ids and texts of documents, some GROUP_BYTES at a time."""
+    docs, texts, size = [], [], 0
+    for b in batches:
+        for doc, text in zip(b.column("doc_id").to_pylist(), byte_texts(b.column("text"))):
+            docs.append(doc)
+            texts.append(text)
+            size += len(text)
+            if size >= GROUP_BYTES:
+                yield docs, texts
+                docs, texts, size = [], [], 0
+    if docs:
+        yield docs, texts
+
+
 def _files(path, end_id, file_ids):
     def run(batches):
         pieces = piece_ids(path)
         part, number = TaskContext.get().partitionId(), 0
-        end = np.array([end_id], "<u2").tobytes()
+        end = np.array([end_id], "<u2")
         docs, counts, held, size = [], [], [], 0
 
         def close():
-            ids = np.frombuffer(b"".join(held), "<u2")
-            return pa.RecordBatch.from_pydict({"file": [pack(part, number, docs, counts, ids)]})
+            return pa.RecordBatch.from_pydict({"file": [pack(part, number, docs, counts, np.concatenate(held))]})
 
-        for b in batches:
-            for doc, text in zip(b.column("doc_id").to_pylist(), byte_texts(b.column("text"))):
-                own = pieces.ids(text) + end
+        for group, texts in _groups(batches):
+            for doc, own in zip(group, pieces.of(texts)):
                 docs.append(doc)
-                counts.append(len(own) // 2)
-                held.append(own)
-                size += len(own) // 2
+                counts.append(len(own) + 1)
+                held += [own, end]
+                size += len(own) + 1
                 if size >= file_ids:
                     yield close()
                     docs, counts, held, size, number = [], [], [], 0, number + 1
