@@ -23,7 +23,7 @@ from .common import arrow_map, byte_texts, narrow
 FILE_IDS = 8_000_000
 END_ID = 2
 # Distinct pieces, and their characters, that a worker remembers before it starts anew.
-CACHE, CACHE_CHARS = 400_000, 8_000_000
+CACHE, CACHE_CHARS = 800_000, 16_000_000
 # Bytes of texts that are cut at once.
 GROUP_BYTES = 8_000_000
 MAGIC = b"WIDS0003"
@@ -60,6 +60,8 @@ KIND = np.array([WHITE if chr(b).isspace() else {"L": LETTER, "N": NUMBER}.get(u
 # The characters that a byte-level vocabulary writes bytes of UTF-8 with; spaces stay between pieces.
 SHOWN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 BYTE_LEVEL = {b: chr(b) for b in [0x20, *SHOWN]} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in SHOWN) if b != 0x20}
+# Of plain texts in Latin-1: their characters, and lower case.
+PLAIN_BYTES, LOWER = PLAIN.encode("latin-1"), bytes(ord(c) if len(c := chr(b).lower()) == 1 and ord(c) < 256 else b for b in range(256))
 
 
 def _pieces(data: np.ndarray) -> tuple[pa.Array, np.ndarray]:
@@ -124,6 +126,7 @@ class PieceIds(dict):
         self.tokenizer, self.size = _tokenizer(path), 0
         self.findall, self.special, self.last, self.arrays = _cut(path) or (None, [], None, False)
         self.known, self.first, self.length, self.flat = pa.array([], pa.binary()), *(np.zeros(0, t) for t in (np.int64, np.int64, "<u2"))
+        self.marks = [t.encode("latin-1") for t in self.special if max(t) < "\u0100"]
         if self.arrays:
             # for pieces alone: nothing to normalise, and no other cut than at spaces
             from tokenizers import Tokenizer, pre_tokenizers
@@ -156,18 +159,26 @@ class PieceIds(dict):
             self._learn(set(pieces), whole)
             return b"".join(map(self.__getitem__, pieces))
 
+    def _low(self, raw: bytes) -> bytes | None:
+        """A plain text in lower case, in Latin-1; None for any other."""
+        try:
+            text = raw.decode().encode("latin-1")
+        except UnicodeEncodeError:
+            return None
+        low = text.translate(LOWER)
+        return None if text.translate(None, PLAIN_BYTES) or any(t in low for t in self.marks) else low
+
     def of(self, texts: list[bytes]) -> list[np.ndarray]:
         """Ids of each of many texts; plain ones are cut, and their pieces looked up, together."""
         out: list[np.ndarray] = [np.zeros(0, "<u2")] * len(texts)
         plain, cut = [], []
         for k, raw in enumerate(texts):
-            text = raw.decode()
-            low = text.lower()
-            if self.arrays and self._plain(text, low):
-                plain.append(k)
-                cut.append(low.encode("latin-1"))
-            else:
+            low = self._low(raw) if self.arrays else None
+            if low is None:
                 out[k] = np.frombuffer(self.ids(raw), "<u2")
+            else:
+                plain.append(k)
+                cut.append(low)
         if plain:
             pieces, starts = _pieces(np.frombuffer(b" ".join(cut), np.uint8))
             ids, before = self._spell(pieces)
@@ -184,23 +195,22 @@ class PieceIds(dict):
         own = coded.dictionary
         place = pc.index_in(own, value_set=self.known)
         if place.null_count:
-            new = own.filter(place.is_null())
+            new, missing = own.filter(place.is_null()), place.is_null().to_numpy(zero_copy_only=False)
+            places = place.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            if len(self.known) + len(new) > CACHE or self.known.nbytes + new.nbytes > CACHE_CHARS + 4 * CACHE:
+                # anew, with what these texts have
+                old = places[~missing]
+                self.known = self.known.take(pa.array(old))
+                self.flat, upto = self._gather(old)
+                self.first, self.length = upto[:-1], np.diff(upto)
+                places[~missing] = np.arange(len(old))
+            places[missing] = len(self.known) + np.arange(len(new))
             ids, ends = self._encode(new)
-            old = np.arange(len(self.known))
-            if len(old) + len(new) > CACHE or self.known.nbytes + new.nbytes > CACHE_CHARS + 4 * CACHE:
-                old = place.drop_null().to_numpy(zero_copy_only=False)  # anew, with what these texts have
-            # where each distinct piece will stand: the new ones come last
-            there = np.empty(len(self.known), np.int64)
-            there[old] = np.arange(len(old))
-            missing = place.is_null().to_numpy(zero_copy_only=False)
-            places = np.empty(len(own), np.int64)
-            places[missing] = len(old) + np.arange(len(new))
-            places[~missing] = there[place.drop_null().to_numpy(zero_copy_only=False)]
-            kept, upto = self._gather(old)
-            self.known = pa.concat_arrays([self.known.take(pa.array(old, pa.int64())), new])
-            self.flat = np.concatenate([kept, ids])
-            self.first = np.concatenate([upto[:-1], upto[-1] + np.append(0, ends)[:-1]])
-            self.length = np.concatenate([np.diff(upto), np.diff(ends, prepend=0)])
+            length = np.diff(ends, prepend=0)
+            self.known = pa.concat_arrays([self.known, new])
+            self.first = np.concatenate([self.first, len(self.flat) + ends - length])
+            self.length = np.concatenate([self.length, length])
+            self.flat = np.concatenate([self.flat, ids])
         else:
             places = place.to_numpy(zero_copy_only=False)
         return self._gather(places[coded.indices.to_numpy()])
