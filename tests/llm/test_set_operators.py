@@ -128,6 +128,28 @@ def test_jaccard_any_region_size(frame, leaf, screen, pivots, depth):
     assert near(df, leaf_shingles=leaf, screen_docs=screen, n_pivots=pivots, depth=depth) == by_text(plain_near_copies(rows))
 
 
+def test_jaccard_screens_regions_of_any_size(spark):
+    """A region larger than one task may compare goes in blocks; before, it passed whole."""
+    sets = [np.sort(jaccard.mix64(np.arange(40 * i, 40 * i + 40, dtype=np.uint64))) for i in range(40)]
+    for i in (7, 31):
+        sets[i] = sets[3].copy()
+    marks = spark.createDataFrame([(i, len(x), bytearray(jaccard.signature(x))) for i, x in enumerate(sets)], "uid long, n int, signature binary")
+    members = spark.createDataFrame([("a", i, i, 7) for i in range(40)], "region string, uid long, label long, pivot long")
+    for screen in (8192, 10, 4):
+        found = jaccard._screen(members, marks, 75, screen).collect()
+        assert sorted((r["region"], r["uid"], r["label"], r["n"], r["with_pivot"]) for r in found) == [("a", i, i, len(sets[i]), True) for i in (3, 7, 31)]
+
+
+def test_jaccard_regions_that_pivots_do_not_cut(frame, monkeypatch):
+    """All documents are as far from each other: every cell is the region again, so it isn't cut a second time."""
+    shared, calls = " ".join(f"p{i}" for i in range(64)), []
+    rows = [(i, shared + "".join(f" own{i}x{k}" for k in range(11))) for i in range(40)]
+    compare = jaccard._compare
+    monkeypatch.setattr(jaccard, "_compare", lambda *a: calls.append(a) or compare(*a))
+    assert near(frame([(d, t, "s") for d, t in rows], 4), leaf_shingles=500, n_pivots=4, depth=3) == by_text(plain_near_copies(rows))
+    assert len(calls) == 2
+
+
 def test_signatures_never_miss_a_link():
     rng = random.Random(12)
     sets, texts = [], [t for _, t in families(12, 60)]

@@ -20,7 +20,7 @@ COUNT_CHUNK, COUNT_LEAST = 2_000_000, 8
 FREQUENT = 200_000
 # Shingles, over all its documents, of a region that one task joins.
 LEAF_SHINGLES = 3_000_000
-# Documents of a region whose signatures one task compares; a larger region is not screened.
+# Documents whose signatures one task compares; a larger region goes in blocks of half as many, every two of them together.
 SCREEN_DOCS = 8192
 # Pivots a larger region is cut by, and documents compared with pivots in one run of rows.
 PIVOTS, RUN_ROWS = 32, 4096
@@ -187,7 +187,7 @@ def _stars(threshold):
 
 
 def _screened(threshold):
-    """Rows sorted by region -> those that may link with another label in their region."""
+    """Rows sorted by region and part -> those that may link with another label in their part of the region."""
 
     def survivors(rows):
         pivot = next((i for i, r in enumerate(rows) if r[0] == r[4]), None)
@@ -198,14 +198,14 @@ def _screened(threshold):
         key, rows = None, []
         for b in batches:
             out = []
-            for region, *row in zip(*[b.column(k).to_pylist() for k in ("region", "uid", "label", "n", "signature", "pivot")]):
-                if region != key:
-                    out += [(key, *r) for r in survivors(rows)] if rows else []
-                    key, rows = region, []
+            for region, part, *row in zip(*[b.column(k).to_pylist() for k in ("region", "part", "uid", "label", "n", "signature", "pivot")]):
+                if (region, part) != key:
+                    out += [(key[0], *r) for r in survivors(rows)] if rows else []
+                    key, rows = (region, part), []
                 rows.append(row)
             if out:
                 yield found(out)
-        if rows and (out := [(key, *r) for r in survivors(rows)]):
+        if rows and (out := [(key[0], *r) for r in survivors(rows)]):
             yield found(out)
 
     def found(out):
@@ -217,15 +217,17 @@ def _screened(threshold):
 
 def _screen(members: DataFrame, marks: DataFrame, threshold: int, screen_docs: int) -> DataFrame:
     """(region, uid, label, pivot) to (region, uid, label, n, with_pivot): members that may link, by size
-    and signature, with a member of another label; `with_pivot`: also with the pivot. Regions too
-    large for one task pass whole."""
-    sizes = members.groupBy("region").agg(F.count("*").alias("size"))
-    rows = members.join(sizes, "region").join(marks, "uid")
-    small = rows.where(F.col("size") <= screen_docs).select("region", "uid", "label", "n", "signature", "pivot")
-    small = arrow_map(small.repartition("region").sortWithinPartitions("region"), _screened(threshold),
-                      "region string, uid long, label long, n int, with_pivot boolean")
-    large = rows.where(F.col("size") > screen_docs).select("region", "uid", "label", "n", F.lit(True).alias("with_pivot"))
-    return small.unionByName(large)
+    and signature, with a member of another label; `with_pivot`: also with the pivot. A region too
+    large for one task is dealt in blocks, and a task gets two of them, so that every two members meet in some task."""
+    sizes = members.groupBy("region").agg(F.count("*").alias("size")).select(
+        "region", F.when(F.col("size") > screen_docs, F.ceil(2 * F.col("size") / screen_docs)).otherwise(1).cast("int").alias("blocks"))
+    block, blocks = F.pmod(F.xxhash64("uid", F.lit("screen")), F.col("blocks")).cast("int"), F.col("blocks")
+    others = F.filter(F.sequence(F.lit(0), blocks - 1), lambda x: (x != F.col("block")) | (blocks == 1))
+    rows = members.join(sizes, "region").join(marks, "uid").withColumn("block", block).withColumn("other", F.explode(others)).select(
+        "region", (F.least("block", "other").cast("long") * blocks + F.greatest("block", "other")).alias("part"), "uid", "label", "n", "signature", "pivot")
+    told = arrow_map(rows.repartition("region", "part").sortWithinPartitions("region", "part"), _screened(threshold),
+                     "region string, uid long, label long, n int, with_pivot boolean")
+    return told.groupBy("region", "uid").agg(F.first("label").alias("label"), F.first("n").alias("n"), F.max("with_pivot").alias("with_pivot"))
 
 
 def _distances(size, threshold, window):
@@ -344,6 +346,14 @@ def _compare(members: DataFrame, pivots: DataFrame, texts: DataFrame, size: int,
                      "region string, pivot long, uid long, d double, link boolean, n int")
 
 
+def _halved(near: DataFrame, sized: DataFrame) -> DataFrame:
+    """Regions that their pivots' cells, which overlap, cut to half the pairs at least. Where nearly all distances are alike every
+    document belongs to every cell, and cells of cells would hold the region many times over."""
+    cells = near.groupBy("region", "pivot").agg(F.sum("n").cast("double").alias("cell_n"))
+    pairs = cells.groupBy("region").agg(F.sum(F.col("cell_n") * F.col("cell_n")).alias("pairs"))
+    return pairs.join(sized, "region").where(2 * F.col("pairs") <= F.col("all_n").cast("double") * F.col("all_n")).select("region")
+
+
 def _open(members: DataFrame, labels: DataFrame, window: float) -> DataFrame:
     """Members (region, uid, d or null) of regions that may still hold a link between components.
 
@@ -378,7 +388,7 @@ def near_copies(docs: DataFrame, threshold: int = THRESHOLD, size: int = SHINGLE
     3. Regions in which two components could still link, by the triangle inequality, are joined
        exactly in one task if small. Larger ones get pivots of their own, every document goes to
        the nearest one's Voronoi region and, within two windows, to the neighbouring ones, and these go
-       the same way. What does not get smaller is joined in blocks, exactly too.
+       the same way. Where the regions do not halve the pairs, the larger one is joined in blocks, exactly too.
 
     Texts without words, null or empty, have no shingles and link with nothing. Null ids are
     never the smallest; a component of null ids only has a null component_id. Repeated rows link with each
@@ -432,10 +442,14 @@ def near_copies(docs: DataFrame, threshold: int = THRESHOLD, size: int = SHINGLE
             centres = drawn.join(least, "region").where((F.col("chance") * F.col("count") < n_pivots) | (F.col("chance") == F.col("least"))).select("region", "uid")
             near = written(_compare(large.select("region", "uid"), centres, texts, size, threshold), "near")
             found.append(near.where("link").select(F.col("pivot").alias("u"), F.col("uid").alias("v")))
-        links = links.unionByName(found[0]) if len(found) == 1 else links.unionByName(found[0]).unionByName(found[1])
+            halved = written(_halved(near, sized), "halved")
+            found.append(_join_leaves(_blocks(large.join(halved, "region", "left_anti"), leaf_shingles), texts, size, threshold))
+            near = near.join(halved, "region", "left_semi")
+        for more_links in found:
+            links = links.unionByName(more_links)
         links = written(links, "links")
         labels = components(links)
-        if not more or level == depth:
+        if not more or level == depth or halved.isEmpty():
             break
         cells = near.select(F.concat_ws("/", "region", "pivot").alias("region"), "uid", "d")
         regions = written(_screen(_open(cells, labels, window), marks, threshold, screen_docs).drop("with_pivot"), "regions")
