@@ -356,6 +356,19 @@ def test_landed_folders(spark, tmp_path):
     assert "LessThanOrEqual(length,4000)" in plan
 
 
+def test_landed_groups_are_bounded(spark, tmp_path):
+    """Documents of blanks are stored in few bytes; a reader holds a group of them whole."""
+    import pyarrow.parquet as pq
+
+    body = F.when(F.col("id") % 4 == 0, F.repeat(F.lit(" "), 200_000)).otherwise(F.concat(F.lit("<rss>"), "id"))
+    docs = spark.range(150).coalesce(1).select(F.col("id").cast("string").alias("feed_id"), F.lit(0).alias("doc_ord"), body.alias("body"))
+    landed.land_documents(docs, path := str(tmp_path / "landed"))
+    stored = pq.ParquetFile(next((tmp_path / "landed").rglob("*.parquet"))).metadata
+    assert max(stored.row_group(i).num_rows for i in range(stored.num_row_groups)) == 16
+    want = sorted((r["feed_id"], r["body"] + "\n") for r in docs.collect())
+    assert sorted((r["feed_id"], r["body"]) for r in landed.read_documents(spark, path).collect()) == want
+
+
 def test_landed_documents_share_files(spark, tmp_path):
     """Files follow the tasks and not the documents; every document is read back, whatever its id, length or body."""
     path = str(tmp_path / "landed")

@@ -38,8 +38,9 @@ def _place(path: Column) -> list[Column]:
     return [F.substring_index(stem, "~", 1).alias("feed_id"), number.alias("doc_ord")]
 
 
-# Documents of one container are read in groups of about so many bytes, however many or large they are.
-_GROUP_BYTES = 8 << 20
+# Documents of one container are read in groups of about so many bytes as they are stored, and of so many documents: one that is
+# megabytes of blanks is stored in a few bytes, and a reader holds a whole group.
+_GROUP_BYTES, _GROUP_DOCUMENTS = 8 << 20, 16
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
@@ -59,7 +60,8 @@ def land_documents(docs: DataFrame, path: str) -> None:
     content = F.concat(F.coalesce("body", F.lit("")), F.lit("\n")).cast("binary")
     packed = docs.select(T.blank_to_null(F.col("feed_id")).alias("feed_id"), F.col("doc_ord").cast("int").alias("doc_ord"), content.alias("content"))
     packed.select("feed_id", "doc_ord", F.length("content").cast("bigint").alias("length"), "content").write.options(**{
-        "compression": "zstd", "parquet.block.size": str(_GROUP_BYTES), "parquet.block.size.row.check.min": "1",
+        "compression": "zstd", "parquet.block.size": str(_GROUP_BYTES), "parquet.block.row.count.limit": str(_GROUP_DOCUMENTS),
+        "parquet.page.size.row.check.min": "1", "parquet.page.size.check.estimate": "false",
         "parquet.enable.dictionary#content": "false"}).parquet(path)
 
 
