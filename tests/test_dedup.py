@@ -199,3 +199,24 @@ def test_pairs_of_usual_titles_are_not_compared_one_by_one(monkeypatch):
     monkeypatch.setattr(similar, "SequenceMatcher", lambda *a: aligned.append(a) or SequenceMatcher(*a))
     got = earliest_close(Profiles(titles), ranks, Profiles(titles), ranks, 0.9).tolist()
     assert got[300:] == want and -1 not in want and len(aligned) < 300
+
+
+def test_crowded_keys_are_copied_as_often_as_their_size_asks_for(spark):
+    """Every row of one side meets every row of the other once, whatever the size; a key just above the bound is not copied 32 times."""
+    sizes = {1: 5, 2: 11, 3: 40}
+    rows = spark.createDataFrame([(a, -1, 100 * a + i) for a, n in sizes.items() for i in range(n)], "a long, b long, sid long")
+    crowd = spark.createDataFrame([(a, -1, n) for a, n in sizes.items() if n > 10], "a long, b long, size long")
+    copied = story._salted(rows, crowd, 10, True)
+    assert {r["a"]: r["count"] for r in copied.groupBy("a").count().collect()} == {1: 5, 2: 22, 3: 160}
+    spread = story._salted(rows, crowd, 10, False).withColumnRenamed("sid", "other")
+    met = spread.join(copied, ["a", "b", "salt"])
+    assert met.count() == met.distinct().count() == sum(n * n for n in sizes.values())
+
+
+def test_words_of_one_set_alone_are_not_sent(spark):
+    """Rows sent for each key hold numbers, and only of words that another set of the source has."""
+    sets = [(i, "s", [f"alone{i}", f"only{i}", "common", "shared", "word"], 5, (i, i)) for i in range(4)] + [(9, "t", ["common", "shared", "u", "v", "w"], 5, (9, 9))]
+    df = spark.createDataFrame(sets, "_no long, source string, words array<string>, n int, first struct<age:long,item_ord:long>").withColumn("sid", F.col("_no"))
+    found = story._ordered_by_rarity(df).collect()
+    assert sorted((r["sid"], r["own"], [x["c"] for x in r["ranked"]], len(set(r["words"]))) for r in found) == [(i, 2, [4, 4, 4], 3) for i in range(4)]
+    assert len({tuple(r["words"]) for r in found}) == 1

@@ -9,7 +9,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from ..session import scratch_path
+from ..session import written  # noqa: F401
 
 # Rows per Arrow batch: documents run from a few bytes to megabytes.
 BATCH_ROWS = 1000
@@ -34,23 +34,6 @@ def narrow(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*[df[c].alias(name) for name, c in columns.items()])
 
 
-# Shuffle files go when the query that made them ends.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-def written(df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
-    """The rows as a table in the shared scratch folder, in folders by the columns `by`: lineage ends here, and nothing
-    needs the shuffles behind it any more."""
-    spark = df.sparkSession
-    path, before = scratch_path(spark, name), spark.conf.get(CLEANUP)
-    spark.conf.set(CLEANUP, "true")
-    try:
-        df.write.option("compression", "zstd").partitionBy(*by or []).parquet(path)
-    finally:
-        spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     return df.mapInArrow(fn, schema)
 

@@ -62,6 +62,23 @@ def freeze(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+# Shuffle files go when the query that made them ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def written(df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
+    """The rows as a table in the shared scratch folder, in folders by the columns `by`: lineage ends here, and nothing
+    needs the shuffles behind it any more. Smaller than a checkpoint, whose rows are not compressed."""
+    spark = df.sparkSession
+    path, before = scratch_path(spark, name), spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").partitionBy(*by or []).parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
     """Size check for a dimension; reads at most max_rows + 1 rows."""
     return df.limit(max_rows + 1).count() <= max_rows
