@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.text import normalize_title
-from ..session import broadcast_if_small, freeze
+from ..session import broadcast_if_small, written
 from .ordinals import dense_ordinal
 from .story import drop_retold, newest_first
 
@@ -275,13 +275,13 @@ def similar_titles(titles: DataFrame, threshold: float, cell: int | None = None)
         cores = titles.sparkSession.sparkContext.defaultParallelism
         cell = min(CELL, max(LEAST_CELL, math.isqrt(titles.count() ** 2 // (cores * 4))))
     bucket = F.floor(F.log(F.col("len")) / F.lit(math.log(widest(threshold)))) if threshold > 0 else F.lit(0)
-    titles = freeze(ranked.select("tid", "norm", "rank", bucket.cast("long").alias("bucket"), F.expr(f"rank div {cell}").alias("block")))
-    nodes = freeze(titles.select("rank").join(_nearest(titles, titles, threshold), "rank", "left").withColumn("state", F.lit("open")))
+    titles = written(ranked.select("tid", "norm", "rank", bucket.cast("long").alias("bucket"), F.expr(f"rank div {cell}").alias("block")), "titles")
+    nodes = written(titles.select("rank").join(_nearest(titles, titles, threshold), "rank", "left").withColumn("state", F.lit("open")), "nodes")
     while True:
         of = nodes.select(F.col("rank").alias("found"), F.col("state").alias("of"))
-        nodes = freeze(nodes.join(of, "found", "left").select("rank", "found", F.when(F.col("state") != "open", F.col("state"))
+        nodes = written(nodes.join(of, "found", "left").select("rank", "found", F.when(F.col("state") != "open", F.col("state"))
                        .when(F.col("found").isNull(), "kept").when(F.col("of") == "kept", "dropped")
-                       .when(F.col("of") == "dropped", "search").otherwise("open").alias("state")))
+                       .when(F.col("of") == "dropped", "search").otherwise("open").alias("state")), "nodes")
         states = {r["state"] for r in nodes.select("state").distinct().collect()}  # four at most
         if not states & {"open", "search"}:
             return titles.join(nodes.where("state = 'kept'"), "rank").select("tid")
@@ -290,8 +290,8 @@ def similar_titles(titles: DataFrame, threshold: float, cell: int | None = None)
             earlier = titles.join(nodes.where("state = 'dropped'").select("rank"), "rank", "left_anti")
             again = _nearest(earlier, later, threshold).select("rank", F.col("found").alias("again"))
             search = F.col("state") == "search"
-            nodes = freeze(nodes.join(again, "rank", "left").select(
-                "rank", F.when(search, F.col("again")).otherwise(F.col("found")).alias("found"), F.when(search, "open").otherwise(F.col("state")).alias("state")))
+            nodes = written(nodes.join(again, "rank", "left").select(
+                "rank", F.when(search, F.col("again")).otherwise(F.col("found")).alias("found"), F.when(search, "open").otherwise(F.col("state")).alias("state")), "nodes")
 
 
 def dedupe_content(items: DataFrame, similarity_threshold: float = 0.85, story_dedupe: bool = False,
@@ -303,7 +303,7 @@ def dedupe_content(items: DataFrame, similarity_threshold: float = 0.85, story_d
     usable title resembles nothing. Order of the result: newest first, undated last."""
     if similarity_threshold >= 1.0 and not story_dedupe:
         return items
-    left = freeze(drop_retold(items, story_containment_threshold)) if story_dedupe else items
+    left = drop_retold(items, story_containment_threshold) if story_dedupe else items
     placed = left.withColumn("_ord", newest_first(F.col("published"), F.col("item_ord"))).withColumn(
         "_norm", normalize_title(F.col("title")))
     titles = (
